@@ -12,14 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a new local folder."""
     at = spark.conf.get(SETTING, None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(SETTING, at)
+        app = spark.sparkContext.applicationId
+        at = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return at.rstrip("/")
 
 
