@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import exact_dedup
+from skyloom.llm import exact_dedup, language_id
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
