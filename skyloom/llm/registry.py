@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import exact_dedup, language_id
+from skyloom.llm import exact_dedup, language_id, packing
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op2_language_id": language_id.op2_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
