@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import exact_dedup, language_id, packing
+from skyloom.llm import exact_dedup, language_id, near_dedup, packing
 
 QUERIES = {
+    "op1_order_minhash": near_dedup.op1_order_minhash,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op2_language_id": language_id.op2_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
