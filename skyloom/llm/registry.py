@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import exact_dedup, language_id, near_dedup, packing
+from skyloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
 
 QUERIES = {
+    "op5_mixing": mixing.op5_mixing,
     "op1_order_minhash": near_dedup.op1_order_minhash,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op2_language_id": language_id.op2_language_id,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_mixing": mixing.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
