@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
+from skyloom.llm import embedding_dedup, exact_dedup, language_id, mixing, near_dedup, packing
 
 QUERIES = {
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op1_order_minhash": near_dedup.op1_order_minhash,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
