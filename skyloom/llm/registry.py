@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import embedding_dedup, exact_dedup, language_id, mixing, near_dedup, packing
+from skyloom.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, packing
 
 QUERIES = {
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op1_order_minhash": near_dedup.op1_order_minhash,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
