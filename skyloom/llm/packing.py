@@ -28,8 +28,8 @@ END_ID = 2
 GROUP = 4096
 #: Times that groups with a gap exchange documents.
 ROUNDS = 3
-#: Token ids of so many distinct words are remembered by a Python worker.
-REMEMBERED = 200_000
+#: A Python worker remembers the token ids of up to twice so many distinct parts of texts.
+REMEMBERED = 400_000
 
 
 class Encoder:
@@ -37,10 +37,12 @@ class Encoder:
 
     The pre-tokenizer never joins white space to what stands before it, so a text may be
     cut in front of every blank or line break that follows other than white space; the
-    parts recur, and their ids are remembered.
+    parts recur, and their ids are remembered. Letters and the punctuation behind them are
+    never joined either, so a new part is put together from its two halves if they are known.
     """
 
     _cut = re.compile(r"(?<=\S)(?=[ \n])")
+    _halves = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'À-ÿ]+)\Z")
     _plain = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
 
     def __init__(self, path: str):
@@ -49,6 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before: what is used again moves on, the rest goes
 
     def parts(self, text: str) -> list[str]:
         if self._plain.search(text):
@@ -58,18 +61,36 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         parts = self.parts(text)
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
         known = self.known
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            pass
-        new = list({x for x in parts if x not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(parts))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self._learn({x for x in parts if x not in known})
+            return b"".join(map(known.__getitem__, parts))
+
+    def _learn(self, new: set[str]) -> None:
+        known, old = self.known, self.old
+        halves = {}
+        for x in [*new]:
+            if x in old:
+                known[x] = old[x]
+                new.discard(x)
+            elif m := self._halves.match(x):
+                halves[x] = m.groups()
+                new.discard(x)
+        for x in {y for pair in halves.values() for y in pair}:
+            if x not in known:
+                if x in old:
+                    known[x] = old[x]
+                else:
+                    new.add(x)
+        todo = list(new)
+        for x, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
             known[x] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        for x, (stem, tail) in halves.items():
+            known[x] = known[stem] + known[tail]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
