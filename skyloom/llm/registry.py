@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from skyloom.llm import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, packing
+from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, substring_dedup
 
 QUERIES = {
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_license_scan": licenses.op10_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op5_mixing": mixing.op5_mixing,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op10_license_scan": licenses.OP10_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
