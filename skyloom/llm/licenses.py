@@ -68,7 +68,7 @@ def canonical_lines(text) -> F.Column:
 
     # a text of one element binds the normalised text, so that it is computed once
     low = F.element_at(F.transform(F.array(low), lambda x: F.when(F.rlike(x, F.lit(rare)), one_spelling(x)).otherwise(x)), 1)
-    return F.filter(F.transform(F.split(low, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(low, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def digest(text) -> F.Column:
