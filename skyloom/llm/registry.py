@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, substring_dedup
+from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_license_scan": licenses.op10_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
