@@ -42,8 +42,10 @@ class Encoder:
     """
 
     _cut = re.compile(r"(?<=\S)(?=[ \n])")
-    _halves = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'À-ÿ]+)\Z")
-    _plain = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+    _usual = set(" \n,.")
+    _runs = ("  ", " \n", "\n ", "\n\n")
+    _marks = (",,", ",.", ".,", "..", " ,", " .", "\n,", "\n.", "\0,", "\0.")
+    _halves = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'À-ÿ]+)\Z")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,42 +56,55 @@ class Encoder:
         self.old: dict[str, bytes] = {}  # the generation before: what is used again moves on, the rest goes
 
     def parts(self, text: str) -> list[str]:
-        if self._plain.search(text):
-            return self._cut.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(x if x[:1] == "\n" else " " + x for x in rest)] if rest else [first]
+        """Keys of the parts: one that begins with NUL stands for what follows it, one with a line break for itself, any other for a blank and itself."""
+        odd = set(text) - self._usual
+        if any(map(str.isspace, odd)) or "\0" in odd or not text.strip() or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, self._runs)):
+            return ["\0" + x for x in self._cut.split(text)]
+        # each white space is one blank or line break between words
+        text = "\0" + text
+        if all(map(str.isalnum, odd)) and not any(map(text.__contains__, self._marks)):
+            # commas and full stops follow letters or digits only: part them from their words
+            for mark in ", ", ". ", ",\n", ".\n":
+                text = text.replace(mark, " \0" + mark)
+            if text[-1] in ",.":
+                text = text[:-1] + " \0" + text[-1]
+        return text.replace("\n", " \n").split(" ")
 
     def __call__(self, text: str) -> bytes:
-        parts = self.parts(text)
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            self._learn({x for x in parts if x not in known})
-            return b"".join(map(known.__getitem__, parts))
+        parts = self.parts(text)
+        ids = list(map(self.known.get, parts))
+        if None in ids:
+            new = [i for i, x in enumerate(ids) if x is None]
+            self._learn({parts[i] for i in new})
+            for i in new:
+                ids[i] = self.known[parts[i]]
+        return b"".join(ids)
 
     def _learn(self, new: set[str]) -> None:
         known, old = self.known, self.old
-        halves = {}
-        for x in [*new]:
+        halves, todo = [], set()
+        for x in new:
             if x in old:
                 known[x] = old[x]
-                new.discard(x)
             elif m := self._halves.match(x):
-                halves[x] = m.groups()
-                new.discard(x)
-        for x in {y for pair in halves.values() for y in pair}:
-            if x not in known:
-                if x in old:
-                    known[x] = old[x]
-                else:
-                    new.add(x)
-        todo = list(new)
-        for x, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        for x, (stem, tail) in halves.items():
+                stem, tail = m[1], "\0" + m[2]
+                halves.append((x, stem, tail))
+                for y in (stem, tail):
+                    if y not in known and y not in new:
+                        if y in old:
+                            known[y] = old[y]
+                        else:
+                            todo.add(y)
+            else:
+                todo.add(x)
+        if todo:
+            keys = list(todo)
+            texts = [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in keys]
+            for x, e in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                known[x] = np.array(e.ids, "<u4").tobytes()
+        for x, stem, tail in halves:
             known[x] = known[stem] + known[tail]
 
 
