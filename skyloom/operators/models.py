@@ -116,7 +116,8 @@ def spline_resample(series: DataFrame, key: str, time: str, value: str, step_day
 def doubly_logistic(t, c1, c2, a1, a2, a3, a4, a5):
     """``c1 + c2 g(t)``: a rise to the peak at a1 with width a4 and shape a5, and a fall with a2 and a3."""
     before, after = np.maximum(a1 - t, 0) / a4, np.maximum(t - a1, 0) / a2
-    return c1 + c2 * np.where(t < a1, np.exp(-(before**a5)), np.exp(-(after**a3)))
+    with np.errstate(over="ignore"):
+        return c1 + c2 * np.where(t < a1, np.exp(-(before**a5)), np.exp(-(after**a3)))
 
 
 def fit_doubly_logistic(t: np.ndarray, v: np.ndarray, steps: int = 200) -> np.ndarray:
