@@ -78,8 +78,8 @@ def _digest(text: str) -> tuple[int, str]:
 
 
 _ROW = pa.schema([("id", pa.int64()), ("points", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("sha", pa.string())])
-_PIECE = pa.schema([("id", pa.int64()), ("points", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("at", pa.int64()), ("data", pa.binary())])
-_HASHED = pa.schema([*_PIECE][:5] + [("h1", pa.int64()), ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+_PIECE = pa.schema([("id", pa.int64()), ("points", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("whole", pa.binary()), ("at", pa.int64()), ("data", pa.binary())])
+_HASHED = pa.schema([*_PIECE][:6] + [("h1", pa.int64()), ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
 
 def _spark(schema: pa.Schema) -> T.StructType:
@@ -101,17 +101,18 @@ def _piece_rows(batches):
     def rows():
         for key, text in values(batches, "id", "text"):
             n, sha = _digest(text)
+            whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
             for at, data in enumerate(pieces(text)):
-                yield {"id": key, "points": len(text), "n": n, "sha": sha, "at": at, "data": data}
+                yield {"id": key, "points": len(text), "n": n, "sha": sha, "whole": whole, "at": at, "data": data}
 
     return chunked(rows(), _PIECE, 64)
 
 
 def _hash_rows(batches):
     def rows():
-        for key, points, n, sha, at, data in values(batches, "id", "points", "n", "sha", "at", "data"):
+        for key, points, n, sha, whole, at, data in values(batches, "id", "points", "n", "sha", "whole", "at", "data"):
             h1, h2 = chunk_hash(data)
-            yield {"id": key, "points": points, "n": n, "sha": sha, "at": at, "h1": h1, "h2": h2} | {f"s{i + 1}": pow(BASES[i], len(data), PRIMES[i]) for i in (0, 1)}
+            yield {"id": key, "points": points, "n": n, "sha": sha, "whole": whole, "at": at, "h1": h1, "h2": h2} | {f"s{i + 1}": pow(BASES[i], len(data), PRIMES[i]) for i in (0, 1)}
 
     return chunked(rows(), _HASHED)
 
@@ -127,9 +128,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = rows.where(F.length("text") > huge_chars).mapInArrow(_piece_rows, _spark(_PIECE))
     hashed = cut.repartition("id", "at").mapInArrow(_hash_rows, _spark(_HASHED))
     fold = lambda i: F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: (acc * x[f"s{i}"] + x[f"h{i}"]) % F.lit(PRIMES[i - 1]))
+    # rows that are alike have the same chunks, so a chunk's count is the rows'
+    chunks = hashed.groupBy(*hashed.columns).agg(F.count("*").alias("times"))
     huge = (
-        hashed.dropDuplicates(["id", "points", "n", "sha", "at"]).groupBy("id", "points", "n", "sha").agg(F.array_sort(F.collect_list(F.struct("at", "h1", "h2", "s1", "s2"))).alias("parts"))
-        .select("id", "points", fold(1).alias("h1"), fold(2).alias("h2"), "n", "sha")
+        chunks.groupBy("id", "points", "n", "sha", "whole").agg(F.array_sort(F.collect_list(F.struct("at", "h1", "h2", "s1", "s2"))).alias("parts"), F.max("times").alias("times"))
+        .withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("id", "points", fold(1).alias("h1"), fold(2).alias("h2"), "n", "sha")
     )
     return plain.unionByName(huge)
 
@@ -208,7 +211,7 @@ def _collisions(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.join(ids, rows["id"].eqNullSafe(F.col("__id")), "left_semi").mapInArrow(_texts, "id long, text string, h1 long, h2 long, n long")
     texts = stage(texts.join(shared, key), "shared_texts")
-    stays = texts.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy(key).agg(F.max("text").alias("other"))
+    stays = stage(texts.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy(key).agg(F.max("text").alias("other")), "kept_texts")
     told = stage(texts.where(~F.col("id").eqNullSafe(F.col("keep"))).join(stays, key).select(*key, "text", "other").mapInArrow(_differing, _spark(_TOLD)).distinct(), "collisions")
     return None if is_empty(told) else told
 

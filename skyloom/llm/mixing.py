@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyloom.llm.rows import table
+from skyloom.llm.rows import fresh, table
 from skyloom.plans.staging import stage
 
 #: A word of a text.
@@ -86,9 +86,10 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage: the rows of ``docs``, each as often as the mixture takes it."""
-    plan = plan_mixture(docs, **options).groupBy("doc_id").agg(F.max("times").alias("__times")).where("__times > 0").select(F.col("doc_id").alias("__id"), "__times")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*[docs[c] for c in docs.columns])
+    ids, times, time = (fresh(docs, c) for c in ("mix_id", "mix_times", "mix_time"))
+    plan = plan_mixture(docs, **options).groupBy("doc_id").agg(F.max("times").alias(times)).where(F.col(times) > 0).withColumnRenamed("doc_id", ids)
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(ids)))
+    return joined.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

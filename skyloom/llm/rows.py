@@ -14,20 +14,28 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is in the one column of ``ids``; a null id matches a null id.
 
     An id that several rows carry names one document: of its rows the one with the
     greatest text stays (any column may break the tie between equal texts).
     """
-    name = ids.columns[0]
-    kept = docs.join(ids.select(F.col(name).alias("__kept")), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
-    again = docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
+    name = fresh(docs, "kept_id")
+    of = lambda rows: rows.select(F.col(rows.columns[0]).alias(name))
+    here = F.col(id_col).eqNullSafe(F.col(name))
+    kept = docs.join(of(ids), here, "left_semi")
+    again = of(docs.groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1").select(id_col))
     if is_empty(again):
         return kept
-    once = kept.join(again, kept[id_col].eqNullSafe(F.col("__again")), "left_anti")
-    several = kept.join(again, kept[id_col].eqNullSafe(F.col("__again")), "left_semi")
-    best = several.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.struct(F.col("text").isNotNull().alias("has"), F.col("text"), F.struct(*several.columns).alias("row"))).alias("best"))
+    once, several = kept.join(again, here, "left_anti"), kept.join(again, here, "left_semi")
+    best = several.groupBy(F.col(id_col).alias(name)).agg(F.max(F.struct(F.col("text").isNotNull().alias("has"), F.col("text"), F.struct(*several.columns).alias("row"))).alias("best"))
     return once.unionByName(best.select("best.row.*"))
 
 
