@@ -29,7 +29,7 @@ GROUP = 4096
 #: Times that groups with a gap exchange documents.
 ROUNDS = 3
 #: A Python worker remembers the token ids of up to twice so many distinct parts of texts.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class Encoder:
@@ -108,6 +108,14 @@ class Encoder:
             known[x] = known[stem] + known[tail]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The Python worker's own encoder: it lasts from task to task, with what it remembers."""
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """Start and length of each piece: all are full but the first, which has what is left over."""
     first = n % capacity or capacity
@@ -121,7 +129,7 @@ def tokenized_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """``(doc_id, piece, start, length, ids_crc32)``: each row's token ids, then the end id, in pieces."""
 
     def run(batches):
-        encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column("doc_id"), batch.column("text")):
