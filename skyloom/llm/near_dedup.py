@@ -6,12 +6,11 @@ text. Equal sketches make two documents candidates; their word sequences are the
 within the band that the threshold allows. Documents are similar if the edit distance of
 their words is at most a fifth of the longer one's length.
 
-The work follows documents of different words only: copies are one node. A bucket of a
-sketch that holds few documents gives all its pairs. The members of a larger one meet again
-in the buckets of more and more sketches together; who meets nobody there is compared with
-the first document of the last bucket it was in. What is large even in the buckets of most
-sketches gives a star, and who isn't similar to its centre meets the next centre, until none
-is left. No group is ever gathered.
+The work follows documents of different words only: copies are one node. Every two nodes that
+share a sketch are compared, whatever the size of the sketch's bucket. A bucket that holds few
+documents gives all its pairs by a join. A larger one is dealt into blocks; each two of its blocks
+meet in one group, which compares its pairs in the first bucket that they share and nowhere else.
+No bucket is ever gathered, but the comparisons in it grow with the square of its size.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ SIMILARITY = 0.8
 SKETCHES = 64
 #: A bucket up to this size gives all its pairs.
 SMALL = 12
-#: The members of a larger one meet again in the buckets of so many consecutive sketches, until a bucket is small.
-DEEPER = (2, 4, 8, 16)
+#: Documents, and words, of a block of a larger one, on average.
+BLOCK, BLOCK_WORDS = 1024, 1 << 20
 #: Bits of the filter that spares documents without a candidate from being hashed again: 1 MB at any size.
 FILTER_BITS = 1 << 23
 
@@ -120,6 +119,10 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
     most = int((1 - threshold) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    # replacing word by word and adding the rest bounds it from above
+    short = min(len(a), len(b))
+    if np.count_nonzero(a[:short] != b[:short]) + abs(len(a) - len(b)) <= most:
+        return True
     # words that one has and the other lacks bound the distance from below
     both = np.sort(np.concatenate([occurrence_labelled(x.astype(np.uint64)) for x in (a, b)]))
     if max(len(a), len(b)) - int((both[1:] == both[:-1]).sum()) > most:
@@ -157,49 +160,56 @@ def _all_pairs(small: DataFrame) -> DataFrame:
     return left.join(right, "key").where(F.col("a") < F.col("b")).where(_lengths_allow("na", "nb")).select("a", "b")
 
 
-def _next_buckets(large: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The members of large buckets by their next key: those in small buckets, in large ones, and alone."""
-    rows = large.drop("size").withColumnRenamed("key", "above").withColumn("key", F.col(name))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    held = stage(rows.join(sizes, "key", "left"), "buckets")
-    return held.where(F.col("size") <= SMALL).drop("above"), held.where(F.col("size") > SMALL).drop("above"), held.where("size IS NULL").drop("key").withColumnRenamed("above", "key")
-
-
-def _centred(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """The rows but the first of each large bucket, with ``centre``, the bucket's first document, and its length."""
-    centres = large.groupBy("key").agg(F.min("doc").alias("centre"), F.min_by("n", "doc").alias("centre_n"))
-    return rows.join(centres, "key").where("doc <> centre")
-
-
-def _star(rows: DataFrame, large: DataFrame) -> DataFrame:
-    return _centred(rows, large).where(_lengths_allow("n", "centre_n")).select(F.col("centre").alias("a"), F.col("doc").alias("b"))
-
-
-def _joined(i: int) -> F.Column:
-    """The sketches at, at + 1, … of a row as one key: i of them."""
-    return F.xxhash64(F.lit(i), *[F.element_at("keys", (F.col("at") + j) % SKETCHES + 1) for j in range(i)])
-
-
-def _candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs, and the large buckets of most sketches for the rounds that follow."""
+def _compare(left: tuple, right: tuple, at: int, same: bool):
+    """``(a, b)`` of the similar pairs of two blocks, or within one, whose first common sketch is the one at ``at``."""
+    (ids, n, keys, words, bags), (ids2, n2, keys2, words2, bags2) = left, right
+    for i in range(len(ids)):
+        most = np.floor((1 - SIMILARITY) * np.maximum(n2, n[i]) + 1e-9)
+        on = np.flatnonzero(np.abs(n2 - n[i]) <= most)
+        if same:
+            on = on[on > i]
+        on = on[(keys2[on, :at] != keys[i, :at]).all(axis=1)] if at else on
+        # the bags of hashed words differ by no more than the words do, so no similar pair goes here
+        apart = bags2[on] - bags[i]
+        on = on[np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most[on]]
+        for j in on.tolist():
+            if similar(words[i], words2[j]):
+                yield min(ids[i], ids2[j]), max(ids[i], ids2[j])
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """The links of one group of two blocks of a bucket."""
+    part, mine = table.column("part").to_numpy(), table.column("mine").to_numpy()
+    at = int(table.column("at")[0].as_py())
+    words = [w.values.to_numpy() for w in table.column("words")]
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(words), SKETCHES) >> 6
+    bags = np.stack([np.bincount(w & 63, minlength=64) for w in words]).astype(np.int32)
+    ids, n = table.column("doc").to_numpy(), np.array([len(w) for w in words])
+    block = lambda on: (ids[on].tolist(), n[on], keys[on], [words[i] for i in on], bags[on])
+    first, other = int(part[0]) >> 32, int(part[0]) & 0xFFFFFFFF
+    left = block(np.flatnonzero(mine == first))
+    found = list(_compare(left, left if first == other else block(np.flatnonzero(mine == other)), at, first == other))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _large_links(large: DataFrame, nodes: DataFrame, words: DataFrame) -> DataFrame:
+    """``(a, b)`` of the similar documents whose first common sketch has a large bucket."""
+    total = large.groupBy("key").agg(F.count("*").alias("of"), F.sum("n").alias("all_words"))
+    blocks = total.select("key", F.ceil(F.greatest(F.col("of") / BLOCK, F.col("all_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    dealt = large.select("key", "doc").join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    # a block meets itself and each other one: (lesser, greater) in one number
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    met = dealt.withColumn("other", other).withColumn("part", F.shiftleft(F.least("mine", "other"), 32) + F.greatest("mine", "other"))
+    rows = met.join(nodes.select(F.col("id").alias("doc"), "keys").join(words.withColumnRenamed("id", "doc"), "doc"), "doc")
+    at = F.col("key").bitwiseAND(63).alias("at")
+    return rows.select("key", "part", "mine", at, "doc", "keys", "words").groupBy("key", "part").applyInArrow(_block_links, "a long, b long").where("a < b")
+
+
+def _buckets_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, doc, n, size)`` of the small and of the large buckets of all sketches."""
     # a sketch's number replaces the last bits of its hash, so that it needs no column
     at = F.posexplode("keys").alias("at", "key")
-    rows = nodes.select(F.col("id").alias("doc"), F.col("n").cast("int").alias("n"), at).select("doc", "n", (F.shiftleft(F.shiftright("key", 6), 6) + F.col("at")).alias("key"))
-    small, large = _buckets(rows)
-    pairs = _all_pairs(small)
-    if not is_empty(large):
-        keys = nodes.select(F.col("id").alias("doc"), "keys")
-        deeper = large.select("doc", "n", "key", F.col("key").bitwiseAND(63).cast("int").alias("at")).join(keys, "doc")
-        large = deeper.select("doc", "n", "key", *[_joined(i).alias(f"key{i}") for i in DEEPER])
-        for i in DEEPER:
-            small, more, alone = _next_buckets(large, f"key{i}")
-            # who meets nobody deeper is compared with the first of the bucket above
-            pairs = pairs.unionAll(_all_pairs(small)).unionAll(_star(alone, large))
-            large = more
-            if is_empty(large):
-                break
-        pairs = pairs.unionAll(_star(large, large))
-    return pairs.distinct(), large.select("key", "doc", "n")
+    return _buckets(nodes.select(F.col("id").alias("doc"), F.col("n").cast("int").alias("n"), at).select("doc", "n", (F.shiftleft(F.shiftright("key", 6), 6) + F.col("at")).alias("key")))
 
 
 def _filter(ids: DataFrame) -> list[tuple[int, bytes]]:
@@ -253,21 +263,13 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = firsts.where("copies > 1").select("h1", "h2", "n", "node")
     placed = stage(sketched.join(shared, ["h1", "h2", "n"], "left").select("id", F.coalesce("node", "id").alias("node"), "n", "keys"), "placed")
     members, nodes = placed.select("id", "node"), placed.where("id = node").select("id", "n", "keys")
-    pairs, large = _candidate_pairs(nodes)
-    pairs, large = stage(pairs, "pairs"), stage(large, "large")
+    small, large = _buckets_of(nodes)
+    pairs = stage(_all_pairs(small).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(large.select("doc")).distinct()
     words = stage(_word_table(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), "words")
-    links = stage(_verified(pairs, words), "links")
-    # large buckets of most sketches: who isn't similar to the centre meets the next centre, or all others of few
-    while not is_empty(large):
-        tried = _centred(large, large).select("key", "doc", "n", "centre")
-        rest = stage(tried.join(links.select(F.col("a").alias("centre"), F.col("b").alias("doc")), ["centre", "doc"], "left_anti").select("key", "doc", "n"), "rest")
-        if is_empty(rest):
-            break
-        small, large = _buckets(rest)
-        more = _all_pairs(small).unionAll(_star(large, large)).distinct().join(pairs, ["a", "b"], "left_anti")
-        links = stage(links.unionAll(_verified(more, words)), "links")
-        large = large.select("key", "doc", "n")
+    links = _verified(pairs, words)
+    if not is_empty(large):
+        links = links.unionAll(_large_links(large, nodes, words))
     return members, links.distinct()
 
 

@@ -160,6 +160,25 @@ def test_near_dedup_finds_copies_and_leaves_others(spark):
     assert len(got) == len({r[0] for r in rows}) and near_dedup.near_dedup(docs(spark, [])).collect() == []
 
 
+def links_by_brute_force(texts):
+    """The similar pairs that share a sketch, among documents of different words."""
+    words = {i: word_hashes(t) for i, t in texts.items()}
+    keys = {i: near_dedup.order_sketches(w) >> np.uint64(6) for i, w in words.items()}
+    ids = sorted(words)
+    return {(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if (keys[i] == keys[j]).any() and near_dedup.similar(words[i], words[j])}
+
+
+def test_near_pairs_in_a_crowd_with_a_shared_passage(spark, monkeypatch):
+    passage = some(70, 99, 3000)
+    texts = {i: passage + " " + some(50, 700 + i, 3000) for i in range(120)}
+    texts |= {200 + i: edited(texts[i], 0.06, i) for i in range(0, 120, 3)}
+    want = links_by_brute_force(texts)
+    assert {(i, 200 + i) for i in range(0, 120, 3)} <= want
+    monkeypatch.setattr(near_dedup, "BLOCK", 24)  # several blocks a bucket
+    got = near_dedup.near_duplicate_links(docs(spark, [*texts.items()]))[1].collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
 def test_near_dedup_against_all_pairs(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").collect()
     words = {r.doc_id: word_hashes(r.text) for r in d}
