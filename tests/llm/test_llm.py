@@ -169,16 +169,26 @@ def links_by_brute_force(texts):
 
 
 def test_near_pairs_in_a_crowd_with_a_shared_passage(spark, monkeypatch):
-    passage = some(70, 99, 3000)
-    texts = {i: passage + " " + some(50, 700 + i, 3000) for i in range(120)}
-    texts |= {200 + i: edited(texts[i], 0.06, i) for i in range(0, 120, 3)}
+    # pairs share 12 words besides the passage that all share: nearly all their common sketches are the crowd's
+    passage = some(75, 99, 3000)
+    texts = {i: " ".join([passage, some(12, 700 + i // 2, 3000), some(13, 900 + i, 3000)]) for i in range(160)}
     want = links_by_brute_force(texts)
-    assert {(i, 200 + i) for i in range(0, 120, 3)} <= want
-    monkeypatch.setattr(near_dedup, "BLOCK", 24)  # several blocks a bucket
+    assert {(i, i + 1) for i in range(0, 160, 2)} <= want
+    monkeypatch.setattr(near_dedup, "BLOCK", 24, raising=False)  # several blocks a bucket
     got = near_dedup.near_duplicate_links(docs(spark, [*texts.items()]))[1].collect()
     assert sorted((r.a, r.b) for r in got) == sorted(want)
 
 
+def test_links_of_a_large_group_of_variants(spark):
+    base = some(150, 31, 3000)
+    texts = {i: edited(base, 0.07, 40 + i) for i in range(150)}
+    want = {i: 0 for i in texts}
+    for a, b in links_by_brute_force(texts):
+        want[a], want[b] = want[a] + 1, want[b] + 1
+    got = near_dedup.near_dedup(docs(spark, [*texts.items()])).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and {r.class_id for r in got} == {0}
+
+
 def test_near_dedup_against_all_pairs(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").collect()
     words = {r.doc_id: word_hashes(r.text) for r in d}
