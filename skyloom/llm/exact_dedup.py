@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.rows import chunked, keep_ids, table, values
+from skyloom.llm.rows import chunked, keep_rows, numbered, table, values
 from skyloom.plans.staging import is_empty, stage
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -218,7 +218,12 @@ def _collisions(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame,
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, with all their columns."""
-    return keep_ids(docs, exact_dedup(docs, id_col, text_col).where("kept").select("doc_id"), id_col)
+    rows, number = numbered(docs)
+    groups = exact_dedup(rows, number, text_col).select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("__group"))
+    points = F.coalesce(F.length(text_col), F.lit(0))
+    ranked = rows.select(F.col(number).alias("__row"), F.struct((-points).alias("points"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(number).alias("row")).alias("rank"))
+    best = groups.join(ranked, "__row").groupBy("__group").agg(F.min("rank").alias("best")).select("best.row")
+    return keep_rows(rows, best, number)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

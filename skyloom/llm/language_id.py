@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyloom.llm.rows import keep_ids, table
+from skyloom.llm.rows import keep_rows, numbered, table
 
 #: n-grams in a profile and in a document's list.
 TOP = 300
@@ -169,5 +169,6 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, below: float = REJECT_BELOW) -> DataFrame:
     """Pipeline stage: the rows whose language is known, that is not ``und`` and near enough to a profile."""
     model = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
-    known = predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= below)).select("doc_id")
-    return keep_ids(docs, known)
+    rows, number = numbered(docs)
+    known = predict(rows, model, number).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= below)).select("doc_id")
+    return keep_rows(rows, known, number)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.rows import keep_ids, table
+from skyloom.llm.rows import keep_rows, numbered, table
 from skyloom.llm.words import BASE, mix, occurrence_labelled, shingles, word_hashes
 from skyloom.operators.graph import connected_components
 from skyloom.plans.staging import is_empty, stage
@@ -297,7 +297,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that stand for their class of near duplicates."""
-    return keep_ids(docs, near_dedup(docs).where("kept").select("doc_id"))
+    rows, number = numbered(docs)
+    classes = near_dedup(rows, number).select(F.col("doc_id").alias("__row"), "class_id")
+    ranked = rows.select(F.col(number).alias("__row"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(number).alias("row")).alias("rank"))
+    best = classes.join(ranked, "__row").groupBy("class_id").agg(F.min("rank").alias("best")).select("best.row")
+    return keep_rows(rows, best, number)
 
 
 def op1_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.plans.staging import is_empty
+from skyloom.plans.staging import stage
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -21,22 +21,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in the one column of ``ids``; a null id matches a null id.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, staged, each with a number of its own in a further column, and the column's name.
 
-    An id that several rows carry names one document: of its rows the one with the
-    greatest text stays (any column may break the tie between equal texts).
+    Stages decide on rows by it, as an id may be null or on several rows.
     """
-    name = fresh(docs, "kept_id")
-    of = lambda rows: rows.select(F.col(rows.columns[0]).alias(name))
-    here = F.col(id_col).eqNullSafe(F.col(name))
-    kept = docs.join(of(ids), here, "left_semi")
-    again = of(docs.groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1").select(id_col))
-    if is_empty(again):
-        return kept
-    once, several = kept.join(again, here, "left_anti"), kept.join(again, here, "left_semi")
-    best = several.groupBy(F.col(id_col).alias(name)).agg(F.max(F.struct(F.col("text").isNotNull().alias("has"), F.col("text"), F.struct(*several.columns).alias("row"))).alias("best"))
-    return once.unionByName(best.select("best.row.*"))
+    name = fresh(docs, "row_number")
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def keep_rows(rows: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
+    """The ``numbered`` rows whose number is in the one column of ``numbers``, without it."""
+    name = fresh(rows, "kept_number")
+    return rows.join(numbers.select(F.col(numbers.columns[0]).alias(name)), F.col(number) == F.col(name), "left_semi").drop(number)
 
 
 def values(batches: Iterator, *names: str) -> Iterator[tuple]:

@@ -380,3 +380,13 @@ def test_pipeline_stages(spark):
     for _, f in corpus_pipeline.STAGES:
         empty = f(spark, empty, SF) if empty.columns[0] == "doc_id" else empty
     assert empty.count() == 0
+
+
+def test_stages_keep_different_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [*[(None, some(60, i, 2000), "en", "a") for i in range(3)], *[(7, some(60, 10 + i, 2000), "en", "a") for i in range(3)], (8, some(60, 20, 2000), "en", "a")]
+    at = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, f in corpus_pipeline.STAGES[:3]:
+        at = f(spark, at, SF)
+        assert sorted((str(r.doc_id), r.text) for r in at.collect()) == sorted((str(r[0]), r[1]) for r in rows), name
