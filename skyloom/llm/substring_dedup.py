@@ -1,9 +1,13 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashes of lines and of passages.
 
 Every line of a text is a unit. Its normal form, the words of its lower-case text, is hashed to
 128 bits; of all units with one digest in the whole corpus the earliest, by document and place,
-stays, and the others are removed from their documents. What is removed is told as character
-offsets into the original text.
+stays, and the others are removed from their documents.
+
+Every run of PASSAGE words is a unit too, wherever lines break. Marks, the least hashes of
+SEED-word runs, tell which runs can recur: each run of PASSAGE words holds one, and equal runs
+hold the same. Only runs whose mark recurs are hashed, to 128 bits; the earliest stays, and all
+words of later ones go. What is removed is told as character offsets into the original text.
 """
 
 from __future__ import annotations
@@ -11,15 +15,19 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.rows import table
+from skyloom.llm.words import BASE, INVERSE, mix, powers, word_hashes
 from skyloom.plans.staging import stage
 
 #: Shorter lines recur by chance and stay.
 MIN_WORDS = 5
+#: Words of a run that recurs wherever it begins, and of the runs whose least hash is its mark.
+PASSAGE, SEED = 50, 25
 _words = re.compile(r"[^\W_]+")
 
 
@@ -69,6 +77,97 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.select("id", "unit", "start", "end", F.col("first.id").alias("first_id"), F.col("first.unit").alias("first_unit")).distinct()
 
 
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k consecutive words."""
+    n = len(words)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * powers(BASE, n)[:n], out=total[1:])
+    return mix((total[k:] - total[:-k]) * powers(INVERSE, n)[: n - k + 1])
+
+
+def marks(words: np.ndarray) -> np.ndarray:
+    """The mark of every run of PASSAGE words."""
+    if len(words) < PASSAGE:
+        return np.empty(0, np.uint64)
+    seeds, n = _runs(words, SEED), len(words) - PASSAGE + 1
+    least = seeds[:n].copy()
+    for i in range(1, PASSAGE - SEED + 1):
+        np.minimum(least, seeds[i : i + n], out=least)
+    return least
+
+
+def _mark_rows(batches):
+    for batch in batches:
+        for key, text in zip(batch.column("id"), batch.column("text")):
+            least = marks(word_hashes(" ".join(_words.findall(text.as_py()))))
+            if len(least):
+                # one for each stretch of runs with one mark; a longer one than a place can give holds it at several
+                start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+                times = -(-np.diff(np.append(start, len(least))) // (PASSAGE - SEED + 1))
+                found = np.repeat(least[start], times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key.as_py())), pa.array(found.view(np.int64))], names=["id", "mark"])
+
+
+def _run_rows(batches):
+    for batch in batches:
+        for key, text, hot in zip(batch.column("id"), batch.column("text"), batch.column("marks")):
+            places = [(m.start(), m.end()) for m in _words.finditer(text.as_py())]
+            words = word_hashes(" ".join(text.as_py()[a:b] for a, b in places))
+            at = np.flatnonzero(np.isin(marks(words).view(np.int64), hot.values.to_numpy()))
+            if len(at):
+                one, two = _runs(words, PASSAGE)[at], _runs(mix(words ^ np.uint64(BASE)), PASSAGE)[at]
+                where = np.array(places, np.int64)
+                columns = [np.full(len(at), key.as_py()), at, where[at, 0], where[at + PASSAGE - 1, 1], one.view(np.int64), two.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "at", "start", "end", "h1", "h2"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, start, end, first_id)``: the stretches of runs of PASSAGE words that occur earlier.
+
+    A run that overlaps its own first occurrence stays, so that a text of one phrase over and over
+    keeps PASSAGE words of it.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    found = stage(rows.mapInArrow(_mark_rows, "id long, mark long"), "marks")
+    again = found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    hot = found.join(again, "mark").groupBy("id").agg(F.collect_set("mark").alias("marks"))
+    runs = stage(rows.join(hot, "id").mapInArrow(_run_rows, "id long, at long, start long, end long, h1 long, h2 long"), "runs")
+    firsts = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    later = runs.join(firsts, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + PASSAGE))
+    before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    opened = later.select("id", "start", "end", F.col("first.id").alias("first_id")).withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+    part = F.sum("new").over(Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    return opened.withColumn("part", part).groupBy("id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id")).select("id", "start", "end", "first_id")
+
+
+def disjoint(lines: list[tuple], passages: list[tuple]) -> list[tuple]:
+    """The lines' ``(start, end, first)``, and what they leave of the passages', in order."""
+    out, lines = list(lines), sorted(lines)
+    at = 0
+    for start, end, first in sorted(passages):
+        while at < len(lines) and lines[at][1] <= start:
+            at += 1
+        i = at
+        while start < end:
+            stop = min(end, lines[i][0]) if i < len(lines) else end
+            if start < stop:
+                out.append((start, stop, first))
+            if i == len(lines):
+                break
+            start, i = max(start, lines[i][1]), i + 1
+    return sorted(out)
+
+
+def _span_rows(batches):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", pa.int64())]))
+    for batch in batches:
+        told = []
+        for spans in batch.column("spans").to_pylist():
+            split = [[(s["start"], s["end"], s["first_id"]) for s in spans if s["line"] == line] for line in (True, False)]
+            told.append([dict(zip(("start", "end", "first_doc_id"), s)) for s in disjoint(*split)])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(told, kind)], names=["__id", "removed"])
+
+
 def _without(text, spans) -> F.Column:
     """The text with the spans cut out, from the last to the first so that offsets hold."""
     cut = lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"].cast("int")), F.substring(acc, (s["end"] + 1).cast("int"), F.length(acc)))
@@ -80,11 +179,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``removed`` lists ``(start, end, first_doc_id)``: the characters cut from the original text
     and the document that keeps the passage. A null text stays null and an empty one empty; both
-    lose nothing, as does a row with a null id. Repeated lines within one text are removed too,
-    but for the first. Rows that repeat an id get the row's spans alike: the id names one
+    lose nothing, as does a row with a null id. Repeated lines and passages within one text are
+    removed too, but for the first. Rows that repeat an id get the row's spans alike: the id names one
     document. An empty table gives no rows; other columns are ignored.
     """
-    spans = repeated_units(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("first_id").alias("first_doc_id")))).alias("removed"))
+    lines = repeated_units(docs, id_col, text_col, min_words).select("id", "start", "end", "first_id", F.lit(True).alias("line"))
+    both = lines.unionByName(repeated_passages(docs, id_col, text_col).withColumn("line", F.lit(False)))
+    gathered = both.groupBy("id").agg(F.collect_list(F.struct("start", "end", "first_id", "line")).alias("spans"))
+    spans = gathered.mapInArrow(_span_rows, "__id long, removed array<struct<start:bigint,end:bigint,first_doc_id:bigint>>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(spans, F.col("doc_id") == F.col("__id"), "left")
     removed = F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint,first_doc_id:bigint>>"))

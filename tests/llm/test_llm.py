@@ -315,6 +315,17 @@ def test_repeated_lines_go_with_their_offsets(spark):
     assert got[13].text is None and got[14].text == "" and substring_dedup.substring_dedup(docs(spark, [])).collect() == []
 
 
+def test_passages_inside_longer_or_other_lines(spark):
+    passage = some(64, 3, 3000).split()
+    own = [some(30, 80 + i, 3000) for i in range(8)]
+    broken = " ".join(passage[:31]) + "\n" + " ".join(passage[31:])
+    texts = {20: f"{own[0]} {' '.join(passage)} {own[1]}", 21: f"{own[2]}, {' '.join(passage).upper()} - {own[3]}", 22: f"{own[4]} {broken} {own[5]}", 23: f"{own[6]} {' '.join(passage[:40])} {own[7]}", 24: "again and " * 90}
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs(spark, [*texts.items()])).collect()}
+    assert got[20].text == texts[20] and got[23].text == texts[23]
+    assert got[21].text.split() == f"{own[2]}, - {own[3]}".split() and got[22].text.split() == f"{own[4]} {own[5]}".split()
+    assert {s.first_doc_id for k in (21, 22) for s in got[k].removed} == {20} and got[24].text.split() == ["again", "and"] * 25
+
+
 # ---- 7 and 10
 
 
