@@ -6,11 +6,14 @@ text. Equal sketches make two documents candidates; their word sequences are the
 within the band that the threshold allows. Documents are similar if the edit distance of
 their words is at most a fifth of the longer one's length.
 
-The work follows documents of different words only: copies are one node. Every two nodes that
-share a sketch are compared, whatever the size of the sketch's bucket. A bucket that holds few
-documents gives all its pairs by a join. A larger one is dealt into blocks; each two of its blocks
-meet in one group, which compares its pairs in the first bucket that they share and nowhere else.
-No bucket is ever gathered, but the comparisons in it grow with the square of its size.
+The work follows documents of different words only: copies are one node. What is asked for is
+the classes: the components of the graph that joins every two similar documents which share a
+sketch. A bucket that holds few documents gives all its pairs by a join; in a larger one all
+documents are compared with the first. Components of these links settle most large buckets,
+which then hold one class. In the others every two documents of different classes still meet:
+the bucket is dealt into blocks, and each two blocks whose lengths allow it meet in one group.
+So no class depends on a bucket's size. No bucket is ever gathered; the comparisons in one grow
+with the square of the documents that belong to different classes and have about one length.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Sketches of a document. Two documents whose shingles agree to the share J have one alike with probability 1 - (1 - J²)^SKETCHES, about.
 SKETCHES = 64
-#: A bucket up to this size gives all its pairs.
+#: A bucket up to this size gives all its pairs at once.
 SMALL = 12
 #: Documents, and words, of a block of a larger one, on average.
 BLOCK, BLOCK_WORDS = 1024, 1 << 20
@@ -144,12 +147,19 @@ def _sketch_batches(batches):
 
 
 def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(key, doc, n, …)`` of the buckets up to SMALL, and of the larger ones."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    """``(key, doc, n, centre, nc)`` of the buckets up to SMALL, and of the larger ones; the centre is the first document, of nc words."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("centre"), F.min_by("n", "doc").alias("nc")).where("size > 1")
     held = stage(rows.join(sizes, "key"), "buckets")
     return held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
 
 
+def _buckets_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The small and the large buckets of all sketches."""
+    # a sketch's number replaces the last bits of its hash, so that it needs no column
+    at = F.posexplode("keys").alias("at", "key")
+    return _buckets(nodes.select(F.col("id").alias("doc"), F.col("n").cast("int").alias("n"), at).select("doc", "n", (F.shiftleft(F.shiftright("key", 6), 6) + F.col("at")).alias("key")))
+
+
 def _lengths_allow(x: str, y: str) -> F.Column:
     return F.greatest(x, y) - F.least(x, y) <= (1 - SIMILARITY) * F.greatest(x, y) + 1e-9
 
@@ -160,56 +170,73 @@ def _all_pairs(small: DataFrame) -> DataFrame:
     return left.join(right, "key").where(F.col("a") < F.col("b")).where(_lengths_allow("na", "nb")).select("a", "b")
 
 
-def _compare(left: tuple, right: tuple, at: int, same: bool):
-    """``(a, b)`` of the similar pairs of two blocks, or within one, whose first common sketch is the one at ``at``."""
-    (ids, n, keys, words, bags), (ids2, n2, keys2, words2, bags2) = left, right
-    for i in range(len(ids)):
-        most = np.floor((1 - SIMILARITY) * np.maximum(n2, n[i]) + 1e-9)
-        on = np.flatnonzero(np.abs(n2 - n[i]) <= most)
-        if same:
-            on = on[on > i]
-        on = on[(keys2[on, :at] != keys[i, :at]).all(axis=1)] if at else on
+def _class_of(rows: DataFrame, doc: str, classes: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the class of their document: its component, or itself if nothing links to it."""
+    held = classes.select(F.col("node").alias(doc), F.col("component").alias(name))
+    return rows.join(held, doc, "left").withColumn(name, F.coalesce(name, doc))
+
+
+def _unsettled(large: DataFrame, star: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(key, doc, n, cls)`` of the large buckets whose documents aren't all of one class."""
+    apart = _class_of(_class_of(star.select("a", "b"), "a", classes, "ca"), "b", classes, "cb").where("ca <> cb")
+    loose = large.join(apart.select(F.col("a").alias("centre"), F.col("b").alias("doc")), ["centre", "doc"], "left_semi")
+    held = large.select("key", "doc", "n").join(loose.select("key").distinct(), "key", "left_semi")
+    return stage(_class_of(held, "doc", classes, "cls"), "unsettled")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The rows once for each meeting of two blocks of their bucket: ``part`` names it, ``side`` is 0 or 1.
+
+    A bucket of up to BLOCK documents is one block. A larger one has blocks for each band of
+    lengths; a similar document's length lies in the same band or in a neighbouring one.
+    """
+    band = F.floor(F.log(1 / SIMILARITY, F.col("n"))).cast("int")
+    cells = rows.withColumn("band", band).groupBy("key", "band").agg(F.count("*").alias("of"), F.sum("n").alias("words"))
+    cells = cells.withColumn("blocks", F.ceil(F.greatest(F.col("of") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("long"))
+    # so many bands as there are powers of 1.25 below the longest text
+    bands = cells.groupBy("key").agg(F.sum("of").alias("all"), F.sum("words").alias("all_words"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    one = (F.col("all") <= BLOCK) & (F.col("all_words") <= BLOCK_WORDS)
+    dealt = rows.withColumn("band", band).join(bands, "key")
+    count = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0).cast("long"))
+    name = lambda b, h: F.shiftleft(b.cast("long"), 24) + h
+    meet = lambda left, right, side: F.struct((F.shiftleft(left, 32) + right).alias("part"), F.lit(side).cast("int").alias("side"))
+    numbers = lambda b: F.filter(F.sequence(F.lit(-1).cast("long"), count(b) - 1), lambda h: h >= 0)
+    own, mine = F.col("band"), F.pmod(F.xxhash64("doc"), F.greatest(count(F.col("band")), F.lit(1).cast("long")))
+    same = F.transform(numbers(own), lambda h: F.when(mine <= h, meet(name(own, mine), name(own, h), 0)).otherwise(meet(name(own, h), name(own, mine), 1)))
+    above = F.transform(numbers(own + 1), lambda h: meet(name(own, mine), name(own + 1, h), 0))
+    below = F.transform(numbers(own - 1), lambda h: meet(name(own - 1, h), name(own, mine), 1))
+    parts = F.when(one, F.array(meet(F.lit(0).cast("long"), F.lit(0).cast("long"), 0))).otherwise(F.concat(same, above, below))
+    return dealt.select("key", "doc", "cls", F.explode(parts).alias("p")).select("key", "p.part", "p.side", "doc", "cls")
+
+
+def _meetings(table: pa.Table) -> pa.Table:
+    """The pairs of classes that one meeting of two blocks joins."""
+    side, words = table.column("side").to_numpy(), [w.values.to_numpy() for w in table.column("words")]
+    names, cls = np.unique(table.column("cls").to_numpy(), return_inverse=True)
+    n = np.array([len(w) for w in words])
+    bags = np.stack([np.bincount(w & 127, minlength=128) for w in words]).astype(np.int32)
+    alone = int(table.column("part")[0].as_py()) >> 32 == int(table.column("part")[0].as_py()) & 0xFFFFFFFF
+    left = np.flatnonzero(side == 0)
+    right = left if alone else np.flatnonzero(side == 1)
+    found = []
+    for turn, i in enumerate(left.tolist()):
+        on = right[turn + 1 :] if alone else right
+        most = np.floor((1 - SIMILARITY) * np.maximum(n[on], n[i]) + 1e-9)
+        ok = (cls[on] != cls[i]) & (np.abs(n[on] - n[i]) <= most)
+        on, most = on[ok], most[ok]
         # the bags of hashed words differ by no more than the words do, so no similar pair goes here
-        apart = bags2[on] - bags[i]
-        on = on[np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most[on]]
+        on = on[(np.abs(bags[on] - bags[i]).sum(axis=1) + np.abs(n[on] - n[i])) / 2 <= most]
         for j in on.tolist():
-            if similar(words[i], words2[j]):
-                yield min(ids[i], ids2[j]), max(ids[i], ids2[j])
-
-
-def _block_links(table: pa.Table) -> pa.Table:
-    """The links of one group of two blocks of a bucket."""
-    part, mine = table.column("part").to_numpy(), table.column("mine").to_numpy()
-    at = int(table.column("at")[0].as_py())
-    words = [w.values.to_numpy() for w in table.column("words")]
-    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(words), SKETCHES) >> 6
-    bags = np.stack([np.bincount(w & 63, minlength=64) for w in words]).astype(np.int32)
-    ids, n = table.column("doc").to_numpy(), np.array([len(w) for w in words])
-    block = lambda on: (ids[on].tolist(), n[on], keys[on], [words[i] for i in on], bags[on])
-    first, other = int(part[0]) >> 32, int(part[0]) & 0xFFFFFFFF
-    left = block(np.flatnonzero(mine == first))
-    found = list(_compare(left, left if first == other else block(np.flatnonzero(mine == other)), at, first == other))
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-
-def _large_links(large: DataFrame, nodes: DataFrame, words: DataFrame) -> DataFrame:
-    """``(a, b)`` of the similar documents whose first common sketch has a large bucket."""
-    total = large.groupBy("key").agg(F.count("*").alias("of"), F.sum("n").alias("all_words"))
-    blocks = total.select("key", F.ceil(F.greatest(F.col("of") / BLOCK, F.col("all_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    dealt = large.select("key", "doc").join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    # a block meets itself and each other one: (lesser, greater) in one number
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    met = dealt.withColumn("other", other).withColumn("part", F.shiftleft(F.least("mine", "other"), 32) + F.greatest("mine", "other"))
-    rows = met.join(nodes.select(F.col("id").alias("doc"), "keys").join(words.withColumnRenamed("id", "doc"), "doc"), "doc")
-    at = F.col("key").bitwiseAND(63).alias("at")
-    return rows.select("key", "part", "mine", at, "doc", "keys", "words").groupBy("key", "part").applyInArrow(_block_links, "a long, b long").where("a < b")
+            if cls[j] != cls[i] and similar(words[i], words[j]):
+                found.append((names[cls[i]], names[cls[j]]))
+                cls[cls == cls[j]] = cls[i]
+    return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
 
-def _buckets_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(key, doc, n, size)`` of the small and of the large buckets of all sketches."""
-    # a sketch's number replaces the last bits of its hash, so that it needs no column
-    at = F.posexplode("keys").alias("at", "key")
-    return _buckets(nodes.select(F.col("id").alias("doc"), F.col("n").cast("int").alias("n"), at).select("doc", "n", (F.shiftleft(F.shiftright("key", 6), 6) + F.col("at")).alias("key")))
+def _class_links(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``(a, b)``: classes that similar documents of one large bucket join."""
+    met = _blocks(rows).join(words.withColumnRenamed("id", "doc"), "doc")
+    return met.select("key", "part", "side", "cls", "words").groupBy("key", "part").applyInArrow(_meetings, "a long, b long").distinct()
 
 
 def _filter(ids: DataFrame) -> list[tuple[int, bytes]]:
@@ -251,48 +278,43 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(id, node)`` of every document with words, and ``(a, b)`` links between nodes.
-
-    A node is the smallest id among the documents of one word sequence.
-    """
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, class_id)`` of every document with words; a class is named by its smallest id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     sketched = stage(rows.mapInArrow(_sketch_batches, "id long, n long, h1 long, h2 long, keys array<long>").where("n > 0"), "sketches")
     firsts = stage(sketched.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "firsts")
     # only words that several documents share are joined; all others are nodes by themselves
     shared = firsts.where("copies > 1").select("h1", "h2", "n", "node")
     placed = stage(sketched.join(shared, ["h1", "h2", "n"], "left").select("id", F.coalesce("node", "id").alias("node"), "n", "keys"), "placed")
-    members, nodes = placed.select("id", "node"), placed.where("id = node").select("id", "n", "keys")
+    nodes = placed.where("id = node").select("id", "n", "keys")
     small, large = _buckets_of(nodes)
-    pairs = stage(_all_pairs(small).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(large.select("doc")).distinct()
+    star = stage(large.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb")).distinct(), "star")
+    pairs = stage(_all_pairs(small).unionAll(star.where(_lengths_allow("na", "nb")).select("a", "b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(star.select("a")).unionAll(star.select("b")).distinct()
     words = stage(_word_table(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), "words")
-    links = _verified(pairs, words)
-    if not is_empty(large):
-        links = links.unionAll(_large_links(large, nodes, words))
-    return members, links.distinct()
+    classes = stage(connected_components(_verified(pairs, words), "a", "b"), "classes")
+    more = stage(_class_links(_unsettled(large, star, classes), words), "class_links")
+    of_node = _class_of(placed.select("id", "node"), "node", classes, "cls")
+    if not is_empty(more):
+        of_node = _class_of(of_node, "cls", connected_components(more, "a", "b"), "joined").withColumn("cls", F.col("joined"))
+    return of_node.groupBy("id").agg(F.min("cls").alias("class_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, class_id, n_links, kept)``, one row per document.
-
-    ``class_id`` is the smallest id that links reach; ``n_links`` counts the different word
-    sequences linked directly to the document's own; ``kept`` is true for one row of each
-    class. A null text, an empty text, one without any word, and a null id link with nothing:
-    each is a class of its own (a null id has a null class). Documents of the same words are
-    one class. Rows that repeat an id are one document. An empty table gives no rows.
+    """``(doc_id, class_id, kept)``, one row per document.
+
+    ``class_id`` is the smallest id that links between similar documents reach; ``kept`` is true
+    for one row of each class. Links themselves aren't counted: a pair whose documents are
+    of one class already need not be compared. A null text, an empty text, one without any word,
+    and a null id link with nothing: each is a class of its own (a null id has a null class).
+    Documents of the same words are one class. Rows that repeat an id are one document. An empty
+    table gives no rows.
     """
-    members, links = near_duplicate_links(docs, id_col, text_col)
-    links = stage(links, "all_links")
-    component = connected_components(links, "a", "b")
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_node = component.join(degree, "node")
-    found = members.join(of_node, "node", "left").groupBy(F.col("id").alias("__id")).agg(F.min(F.coalesce("component", "node")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    found = near_duplicate_classes(docs, id_col, text_col).withColumnRenamed("id", "__id")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     ids = ids.where("doc_id IS NOT NULL").distinct().unionAll(ids.where("doc_id IS NULL"))
-    joined = ids.join(found, F.col("doc_id") == F.col("__id"), "left")
     own = F.coalesce("class_id", "doc_id")
-    return joined.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return ids.join(found, F.col("doc_id") == F.col("__id"), "left").select("doc_id", own.alias("class_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

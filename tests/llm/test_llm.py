@@ -156,37 +156,45 @@ def test_near_dedup_finds_copies_and_leaves_others(spark):
     got = {r.doc_id: r for r in near_dedup.near_dedup(docs(spark, rows)).collect()}
     assert {got[200 + i].class_id for i in range(40)} == {100} and got[300].class_id == 101 and got[301].class_id == 102
     assert not got[200].kept and got[100].kept and all(got[400 + i].kept for i in range(30))
-    assert all(got[i].kept and got[i].n_links == 0 for i in (1, 2, 3, 4, 5, 6)) and got[None].class_id is None
+    assert all(got[i].kept and got[i].class_id == i for i in (1, 2, 3, 4, 5, 6)) and got[None].class_id is None
     assert len(got) == len({r[0] for r in rows}) and near_dedup.near_dedup(docs(spark, [])).collect() == []
 
 
-def links_by_brute_force(texts):
-    """The similar pairs that share a sketch, among documents of different words."""
+def classes_by_brute_force(texts):
+    """The least document that links reach, where similar documents that share a sketch are linked; and the links."""
     words = {i: word_hashes(t) for i, t in texts.items()}
     keys = {i: near_dedup.order_sketches(w) >> np.uint64(6) for i, w in words.items()}
     ids = sorted(words)
-    return {(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if (keys[i] == keys[j]).any() and near_dedup.similar(words[i], words[j])}
+    links = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if (keys[i] == keys[j]).any() and near_dedup.similar(words[i], words[j])]
+    least, before = {i: i for i in ids}, None
+    while before != least:
+        before = dict(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return least, links
 
 
-def test_near_pairs_in_a_crowd_with_a_shared_passage(spark, monkeypatch):
+@pytest.mark.parametrize("block", [24, 1024])
+def test_near_pairs_in_a_crowd_with_a_shared_passage(spark, monkeypatch, block):
     # pairs share 12 words besides the passage that all share: nearly all their common sketches are the crowd's
     passage = some(75, 99, 3000)
     texts = {i: " ".join([passage, some(12, 700 + i // 2, 3000), some(13, 900 + i, 3000)]) for i in range(160)}
-    want = links_by_brute_force(texts)
-    assert {(i, i + 1) for i in range(0, 160, 2)} <= want
-    monkeypatch.setattr(near_dedup, "BLOCK", 24, raising=False)  # several blocks a bucket
-    got = near_dedup.near_duplicate_links(docs(spark, [*texts.items()]))[1].collect()
-    assert sorted((r.a, r.b) for r in got) == sorted(want)
-
-
-def test_links_of_a_large_group_of_variants(spark):
-    base = some(150, 31, 3000)
-    texts = {i: edited(base, 0.07, 40 + i) for i in range(150)}
-    want = {i: 0 for i in texts}
-    for a, b in links_by_brute_force(texts):
-        want[a], want[b] = want[a] + 1, want[b] + 1
+    # longer ones of other lengths in the same buckets, some alike
+    texts |= {1000 + i: " ".join([passage, some(40 + 5 * (i // 2 % 9), 1700 + i // 2, 3000)]) + f" end{i}" for i in range(90)}
+    want, links = classes_by_brute_force(texts)
+    assert {(i, i + 1) for i in range(0, 160, 2)} <= set(links)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)  # several blocks a bucket, and one
     got = near_dedup.near_dedup(docs(spark, [*texts.items()])).collect()
-    assert {r.doc_id: r.n_links for r in got} == want and {r.class_id for r in got} == {0}
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
+@pytest.mark.parametrize("many", [5, 12, 13, 40, 200])
+def test_groups_of_variants_have_one_class_at_any_size(spark, many):
+    base, apart = some(150, 31, 3000), some(150, 32, 3000)
+    texts = {i: edited(base if i % 2 else apart, 0.07, 40 + i) for i in range(2 * many)}
+    want, _ = classes_by_brute_force(texts)
+    got = near_dedup.near_dedup(docs(spark, [*texts.items()])).collect()
+    assert {r.doc_id: r.class_id for r in got} == want and [r.doc_id for r in got if r.kept] == sorted(set(want.values()))
 
 
 def test_near_dedup_against_all_pairs(spark):
