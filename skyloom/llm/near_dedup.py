@@ -11,8 +11,8 @@ the classes: the components of the graph that joins every two similar documents
 sketch. A bucket that holds few documents gives all its pairs by a join; in a larger one all
 documents are compared with the first. Components of these links settle most large buckets,
 which then hold one class. In the others every two documents of different classes still meet:
-the bucket is dealt into blocks, and each two blocks whose lengths allow it meet in one group.
-So no class depends on a bucket's size. No bucket is ever gathered; the comparisons in one grow
+the bucket is dealt into blocks, and each two blocks whose lengths allow it meet in one group,
+which compares what has no earlier sketch in common. So no class depends on a bucket's size. No bucket is ever gathered; the comparisons in one grow
 with the square of the documents that belong to different classes and have about one length.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.rows import keep_rows, numbered, table
+from skyloom.llm.rows import flagged, keep_rows, numbered, table
 from skyloom.llm.words import BASE, mix, occurrence_labelled, shingles, word_hashes
 from skyloom.operators.graph import connected_components
 from skyloom.plans.staging import is_empty, stage
@@ -37,8 +37,6 @@ SKETCHES = 64
 SMALL = 12
 #: Documents, and words, of a block of a larger one, on average.
 BLOCK, BLOCK_WORDS = 1024, 1 << 20
-#: Bits of the filter that spares documents without a candidate from being hashed again: 1 MB at any size.
-FILTER_BITS = 1 << 23
 
 _multipliers = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(BASE)).astype(np.uint32) | np.uint32(1)
 
@@ -210,7 +208,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _meetings(table: pa.Table) -> pa.Table:
-    """The pairs of classes that one meeting of two blocks joins."""
+    """The pairs of classes that one meeting of two blocks joins: of documents whose first common sketch is the bucket's."""
+    at = int(table.column("key")[0].as_py()) & 63
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, SKETCHES) >> 6
     side, words = table.column("side").to_numpy(), [w.values.to_numpy() for w in table.column("words")]
     names, cls = np.unique(table.column("cls").to_numpy(), return_inverse=True)
     n = np.array([len(w) for w in words])
@@ -226,6 +226,7 @@ def _meetings(table: pa.Table) -> pa.Table:
         on, most = on[ok], most[ok]
         # the bags of hashed words differ by no more than the words do, so no similar pair goes here
         on = on[(np.abs(bags[on] - bags[i]).sum(axis=1) + np.abs(n[on] - n[i])) / 2 <= most]
+        on = on[(keys[on, :at] != keys[i, :at]).all(axis=1)]
         for j in on.tolist():
             if cls[j] != cls[i] and similar(words[i], words[j]):
                 found.append((names[cls[i]], names[cls[j]]))
@@ -233,36 +234,23 @@ def _meetings(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
 
-def _class_links(rows: DataFrame, words: DataFrame) -> DataFrame:
+def _class_links(rows: DataFrame, nodes: DataFrame, words: DataFrame) -> DataFrame:
     """``(a, b)``: classes that similar documents of one large bucket join."""
-    met = _blocks(rows).join(words.withColumnRenamed("id", "doc"), "doc")
-    return met.select("key", "part", "side", "cls", "words").groupBy("key", "part").applyInArrow(_meetings, "a long, b long").distinct()
+    held = flagged(nodes.select(F.col("id").alias("doc"), "keys"), "doc", rows.select("doc").distinct(), "may").where("may").drop("may")
+    met = _blocks(rows).join(held.join(words.withColumnRenamed("id", "doc"), "doc"), "doc")
+    return met.select("key", "part", "side", "cls", "keys", "words").groupBy("key", "part").applyInArrow(_meetings, "a long, b long").distinct()
 
 
-def _filter(ids: DataFrame) -> list[tuple[int, bytes]]:
-    """A bitmap of FILTER_BITS over hashes of the ids: (bucket, its 32768 bits) rows."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
-    got = ids.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    return [(r["bucket"], bytes(r["bits"])) for r in got.collect()]
+def _word_batches(batches):
+    for batch in batches:
+        words = [(word_hashes(x.as_py()) >> np.uint64(33)).astype(np.int32) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.list_(pa.int32()))], names=["id", "words"])
 
 
 def _word_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, words)`` of the wanted documents and few others: the bitmap drops most that aren't wanted."""
-    found = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, bits in _filter(ids):
-        found[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(found.tobytes())
-
-    def run(batches):
-        bits = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            on = np.flatnonzero(bits[bit >> 3] >> (bit & 7) & 1)
-            words = [(word_hashes(batch.column("text")[int(i)].as_py()) >> np.uint64(33)).astype(np.int32) for i in on]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(on)), pa.array(words, pa.list_(pa.int32()))], names=["id", "words"])
-
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    return rows.select("id", bit.alias("bit"), "text").mapInArrow(run, "id long, words array<int>")
+    """``(id, words)`` of the wanted documents; most others aren't hashed again."""
+    found = flagged(rows, "id", ids, "may").where("may").select("id", "text").mapInArrow(_word_batches, "id long, words array<int>")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -285,16 +273,19 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     firsts = stage(sketched.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "firsts")
     # only words that several documents share are joined; all others are nodes by themselves
     shared = firsts.where("copies > 1").select("h1", "h2", "n", "node")
-    placed = stage(sketched.join(shared, ["h1", "h2", "n"], "left").select("id", F.coalesce("node", "id").alias("node"), "n", "keys"), "placed")
-    nodes = placed.where("id = node").select("id", "n", "keys")
+    copies = stage(sketched.select("id", "h1", "h2", "n").join(shared, ["h1", "h2", "n"]).where("id <> node").select("id", "h1", "h2", "node").distinct(), "copies")
+    maybe = flagged(sketched, "id", copies.select("id"), "may")
+    nodes = maybe.where("NOT may").unionAll(maybe.where("may").join(copies, ["id", "h1", "h2"], "left_anti").select(*maybe.columns)).select("id", "n", "keys")
     small, large = _buckets_of(nodes)
     star = stage(large.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb")).distinct(), "star")
     pairs = stage(_all_pairs(small).unionAll(star.where(_lengths_allow("na", "nb")).select("a", "b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(star.select("a")).unionAll(star.select("b")).distinct()
-    words = stage(_word_table(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), "words")
+    ends = pairs.select("a", "b").unionAll(star.select("a", "b"))
+    ids = stage(ends.select(F.col("a").alias("id")).unionAll(ends.select("b")).distinct(), "wanted")
+    words = stage(_word_table(rows, ids), "words")
     classes = stage(connected_components(_verified(pairs, words), "a", "b"), "classes")
-    more = stage(_class_links(_unsettled(large, star, classes), words), "class_links")
-    of_node = _class_of(placed.select("id", "node"), "node", classes, "cls")
+    more = stage(_class_links(_unsettled(large, star, classes), nodes, words), "class_links")
+    of_node = sketched.select("id", "h1", "h2").join(copies, ["id", "h1", "h2"], "left").select("id", F.coalesce("node", "id").alias("node"))
+    of_node = _class_of(of_node, "node", classes, "cls")
     if not is_empty(more):
         of_node = _class_of(of_node, "cls", connected_components(more, "a", "b"), "joined").withColumn("cls", F.col("joined"))
     return of_node.groupBy("id").agg(F.min("cls").alias("class_id"))

@@ -36,6 +36,25 @@ def keep_rows(rows: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
     return rows.join(numbers.select(F.col(numbers.columns[0]).alias(name)), F.col(number) == F.col(name), "left_semi").drop(number)
 
 
+#: Bits of a filter of ids: 1 MB at any size, so it may be broadcast.
+FILTER_BITS = 1 << 23
+
+
+def flagged(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the boolean column ``name``: false if the long ``key`` isn't among ``ids`` (one column) for sure.
+
+    A bitmap of hashes is broadcast. Beyond some 10^7 ids nearly all rows are flagged; an exact join follows in any case.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    number = fresh(rows, "bitmap_number")
+    held = ids.select(bit(ids.columns[0]).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias(number)).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias(f"{number}_bits"))
+    held = stage(held, "bitmap")
+    at = F.bitmap_bit_position(bit(key))
+    byte = F.conv(F.hex(F.substring(F.col(f"{number}_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1
+    return rows.withColumn(number, F.bitmap_bucket_number(bit(key))).join(F.broadcast(held), number, "left").withColumn(name, F.coalesce(on & F.col(key).isNotNull(), F.lit(False))).drop(number, f"{number}_bits")
+
+
 def values(batches: Iterator, *names: str) -> Iterator[tuple]:
     """The Python values of the named columns, row by row, so that long texts don't pile up."""
     for batch in batches:
