@@ -9,8 +9,9 @@ groups, and packed again; the new packing stands if it takes fewer sequences.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,91 +29,55 @@ END_ID = 2
 GROUP = 4096
 #: Times that groups with a gap exchange documents.
 ROUNDS = 3
-#: A Python worker remembers the token ids of up to twice so many distinct parts of texts.
-REMEMBERED = 250_000
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte for which each letter stands in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """A tokenizer's ids as little-endian 32-bit bytes, word by word.
+    """A byte-level BPE tokenizer file's ids of a whole text, as little-endian 32-bit bytes.
 
-    The pre-tokenizer never joins white space to what stands before it, so a text may be
-    cut in front of every blank or line break that follows other than white space; the
-    parts recur, and their ids are remembered. Letters and the punctuation behind them are
-    never joined either, so a new part is put together from its two halves if they are known.
+    If the ids are numbered in the order of the merges, they serve as ranks: the pair of lowest
+    rank is merged first, which the ``tiktoken`` library does at a fifth of the cost. Any other
+    file is read by ``tokenizers`` itself.
     """
 
-    _cut = re.compile(r"(?<=\S)(?=[ \n])")
-    _usual = set(" \n,.")
-    _runs = ("  ", " \n", "\n ", "\n\n")
-    _marks = (",,", ",.", ".,", "..", " ,", " .", "\n,", "\n.", "\0,", "\0.")
-    _halves = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'À-ÿ]+)\Z")
-
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        vocab, merges = told["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
+        plain = told["normalizer"] is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.ranked = None
+        if plain and len(vocab) == 256 + len(merges) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+            import public_tokenizers
+            import tiktoken
+
+            byte = byte_letters()
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(byte[c] for c in token): i for token, i in vocab.items()}, special_tokens={})
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the generation before: what is used again moves on, the rest goes
-
-    def parts(self, text: str) -> list[str]:
-        """Keys of the parts: one that begins with NUL stands for what follows it, one with a line break for itself, any other for a blank and itself."""
-        odd = set(text) - self._usual
-        if any(map(str.isspace, odd)) or "\0" in odd or not text.strip() or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, self._runs)):
-            return ["\0" + x for x in self._cut.split(text)]
-        # each white space is one blank or line break between words
-        text = "\0" + text
-        if all(map(str.isalnum, odd)) and not any(map(text.__contains__, self._marks)):
-            # commas and full stops follow letters or digits only: part them from their words
-            for mark in ", ", ". ", ",\n", ".\n":
-                text = text.replace(mark, " \0" + mark)
-            if text[-1] in ",.":
-                text = text[:-1] + " \0" + text[-1]
-        return text.replace("\n", " \n").split(" ")
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     def __call__(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        parts = self.parts(text)
-        ids = list(map(self.known.get, parts))
-        if None in ids:
-            new = [i for i, x in enumerate(ids) if x is None]
-            self._learn({parts[i] for i in new})
-            for i in new:
-                ids[i] = self.known[parts[i]]
-        return b"".join(ids)
-
-    def _learn(self, new: set[str]) -> None:
-        known, old = self.known, self.old
-        halves, todo = [], set()
-        for x in new:
-            if x in old:
-                known[x] = old[x]
-            elif m := self._halves.match(x):
-                stem, tail = m[1], "\0" + m[2]
-                halves.append((x, stem, tail))
-                for y in (stem, tail):
-                    if y not in known and y not in new:
-                        if y in old:
-                            known[y] = old[y]
-                        else:
-                            todo.add(y)
-            else:
-                todo.add(x)
-        if todo:
-            keys = list(todo)
-            texts = [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in keys]
-            for x, e in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        for x, stem, tail in halves:
-            known[x] = known[stem] + known[tail]
+        ids = self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The Python worker's own encoder: it lasts from task to task, with what it remembers."""
+    """The Python worker's own encoder: it lasts from task to task."""
     return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
@@ -189,12 +154,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, bins long, bound long"
+_PACKED = "number long, doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, bins long, bound long"
 
 
 def _pack_group(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "number"], ascending=[False, True])
         sizes = pdf["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(sizes, capacity)
         return pdf.assign(bin=bins, offset=offsets, bins=int(bins.max()) + 1, bound=lower_bound(sizes, capacity))
@@ -203,8 +168,8 @@ def _pack_group(capacity: int):
 
 
 def _pack_round(items: DataFrame, groups: int, seed: int, capacity: int) -> DataFrame:
-    """Deal the pieces over so many groups by a seeded hash and pack each group."""
-    dealt = items.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece"), F.lit(groups)).alias("grp"))
+    """Deal the pieces over so many groups by a seeded hash of their numbers and pack each group."""
+    dealt = items.select("number", "doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(groups)).alias("grp"))
     return dealt.groupBy("grp").applyInPandas(_pack_group(capacity), _PACKED)
 
 
@@ -212,9 +177,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     """Pieces with ``sequence_id`` and ``offset``; every sequence holds at most ``capacity`` tokens.
 
     A group is about ``group`` pieces of the whole table and at most 2^rounds as many later,
-    whatever the size of the table. Rows that repeat a document are pieces of their own. An
-    empty table gives no rows.
+    whatever the size of the table. Pieces are staged with a number of their own and dealt by it,
+    so that rows of one id, or of none, are spread; they are pieces of their own. An empty table
+    gives no rows.
     """
+    pieces = stage(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
     items = pieces.where(F.col("length") < capacity)
     groups = items.count() // group + 1
@@ -256,7 +223,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise, cut and pack all rows of ``docs``; a null text is empty and so just the end id."""
-    return pack(stage(tokenized_pieces(docs, path or tokenizer_path(), capacity=capacity), "pieces"), capacity)
+    return pack(tokenized_pieces(docs, path or tokenizer_path(), capacity=capacity), capacity)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
