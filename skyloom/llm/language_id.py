@@ -22,6 +22,8 @@ from skyloom.llm.rows import keep_rows, numbered, table
 TOP = 300
 #: Letters of a text counted at a time; texts of any length are counted whole.
 BLOCK = 1 << 18
+#: No letter has these bits at the third place: they tell pairs and triples from each other and from single letters.
+PAIR, TRIPLE = 1 << 62, 1 << 61
 UNKNOWN = "und"
 #: The pipeline rejects documents of a lower score.
 REJECT_BELOW = 0.1
@@ -30,32 +32,35 @@ _letters: list[np.ndarray] = []
 
 
 def _codes(text: str) -> np.ndarray:
-    """Code points of the lower-case text, with 0 for each run of anything but letters, and at both ends."""
+    """The code points of the text, with 0 for all but letters."""
     if not _letters:
         _letters.append(np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)]))
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(_letters[0][points], points, 0).astype(np.int64)
-    points = np.concatenate([[0], points, [0]])
-    return points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letters[0][points], points, 0).astype(np.int64)
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the whole text as integers in ascending order, and how often each occurs.
 
     An n-gram of up to three code points is packed 21 bits each; 0 marks a word's edge, and
-    no n-gram spans two words or is an edge alone.
+    no n-gram spans two words or is an edge alone. A block begins with the last two codes of
+    the one before, so that the counts don't depend on where blocks are cut.
     """
-    keys, counts = [], []
+    keys, counts, text = [], [], text.lower()
+    before = np.zeros(1, np.int64)
     for at in range(0, max(1, len(text)), BLOCK):
-        c = _codes(text[at : at + BLOCK])
-        grams = [c[1:-1][c[1:-1] > 0]]
-        pairs = c[:-1] | c[1:] << 21
-        grams.append(pairs[(c[:-1] > 0) | (c[1:] > 0)])
-        if len(c) > 2:
-            grams.append((c[:-2] | c[1:-1] << 21 | c[2:] << 42)[c[1:-1] > 0])
-        k, n = np.unique(np.concatenate(grams), return_counts=True)
-        keys.append(k)
+        c = np.concatenate([before, _codes(text[at : at + BLOCK]), [0] if at + BLOCK >= len(text) else []]).astype(np.int64)
+        c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]  # one edge for each run of other characters
+        k = len(before)
+        new, last = c[k:], c[k - 1 : -1]
+        grams = [new[new > 0], (last | new << 21 | PAIR)[(last > 0) | (new > 0)]]
+        k = max(k, 2)
+        if len(c) > k:
+            grams.append((c[k - 2 : -2] | c[k - 1 : -1] << 21 | c[k:] << 42 | TRIPLE)[c[k - 1 : -1] > 0])
+        keys_, n = np.unique(np.concatenate(grams), return_counts=True)
+        keys.append(keys_)
         counts.append(n)
+        before = c[-2:]
     if len(keys) == 1:
         return keys[0], counts[0]
     k, at = np.unique(np.concatenate(keys), return_inverse=True)
