@@ -29,6 +29,11 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw_of(id_col: str, text_col: str, seed: str = SEED) -> F.Column:
+    """The MD5 of seed and id, in hexadecimal digits; of seed and text where the id is null."""
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), F.concat(F.lit(f"{seed}::"), F.coalesce(text_col, F.lit("")))))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """``(source, source_size, target)`` from ``(source, source_size)``.
 
@@ -49,19 +54,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """``(doc_id, size, source, source_size, target, times)``: how often the mix repeats each row.
+    """``(doc_id, size, source, source_size, target, draw, times)``: how often the mix repeats each row.
 
     Each row of a source is taken as many whole times as the target holds the source's size,
     and once more if it is drawn: rows are drawn in the order of the MD5 of seed and id until
     they hold the rest of the target; the row that crosses it is drawn if at least half of it
-    still fits. Rows that repeat an id have one draw, so they are taken alike; the id, the text
-    and the source may be null. An empty table gives no rows.
+    still fits. Rows that repeat an id have one draw, so those of a source are taken alike; rows
+    without an id are drawn by their text. The source may be null too. An empty table gives no rows.
 
     The order is cut into slices by the draw's first digits. One sum for each slice tells which
     slices lie wholly before the crossing, and only the slice at the crossing is ordered by a
-    window, so a source with a third of all rows is never in one task.
+    window over its draws, so neither a source nor an id with a third of all rows is in one task.
     """
-    draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    draw = draw_of(id_col, text_col, seed)
     rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), draw.alias("draw"))
     rows = stage(rows.withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)), "sizes")
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -73,22 +78,24 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = slices.withColumn("before", before).alias("s").join(targets.alias("t"), same("s", "t")).select(F.struct("s.source").alias("key"), "slice", "slice_size", "before", "source_size", "target", "whole", "rest")
     placed = stage(placed, "slices")
     joined = rows.withColumn("key", F.struct("source")).join(placed, ["key", "slice"])
-    out = ["doc_id", "size", "source", "source_size", "target"]
+    out = ["doc_id", "size", "source", "source_size", "target", "draw"]
     crossing = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("slice_size") > F.col("rest"))
     clear = joined.where(~crossing).select(*out, (F.col("whole") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)).cast("long").alias("times"))
-    # equal draws (rows that repeat an id) stand at one place of the order
-    upto = F.sum("size").over(Window.partitionBy("key", "slice").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0))
-    held = F.sum("size").over(Window.partitionBy("key", "slice", "draw"))
-    at = joined.where(crossing).withColumn("start", F.col("before") + upto - held).withColumn("held", held)
-    drawn = F.col("start") + F.col("held") / 2 <= F.col("rest")
-    return clear.unionByName(at.select(*out, (F.col("whole") + F.when(drawn, 1).otherwise(0)).cast("long").alias("times")))
+    # rows of one draw stand at one place of the order
+    at = joined.where(crossing)
+    draws = at.groupBy("key", "slice", "draw", "before", "rest").agg(F.sum("size").alias("held"))
+    start = F.col("before") + F.coalesce(F.sum("held").over(Window.partitionBy("key", "slice").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = draws.withColumn("start", start).where(F.col("start") + F.col("held") / 2 <= F.col("rest")).select("key", "draw", F.lit(1).alias("drawn"))
+    some = at.join(drawn, ["key", "draw"], "left")
+    return clear.unionByName(some.select(*out, (F.col("whole") + F.coalesce("drawn", F.lit(0))).cast("long").alias("times")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage: the rows of ``docs``, each as often as the mixture takes it."""
-    ids, times, time = (fresh(docs, c) for c in ("mix_id", "mix_times", "mix_time"))
-    plan = plan_mixture(docs, **options).groupBy("doc_id").agg(F.max("times").alias(times)).where(F.col(times) > 0).withColumnRenamed("doc_id", ids)
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(ids)))
+    draw, of, times, time, source = (fresh(docs, c) for c in ("mix_draw", "mix_draw_of", "mix_times", "mix_time", "mix_source"))
+    plan = plan_mixture(docs, **options).groupBy(F.col("draw").alias(of), F.col("source").alias(source)).agg(F.max("times").alias(times)).where(F.col(times) > 0)
+    names = [options.get(c, d) for c, d in (("id_col", "doc_id"), ("text_col", "text"), ("seed", SEED))]
+    joined = docs.withColumn(draw, draw_of(*names)).join(plan, (F.col(draw) == F.col(of)) & F.col(options.get("source_col", "source")).eqNullSafe(F.col(source)))
     return joined.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 
@@ -100,7 +107,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents
+         md5(coalesce('mix-1:' || doc_id::VARCHAR, 'mix-1::' || coalesce(text, ''))) AS draw FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
