@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.rows import chunked, keep_rows, numbered, table, values
+from skyloom.llm.rows import chunked, flagged, keep_rows, numbered, table, values
 from skyloom.plans.staging import is_empty, stage
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -183,7 +183,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id (nulls last) stays. Rows that repeat id and text count towards the group's size,
     and one of them is kept. An empty table gives no rows; other columns are ignored.
 
-    Only fingerprints are shuffled for all rows; texts only of rows that share one. A group of any
+    Fingerprints are shuffled for all rows; texts only of rows that share one, and of the few others
+    that a filter of 1 MB lets pass (of all once some 10^7 rows share one). A group of any
     size is a partial aggregate and an equi join whose hot keys adaptive execution splits.
     """
     prints = stage(fingerprints(docs, id_col, text_col, huge_chars), "fingerprints")
@@ -209,6 +210,7 @@ def _collisions(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame,
     shared = groups.where("group_size > 1").select(*key, F.col("best.id").alias("keep"))
     ids = prints.join(shared, key).select(F.col("id").alias("__id")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = flagged(rows, "id", ids, "may").where("may OR id IS NULL").drop("may")
     texts = rows.join(ids, rows["id"].eqNullSafe(F.col("__id")), "left_semi").mapInArrow(_texts, "id long, text string, h1 long, h2 long, n long")
     texts = stage(texts.join(shared, key), "shared_texts")
     stays = stage(texts.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy(key).agg(F.max("text").alias("other")), "kept_texts")
