@@ -101,16 +101,22 @@ def _hash_batches(batches):
 
 def _cosines(batches):
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ok = [_cosine(a.values.to_numpy(), b.values.to_numpy()) >= COSINE for a, b in zip(batch.column("va"), batch.column("vb"))]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """In double precision, scaled so that no square overflows or vanishes."""
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
-    return float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
+        if batch.num_rows:
+            # the two vectors of a pair are of one length; each batch has a stretch for each length
+            size = np.diff(batch.column("va").offsets.to_numpy())
+            ok = np.zeros(batch.num_rows, bool)
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                a, b = (batch.column(c).take(pa.array(at)).flatten().to_numpy().reshape(len(at), d) for c in ("va", "vb"))
+                ok[at] = cosines(a, b) >= COSINE
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of either, in double precision, scaled so that no square overflows or vanishes."""
+    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+    dot = lambda x, y: (x * y).sum(axis=1)
+    return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
 
 
 def vector_links(docs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:

@@ -112,6 +112,23 @@ def test_ngrams_of_blocks_add_up():
     assert dict(zip(k.tolist(), n.tolist()))[ord("a")] == 50 and n.sum() == 50 * (6 + 8 + 6)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
+def test_ngram_counts_are_alike_wherever_blocks_are_cut(monkeypatch, block):
+    r = random.Random(block)
+    for _ in range(40):
+        text = "".join(r.choice("aÉz ñ. \n日-") for _ in range(r.randint(0, 90)))
+        want = dict(zip(*(x.tolist() for x in language_id.ngram_counts(text))))
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert dict(zip(*(x.tolist() for x in language_id.ngram_counts(text)))) == want, text
+        monkeypatch.undo()
+
+
+def test_a_word_across_blocks():
+    text = "x" * (language_id.BLOCK - 3) + " words" + " and" * 20
+    got = dict(zip(*(x.tolist() for x in language_id.ngram_counts(text))))
+    assert got[ord("d")] == 21 and got[ord("o") | ord("r") << 21 | ord("d") << 42 | language_id.TRIPLE] == 1 and got[ord("d") | ord("s") << 21 | language_id.PAIR] == 1
+
+
 # ---- 1 near dedup
 
 
@@ -233,6 +250,16 @@ def test_water_filling_and_draws(spark):
     assert mixing.plan_mixture(docs(spark, [])).collect() == [] and mixing.mix(docs(spark, rows)).columns == DOCS.fieldNames()
 
 
+def test_rows_without_an_id_are_drawn_apart(spark):
+    rows = docs(spark, [(None, f"w{i} " * 3, None, "a") for i in range(400)] + [(1, "w " * 3, None, "b"), (1, "v " * 3, None, "a")])
+    got = mixing.plan_mixture(rows, weights=(1,), share=1.5).collect()
+    taken, all_ = sum(r.size * r.times for r in got if r.source == "a"), sum(r.size for r in got if r.source == "a")
+    assert abs(taken - 1.5 * all_) < 20 and {r.times for r in got if r.source == "a"} == {1, 2}
+    assert mixing.mix(rows, weights=(1,)).count() == sum(r.times for r in got)
+    sizes = mixing.source_targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10)], "source string, source_size long")).collect()
+    assert {r.source: r.target for r in sizes} == {"a": 20.0, "b": 1490.0, "c": 20.0}  # worked by hand: a and c are clamped, b takes the rest
+
+
 # ---- 4 packing
 
 
@@ -244,6 +271,30 @@ def test_encoder_equals_the_whole_text():
         assert e(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_encoder_equals_the_tokenizer_on_whole_documents(spark):
+    e = packing.Encoder(packing.tokenizer_path())
+    assert e.ranked is not None
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
+        assert e(r.text) == np.array(e.tokenizer.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(e("a" * 300_000)) % 4 == 0
+
+
+def test_pieces_of_one_id_are_spread_over_groups(spark, monkeypatch):
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 900 + 1).alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    sizes, whole = [], packing._pack_round
+
+    def counted(items, groups, *options):
+        out = whole(items, groups, *options)
+        sizes.append([r["count"] for r in out.groupBy("grp").count().collect()])
+        return out
+
+    monkeypatch.setattr(packing, "_pack_round", counted)
+    got = packing.pack(rows, rounds=1)
+    assert got.count() == 50_000 and max(sizes[0]) < 1.2 * packing.GROUP and len(sizes[0]) == 50_000 // packing.GROUP + 1
+    loads = got.groupBy("sequence_id").agg(F.sum("length").alias("load")).agg(F.max("load")).first()[0]
+    assert loads <= 1024
+
+
 def test_bounds_and_best_fit():
     r = np.random.default_rng(5)
     for _ in range(30):
