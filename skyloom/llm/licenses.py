@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.rows import table
+from skyloom.plans.staging import stage
 
 # License texts and notices as published by their authors.
 TEXTS = {
@@ -24,6 +25,11 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
@@ -34,6 +40,23 @@ Permission is granted to anyone to use this software for any purpose, including
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
+# SHA-256 of the canonical forms of whole license texts as their authors publish them.
+DIGESTS = {
+    "Apache-2.0": ["0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"],
+    "Artistic-1.0-Perl": ["f7fec2048e2502b8b653a12ac095bcb0601f72bbd1d535b2e8adf8e097d2f915"],
+    "BSD-3-Clause": ["21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"],
+    "CC0-1.0": ["de4b88a2c819a4661af54f735069ed878216da8b4992b919b84afa18cfc0e54c"],
+    "GFDL-1.2-only": ["19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"],
+    "GFDL-1.3-only": ["e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"],
+    "GPL-1.0-only": ["9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"],
+    "GPL-2.0-only": ["b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"],
+    "GPL-3.0-only": ["59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"],
+    "LGPL-2.0-only": ["96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"],
+    "LGPL-2.1-only": ["22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"],
+    "LGPL-3.0-only": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"],
+    "MPL-2.0": ["95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"],
+}
 # One-line notices.
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
@@ -76,10 +99,11 @@ def digest(text) -> F.Column:
 
 
 def known_licenses(spark: SparkSession, extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """``(license, digest)`` of the known texts and notices, and of ``extra`` ones."""
+    """``(license, digest)`` of the known texts, digests and notices, and of ``extra`` texts."""
     rows = [(k, v) for k, v in TEXTS.items()] + [(k, v) for part in (NOTICES, extra or {}) for k, vs in part.items() for v in vs]
-    texts = spark.createDataFrame(rows, "license string, text string")
-    return texts.select("license", digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    texts = spark.createDataFrame(rows, "license string, text string").select("license", digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest"))
+    listed = spark.createDataFrame([(k, d) for k, ds in DIGESTS.items() for d in ds], "license string, digest string")
+    return texts.unionByName(listed).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, list[str]] | None = None) -> DataFrame:
@@ -88,16 +112,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``license`` names the known text that the entire text canonically is, else null;
     ``line_licenses`` lists, in order and without repeats, those that single lines are. A null
     or empty text, or one of copyright lines only, has the digest of no words and no
-    license. Null ids and repeated rows are scanned like others. The known digests are so many
-    as this module lists, so they are broadcast.
+    license. Null ids and repeated rows are scanned like others. An empty table gives no rows.
+
+    Both are hash joins with the known digests, so many as this module lists, which are
+    broadcast. Lines that match are gathered for each text digest, so that copies of a text,
+    however many, are one row there.
     """
-    known = known_licenses(docs.sparkSession, extra)
+    known = F.broadcast(known_licenses(docs.sparkSession, extra))
     lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
-    table_ = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known"))
-    told = lines.select("doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.transform("lines", digest).alias("digests"))
-    whole = told.join(F.broadcast(known), "digest", "left")
-    named = F.transform("digests", lambda x: F.element_at("known", x))
-    return whole.join(F.broadcast(table_), F.lit(True)).select("doc_id", "digest", "license", F.array_distinct(F.filter(named, lambda x: x.isNotNull())).alias("line_licenses"))
+    told = stage(lines.select("doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.transform("lines", digest).alias("lines")), "license_digests")
+    whole = told.select("doc_id", "digest").join(known, "digest", "left")
+    named = told.select(F.col("digest").alias("whole"), F.posexplode("lines").alias("at", "digest")).join(known, "digest").groupBy("whole", "license").agg(F.min("at").alias("at"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "license"))), lambda x: x["license"])
+    of_text = named.groupBy(F.col("whole").alias("digest")).agg(in_order.alias("line_licenses"))
+    return whole.join(of_text, "digest", "left").select("doc_id", "digest", "license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -110,6 +138,7 @@ def _oracle_sql() -> str:
     folded = r"""regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b|©|\(c\)|all rights reserved)[^\n]*$', '', 'g'), '[^\p{L}\p{N}\n]+', ' ', 'g')"""
     for other, one in SPELLINGS:
         folded = f"regexp_replace({folded}, '\\b{other}(s?)\\b', '{one}\\1', 'g')"
+    listed = ", ".join(f"({quote(k)}, {quote(d)})" for k, ds in DIGESTS.items() for d in ds)
     return f"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, NULL AS license, text FROM documents
@@ -119,7 +148,7 @@ WITH t AS (
 ), d AS (
   SELECT rid, doc_id, license, lines, sha256(coalesce(array_to_string(lines, ' '), '')) AS digest FROM f
 ), known AS (
-  SELECT digest, min(license) AS license FROM d WHERE license IS NOT NULL GROUP BY digest
+  SELECT digest, min(license) AS license FROM (SELECT digest, license FROM d WHERE license IS NOT NULL UNION ALL SELECT digest, license FROM (VALUES {listed}) AS k(license, digest)) GROUP BY digest
 ), u AS (
   SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d WHERE license IS NULL
 ), n AS (

@@ -58,8 +58,8 @@ def line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     drop = stage(boilerplate(rows.where("host <> ''").select("host", "digests"), ratio, min_pages), "boilerplate")
     joined = rows.join(drop, "host", "left")
     unwanted = F.coalesce("drop", F.array().cast("array<string>"))
-    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("unwanted"), F.md5(x.cast("binary"))))
-    joined = joined.select("page_id", "host", "lines", unwanted.alias("unwanted")).withColumn("kept", kept)
+    kept = F.transform(F.filter(F.arrays_zip("lines", "digests"), lambda x: ~F.array_contains(F.col("unwanted"), x["digests"])), lambda x: x["lines"])
+    joined = joined.select("page_id", "host", "lines", "digests", unwanted.alias("unwanted")).withColumn("kept", kept)
     return joined.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.rows import table
 from skyloom.llm.words import mix, word_hashes
+from skyloom.plans.staging import stage
 
 #: Hashed features.
 WIDTH = 1 << 16
@@ -71,13 +72,11 @@ def tail(scores: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return _logistic(scores[:, None] - thresholds[None, :])
 
 
-def informative(rows: list[np.ndarray], grade: np.ndarray, top: int = GRADES, width: int = WIDTH) -> np.ndarray:
-    """Which features tell two adjacent grades, or all grades up to one from all above, apart."""
-    count = np.stack([np.bincount(np.concatenate([np.empty(0, np.int64), *(r for r, k in zip(rows, grade) if k == g)]), minlength=width) for g in range(top)])
-    size = np.bincount(grade, minlength=top)
-    keep = np.zeros(width, bool)
-    for g in range(1, top):
-        for a, b in ((slice(0, g), slice(g, top)), (slice(g - 1, g), slice(g, g + 1))):
+def informative(count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which features tell two adjacent grades, or all grades up to one from all above, apart; from counts by grade and feature, and rows by grade."""
+    keep = np.zeros(count.shape[1], bool)
+    for g in range(1, len(count)):
+        for a, b in ((slice(0, g), slice(g, len(count))), (slice(g - 1, g), slice(g, g + 1))):
             na, nb = size[a].sum(), size[b].sum()
             if na and nb:
                 ca, cb = count[a].sum(axis=0), count[b].sum(axis=0)
@@ -92,7 +91,8 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, top: int = GRADES, width: int
     A row has a feature or hasn't. Features without evidence keep the weight 0. Thresholds are
     a first one and positive gaps, so they stay in order.
     """
-    keep = informative(rows, grade, top, width)
+    count = np.stack([np.bincount(np.concatenate([np.empty(0, np.int64), *(r for r, k in zip(rows, grade) if k == g)]), minlength=width) for g in range(top)])
+    keep = informative(count, np.bincount(grade, minlength=top))
     rows = [r[keep[r]] for r in rows]
     at, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     case = 1 / len(rows)
@@ -116,7 +116,11 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, top: int = GRADES, width: int
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    """Fit on at most ``sample`` labelled documents; None if no document is labelled."""
+    """Fit on at most ``sample`` labelled documents; None if no document is labelled.
+
+    What comes to the driver is bounded: counts by grade and feature, and of each sampled
+    document the features with evidence, whatever its length.
+    """
     chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
 
@@ -124,9 +128,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([features(x.as_py()).astype(np.int32) for x in batch.column("text")], pa.list_(pa.int32()))], names=["grade", "at"])
 
-    got = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, at array<int>").toArrow()
-    if not got.num_rows:
+    rows = stage(texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, at array<int>"), "features")
+    size, count = np.zeros(GRADES, np.int64), np.zeros((GRADES, WIDTH), np.int64)
+    for grade, n in rows.groupBy("grade").count().collect():
+        size[grade] = n
+    if not size.sum():
         return None
+    counted = rows.select("grade", F.explode("at").alias("feature")).groupBy("grade", "feature").agg(F.count("*").alias("n")).toArrow()
+    np.add.at(count, (counted.column("grade").to_numpy(), counted.column("feature").to_numpy()), counted.column("n").to_numpy())
+    keep = informative(count, size)
+
+    def kept(batches):
+        for batch in batches:
+            found = [(at := x.values.to_numpy())[keep[at]] for x in batch.column("at")]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["grade", "at"])
+
+    got = rows.mapInArrow(kept, "grade int, at array<int>").toArrow()
     return fit([x.values.to_numpy() for x in got.column("at")], got.column("grade").to_numpy())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -79,6 +80,15 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert got == {1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False), 4: (4, 1, True)}
 
 
+def test_a_real_collision_is_told_apart_end_to_end(spark):
+    a, b = "ONONQOPRQPPOPNNOQN", "RSRRPRPOOPQRPSRRPR"  # found by lattice reduction: equal modulo both primes
+    assert exact_dedup.fingerprint(a)[:3] == exact_dedup.fingerprint(b)[:3]
+    rows = docs(spark, [(1, a), (2, b), (3, f" {a}"), (4, b), (None, a), (6, "another")])
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows).collect()}
+    assert got == {1: (3, 3, False), 2: (2, 2, True), 3: (3, 3, True), 4: (2, 2, False), None: (3, 3, False), 6: (6, 1, True)}
+    assert sorted(r.doc_id for r in exact_dedup.keep_distinct(rows).collect()) == [2, 3, 6]
+
+
 def test_keep_distinct_keeps_columns(spark):
     kept = exact_dedup.keep_distinct(docs(spark, [*ODD, (7, "twice")]))
     assert kept.columns == DOCS.fieldNames()
@@ -404,6 +414,39 @@ def test_license_texts_and_spellings(spark):
     assert got[4].license is None and got[4].digest == got[5].digest == got[7].digest
 
 
+PUBLISHED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(PUBLISHED), reason="no license texts on this machine")
+@pytest.mark.parametrize("file,name", [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0-only"), ("GPL-2", "GPL-2.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")])
+def test_published_license_texts_respelled(spark, file, name):
+    with open(f"{PUBLISHED}/{file}", encoding="utf-8") as f:
+        text = f.read()
+    whole = text.replace(" license ", " licence ").replace(",", " ;").upper()
+    rows = [(1, whole), (2, text + "\nand a line more"), (3, text[: len(text) // 2]), (None, text), (4, "x " * 500_000 + "\n# SPDX-License-Identifier: MPL-2.0")]
+    got = licenses.license_scan(docs(spark, rows)).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and by[1].license == by[None].license == name and by[2].license is None and by[3].license is None
+    assert ["MPL-2.0"] in [r.line_licenses for r in got if r.doc_id == 4]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEXTS))
+def test_each_license_text_respelled(spark, name):
+    text = licenses.TEXTS[name]
+    wrapped = "   ".join(text.upper().replace(".", " . ").split(" "))
+    got = licenses.license_scan(docs(spark, [(1, "© 2001 A\nAll rights reserved.\n" + wrapped), (1, text), (2, text + " or not")])).collect()
+    assert sorted(str(r.license) for r in got) == sorted([name, name, "None"])
+
+
+def test_scans_of_empty_tables_and_long_repeated_rows(spark):
+    assert licenses.license_scan(docs(spark, [])).collect() == []
+    assert line_dedup.line_dedup(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    page = "<p>Same line</p>" + "<p>" + "long " * 200_000 + "</p>"
+    rows = [(1, "http://h.example/a", page)] * 5 + [(None, "http://h.example/b", "<p>Other</p>")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 6 and all(r.n_dropped == 2 and r.text == "" for r in got if r.page_id) and [r.text for r in got if r.page_id is None] == ["Other"]
+
+
 # ---- 3 quality
 
 
@@ -418,6 +461,38 @@ def test_ordinal_fit_orders_grades():
     assert (p[:, 0] >= p[:, 1]).all()
 
 
+def test_fit_reaches_the_optimum_of_a_plain_search():
+    r = np.random.default_rng(9)
+    grade = r.integers(0, 3, 200)
+    rows = [np.unique(np.concatenate([[int(g)] if r.random() < 0.7 else [], r.integers(3, 6, 2)])).astype(int) for g in grade]
+    w, cuts = quality.fit(rows, grade, width=8)
+
+    def likelihood(w, cuts):
+        p = quality.tail(np.array([w[x].sum() for x in rows]), cuts)
+        above = np.column_stack([np.ones(len(rows)), p, np.zeros(len(rows))])
+        return np.log(np.maximum(above[np.arange(len(rows)), grade] - above[np.arange(len(rows)), grade + 1], 1e-12)).sum()
+
+    best = likelihood(w, cuts)
+    # no step along a weight or a threshold gains more than the penalty and the stopping rule allow
+    for i in range(8):
+        for d in (-0.5, 0.5):
+            moved = w.copy()
+            moved[i] += d
+            assert likelihood(moved, cuts) < best + 2
+    for i in range(2):
+        for d in (-0.3, 0.3):
+            moved = cuts.copy()
+            moved[i] += d
+            assert likelihood(w, np.sort(moved)) < best + 2
+
+
+def test_quality_of_an_empty_table(spark):
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(d, labels)
+    assert quality.score_quality(docs(spark, []), model).collect() == []
+    assert quality.train(d.limit(0), labels) is None
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
