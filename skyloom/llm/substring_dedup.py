@@ -169,7 +169,8 @@ def _run_rows(batches):
 def _later(units: DataFrame, *key: str) -> DataFrame:
     """The units that a smaller document, or an earlier place of their own, has; ``first`` names the document that keeps it."""
     firsts = units.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return units.join(firsts.drop("n"), [*key]).where((F.col("id") != F.col("first")) | F.col("again"))
+    # staged, so that the join has a shuffle of its own, whose hot keys can be split
+    return units.join(stage(firsts.drop("n"), "firsts"), [*key]).where((F.col("id") != F.col("first")) | F.col("again"))
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
