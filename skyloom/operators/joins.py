@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.plans.staging import stage
+
 
 def _seconds(c) -> Column:
     """Seconds since 1970 of a timestamp with or without zone."""
@@ -41,18 +43,26 @@ def around_events(points: DataFrame, events: DataFrame, time: str, start: str, e
     return interval_join(points, tagged, time, "lo", "hi", keys, far_days * 86400).drop("lo", "hi")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], tie: str, bucket_s: int = 7 * 86400) -> DataFrame:
     """Each left row with the values of the latest right row of its keys at or before its time, else null.
 
-    One union and one running window: no pair is ever formed, so it takes one shuffle
-    whatever the density of either side. ``tie`` orders right rows of one time; the last counts.
+    One union and a running window in each bucket of time, so that no pair is ever formed and a
+    key with very many rows is spread. What a bucket's first rows look back to, the latest right row
+    of the buckets before, comes from a table of one row for each key and bucket. ``tie`` orders
+    right rows of one time; the last counts.
     """
+    bucket = F.floor(_seconds("__t") / bucket_s).alias("__b")
     a = left.withColumn("__t", F.col(left_time)).withColumn("__side", F.lit(1)).withColumn("__row", F.struct(*left.columns))
     b = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(tie, *[v for v in values if v != tie]).alias("__v"))
-    both = a.select(*keys, "__t", "__side", "__row").unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__t", "__side", F.col(f"__v.{tie}")).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__got", F.last("__v", ignorenulls=True).over(order)).where("__side = 1")
-    return out.select("__row.*", *[F.col(f"__got.{v}").alias(v) for v in values])
+    both = a.select(*keys, "__t", "__side", "__row").unionByName(b, allowMissingColumns=True).withColumn("__b", bucket)
+    order = Window.partitionBy(*keys, "__b").orderBy("__t", "__side", F.col(f"__v.{tie}")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("__got", F.last("__v", ignorenulls=True).over(order)).where("__side = 1")
+    # the latest right row of each bucket, or null, and of all buckets before
+    last = both.groupBy(*keys, "__b").agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", F.col(f"__v.{tie}").alias("tie"), "__v"))).alias("__l"))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select(*keys, "__b", F.last("__l", ignorenulls=True).over(earlier)["__v"].alias("__old"))
+    out = inside.join(before, [*keys, "__b"], "left")
+    return out.select("__row.*", *[F.coalesce(F.col("__got"), F.col("__old"))[v].alias(v) for v in values])
 
 
 def observation_interval(observations: DataFrame, dates: DataFrame, key: str, time: str, date: str, n: int, check_days: int = 21, include_borders: bool = True) -> DataFrame:
@@ -109,27 +119,32 @@ def ring_area(ring: Column) -> Column:
 
 
 def nearest_grid(targets: DataFrame, sources: DataFrame, x: str, y: str, value: str, cell: float, keys: list[str]) -> DataFrame:
-    """The value of the nearest source point of each target, widening the search ring by ring.
+    """The value of the nearest source point of each target, with cells that double.
 
-    Sources need columns ``sx, sy`` and ``value``. A round looks into all cells up to its
-    ring; a target is settled once its nearest hit is no farther than what lies wholly within.
-    Ties go to the smaller ``(sx, sy)``. The rounds double the ring, so their number grows
-    with the logarithm of the largest gap.
+    Sources need columns ``sx, sy`` and ``value``. A round looks into the nine cells round a
+    target; it is settled once its nearest hit is no farther than a cell is wide, as all that is so
+    near lies in them. The others look into cells of twice the width, so that a lookup never takes
+    more than nine cells and the number of rounds grows with the logarithm of the largest
+    gap. Ties go to the smaller ``(sx, sy)``.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    cells = sources.select("sx", "sy", F.col(value), at("sx").alias("__cx"), at("sy").alias("__cy"))
-    extent = cells.agg(F.min("__cx"), F.max("__cx"), F.min("__cy"), F.max("__cy")).first()
+    extent = sources.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
     if extent[0] is None:
         return targets.select(*keys, F.lit(None).cast(sources.schema[value].dataType).alias(value))
-    open_, done, ring = targets.select(*keys, x, y), None, 1
+    reach = targets.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    if reach[0] is None:
+        return targets.select(*keys, F.lit(None).cast(sources.schema[value].dataType).alias(value))
+    widest = max(extent[1], reach[1]) - min(extent[0], reach[0]) + max(extent[3], reach[3]) - min(extent[2], reach[2])
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    open_, done = targets.select(*keys, x, y), None
     while True:
-        around = F.explode(F.expr(f"flatten(transform(sequence(-{ring}, {ring}), i -> transform(sequence(-{ring}, {ring}), j -> struct(i AS i, j AS j))))"))
-        looks = open_.withColumn("__o", around).select(*keys, x, y, (at(x) + F.col("__o.i")).alias("__cx"), (at(y) + F.col("__o.j")).alias("__cy"))
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
+        cells = sources.select("sx", "sy", F.col(value), at("sx").alias("__cx"), at("sy").alias("__cy"))
+        looks = open_.withColumn("__o", o).select(*keys, x, y, (at(x) + F.col("__o.i")).alias("__cx"), (at(y) + F.col("__o.j")).alias("__cy"))
         far = (F.col(x) - F.col("sx")) ** 2 + (F.col(y) - F.col("sy")) ** 2
         hit = looks.join(cells, ["__cx", "__cy"]).groupBy(*keys).agg(F.min(F.struct(far.alias("d"), "sx", "sy", value)).alias("__m"))
-        settled = hit.where(F.col("__m.d") <= (ring * cell) ** 2).select(*keys, F.col(f"__m.{value}").alias(value))
+        settled = hit.where(F.col("__m.d") <= cell * cell).select(*keys, F.col(f"__m.{value}").alias(value))
         done = settled if done is None else done.unionByName(settled)
-        open_ = open_.join(settled.select(*keys), keys, "left_anti")
-        if ring > 2 * max(extent[1] - extent[0], extent[3] - extent[2]) + 2 or not open_.take(1):
+        open_ = stage(open_.join(settled.select(*keys), keys, "left_anti"), "open")
+        if cell > widest or not open_.take(1):
             return done
-        ring *= 2
+        cell *= 2

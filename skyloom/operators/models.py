@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.plans.staging import stage
+
 
 def clean_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose columns are all present and finite."""
@@ -81,91 +83,99 @@ def predict_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], sc
 # ---- curves for each pixel
 
 
-def cubic_spline(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The natural interpolating cubic spline through ascending points, NaN outside; linear for two points."""
-    n = len(t)
-    if n < 2:
-        return np.full(len(at), np.nan)
-    h = np.diff(t)
-    second = np.zeros(n)
-    if n > 2:
-        a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        second[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(v) / h))
-    i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
-    left, right = (t[i + 1] - at) / h[i], (at - t[i]) / h[i]
-    out = left * v[i] + right * v[i + 1] + ((left**3 - left) * second[i] + (right**3 - right) * second[i + 1]) * h[i] ** 2 / 6
-    return np.where((at < t[0]) | (at > t[-1]), np.nan, out)
-
-
-def spline_resample(series: DataFrame, key: str, time: str, value: str, step_days: float) -> DataFrame:
-    """``(key, day, value)``: a spline through each key's mean of a day, every so many days from its first."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf.dropna().groupby("t")["v"].mean()
-        if not len(known):
-            return pd.DataFrame({"key": [], "day": [], "v": []})
-        t = known.index.to_numpy(float)
-        at = np.arange(t[0], t[-1] + 1e-9, step_days)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "day": at.astype(int), "v": cubic_spline(t, known.to_numpy(), at)})
+def spline_moments(t: Column, v: Column) -> Column:
+    """Second derivatives of the natural cubic spline through points of ascending ``t``: two folds over the arrays solve its equations."""
+    n = F.size(t)
+    at = F.when(n > 2, F.sequence(F.lit(2), n - 1)).otherwise(F.array().cast("array<int>"))
+    x, y = (lambda i, c=c: F.element_at(c, i) for c in (t, v))
+    slope = lambda i: (y(i + 1) - y(i)) / (x(i + 1) - x(i))
 
-    day = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
-    rows = series.select(F.col(key).cast("long").alias("key"), day.alias("t"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("key").applyInPandas(run, "key long, day int, v double").withColumnsRenamed({"key": key, "v": value})
+    def down(acc, i):
+        before = F.element_at(acc, -1)
+        left, right = x(i) - x(i - 1), x(i + 1) - x(i)
+        pivot = 2 * (left + right) - left * before["c"]
+        return F.concat(acc, F.array(F.struct((right / pivot).alias("c"), ((6 * (slope(i) - slope(i - 1)) - left * before["d"]) / pivot).alias("d"))))
 
+    rows = F.aggregate(at, F.array(F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))), down)
+    # the first of the rows stands for the first point, whose moment is 0 as the last one's
+    up = lambda acc, r: F.concat(F.array(r["d"] - r["c"] * F.element_at(acc, 1)), acc)
+    return F.concat(F.array(F.lit(0.0)), F.aggregate(F.reverse(F.slice(rows, 2, F.size(rows))), F.array(F.lit(0.0)), up))
 
-def doubly_logistic(t, c1, c2, a1, a2, a3, a4, a5):
-    """``c1 + c2 g(t)``: a rise to the peak at a1 with width a4 and shape a5, and a fall with a2 and a3."""
-    before, after = np.maximum(a1 - t, 0) / a4, np.maximum(t - a1, 0) / a2
-    with np.errstate(over="ignore"):
-        return c1 + c2 * np.where(t < a1, np.exp(-(before**a5)), np.exp(-(after**a3)))
-
-
-def fit_doubly_logistic(t: np.ndarray, v: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Bounded least squares by damped Gauss-Newton steps from a guess of the series' own; parameters c1, c2, a1 … a5."""
-    low = np.array([v.min(), -np.inf, t[0], 0.15, 1, 0.15, 1])
-    high = np.array([v.max(), np.inf, t[-1], np.inf, np.inf, np.inf, np.inf])
-    p = np.clip(np.array([v.mean(), 0.2, (t[0] + t[-1]) / 2, 0.2, 10, 0.2, 10]), low, high)
-    best, damp = ((doubly_logistic(t, *p) - v) ** 2).sum(), 1e-2
-    for _ in range(steps):
-        base = doubly_logistic(t, *p)
-        eps = 1e-6 * np.maximum(1, np.abs(p))
-        jac = np.stack([(doubly_logistic(t, *(p + eps * (np.arange(7) == i))) - base) / eps[i] for i in range(7)], axis=1)
-        normal = jac.T @ jac
-        step = np.linalg.solve(normal + damp * (np.diag(np.diag(normal)) + 1e-9 * np.eye(7)), jac.T @ (v - base))
-        new = np.clip(p + step, low, high)
-        err = ((doubly_logistic(t, *new) - v) ** 2).sum()
-        if err < best:
-            if best - err < 1e-12 * max(best, 1e-12):
-                return new
-            p, best, damp = new, err, damp / 3
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    return p
+
+def spline_resample(series: DataFrame, key: str, time: str, value: str, step_days: int) -> DataFrame:
+    """``(key, day, value)``: a natural cubic spline through each key's mean of a day, every so many days from its first.
+
+    Days are averaged before a key's are gathered, so a key holds one value for each day. A
+    key of one day has one row without a value.
+    """
+    day = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
+    days = series.select(F.col(key).cast("long").alias("key"), day.alias("t"), F.col(value).cast("double").alias("v")).dropna().groupBy("key", "t").agg(F.avg("v").alias("v"))
+    known = days.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")).select("key", F.transform("s", lambda x: x["t"].cast("double")).alias("t"), F.transform("s", lambda x: x["v"]).alias("v"))
+    solved = known.withColumn("m", spline_moments(F.col("t"), F.col("v"))).withColumn("last", F.element_at("t", -1).cast("int"))
+    every = solved.withColumn("day", F.explode(F.sequence(F.element_at("t", 1).cast("int"), F.col("last"), F.lit(int(step_days)))))
+    i = F.greatest(F.lit(1), F.least(F.size("t") - 1, F.size(F.filter("t", lambda x: x <= F.col("day")))))
+    at = every.withColumn("i", i)
+    get = lambda c, d=0: F.try_element_at(c, F.col("i") + d)
+    h = get("t", 1) - get("t")
+    left, right = (get("t", 1) - F.col("day")) / h, (F.col("day") - get("t")) / h
+    curve = left * get("v") + right * get("v", 1) + ((left**3 - left) * get("m") + (right**3 - right) * get("m", 1)) * h * h / 6
+    return at.select(F.col("key").alias(key), "day", curve.alias(value))
 
 
 PARAMETERS = ["c1", "c2", "a1", "a2", "a3", "a4", "a5"]
+# The bounds of the curve's parameters, needed for the same results: widths of at least 0.15, shapes of at least 1.
+LEAST_WIDTH, LEAST_SHAPE = 0.15, 1.0
+#: The first shapes tried: peaks, widths after and before it, shapes after and before it.
+TRIED = [[k / 8 for k in range(1, 8)], [0.15, 0.3, 0.6], [2.0, 6.0], [0.15, 0.3, 0.6], [2.0, 6.0]]
 
 
-def doubly_logistic_fit(series: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """The seven parameters of each key's curve over time scaled to [0, 1]; null with under eight points or no span of time."""
+def _curve(t: Column, a1: Column, a2: Column, a3: Column, a4: Column, a5: Column) -> Column:
+    return F.when(t < a1, F.exp(-F.pow((a1 - t) / a4, a5))).otherwise(F.exp(-F.pow((t - a1) / a2, a3)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf.dropna().groupby("t")["v"].mean()
-        t, v = known.index.to_numpy(float), known.to_numpy()
-        p = [None] * 7
-        if len(t) >= 8:
-            p = fit_doubly_logistic((t - t[0]) / (t[-1] - t[0]), v).tolist()
-        return pd.DataFrame([[pdf["key"].iloc[0], *p]], columns=["key", *PARAMETERS])
 
+def doubly_logistic_column(t: Column, p: Sequence[Column]) -> Column:
+    """``c1 + c2 g(t)``: a rise to the peak at a1 with width a4 and shape a5, and a fall with a2 and a3."""
+    return p[0] + p[1] * _curve(t, *p[2:])
+
+
+def _best(points: DataFrame, tried: Column) -> DataFrame:
+    """Of each key, the least squares over the shapes tried; level and scale have a closed form, the level within the values' range."""
+    shapes = PARAMETERS[2:]
+    each = points.withColumn("p", F.explode(tried)).select("key", "x", "v", "low", "high", *[F.col(f"p.{a}").alias(a) for a in shapes])
+    g, v = F.col("g"), F.col("v")
+    sums = each.withColumn("g", _curve(F.col("x"), *[F.col(a) for a in shapes])).groupBy("key", "low", "high", *shapes).agg(
+        F.count("*").alias("n"), F.sum(v).alias("sv"), F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * v).alias("sgv"), F.sum(v * v).alias("svv")
+    )
+    n, sv, sg, sgg, sgv, svv = (F.col(c) for c in ("n", "sv", "sg", "sgg", "sgv", "svv"))
+    free = F.coalesce(F.try_divide(n * sgv - sg * sv, F.when(n * sgg - sg * sg > 1e-9, n * sgg - sg * sg)), F.lit(0.0))
+    c1 = F.greatest(F.col("low"), F.least(F.col("high"), (sv - free * sg) / n))
+    found = sums.withColumn("c1", c1).withColumn("c2", F.coalesce(F.try_divide(sgv - F.col("c1") * sg, sgg), F.lit(0.0)))
+    k1, k2 = F.col("c1"), F.col("c2")
+    error = svv - 2 * k1 * sv - 2 * k2 * sgv + n * k1 * k1 + 2 * k1 * k2 * sg + k2 * k2 * sgg
+    return found.groupBy("key").agg(F.min(F.struct(F.round(error, 9).alias("error"), *shapes, "c1", "c2")).alias("b")).select("key", *[F.col(f"b.{c}").alias(c) for c in PARAMETERS])
+
+
+def doubly_logistic_fit(series: DataFrame, key: str, time: str, value: str, rounds: int = 5) -> DataFrame:
+    """The seven parameters of each key's curve over time scaled to [0, 1]; null with under eight times.
+
+    Bounded least squares by search over shapes: those of ``TRIED`` first, then all neighbours of
+    the best ones by steps that shrink. Each round is one aggregate over all keys' points, and
+    values of one time are averaged before.
+    """
     seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
     rows = series.select(F.col(key).cast("long").alias("key"), seconds.alias("t"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("key").applyInPandas(run, "key long, " + ", ".join(f"{p} double" for p in PARAMETERS)).withColumnRenamed("key", key)
-
-
-def doubly_logistic_column(t, p: Sequence):
-    """The curve's value as a Column."""
-    c1, c2, a1, a2, a3, a4, a5 = p
-    before, after = F.pow((a1 - t) / a4, a5), F.pow((t - a1) / a2, a3)
-    return c1 + c2 * F.when(t < a1, F.exp(-before)).otherwise(F.exp(-after))
+    means = rows.dropna().groupBy("key", "t").agg(F.avg("v").alias("v"))
+    limits = means.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("times"), F.min("v").alias("low"), F.max("v").alias("high")).where("times >= 8")
+    points = stage(means.join(limits, "key").select("key", ((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("x"), "v", "low", "high"), "points")
+    shapes = PARAMETERS[2:]
+    tried = F.array(*[F.struct(*[F.lit(float(c)).alias(a) for a, c in zip(shapes, shape)]) for shape in itertools.product(*TRIED)])
+    best = stage(_best(points, tried), "fit")
+    for turn in range(1, rounds + 1):
+        step, factor = 1 / 16 / 2 ** (turn - 1), 1 + 1 / 2**turn
+        moves = {"a1": [lambda c, d=d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c + d * step)) for d in (-1, 0, 1)]}
+        for a, least in (("a2", LEAST_WIDTH), ("a3", LEAST_SHAPE), ("a4", LEAST_WIDTH), ("a5", LEAST_SHAPE)):
+            moves[a] = [lambda c, d=d, least=least: F.greatest(F.lit(least), c * factor**d) for d in (-1, 0, 1)]
+        near = F.array(*[F.struct(*[f(F.col(f"b_{a}")).alias(a) for a, f in zip(shapes, move)]) for move in itertools.product(*[moves[a] for a in shapes])])
+        known = best.select("key", *[F.col(a).alias(f"b_{a}") for a in shapes])
+        best = stage(_best(points.join(known, "key"), near), "fit")
+    return rows.select("key").distinct().join(best, "key", "left").withColumnRenamed("key", key)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.operators.graph import connected_components
+from skyloom.plans.staging import stage
 
 MODULUS = 1000003
 
@@ -64,22 +65,50 @@ def sample_pixels(obs: DataFrame, n: int, seed: int = 7, tile: str = "tile_id")
     return obs.join(chosen, [tile, "y", "x"], "left_semi")
 
 
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, slices: int = 0) -> DataFrame:
+    """Add ``name``, each row's place from 0 among the rows of its class, and ``name``_of, their number.
+
+    Rows are dealt to slices by ranges of class and order, so a class of any size is spread over
+    tasks; the slices' counts, one row for each class in each, tell where a slice begins.
+    """
+    wanted = [slices] if slices else []
+    cut = stage(df.repartitionByRange(*wanted, *by, *order).withColumn("__slice", F.spark_partition_id()), "slices")
+    counts = cut.groupBy(*by, "__slice").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__slice").alias("__of"), before.alias("__before"), F.sum("__n").over(w).alias(f"{name}_of"))
+    place = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(*order)) - 1
+    same = F.col("__slice") == F.col("__of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    joined = cut.withColumn("__place", place).join(starts, same)
+    return joined.withColumn(name, F.col("__place") + F.col("__before")).drop("__slice", "__of", "__place", "__before", *[f"__by_{c}" for c in by])
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float]) -> DataFrame:
+    """One row with an array ``q`` of interpolated quantiles of the whole column; only rows at the wanted places are gathered."""
+    placed = ranked(df.select(value).dropna(), [], [value], "__at")
+    rank = lambda q: (F.col("__at_of") - 1) * F.lit(float(q))
+    near = reduce(lambda a, b: a | b, [F.abs(F.col("__at") - rank(q)) < 1 for q in quantiles])
+    weight = lambda q: F.greatest(F.lit(0.0), 1 - F.abs(F.col("__at") - rank(q)))
+    return placed.where(near).agg(F.array(*[F.sum(weight(q) * F.col(value)) for q in quantiles]).alias("q"))
+
+
 def every_kth(df: DataFrame, k: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Add ``test``: true for the first of every k rows in order. Meant for tiles, not pixels."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("test", F.row_number().over(w) % k == 1 % k)
+    """Add ``test``: true for the first of every k rows in order."""
+    return ranked(df, by, order, "__p").withColumn("test", F.col("__p") % k == 0).drop("__p", "__p_of")
 
 
 def split_by_share(df: DataFrame, by: Sequence[str], shares: Sequence[tuple[str, float]], keys: Sequence[str], seed: int = 7) -> DataFrame:
     """Add ``part``: within each class, rows in the order of their draw are cut at the cumulated shares."""
-    w = Window.partitionBy(*by)
-    place = (F.row_number().over(w.orderBy("__r", *keys)) - 1) / F.count("*").over(w)
+    placed = ranked(df.withColumn("__r", draw(seed, *keys)), by, ["__r", *keys], "__p")
+    place = F.col("__p") / F.col("__p_of")
     ends, at = [], 0.0
     for name, share in shares:
         at += share
         ends.append((name, at))
-    part = reduce(lambda acc, e: acc.when(F.col("__p") < e[1] - 1e-9, e[0]), ends[1:-1], F.when(F.col("__p") < ends[0][1] - 1e-9, ends[0][0])).otherwise(ends[-1][0])
-    return df.withColumn("__r", draw(seed, *keys)).withColumn("__p", place).withColumn("part", part).drop("__r", "__p")
+    part = reduce(lambda acc, e: acc.when(place < e[1] - 1e-9, e[0]), ends[1:-1], F.when(place < ends[0][1] - 1e-9, ends[0][0])).otherwise(ends[-1][0])
+    return placed.withColumn("part", part).drop("__r", "__p", "__p_of")
 
 
 def split_columns(tiles: DataFrame, index: str, shares: Sequence[tuple[str, float]], descending: bool = False) -> DataFrame:

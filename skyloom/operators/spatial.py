@@ -1,20 +1,19 @@
 """Neighbourhoods of pixels in a tile.
 
-Small kernels are joins with shifted pixels, so a tile may be spread over many tasks; large
-or sequential ones hand one tile at a time to NumPy, so a tile must fit a task's memory.
+All are joins with shifted pixels and aggregates, so a tile may be spread over many tasks.
 Nothing crosses from one tile to the next.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.graph import connected_components
+
 PIXEL = ["tile_id", "y", "x"]
 
 
@@ -134,123 +133,137 @@ def _whole(keys):
     return Window.partitionBy(*keys)
 
 
-# ---- one tile at a time, with NumPy
+def snow_second_pass(pixels: DataFrame, lines: DataFrame, dem: str, ndsi: Column, red: Column, cloud: Column, ndsi_min: float = 0.15, red_min: float = 0.04, frame: Sequence[str] = ("tile_id", "ts"), out: str = "snow2") -> DataFrame:
+    """Snow above the frame's snow line by looser limits; none where the frame has no line."""
+    found = ~cloud & (F.col(dem) > F.col("line")) & (ndsi > ndsi_min) & (red > red_min)
+    return pixels.join(lines, list(frame), "left").withColumn(out, F.coalesce(found, F.lit(False))).drop("line")
+
+
+def refined_cloud(cloud: Column, coarse_red: Column, dem: Column, cirrus: Column | None = None, red_min: float = 0.3, cirrus_min: float = 0.015, per_metre: float = 5e-6) -> Column:
+    """Cloud where the down-sampled red is bright, and what a cirrus band adds; without that band nothing is added."""
+    high = F.lit(False) if cirrus is None else cirrus > cirrus_min + per_metre * dem
+    return (cloud & (coarse_red > red_min)) | high
+
+
+def large_components(pixels: DataFrame, mask: str, min_size: int, height: int, width: int, out: str = "large") -> DataFrame:
+    """Whether the 8-connected component of true pixels that a pixel belongs to is larger than ``min_size``."""
+    number = F.col("tile_id").cast("long") * (height * width) + F.col("y") * width + F.col("x")
+    rows = pixels.withColumn("__node", number)
+    on = rows.where(F.col(mask)).select(*PIXEL, "__node")
+    near = _shifted(on, [(0, 1), (1, -1), (1, 0), (1, 1)], ["__node"]).withColumnRenamed("__node", "__other")
+    found = connected_components(on.join(near, PIXEL).select("__node", "__other"), "__node", "__other")
+    sizes = found.groupBy("component").agg(F.count("*").alias("__size"))
+    sized = found.join(sizes, "component").select(F.col("node").alias("__node"), "__size")
+    large = F.coalesce(F.col(mask), F.lit(False)) & (F.coalesce("__size", F.lit(1)) > min_size)
+    return rows.join(sized, "__node", "left").withColumn(out, large).drop("__node", "__size")
+
 
+def _inside(c: Column, n: int) -> Column:
+    """The nearest index in [0, n)."""
+    return F.greatest(F.lit(0), F.least(c, F.lit(n - 1)))
 
-def per_tile(pixels: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], value: str, schema: str, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Apply ``f(image) -> {name: image}`` to every tile; ``schema`` types the new columns.
 
-    A tile is a grid without holes from (0, 0); a missing pixel is NaN.
+def local_binary_pattern(pixels: DataFrame, value: str, height: int, width: int, points: int = 8, radius: float = 1, out: str = "lbp") -> DataFrame:
+    """Rotation-invariant uniform pattern: which of the points on a circle are at least the centre.
+
+    A point between pixels is interpolated from the four round it, the edge repeated. Up to two
+    changes round the circle give the number of such points, more give ``points + 1``.
     """
-    names = [c.split()[0] for c in schema.split(",")]
-    types = dict(pixels.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        image = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
-        image[y, x] = pdf[value].to_numpy()
-        got = f(image)
-        return pd.DataFrame({k: pdf[k].to_numpy() for k in keys} | {"y": y, "x": x} | {n: np.asarray(got[n])[y, x] for n in names})
-
-    out = ", ".join([f"{k} {types[k]}" for k in keys] + ["y long", "x long", schema])
-    return pixels.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), value).groupBy(*keys).applyInPandas(run, out)
-
-
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """8-connected components numbered from 1, 0 where false: labels spread to the least neighbour until none changes."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    far = h * w + 1
-    while True:
-        padded = np.pad(np.where(mask, label, far), 1, constant_values=far)
-        least = np.min([padded[1 + dy : h + 1 + dy, 1 + dx : w + 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        new = np.where(mask, least, 0)
-        jumped = np.concatenate([[0], new.ravel()])[new]  # a label names a pixel: take that pixel's own label
-        new = np.where(mask, np.minimum(new, jumped), 0)
-        if (new == label).all():
-            return new
-        label = new
-
-
-def large_components(image: np.ndarray, min_size: int) -> dict[str, np.ndarray]:
-    """True where the 8-connected component of true pixels is larger than ``min_size``."""
-    label = label_components(np.nan_to_num(image) > 0)
-    size = np.bincount(label.ravel(), minlength=1)
-    return {"large": (label > 0) & (size[label] > min_size)}
-
-
-def local_binary_pattern(image: np.ndarray, points: int = 8, radius: float = 1) -> dict[str, np.ndarray]:
-    """Rotation-invariant uniform pattern: neighbours on a circle that are at least the centre, by bilinear sampling."""
-    h, w = image.shape
-    padded = np.pad(image, math.ceil(radius) + 1, mode="edge")
-    r, yy, xx = math.ceil(radius) + 1, *np.mgrid[0:h, 0:w]
-    bits = []
+    looks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for k, dy, dx, w in circle(points, radius)]))
+    aimed = pixels.select(*PIXEL, F.col(value).alias("__c"), looks.alias("o")).select(*PIXEL, "__c", "o.k", "o.w", _inside(F.col("y") + F.col("o.dy"), height).alias("ny"), _inside(F.col("x") + F.col("o.dx"), width).alias("nx"))
+    there = pixels.select("tile_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("__v"))
+    bits = aimed.join(there, ["tile_id", "ny", "nx"]).groupBy(*PIXEL, "k", "__c").agg((F.sum(F.col("w") * F.col("__v")) >= F.col("__c") - 1e-9).cast("int").alias("bit"))
+    # bit k adds to the k-th place of one number, so that the circle needs no array
+    packed = bits.groupBy(*PIXEL).agg(F.sum(F.col("bit") * F.pow(F.lit(2), F.col("k")).cast("long")).alias("__bits"))
+    turned = F.shiftleft(F.col("__bits"), 1).bitwiseAND((1 << points) - 1).bitwiseOR(F.shiftright(F.col("__bits"), points - 1))
+    changes = F.bit_count(F.col("__bits").bitwiseXOR(turned))
+    return pixels.join(packed, PIXEL).withColumn(out, F.when(changes <= 2, F.bit_count("__bits")).otherwise(points + 1)).drop("__bits")
+
+
+def circle(points: int, radius: float) -> list[tuple[int, int, int, float]]:
+    """``(point, dy, dx, weight)`` of the pixels from which each point of a circle is interpolated."""
+    out = []
     for k in range(points):
         dy, dx = round(-radius * math.sin(2 * math.pi * k / points), 8), round(radius * math.cos(2 * math.pi * k / points), 8)
-        y0, x0 = math.floor(dy), math.floor(dx)
-        fy, fx = dy - y0, dx - x0
-        at = lambda a, b: padded[yy + r + y0 + a, xx + r + x0 + b]
-        bits.append(at(0, 0) * (1 - fy) * (1 - fx) + at(0, 1) * (1 - fy) * fx + at(1, 0) * fy * (1 - fx) + at(1, 1) * fy * fx >= image)
-    bits = np.array(bits, int)
-    turns = np.abs(bits - np.roll(bits, 1, axis=0)).sum(axis=0)
-    return {"lbp": np.where(turns <= 2, bits.sum(axis=0), points + 1).astype(float)}
-
-
-def cooccurrence(window: np.ndarray, levels: int, dy: int, dx: int) -> np.ndarray:
-    """Symmetric, normalised grey-level co-occurrence of a window of integer levels."""
-    h, w = window.shape
-    a = window[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
-    b = window[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
-    m = np.bincount((a * levels + b).ravel(), minlength=levels * levels).reshape(levels, levels).astype(float)
-    m += m.T
-    return m / max(m.sum(), 1)
-
-
-def texture_measures(p: np.ndarray) -> dict[str, float]:
-    """Standard and sum/difference measures of a co-occurrence matrix."""
-    n = len(p)
-    i, j = np.mgrid[0:n, 0:n]
-    mean, eps = (i * p).sum(), np.finfo(float).eps
-    sd2 = ((i - mean) ** 2 * p).sum()
-    sums = np.array([p[(i + j) == k].sum() for k in range(n)])
-    gaps = np.array([p[np.abs(i - j) == k].sum() for k in range(n)])
-    k = np.arange(n)
-    asm = (p * p).sum()
-    return {
-        "contrast": ((i - j) ** 2 * p).sum(), "dissimilarity": (np.abs(i - j) * p).sum(), "homogeneity": (p / (1 + (i - j) ** 2)).sum(), "ASM": asm, "energy": asm**0.5,
-        "correlation": 1.0 if sd2 < 1e-15 else ((i - mean) * (j - mean) * p).sum() / sd2, "sum_of_square_variance": ((i - p.mean()) ** 2 * p).sum(), "inverse_difference_moment": (p / (1 + (i - j) ** 2)).sum(),
-        "sum_average": (sums * k).sum(), "sum_variance": ((k - (sums * k).sum()) ** 2).sum(), "sum_entropy": -(sums * np.log(sums + eps)).sum(),
-        "difference_variance": ((k - (gaps * k).sum()) ** 2).sum(), "difference_entropy": -(gaps * np.log(gaps + eps)).sum(),
-    }
-
-
-def texture(image: np.ndarray, measure: str, distance: int = 1, angle: float = 0, levels: int = 8, window: int = 3) -> dict[str, np.ndarray]:
-    """A co-occurrence measure of the window round each pixel, the edge repeated."""
-    low, high = np.nanmin(image), np.nanmax(image)
-    level = np.digitize(image, [low + k * (high - low) / levels for k in range(levels - 1)])
-    level = np.minimum(level, levels - 1)
-    padded = np.pad(level, window // 2, mode="edge")
-    dy, dx = round(math.sin(angle) * distance), round(math.cos(angle) * distance)
-    out = np.empty(image.shape)
-    for y in range(image.shape[0]):
-        for x in range(image.shape[1]):
-            out[y, x] = texture_measures(cooccurrence(padded[y : y + window, x : x + window], levels, dy, dx))[measure]
-    return {measure: out}
-
-
-def structural_similarity(a: np.ndarray, b: np.ndarray, sigma: float = 1.5, scale: float = 1.0) -> np.ndarray:
-    """Per-pixel similarity of two images under a Gaussian window, edges reflected."""
-    r = int(3.5 * sigma + 0.5)
-    kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
-    kernel /= kernel.sum()
-
-    def blur(im):
-        for axis in (0, 1):
-            padded = np.pad(im, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
-            im = sum(w * np.take(padded, range(i, i + im.shape[axis]), axis=axis) for i, w in enumerate(kernel))
-        return im
-
-    ma, mb = blur(a), blur(b)
-    va, vb, vab = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
-    c1, c2 = (0.01 * scale) ** 2, (0.03 * scale) ** 2
-    return (2 * ma * mb + c1) * (2 * vab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+        y, x = math.floor(dy), math.floor(dx)
+        corners = [(y + i, x + j, (dy - y if i else 1 - dy + y) * (dx - x if j else 1 - dx + x)) for i in (0, 1) for j in (0, 1)]
+        out += [(k, i, j, w) for i, j, w in corners if w > 0]
+    return out
+
+
+def grey_levels(pixels: DataFrame, value: str, levels: int, out: str = "level") -> DataFrame:
+    """Levels 1 to levels - 1 by equal steps of a levels-th of the tile's range; the top one is twice as wide. A flat tile has level 1."""
+    limits = pixels.groupBy("tile_id").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    step = F.floor(F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * levels)
+    return pixels.join(limits, "tile_id").withColumn(out, (F.least(F.coalesce(step, F.lit(0)), F.lit(levels - 2)) + 1).cast("int")).drop("__lo", "__hi")
+
+
+def cooccurrence(pixels: DataFrame, level: str, height: int, width: int, distance: int = 1, angle: float = 0, window: int = 3) -> DataFrame:
+    """``(tile_id, y, x, i, j, p)``: the symmetric co-occurrence of levels in the window round each pixel, the edge repeated."""
+    dy, dx, r = round(math.sin(angle) * distance), round(math.cos(angle) * distance), window // 2
+    pairs = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if abs(a + dy) <= r and abs(b + dx) <= r]
+    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]))
+    at = lambda i, j, n: [_inside(F.col("y") + F.col("o.a") + i, height).alias(f"y{n}"), _inside(F.col("x") + F.col("o.b") + j, width).alias(f"x{n}")]
+    looks = pixels.select(*PIXEL, o.alias("o")).select(*PIXEL, *at(0, 0, 1), *at(dy, dx, 2))
+    there = lambda n, name: pixels.select("tile_id", F.col("y").alias(f"y{n}"), F.col("x").alias(f"x{n}"), F.col(level).alias(name))
+    both = looks.join(there(1, "i"), ["tile_id", "y1", "x1"]).join(there(2, "j"), ["tile_id", "y2", "x2"])
+    # each pair counts in either order
+    seen = both.select(*PIXEL, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("c"))
+    return seen.groupBy(*PIXEL, F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg((F.count("*") / (2.0 * len(pairs))).alias("p"))
+
+
+def texture_measures(cells: DataFrame) -> DataFrame:
+    """Measures of each pixel's co-occurrence, by their published definitions: moments of the levels, of their sums and of their differences."""
+    p, i, j = F.col("p"), F.col("i"), F.col("j")
+    entropy = lambda c: -F.sum(c * F.ln(c))
+    own = cells.groupBy(*PIXEL).agg(
+        F.sum(p * (i - j) ** 2).alias("contrast"), F.sum(p * F.abs(i - j)).alias("dissimilarity"), F.sum(p / (1 + (i - j) ** 2)).alias("homogeneity"),
+        F.sum(p * p).alias("asm"), entropy(p).alias("entropy"), F.sum(p * i).alias("__m"), F.sum(p * i * i).alias("__ii"), F.sum(p * i * j).alias("__ij"),
+    )
+    variance = F.col("__ii") - F.col("__m") ** 2
+    own = own.select(
+        *PIXEL, "contrast", "dissimilarity", "homogeneity", "asm", F.sqrt("asm").alias("energy"), "entropy", variance.alias("variance"),
+        F.when(variance < 1e-12, 1.0).otherwise((F.col("__ij") - F.col("__m") ** 2) / variance).alias("correlation"),
+    )
+
+    def of(name: str, k: Column) -> DataFrame:
+        q = cells.groupBy(*PIXEL, k.alias("k")).agg(F.sum("p").alias("q"))
+        told = q.groupBy(*PIXEL).agg(F.sum(F.col("q") * F.col("k")).alias(f"{name}_average"), F.sum(F.col("q") * F.col("k") ** 2).alias("__kk"), entropy(F.col("q")).alias(f"{name}_entropy"))
+        return told.withColumn(f"{name}_variance", F.col("__kk") - F.col(f"{name}_average") ** 2).drop("__kk")
+
+    return own.join(of("sum", i + j), PIXEL).join(of("difference", F.abs(i - j)), PIXEL)
+
+
+def gaussian(sigma: float) -> list[float]:
+    """Weights of a Gaussian window from -4 sigma to 4 sigma, of sum 1."""
+    r = int(4 * sigma)
+    raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)]
+    return [w / math.fsum(raw) for w in raw]
+
+
+def blur(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], height: int, width: int, sigma: float = 1.5) -> DataFrame:
+    """Each value's Gaussian mean, the edge reflected (d c b a | a b c d | d c b a); no join, one aggregate for each axis."""
+    weights = gaussian(sigma)
+    r = len(weights) // 2
+    o = F.array(*[F.struct(F.lit(k - r).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
+    for axis, other, n in (("y", "x", height), ("x", "y", width)):
+        # a pixel counts for all that reach it or one of its two mirror images
+        images = F.explode(F.array(F.col(axis), -1 - F.col(axis), 2 * n - 1 - F.col(axis)).cast("array<long>"))
+        spread = pixels.select(*keys, other, *values, images.alias("at")).select(*keys, other, *values, "at", F.explode(o).alias("o"))
+        spread = spread.withColumn(axis, F.col("at") - F.col("o.k")).where((F.col(axis) >= 0) & (F.col(axis) < n))
+        pixels = spread.groupBy(*keys, "y", "x").agg(*[F.sum(F.col("o.w") * F.col(v)).alias(v) for v in values])
+    return pixels
+
+
+def structural_similarity(frames: DataFrame, target: DataFrame, value: str, height: int, width: int, keys: Sequence[str] = ("tile_id",), frame: str = "ts", sigma: float = 1.5, c1: float = 1e-6, c2: float = 1e-5) -> DataFrame:
+    """``(…keys, y, x, ssim_max, ssim_mean, ssim_std)``: how like the other frames of a tile are to its target frame.
+
+    ``target`` has the target's pixels, with the value alone; pixels without a value in either frame don't count.
+    """
+    at = [*keys, "y", "x"]
+    a, b = F.col("a"), F.col("b")
+    pairs = frames.select(*at, frame, F.col(value).alias("a")).join(target.select(*at, F.col(value).alias("b")), at).where(a.isNotNull() & b.isNotNull())
+    means = blur(pairs.select(*at, frame, a, b, (a * a).alias("aa"), (b * b).alias("bb"), (a * b).alias("ab")), [*keys, frame], ["a", "b", "aa", "bb", "ab"], height, width, sigma)
+    va, vb, vab = F.col("aa") - a * a, F.col("bb") - b * b, F.col("ab") - a * b
+    ssim = (2 * a * b + c1) * (2 * vab + c2) / ((a * a + b * b + c1) * (va + vb + c2))
+    return means.withColumn("s", ssim).groupBy(*at).agg(F.max("s").alias("ssim_max"), F.avg("s").alias("ssim_mean"), F.stddev_pop("s").alias("ssim_std"))

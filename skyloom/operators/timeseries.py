@@ -29,16 +29,20 @@ def extreme_times(obs: DataFrame, value: str, valid: str | None = None, keys: Se
     return obs.groupBy(*keys).agg(F.coalesce(-F.max(key)["t"], F.lit(0)).alias("argmax"), F.coalesce(F.min(low)["t"], F.lit(0)).alias("argmin"))
 
 
-def slope_times(obs: DataFrame, value: str, valid: str, keys: Sequence[str] = PIXEL, t: str = "t", time: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
-    """Frame numbers of the greatest and least slope, by central differences over valid neighbours in days.
+def with_slopes(obs: DataFrame, value: str, valid: str, keys: Sequence[str] = PIXEL, time: str = "ts", tie: Sequence[str] = (), out: str = "slope") -> DataFrame:
+    """The valid rows with their slope: the central difference over valid neighbours in days.
 
-    Ends of a series and neighbours of one day have no slope; without any slope the numbers are 0.
+    Ends of a series and neighbours of one day have none.
     """
     w = Window.partitionBy(*keys).orderBy(time, *tie)
     rise = F.lead(value).over(w) - F.lag(value).over(w)
     days = F.datediff(F.lead(time).over(w), F.lag(time).over(w))
-    slopes = obs.where(F.col(valid)).withColumn("slope", F.try_divide(rise, days))
-    found = extreme_times(slopes, "slope", None, keys, t)
+    return obs.where(F.col(valid)).withColumn(out, F.try_divide(rise, days))
+
+
+def slope_times(obs: DataFrame, value: str, valid: str, keys: Sequence[str] = PIXEL, t: str = "t", time: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
+    """Frame numbers of the greatest and least slope; 0 where a pixel has no slope."""
+    found = extreme_times(with_slopes(obs, value, valid, keys, time, tie), "slope", None, keys, t)
     return obs.select(*keys).distinct().join(found, list(keys), "left").select(*keys, F.coalesce("argmax", F.lit(0)).alias("argmax"), F.coalesce("argmin", F.lit(0)).alias("argmin"))
 
 
@@ -212,3 +216,13 @@ def context_bounds(t: Column, n: Column, size: int) -> tuple[Column, Column]:
     half = F.floor(F.lit(size) / 2).cast("int")
     low = F.greatest(F.least(t - half, n - size), F.lit(0))
     return low, F.least(low + size, n)
+
+
+def window_statistics(rows: DataFrame, value: str, keys: Sequence[str], mid: str, t: str = "t") -> DataFrame:
+    """``(…keys, low, mean, above_low, above_mean)`` of a window's frames, and of its target, the frame ``mid``, against them.
+
+    ``above_mean`` is the target less the mean of the window's other frames; null if there are none.
+    """
+    n, own = F.count(value), F.max(F.when(F.col(t) == F.col(mid), F.col(value)))
+    others = F.try_divide(F.sum(value) - own, n - 1)
+    return rows.groupBy(*keys).agg(F.min(value).alias("low"), F.avg(value).alias("mean"), (own - F.min(value)).alias("above_low"), (own - others).alias("above_mean"))

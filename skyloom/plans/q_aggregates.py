@@ -137,11 +137,12 @@ def _(spark, sf_dir):
 @query("a22_limits_and_scaling", f"{OBS} SELECT tile_id, count(*) AS n, true AS close FROM obs GROUP BY tile_id")
 def _(spark, sf_dir):
     from skyloom.functions.algebra import scale_to
+    from skyloom.operators.sampling import exact_quantiles
 
     rows = obs(spark, sf_dir)
     merged = S.merge(S.sketch(rows, ["nir"], pixelwise=True, keys=["tile_id"]))
     limits = merged.select(S.quantile("sketch", 0.01).alias("lo"), S.quantile("sketch", 0.99).alias("hi"))
-    exact = rows.agg(F.percentile("nir", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select(F.col("q")[0].alias("elo"), F.col("q")[1].alias("ehi"))
+    exact = exact_quantiles(rows, "nir", [0.01, 0.99]).select(F.col("q")[0].alias("elo"), F.col("q")[1].alias("ehi"))
     both = rows.join(F.broadcast(limits), F.lit(True)).join(F.broadcast(exact), F.lit(True))
     return both.groupBy("tile_id").agg(F.count("*").alias("n"), (F.max(F.abs(scale_to("nir", "lo", "hi", missing=0) - scale_to("nir", "elo", "ehi", missing=0))) < 0.1).alias("close"))
 
@@ -161,13 +162,19 @@ def _(spark, sf_dir):
     return ser(spark, sf_dir).groupBy("class", F.width_bucket("v", F.lit(0.0), F.lit(500.0), F.lit(25)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("a30_area_ratio", f"WITH {_DIAMONDS} SELECT b.zone_id, {R6('coalesce((CASE WHEN b.zone_id % 4 <> 0 THEN 2 * 400 * 950 END) / ((max_x - min_x) * (max_y - min_y)), -1)')} AS ratio FROM b")
-def _(spark, sf_dir):
-    from skyloom.plans.q_joins import boxes
+_FIELDS = "f AS (SELECT o_custkey AS tile_id, o_orderkey % 7 + 1.0::DOUBLE AS w, o_totalprice / 10000 AS h FROM orders)"
+
 
-    fields = diamonds(spark).where("zone_id % 4 <> 0").select("zone_id", J.ring_area(F.col("ring")).alias("area"))
-    tile = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
-    return boxes(spark).join(fields, "zone_id", "left").select("zone_id", r6(F.coalesce(F.col("area") / tile, F.lit(-1.0))).alias("ratio"))
+@query("a30_area_ratio", f"WITH {_FIELDS}, a AS (SELECT tile_id, sum(w * h / 2) AS area FROM f GROUP BY tile_id) SELECT c_custkey AS tile_id, round(coalesce(area / (1000 + c_nationkey * 10), -1), 5) + 0.0 AS ratio FROM customer LEFT JOIN a ON tile_id = c_custkey")
+def _(spark, sf_dir):
+    """Triangular fields of the orders' sizes on tiles of the customers; a tile without a field has -1."""
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    w, h, left = F.col("o_orderkey") % 7 + 1.0, F.col("o_totalprice") / 10000, F.col("o_orderkey") % 11
+    ring = F.array(corner(left, F.lit(0)), corner(left + w, F.lit(0)), corner(left, h))
+    fields = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), J.ring_area(ring).alias("area")).groupBy("c_custkey").agg(F.sum("area").alias("area"))
+    tiles = load(spark, sf_dir, "customer").select("c_custkey", (1000.0 + F.col("c_nationkey") * 10).alias("tile_area"))
+    ratio = F.coalesce(F.try_divide("area", "tile_area"), F.lit(-1.0))
+    return tiles.join(fields, "c_custkey", "left").select(F.col("c_custkey").alias("tile_id"), (F.round(ratio, 5) + F.lit(0.0)).alias("ratio"))
 
 
 @query("a32_point_density", "SELECT floor(c_acctbal / 250)::BIGINT AS cx, floor((c_custkey * 37 % 9000) / 250)::BIGINT AS cy, count(*) AS n FROM customer GROUP BY ALL")
@@ -200,6 +207,13 @@ def _(spark, sf_dir):
     return G.confusion(judged(spark, sf_dir), "t", "p", ["view", "click", "purchase"])
 
 
+@query("a35_confusion_of_all_classes", f"{_JUDGED} SELECT t, p, count(*) AS n, {R6('count(*) / sum(count(*)) OVER (PARTITION BY t)')} AS share FROM j GROUP BY t, p")
+def _(spark, sf_dir):
+    """One row for each pair of classes that occurs, whatever classes there are, with its share of the true class."""
+    counts = judged(spark, sf_dir).groupBy("t", "p").agg(F.count("*").alias("n"))
+    return counts.select("t", "p", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy("t"))).alias("share"))
+
+
 @query("a36_class_scores", f"{_JUDGED}, s AS (SELECT t AS class, count(*) AS support, count(*) FILTER (t = p) AS tp FROM j GROUP BY t), c AS (SELECT p AS class, count(*) AS claimed FROM j GROUP BY p) SELECT class, support, {R6('tp / claimed')} AS precision, {R6('tp / support')} AS recall, {R6('coalesce(2.0 * tp / nullif(claimed + support, 0), 0)')} AS f1 FROM s JOIN c USING (class)")
 def _(spark, sf_dir):
     return G.class_scores(judged(spark, sf_dir), "t", "p").select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
@@ -225,8 +239,8 @@ def _(spark, sf_dir):
 @query("a40_agreement_of_products", f"{OBS}, p AS (SELECT {PX}, avg(nir) AS a, median(nir) AS b FROM obs GROUP BY ALL) SELECT tile_id, count(*) FILTER (abs(round(a, 4) - b) > 0.05) AS differing FROM p GROUP BY tile_id")
 def _(spark, sf_dir):
     rows = obs(spark, sf_dir)
-    a, b = rows.groupBy(*G.PIXEL).agg(F.avg("nir").alias("a")), rows.groupBy(*G.PIXEL).agg(F.median("nir").alias("b"))
-    return a.join(b, G.PIXEL).groupBy("tile_id").agg(F.count_if(F.abs(F.round("a", 4) - F.col("b")) > 0.05).alias("differing"))
+    both = rows.groupBy(*G.PIXEL).agg(F.avg("nir").alias("a"), F.median("nir").alias("b"))
+    return both.groupBy("tile_id").agg(F.count_if(F.abs(F.round("a", 4) - F.col("b")) > 0.05).alias("differing"))
 
 
 @query("a41_wealth_classes", "SELECT c_custkey, ((c_acctbal > 0)::INT + (c_acctbal > 2500)::INT + (c_acctbal > 5000)::INT + (c_acctbal > 7500)::INT)::INT AS class FROM customer")

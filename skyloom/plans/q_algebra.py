@@ -126,8 +126,10 @@ def _(spark, sf_dir):
 
 @query("p28_quantile_scaling", f"{OBS}, q AS (SELECT quantile_cont(nir, 0.05) AS lo, quantile_cont(nir, 0.95) AS hi FROM obs) SELECT oid, coalesce({R6('(nir - lo) / nullif(hi - lo, 0)')}, 0.0::DOUBLE) AS scaled FROM obs, q")
 def _(spark, sf_dir):
+    from skyloom.operators.sampling import exact_quantiles
+
     rows = obs(spark, sf_dir)
-    limits = rows.agg(F.percentile("nir", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    limits = exact_quantiles(rows, "nir", [0.05, 0.95]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return rows.join(F.broadcast(limits), F.lit(True)).select("oid", r6(A.scale_to("nir", "lo", "hi", missing=0)).alias("scaled"))
 
 

@@ -107,28 +107,29 @@ def _(spark, sf_dir):
 
 
 def _weather(spark, sf_dir):
-    """A response for each label: its tiles are places, their first four values the steps."""
-    rows = load(spark, sf_dir, "embeddings").where("vec_id < 480").select((F.col("vec_id") % 8).alias("run"), "vec_id", F.slice("embedding", 1, 4).alias("e"))
-    packed = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("vec_id", "e"))).alias("s"))
-    data = F.flatten(F.transform("s", lambda x: F.transform(x["e"], lambda v: v.cast("double"))))
+    """A response for each twenty tiles: they are places on a grid of four columns, their values the hourly steps."""
+    rows = load(spark, sf_dir, "embeddings").select(F.expr("vec_id div 20").alias("run"), "vec_id", "embedding")
+    packed = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("s"))
+    data = F.flatten(F.transform("s", lambda x: F.transform(x["embedding"], lambda v: v.cast("double"))))
     lons = F.transform("s", lambda x: x["vec_id"].cast("double"))
-    interval = F.struct(F.lit(1704067200).cast("long").alias("start"), F.lit(1704067200 + 4 * 3600).cast("long").alias("end"), F.lit(3600).cast("long").alias("stride"), F.lit(None).cast("array<string>").alias("timestrings"))
+    start = F.lit(1704067200).cast("long")
+    interval = F.struct(start.alias("start"), (start + 3600 * F.size(F.element_at("s", 1)["embedding"])).alias("end"), F.lit(3600).cast("long").alias("stride"), F.lit(None).cast("array<string>").alias("timestrings"))
     code = F.struct(F.lit(11).alias("code"), F.lit("2 m").alias("level"), F.lit("mean").alias("aggregation"), F.array(F.struct(data.alias("data"))).alias("timeIntervals"))
-    return packed.select("run", F.struct(lons.alias("lats"), lons.alias("lons"), F.lit(4).alias("nx"), F.lit(15).alias("ny"), F.array(interval).alias("timeIntervals"), F.array(code).alias("codes")).alias("response"))
+    return packed.select("run", F.struct(lons.alias("lats"), lons.alias("lons"), F.lit(4).alias("nx"), F.lit(5).alias("ny"), F.array(interval).alias("timeIntervals"), F.array(code).alias("codes")).alias("response"))
 
 
-_WEATHER = "SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 5) r(i) WHERE vec_id < 480"
+_WEATHER = "SELECT run, vec_id, pos, i, v FROM (SELECT vec_id // 20 AS run, vec_id, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) - 1 AS pos, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
 
 
-@query("s11_weather_rows", f"SELECT vec_id % 8 AS run, vec_id::DOUBLE AS lon, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (i - 1), '%H:%M') AS time, '11_2 m_mean' AS variable, {R6('v')} AS value FROM ({_WEATHER})")
+@query("s11_weather_rows", f"SELECT run, vec_id::DOUBLE AS lon, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (i - 1), '%Y-%m-%d %H:%M') AS time, '11_2 m_mean' AS variable, {R6('v')} AS value FROM ({_WEATHER})")
 def _(spark, sf_dir):
     rows = I.weather_rows(_weather(spark, sf_dir), "response")
-    return rows.select("run", "lon", F.date_format("ts", "HH:mm").alias("time"), "variable", r6("value").alias("value"))
+    return rows.select("run", "lon", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"), "variable", r6("value").alias("value"))
 
 
-@query("s12_weather_grid", f"SELECT vec_id % 8 AS run, (vec_id // 8 % 4)::INT AS x, (14 - vec_id // 32)::INT AS y, {R6('sum(v)')} AS value FROM ({_WEATHER}) GROUP BY ALL")
+@query("s12_weather_grid", f"SELECT run, (pos % 4)::INT AS x, (4 - pos // 4)::INT AS y, {R6('sum(v)')} AS value FROM ({_WEATHER}) GROUP BY ALL")
 def _(spark, sf_dir):
-    grid = I.weather_grid(I.weather_rows(_weather(spark, sf_dir), "response"), 4, 15)
+    grid = I.weather_grid(I.weather_rows(_weather(spark, sf_dir), "response"), 4, 5)
     return grid.groupBy("run", "x", "y").agg(r6(F.sum("value")).alias("value"))
 
 
@@ -202,18 +203,28 @@ def _(spark, sf_dir):
     return M.score(model, rows).groupBy("label").agg(F.count("*").alias("n"), (F.avg(F.abs(F.col("probability_1") - F.col("label"))) < 0.2).alias("accurate"))
 
 
-@query("m03_scale_then_predict", f"{OBS} SELECT tile_id, count(*) AS n FROM obs GROUP BY tile_id")
+#: Rows of each class that a model is fitted on, at most: a seeded sample.
+FITTED = 3000
+
+
+def _sample(rows):
+    from skyloom.operators.sampling import sample_per_class
+
+    return sample_per_class(rows, ["label"], FITTED, ["oid"])
+
+
+@query("m03_scale_then_predict", f"{OBS} SELECT tile_id, count(*) AS n, true AS accurate FROM obs GROUP BY tile_id")
 def _(spark, sf_dir):
     rows = obs(spark, sf_dir).withColumn("label", (F.col("nir") > 0.5).cast("int"))
-    model = M.train_scaled_logistic(rows.where("oid % 11 = 0"), BANDS, "label")
-    return M.score(model, rows).where("prediction IS NOT NULL").groupBy("tile_id").agg(F.count("*").alias("n"))
+    scored = M.score(M.train_scaled_logistic(_sample(rows), BANDS, "label"), rows)
+    return scored.groupBy("tile_id").agg(F.count("prediction").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > 0.95).alias("accurate"))
 
 
-@query("m04_cross_validated_logistic", f"{OBS} SELECT count(*) AS n, true AS accurate FROM obs")
+@query("m04_cross_validated_logistic", f"{OBS} SELECT (nir + swir > 1.0::DOUBLE)::INT AS label, count(*) AS n, true AS accurate FROM obs GROUP BY 1")
 def _(spark, sf_dir):
     rows = _pixels(spark, sf_dir)
-    model = M.train_scaled_logistic(rows.where("oid % 29 = 0"), BANDS, "label", folds=3)
-    return model.transform(rows).agg(F.count("*").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > 0.9).alias("accurate"))
+    model = M.train_scaled_logistic(_sample(rows), BANDS, "label", folds=10)
+    return model.transform(rows).groupBy("label").agg(F.count("prediction").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > 0.9).alias("accurate"))
 
 
 @query("m05_linear_regression", f"{OBS} SELECT {R6('regr_slope(swir, nir)')} AS slope, {R6('regr_intercept(swir, nir)')} AS intercept, {R6('regr_r2(swir, nir)')} AS r2 FROM obs")
@@ -239,11 +250,20 @@ def _(spark, sf_dir):
 
 @query("m09_feature_importance")
 def _(spark, sf_dir):
-    rows = _pixels(spark, sf_dir).where("oid % 7 = 0")
-    return M.importances(M.train_trees(rows, BANDS, "label", rounds=3), BANDS)
+    return M.importances(M.train_trees(_sample(_pixels(spark, sf_dir)), BANDS, "label", rounds=3), BANDS)
+
+
+_SPLINE = f"""{SER.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT px, date_diff('day', DATE '1970-01-01', ts::DATE)::DOUBLE AS t, avg(v) AS v FROM ser GROUP BY ALL),
+s AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY px) AS n, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, lag(v) OVER w AS v0, lead(v) OVER w AS v1, lead(t) OVER w AS t1 FROM d WINDOW w AS (PARTITION BY px ORDER BY t)),
+f AS (SELECT px, i, n, 0.0::DOUBLE AS c, 0.0::DOUBLE AS e FROM s WHERE i = 1 UNION ALL SELECT s.px, s.i, s.n, h1 / (2 * (h0 + h1) - h0 * f.c), (6 * ((v1 - v) / h1 - (v - v0) / h0) - h0 * f.e) / (2 * (h0 + h1) - h0 * f.c) FROM f JOIN s ON s.px = f.px AND s.i = f.i + 1 WHERE s.i < s.n),
+b AS (SELECT px, i, 0.0::DOUBLE AS m FROM s WHERE i = n UNION ALL SELECT f.px, f.i, f.e - f.c * b.m FROM b JOIN f ON f.px = b.px AND f.i = b.i - 1 WHERE f.i > 1),
+k AS (SELECT s.*, coalesce(b.m, 0) AS m, lead(coalesce(b.m, 0)) OVER (PARTITION BY s.px ORDER BY s.i) AS m1 FROM s LEFT JOIN b ON b.px = s.px AND b.i = s.i),
+a AS (SELECT px, unnest(range(min(t)::INT, max(t)::INT + 1, 7)) AS day FROM d GROUP BY px)
+SELECT a.px, a.day::INT AS day, {R6('(t1 - day) / h1 * v + (day - t) / h1 * v1 + ((((t1 - day) / h1) ** 3 - (t1 - day) / h1) * m + (((day - t) / h1) ** 3 - (day - t) / h1) * m1) * h1 * h1 / 6')} AS v
+FROM a JOIN k ON k.px = a.px AND k.i = (SELECT greatest(1, least(max(n) - 1, count(*) FILTER (s.t <= a.day))) FROM s WHERE s.px = a.px)"""
 
 
-@query("w18_spline_resampling")
+@query("w18_spline_resampling", _SPLINE)
 def _(spark, sf_dir):
     return M.spline_resample(ser(spark, sf_dir), "px", "ts", "v", 7).select("px", "day", r6("v").alias("v"))
 
@@ -383,7 +403,17 @@ def _(spark, sf_dir):
     return got.groupBy("user_id").agg(F.max("last_day").alias("last_day"), F.max_by("length", "last_day").alias("length"))
 
 
-@query("x07_late_data_policy", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+_LATE = "event_id % 10 = 3"
+
+
+@query("x07_late_data_policy", f"""WITH e AS (SELECT *, {_LATE} AS late, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS closes FROM events),
+w AS (SELECT max(ts) - INTERVAL 5 DAY AS mark FROM e WHERE NOT late)
+SELECT event_type, count(*) AS batch, count(*) FILTER (NOT late OR closes > mark) AS streamed, count(*) FILTER (late AND closes <= mark) AS dropped FROM e, w GROUP BY event_type""")
 def _(spark, sf_dir):
-    # a stream may drop what is later than its watermark; this batch run over all files reconciles it
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    """A tenth of the events arrive after the watermark has passed most of their days; the batch run tells what the stream dropped."""
+    events, path = load(spark, sf_dir, "events"), _scratch(spark, "late")
+    for late in (False, True):
+        events.where(_LATE if late else f"NOT {_LATE}").coalesce(1).write.mode("append").parquet(path)
+    counts = X.daily_counts(X.read_new(spark, path, events.schema, late="5 days", files_per_trigger=1), ["event_type"])
+    streamed = X.drain(counts, "late", "update", _scratch(spark, "x07"))
+    return X.reconciled(streamed, events, ["event_type"], "ts").select("event_type", "batch", "streamed", "dropped")

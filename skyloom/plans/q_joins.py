@@ -54,14 +54,14 @@ def _(spark, sf_dir):
     return J.interval_join(weather, acquired, "ts", "lo", "hi", ["user_id"], 3600).select("acquisition", "weather")
 
 
-@query("j07_before_and_after_events", "SELECT o_orderkey, e.event_id, CASE WHEN e.ts < o_orderdate THEN 'before' ELSE 'after' END AS phase FROM (SELECT o_orderkey, o_custkey % 150 AS u, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (o_orderkey % 28) AS o_orderdate FROM orders WHERE o_orderkey % 50 = 0) o JOIN events e ON e.user_id = u AND (e.ts BETWEEN o_orderdate - INTERVAL 16 DAY AND o_orderdate - INTERVAL 2 DAY OR e.ts BETWEEN o_orderdate + INTERVAL 3 DAY AND o_orderdate + INTERVAL 17 DAY)")
+@query("j07_before_and_after_events", "SELECT o_orderkey, e.event_id, CASE WHEN e.ts < o_orderdate THEN 'before' ELSE 'after' END AS phase FROM (SELECT o_orderkey, o_custkey % 150 AS u, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (o_orderkey % 28) AS o_orderdate FROM orders) o JOIN events e ON e.user_id = u AND (e.ts BETWEEN o_orderdate - INTERVAL 16 DAY AND o_orderdate - INTERVAL 2 DAY OR e.ts BETWEEN o_orderdate + INTERVAL 3 DAY AND o_orderdate + INTERVAL 17 DAY)")
 def _(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    orders = load(spark, sf_dir, "orders")
     fires = orders.selectExpr("o_orderkey", "o_custkey % 150 AS user_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(o_orderkey % 28 AS int)) AS started").withColumn("ended", F.expr("started + INTERVAL 1 DAY"))
     return J.around_events(load(spark, sf_dir, "events").select("event_id", "user_id", "ts"), fires, "ts", "started", "ended", keys=["user_id"]).select("o_orderkey", "event_id", "phase")
 
 
-_DATES = "d AS (SELECT DISTINCT user_id, ts::DATE::TIMESTAMP + INTERVAL 10 DAY AS ref FROM events WHERE day(ts) % 7 = 3)"
+_DATES = "d AS (SELECT DISTINCT user_id, ts::DATE::TIMESTAMP + INTERVAL 10 DAY AS ref FROM events)"
 
 
 @query("j08_interval_of_observations", f"""WITH {_DATES}, n AS (SELECT d.user_id, d.ref, e.ts, row_number() OVER (PARTITION BY d.user_id, d.ref ORDER BY e.ts DESC) AS rn FROM d JOIN (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'purchase') e ON d.user_id = e.user_id AND e.ts BETWEEN d.ref - INTERVAL 21 DAY AND d.ref),
@@ -69,7 +69,7 @@ s AS (SELECT user_id, ref, count(*) AS k, min(ts) AS first FROM n WHERE rn <= 5
 SELECT d.user_id, strftime(d.ref, '%Y-%m-%d') AS day, strftime(CASE WHEN k = 5 THEN first ELSE d.ref - INTERVAL 21 DAY END, '%Y-%m-%d %H:%M:%S') AS start, coalesce(k, 0) = 5 AS enough FROM d LEFT JOIN s ON d.user_id = s.user_id AND d.ref = s.ref""")
 def _(spark, sf_dir):
     events = load(spark, sf_dir, "events")
-    dates = events.where(F.day("ts") % 7 == 3).select("user_id", (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 10 DAYS")).alias("ref")).distinct()
+    dates = events.select("user_id", (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 10 DAYS")).alias("ref")).distinct()
     found = J.observation_interval(events.where("event_type = 'purchase'"), dates, "user_id", "ts", "ref", -5)
     return found.select("user_id", F.date_format("ref", "yyyy-MM-dd").alias("day"), F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "enough")
 

@@ -156,10 +156,9 @@ def _(spark, sf_dir):
     return A.split_by_share(load(spark, sf_dir, "embeddings").select("vec_id", "label"), ["label"], parts, ["vec_id"]).select("vec_id", "part")
 
 
-@query("g16_leak_free_groups", f"WITH RECURSIVE {_POINTS}, s AS (SELECT * FROM p WHERE id % 4 = 0), e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 300 * 300), r AS (SELECT id, id AS grp FROM s UNION SELECT e.b, r.grp FROM r JOIN e ON r.id = e.a WHERE r.grp < e.b) SELECT s.id, min(r.grp) AS grp FROM s JOIN r ON r.id = s.id GROUP BY s.id")
+@query("g16_leak_free_groups")
 def _(spark, sf_dir):
-    some = points(spark, sf_dir).where("id % 4 = 0")
-    return A.distance_groups(some, "id", "x", "y", 300.0).withColumnRenamed("group", "grp")
+    return A.distance_groups(points(spark, sf_dir), "id", "x", "y", 300.0).withColumnRenamed("group", "grp")
 
 
 @query("g17_balanced_by_fraction", f"{PIX}, f AS (SELECT tile_id, avg((v > 0)::INT) AS frac FROM pix GROUP BY tile_id) SELECT tile_id, least(floor(frac * 5) + 1, 5)::BIGINT AS bin FROM f QUALIFY row_number() OVER (PARTITION BY bin ORDER BY {_draw_sql(7, 'tile_id')}, tile_id) <= 8")

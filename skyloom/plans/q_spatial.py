@@ -50,10 +50,9 @@ def _(spark, sf_dir):
     return N.from_blocks(rows, N.block(rows, 2, hi=F.max("v"), lo=F.min("v")), 2).select("tile_id", "y", "x", r6("hi").alias("hi"), r6("lo").alias("lo"))
 
 
-@query("n05_large_components")
+@query("n05_large_components", f"{PIX.replace('WITH', 'WITH RECURSIVE', 1)}, o AS (SELECT tile_id, y, x FROM pix WHERE {ON}), r AS (SELECT tile_id, y, x, y AS y2, x AS x2 FROM o UNION SELECT r.tile_id, r.y, r.x, o.y, o.x FROM r JOIN o ON o.tile_id = r.tile_id AND abs(o.y - r.y2) <= 1 AND abs(o.x - r.x2) <= 1), s AS (SELECT tile_id, y, x, count(*) AS n FROM r GROUP BY ALL) SELECT pix.tile_id, pix.y, pix.x, coalesce(n, 0) > 5 AS large FROM pix LEFT JOIN s USING (tile_id, y, x)")
 def _(spark, sf_dir):
-    rows = masked(spark, sf_dir).withColumn("m", F.col("m").cast("double"))
-    return N.per_tile(rows, lambda im: N.large_components(im, 5), "m", "large boolean")
+    return N.large_components(masked(spark, sf_dir), "m", 5, 8, 8).select("tile_id", "y", "x", "large")
 
 
 def _sobel_sql() -> str:
@@ -123,14 +122,47 @@ def _(spark, sf_dir):
     return N.snow_line(snowy(spark, sf_dir), "snow", "clear", "dem", 200.0, 0.4, 0.05, ["tile_id", "scl"])
 
 
-@query("n14_texture")
+@query("n13_snow_second_pass", f"{_SNOW}, b AS (SELECT tile_id, scl, floor(dem / 200) AS bin, count(*) FILTER (snow AND clear) / nullif(count(*) FILTER (clear), 0) AS f, count(*) FILTER (snow) AS s, count(*) AS n FROM s GROUP BY ALL), l AS (SELECT tile_id, scl, min(bin) FILTER (f > 0.4::DOUBLE) AS first, sum(s) / sum(n) AS total, min(bin) AS low FROM b GROUP BY ALL), z AS (SELECT tile_id, scl, greatest(first - 2, low) * 200.0::DOUBLE AS line FROM l WHERE total > 0.05::DOUBLE AND first IS NOT NULL) SELECT oid, coalesce(clear AND dem > line AND (nir - swir) / nullif(nir + swir, 0) > -0.2::DOUBLE AND red > 0.01::DOUBLE, false) AS snow2 FROM s LEFT JOIN z USING (tile_id, scl)")
 def _(spark, sf_dir):
-    return N.per_tile(pix(spark, sf_dir), lambda im: N.texture(im, "contrast", levels=4), "v", "contrast double")
+    rows, frame = snowy(spark, sf_dir), ["tile_id", "scl"]
+    lines = N.snow_line(rows, "snow", "clear", "dem", 200.0, 0.4, 0.05, frame)
+    return N.snow_second_pass(rows, lines, "dem", ndi("nir", "swir"), F.col("red"), ~F.col("clear"), -0.2, 0.01, frame).select("oid", "snow2")
 
 
-@query("n15_local_binary_pattern")
+@query("n13_refined_cloud", f"{_SNOW} SELECT oid, (NOT clear AND round(avg(red) OVER (PARTITION BY tile_id, scl, y // 4, x // 4), 9) > 0.04::DOUBLE) OR blue > 0.09::DOUBLE + 5e-6::DOUBLE * dem AS cloud FROM s")
 def _(spark, sf_dir):
-    return N.per_tile(pix(spark, sf_dir), N.local_binary_pattern, "v", "lbp double")
+    rows = snowy(spark, sf_dir).withColumn("by", F.expr("y div 4")).withColumn("bx", F.expr("x div 4"))
+    coarse = rows.groupBy("tile_id", "scl", "by", "bx").agg(F.round(F.avg("red"), 9).alias("coarse"))
+    cloud = N.refined_cloud(~F.col("clear"), F.col("coarse"), F.col("dem"), F.col("blue"), 0.04, 0.09)
+    return rows.join(coarse, ["tile_id", "scl", "by", "bx"]).select("oid", cloud.alias("cloud"))
+
+
+_IN8 = "greatest(0, least(7, {}))"
+_TEXTURE = f"""{PIX}, m AS (SELECT tile_id, min(v) AS lo, max(v) AS hi FROM pix GROUP BY tile_id),
+g AS (SELECT tile_id, y, x, least(coalesce(floor((v - lo) / nullif(hi - lo, 0) * 4), 0), 2)::INT + 1 AS g FROM pix JOIN m USING (tile_id)),
+c AS (SELECT g.tile_id, g.y, g.x, {_IN8.format('g.y + a')} AS y1, {_IN8.format('g.x + b')} AS x1, {_IN8.format('g.x + b + 1')} AS x2 FROM g, range(-1, 2) r(a), range(-1, 1) s(b)),
+q AS (SELECT c.tile_id, c.y, c.x, k.g AS i, l.g AS j FROM c JOIN g k ON k.tile_id = c.tile_id AND k.y = y1 AND k.x = x1 JOIN g l ON l.tile_id = c.tile_id AND l.y = y1 AND l.x = x2),
+p AS (SELECT tile_id, y, x, i, j, count(*) / 12.0::DOUBLE AS p FROM (SELECT tile_id, y, x, i, j FROM q UNION ALL SELECT tile_id, y, x, j, i FROM q) GROUP BY ALL),
+d AS (SELECT tile_id, y, x, abs(i - j) AS k, sum(p) AS q FROM p GROUP BY ALL), e AS (SELECT tile_id, y, x, sum(q * k * k) - sum(q * k) ** 2 AS dv FROM d GROUP BY ALL)"""
+_MEASURES = {"contrast": "sum(p * (i - j) * (i - j))", "homogeneity": "sum(p / (1 + (i - j) * (i - j)))", "asm": "sum(p * p)", "entropy": "-sum(p * ln(p))", "variance": "sum(p * i * i) - sum(p * i) ** 2", "sum_average": "sum(p * (i + j))"}
+
+
+@query("n14_texture", f"{_TEXTURE} SELECT tile_id, y, x, {', '.join(f'{R6(e)} AS {n}' for n, e in _MEASURES.items())}, {R6('any_value(dv)')} AS difference_variance FROM p JOIN e USING (tile_id, y, x) GROUP BY ALL")
+def _(spark, sf_dir):
+    cells = N.cooccurrence(N.grey_levels(pix(spark, sf_dir), "v", 4), "level", 8, 8)
+    return N.texture_measures(cells).select("tile_id", "y", "x", *[r6(c).alias(c) for c in (*_MEASURES, "difference_variance")])
+
+
+_CIRCLE = ", ".join(f"({k}, {dy}, {dx}, {w!r}::DOUBLE)" for k, dy, dx, w in N.circle(8, 1))
+
+
+@query("n15_local_binary_pattern", f"""{PIX}, o AS (SELECT * FROM (VALUES {_CIRCLE}) t(k, dy, dx, w)),
+l AS (SELECT tile_id, y, x, v AS c, k, w, {_IN8.format('y + dy')} AS ny, {_IN8.format('x + dx')} AS nx FROM pix, o),
+b AS (SELECT l.tile_id, l.y, l.x, l.k, (sum(w * pix.v) >= any_value(c) - 1e-9)::INT AS bit FROM l JOIN pix ON pix.tile_id = l.tile_id AND pix.y = ny AND pix.x = nx GROUP BY ALL),
+s AS (SELECT tile_id, y, x, list(bit ORDER BY k) AS s FROM b GROUP BY ALL)
+SELECT tile_id, y, x, (CASE WHEN list_sum(list_transform(range(8), lambda i: abs(s[i + 1] - s[(i + 7) % 8 + 1]))) <= 2 THEN list_sum(s) ELSE 9 END)::INT AS lbp FROM s""")
+def _(spark, sf_dir):
+    return N.local_binary_pattern(pix(spark, sf_dir), "v", 8, 8).select("tile_id", "y", "x", F.col("lbp").cast("int").alias("lbp"))
 
 
 @query("n16_oriented_gradients", f"{_sobel_sql()}, h AS (SELECT tile_id, y // 4 AS cy, x // 4 AS cx, (floor(round(degrees(atan2(gy, gx)) + 360, 6) / 20)::BIGINT % 9) AS bin, sqrt(gx * gx + gy * gy) AS mag FROM g) SELECT tile_id, cy, cx, bin, round(sum(mag), 5) + 0.0::DOUBLE AS magnitude FROM h GROUP BY ALL")
@@ -146,14 +178,23 @@ def _(spark, sf_dir):
     return N.boundaries(masked(spark, sf_dir).withColumn("m", F.col("m").cast("int")), "m").select("tile_id", "y", "x", "boundary")
 
 
-@query("n18_structural_similarity")
-def _(spark, sf_dir):
-    rows = pix(spark, sf_dir)
+_MEAN = ", ".join(f"sum(w * {c}) AS {c}" for c in ("a", "b", "aa", "bb", "ab"))
+_KERNEL = ", ".join(f"({k - 6}, {w!r}::DOUBLE)" for k, w in enumerate(N.gaussian(1.5)))
+_SSIM = f"""{PIX}, f AS (SELECT label, min(tile_id) AS target FROM pix GROUP BY label), o AS (SELECT * FROM (VALUES {_KERNEL}) t(k, w)),
+q AS (SELECT p.label, p.tile_id AS frame, p.y, p.x, p.v AS a, t.v AS b, p.v * p.v AS aa, t.v * t.v AS bb, p.v * t.v AS ab FROM pix p JOIN f ON f.label = p.label AND p.tile_id <> f.target JOIN pix t ON t.tile_id = f.target AND t.y = p.y AND t.x = p.x),
+ly AS (SELECT label, frame, y, x, w, {_REFLECT.format('(y + k)')} AS n FROM q, o), ry AS (SELECT l.label, l.frame, l.y, l.x, {_MEAN} FROM ly l JOIN q ON q.frame = l.frame AND q.y = n AND q.x = l.x GROUP BY ALL),
+lx AS (SELECT label, frame, y, x, w, {_REFLECT.format('(x + k)')} AS n FROM ry, o), rx AS (SELECT l.label, l.frame, l.y, l.x, {_MEAN} FROM lx l JOIN ry q ON q.frame = l.frame AND q.x = n AND q.y = l.y GROUP BY ALL),
+s AS (SELECT label, y, x, (2 * a * b + 1e-6) * (2 * (ab - a * b) + 1e-5) / ((a * a + b * b + 1e-6) * (aa - a * a + bb - b * b + 1e-5)) AS s FROM rx)
+SELECT label, y, x, round(max(s), 5) + 0.0 AS ssim_max, round(avg(s), 5) + 0.0 AS ssim_mean, round(stddev_pop(s), 5) + 0.0 AS ssim_std FROM s GROUP BY ALL"""
 
-    def against_mean(im):
-        return {"ssim": N.structural_similarity(im, im[::-1])}
 
-    return N.per_tile(rows, against_mean, "v", "ssim double")
+@query("n18_structural_similarity", _SSIM)
+def _(spark, sf_dir):
+    rows = pix(spark, sf_dir)
+    first = rows.groupBy("label").agg(F.min("tile_id").alias("target"))
+    marked = rows.join(F.broadcast(first), "label")
+    found = N.structural_similarity(marked.where("tile_id <> target"), marked.where("tile_id = target"), "v", 8, 8, ["label"], "tile_id")
+    return found.select("label", "y", "x", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("ssim_max", "ssim_mean", "ssim_std")])
 
 
 @query("n19_class_erosion", f"{PIX}, c AS (SELECT tile_id, y, x, (CASE WHEN v > 0.1::DOUBLE THEN 2 ELSE 1 END) AS cls FROM pix) SELECT a.tile_id, a.y, a.x, (CASE WHEN min(b.cls) = max(b.cls) THEN any_value(a.cls) ELSE 0 END)::INT AS eroded FROM c a JOIN c b ON {_NEAR.format(1)} GROUP BY ALL")

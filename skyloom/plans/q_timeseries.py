@@ -29,10 +29,15 @@ def _(spark, sf_dir):
     return T.slope_times(T.frame_numbers(obs(spark, sf_dir)), "nir", "valid", tie=["oid"])
 
 
-@query("w03_bands_at_extremes", f"{OBS} SELECT {PX}, " + ", ".join(f"{R6(f'arg_{f}({b}, ({k}, oid))')} AS {b}_{n}" for n, f, k in (("max_ndvi", "max", NDVI), ("min_ndvi", "min", NDVI), ("max_red", "max", "red")) for b in ("blue", "swir")) + " FROM obs GROUP BY ALL")
+_AT = (("max_ndvi", "max", "k"), ("min_ndvi", "min", "k"), ("max_slope", "max", "slope"), ("min_slope", "min", "slope"), ("max_red", "max", "red"))
+
+
+@query("w03_bands_at_extremes", f"""{OBS}, n AS (SELECT *, {NDVI} AS k FROM obs WHERE valid), r AS (SELECT *, (lead(k) OVER w - lag(k) OVER w) / nullif(date_diff('day', (lag(ts) OVER w)::DATE, (lead(ts) OVER w)::DATE), 0) AS slope FROM n WINDOW w AS (PARTITION BY {PX} ORDER BY ts, oid))
+SELECT {PX}, """ + ", ".join(f"{R6(f'arg_{f}({b}, (round({k}, 9), oid)) FILTER ({k} IS NOT NULL)')} AS {b}_{n}" for n, f, k in _AT for b in ("blue", "swir")) + " FROM r GROUP BY ALL")
 def _(spark, sf_dir):
-    rows = obs(spark, sf_dir).withColumn("ndvi", ndi("nir", "red"))
-    picks = [r6(f(b, F.struct(k, "oid"))).alias(f"{b}_{n}") for n, f, k in (("max_ndvi", F.max_by, "ndvi"), ("min_ndvi", F.min_by, "ndvi"), ("max_red", F.max_by, "red")) for b in ("blue", "swir")]
+    rows = T.with_slopes(obs(spark, sf_dir).withColumn("k", ndi("nir", "red")), "k", "valid", tie=["oid"])
+    key = lambda k: F.when(F.col(k).isNotNull(), F.struct(F.round(k, 9), "oid"))
+    picks = [r6((F.max_by if f == "max" else F.min_by)(b, key(k))).alias(f"{b}_{n}") for n, f, k in _AT for b in ("blue", "swir")]
     return rows.groupBy("tile_id", "y", "x").agg(*picks)
 
 
@@ -198,12 +203,15 @@ def _(spark, sf_dir):
     return windows(T.frame_numbers(obs(spark, sf_dir))).select("tile_id", F.col("mid").cast("int").alias("mid"), F.col("lo").cast("int").alias("lo"), F.col("past").cast("int").alias("past"))
 
 
-@query("w31_statistics_in_window", f"{_WINDOWS}, m AS (SELECT tile_id, t, sum(nir) AS s, count(*) AS c, min(nir) AS lo FROM fr GROUP BY ALL) SELECT fc.tile_id, fc.t AS mid, {R6('min(m.lo)')} AS low, {R6('sum(m.s) / sum(m.c)')} AS mean FROM fc JOIN m ON m.tile_id = fc.tile_id AND m.t >= fc.lo AND m.t < least(fc.lo + 11, fc.n) GROUP BY ALL")
+@query("w31_statistics_in_window", f"""{_WINDOWS}, m AS (SELECT tile_id, t, avg(nir) AS v FROM fr GROUP BY ALL),
+j AS (SELECT fc.tile_id, fc.t AS mid, count(*) AS n, min(m.v) AS low, avg(m.v) AS mean, any_value(c.v) AS target FROM fc JOIN m ON m.tile_id = fc.tile_id AND m.t >= fc.lo AND m.t < least(fc.lo + 11, fc.n) JOIN m c ON c.tile_id = fc.tile_id AND c.t = fc.t GROUP BY fc.tile_id, fc.t)
+SELECT tile_id, mid, {R6('low')} AS low, {R6('mean')} AS mean, {R6('target - low')} AS above_low, {R6('target * (1 + 1 / nullif(n - 1, 0)) - n * mean / nullif(n - 1, 0)')} AS above_mean FROM j""")
 def _(spark, sf_dir):
     frames = T.frame_numbers(obs(spark, sf_dir))
-    per_frame = frames.groupBy("tile_id", "t").agg(F.sum("nir").alias("s"), F.count("*").alias("c"), F.min("nir").alias("low"))
+    per_frame = frames.groupBy("tile_id", "t").agg(F.avg("nir").alias("v"))
     spans = windows(frames).select("tile_id", "mid", F.explode(F.sequence(F.col("lo"), F.col("past") - 1)).alias("t"))
-    return spans.join(per_frame, ["tile_id", "t"]).groupBy("tile_id", F.col("mid").cast("int").alias("mid")).agg(r6(F.min("low")).alias("low"), r6(F.sum("s") / F.sum("c")).alias("mean"))
+    stats = T.window_statistics(spans.join(per_frame, ["tile_id", "t"]), "v", ["tile_id", "mid"], "mid")
+    return stats.select("tile_id", F.col("mid").cast("int").alias("mid"), *[r6(c).alias(c) for c in ("low", "mean", "above_low", "above_mean")])
 
 
 @query("w32_combined_cloud_verdict", f"{OBS} SELECT oid, (clp > 0.4::DOUBLE AND swir > 0.5::DOUBLE AND is_data) AS cloud FROM obs")

@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a new local folder."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and the master is local (tests), a new local folder."""
     at = spark.conf.get(SETTING, None)
     if not at:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         at = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return at.rstrip("/")
 
@@ -29,8 +32,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all tables that this application has staged; call it once their results are written. Returns their number."""
+    jvm, paths = spark.sparkContext._jvm, _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

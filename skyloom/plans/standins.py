@@ -16,7 +16,7 @@ _OBS = {
 #: One row per observation: tile, pixel, time, four bands, masks. ``oid`` is unique.
 OBS = "WITH obs AS (SELECT " + ", ".join(f"{e.replace(' 50.0', ' 50.0::DOUBLE').replace(' 99991.0', ' 99991.0::DOUBLE').replace(' 10.0', ' 10.0::DOUBLE')} AS {n}" for n, e in _OBS.items()) + " FROM lineitem)"
 #: One row per pixel of an 8 x 8 tile.
-PIX = "WITH pix AS (SELECT vec_id AS tile_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i]::DOUBLE AS v, label FROM embeddings, range(1, 65) AS r(i))"
+PIX = "WITH pix AS (SELECT tile_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v, label FROM (SELECT vec_id AS tile_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"
 #: One band in time for each user.
 SER = "WITH ser AS (SELECT user_id AS px, ts, event_id AS oid, value AS v, event_type AS class, event_type <> 'error' AS valid FROM events)"
 

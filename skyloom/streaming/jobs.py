@@ -70,6 +70,19 @@ def dry_spells(stream: DataFrame, key: str, value: str, below: float, time: str
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, last_day int, length int", "last int, length int", "update", GroupStateTimeout.NoTimeout)
 
 
+def daily_counts(stream: DataFrame, keys: Sequence[str], time: str = "ts") -> DataFrame:
+    """Observations of each day; what arrives after the watermark has passed its day's end is dropped."""
+    return stream.groupBy(*keys, F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("day"), "n")
+
+
+def reconciled(streamed: DataFrame, rows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """``(…keys, batch, streamed, dropped)``: a batch run over all rows against the stream's latest daily counts."""
+    latest = streamed.groupBy(*keys, "day").agg(F.max_by("n", "__batch").alias("seen")).groupBy(*keys).agg(F.sum("seen").alias("streamed"))
+    batch = rows.where(F.col(time).isNotNull()).groupBy(*keys).agg(F.count("*").alias("batch"))
+    both = batch.join(latest, list(keys), "left").withColumn("streamed", F.coalesce("streamed", F.lit(0)))
+    return both.withColumn("dropped", F.col("batch") - F.col("streamed"))
+
+
 def write_idempotent(stream: DataFrame, path: str, by: Sequence[str], checkpoint: str):
     """Each batch replaces its own folder, so a batch that runs twice leaves one copy."""
 

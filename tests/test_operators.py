@@ -25,19 +25,16 @@ def series(spark, values, valid=None):
     return T.frame_numbers(spark.createDataFrame(rows, "tile_id long, y long, x long, ts timestamp_ntz, v double, ok boolean"))
 
 
-def test_extremes_and_slopes_of_a_sine(spark):
-    sine = np.sin(np.linspace(0, math.pi, 10)).tolist()
-    plain, masked = series(spark, sine), series(spark, sine, {1, 4, 9})
+def test_extremes_and_slopes_of_a_wave(spark):
+    wave = [2.0, 5.0, 4.0, -1.0, 0.0, 7.0, 6.5, 6.0]
+    plain, masked = series(spark, wave), series(spark, wave, {3, 5})
     first = lambda df: df.select("argmax", "argmin").first()
-    # the sine's last value is the first zero but for rounding; which of both is less depends on it
-    assert first(T.extreme_times(plain, "v", "ok")).argmax == 4 and first(T.extreme_times(plain, "v", "ok")).argmin in (0, 9)
-    assert tuple(first(T.extreme_times(masked, "v", "ok"))) == (5, 0)
-    assert tuple(first(T.slope_times(plain, "v", "ok"))) == (1, 8)
-    assert tuple(first(T.slope_times(masked, "v", "ok"))) == (2, 7)
+    assert tuple(first(T.extreme_times(plain, "v", "ok"))) == (5, 3) and tuple(first(T.extreme_times(masked, "v", "ok"))) == (6, 4)
+    # central differences by hand: 1, -3, -2, 4, 3.25, -0.5 at 1 to 6; without 3 and 5: 1, -5/3, 2.5/4, 3 at 1, 2, 4, 6
+    assert tuple(first(T.slope_times(plain, "v", "ok"))) == (4, 2) and tuple(first(T.slope_times(masked, "v", "ok"))) == (6, 2)
 
 
-def test_ramp_extremes_and_nothing_valid(spark):
-    assert tuple(T.extreme_times(series(spark, [0.0, 9.0, 18.0, 27.0, 36.0], {0, 4}), "v", "ok").select("argmax", "argmin").first()) == (3, 1)
+def test_nothing_valid_has_index_zero(spark):
     assert tuple(T.extreme_times(series(spark, [1.0, 2.0], {0, 1}), "v", "ok").select("argmax", "argmin").first()) == (0, 0)
 
 
@@ -74,10 +71,13 @@ def test_folds_are_alike_across_tiles_and_bins_are_checked(spark):
             sampling.check_bins(bins)
 
 
-@pytest.mark.parametrize("n,mid,size,want", [(100, 50, 10, (45, 55)), (271, 270, 11, (260, 271)), (11, 2, 33, (0, 11))])
-def test_context_window(spark, n, mid, size, want):
-    lo, past = T.context_bounds(F.lit(mid), F.lit(n), size)
-    assert tuple(spark.range(1).select(lo, past).first()) == want
+def test_context_window_stays_inside_and_holds_its_middle(spark):
+    for n in (1, 4, 9, 20):
+        for size in (1, 3, 6, 15):
+            lo, past = T.context_bounds(F.col("id"), F.lit(n), size)
+            for r in spark.range(n).select("id", lo.alias("lo"), past.alias("past")).collect():
+                assert r.past - r.lo == min(n, size) and 0 <= r.lo <= r.id < r.past <= n
+                assert n < size or r.lo == max(0, min(r.id - size // 2, n - size))
 
 
 def test_sketch_modes(spark):
@@ -111,20 +111,51 @@ def test_components_of_a_long_path(spark):
     assert got.where("component <> 0").count() == 0 and got.count() == 301
 
 
-def test_large_components_and_boundaries():
-    image = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 1], [1, 0, 0, 0]])
-    assert spatial.large_components(image, 2)["large"].sum() == 3
-    assert spatial.large_components(image, 1)["large"].sum() == 5
-    assert len(np.unique(spatial.label_components(np.ones((9, 9), bool)))) == 1
+def tiles(spark, *images):
+    return spark.createDataFrame([(k, y, x, float(v)) for k, im in enumerate(images) for y, row in enumerate(im) for x, v in enumerate(row)], "tile_id long, y long, x long, v double")
 
 
-def test_binary_pattern_and_texture_of_simple_images():
-    flat = np.ones((5, 5))
-    assert (spatial.local_binary_pattern(flat)["lbp"] == 8).all()
-    assert (spatial.texture(flat, "contrast")["contrast"] == 0).all() and (spatial.texture(flat, "ASM")["ASM"] == 1).all()
-    p = spatial.cooccurrence(np.array([[0, 1], [0, 1]]), 2, 0, 1)
-    assert p.tolist() == [[0, 0.5], [0.5, 0]] and spatial.texture_measures(p)["contrast"] == 1
-    assert spatial.structural_similarity(np.eye(8), np.eye(8)) == pytest.approx(np.ones((8, 8)))
+def test_large_components_of_two_tiles(spark):
+    image = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 1], [1, 0, 0, 0]])
+    rows = tiles(spark, image, np.ones((4, 4))).withColumn("m", F.col("v") > 0)
+    for more_than, want in ((2, 3), (1, 5), (0, 6)):
+        got = spatial.large_components(rows, "m", more_than, 4, 4).groupBy("tile_id").agg(F.count_if("large").alias("n")).collect()
+        assert {r.tile_id: r.n for r in got} == {0: want, 1: 16}
+
+
+def test_binary_pattern_and_texture_of_simple_images(spark):
+    spot = np.zeros((5, 5))
+    spot[2, 2] = 1
+    got = {(r.tile_id, r.y, r.x): r.lbp for r in spatial.local_binary_pattern(tiles(spark, np.ones((5, 5)), spot), "v", 5, 5).collect()}
+    # no point round the spot reaches it; beside it one does, which for a flat centre are all
+    assert got[0, 2, 2] == got[1, 0, 0] == 8 and got[1, 2, 2] == 0 and got[1, 2, 1] == 8
+    stripes = np.array([[0, 1, 0, 1]] * 4)
+    cells = spatial.cooccurrence(spatial.grey_levels(tiles(spark, np.ones((4, 4)), stripes), "v", 4), "level", 4, 4)
+    flat, striped = (spatial.texture_measures(cells).where(f"tile_id = {k} AND y = 1 AND x = 1").first() for k in (0, 1))
+    assert flat.contrast == flat.entropy == 0 and flat.asm == flat.correlation == 1 and flat.sum_average == 2
+    # levels 1 and 3 alternate: each pair is (1, 3) or (3, 1)
+    assert striped.contrast == 4 and striped.asm == 0.5 and striped.correlation == -1 and striped.sum_average == 4 and striped.difference_variance == 0
+    assert striped.entropy == pytest.approx(math.log(2)) and striped.homogeneity == pytest.approx(0.2)
+
+
+def test_similarity_of_frames_to_their_target(spark):
+    r = np.random.default_rng(3)
+    image, other = r.random((8, 8)), r.random((8, 8))
+    rows = tiles(spark, image, image, other).withColumn("p", F.lit(1))
+    got = spatial.structural_similarity(rows.where("tile_id > 0"), rows.where("tile_id = 0"), "v", 8, 8, ["p"], "tile_id").collect()
+    w = np.array(spatial.gaussian(1.5))
+
+    def mean(im):
+        for axis in (0, 1):
+            padded = np.pad(im, [(6, 6) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
+            im = sum(c * np.take(padded, range(i, i + 8), axis=axis) for i, c in enumerate(w))
+        return im
+
+    a, b = mean(image), mean(other)
+    like = (2 * a * b + 1e-6) * (2 * (mean(image * other) - a * b) + 1e-5) / ((a * a + b * b + 1e-6) * (mean(image**2) - a * a + mean(other**2) - b * b + 1e-5))
+    assert len(got) == 64
+    for q in got:
+        assert q.ssim_max == pytest.approx(1) and q.ssim_mean == pytest.approx((1 + like[q.y, q.x]) / 2) and q.ssim_std == pytest.approx((1 - like[q.y, q.x]) / 2)
 
 
 def test_disk_dilation_against_numpy(spark):
@@ -138,15 +169,102 @@ def test_disk_dilation_against_numpy(spark):
     assert (got == want).all()
 
 
-def test_spline_and_logistic_curve():
-    t = np.array([0.0, 1, 3, 6])
-    v = 2 * t + 1
-    assert models.cubic_spline(t, v, np.array([0, 0.5, 2, 6])) == pytest.approx([1, 2, 5, 13])
-    assert np.isnan(models.cubic_spline(t, v, np.array([-1.0, 7]))).all()
-    at = np.linspace(0, 1, 60)
-    truth = models.doubly_logistic(at, 0.2, 0.6, 0.45, 0.25, 4, 0.2, 5)
-    fit = models.doubly_logistic(at, *models.fit_doubly_logistic(at, truth))
-    assert np.abs(fit - truth).max() < 0.05
+def spline_by_solving(t, v, at):
+    """The natural cubic spline, from its system of equations."""
+    n, h = len(t), np.diff(t)
+    second = np.zeros(n)
+    if n > 2:
+        system = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
+        second[1:-1] = np.linalg.solve(system, 6 * np.diff(np.diff(v) / h))
+    i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
+    left, right = (t[i + 1] - at) / h[i], (at - t[i]) / h[i]
+    return left * v[i] + right * v[i + 1] + ((left**3 - left) * second[i] + (right**3 - right) * second[i + 1]) * h[i] ** 2 / 6
+
+
+def test_spline_against_a_solver(spark):
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for k, n in enumerate((1, 2, 3, 9, 25)):
+        t = np.sort(r.choice(60, n, replace=False)).astype(float)
+        v = r.normal(size=n)
+        rows += [(k, DAY0 + dt.timedelta(days=int(a)), float(b) + d) for a, b in zip(t, v) for d in (-1.0, 1.0)] + [(k, DAY0, None)]
+        at = np.arange(t[0], t[-1] + 1, 3)
+        want |= {(k, int(a - t[0])): b for a, b in zip(at, spline_by_solving(t, v, at) if n > 1 else [None])}
+    got = models.spline_resample(spark.createDataFrame(rows, "k long, ts timestamp_ntz, v double"), "k", "ts", "v", 3).collect()
+    first = {k: min(q.day for q in got if q.k == k) for k in range(5)}
+    assert len(got) == len(want)
+    for q in got:
+        w = want[q.k, q.day - first[q.k]]
+        assert q.v is None if w is None else q.v == pytest.approx(w)
+
+
+def test_logistic_fit_finds_the_curve(spark):
+    at = [i / 59 for i in range(60)]
+    truth = (0.2, 0.6, 0.45, 0.25, 4.0, 0.2, 5.0)
+    curve = models.doubly_logistic_column(F.col("x"), [F.lit(c) for c in truth])
+    points = spark.createDataFrame([(7, DAY0 + dt.timedelta(hours=i), x) for i, x in enumerate(at)], "k long, ts timestamp_ntz, x double").withColumn("v", curve)
+    few = points.limit(5).withColumn("k", F.lit(8).cast("long"))
+    got = {r.k: r for r in models.doubly_logistic_fit(points.unionByName(few), "k", "ts", "v").collect()}
+    assert got[8].c1 is None
+    fit = points.withColumn("f", models.doubly_logistic_column(F.col("x"), [F.lit(got[7][c]) for c in models.PARAMETERS]))
+    assert fit.agg(F.max(F.abs(F.col("f") - F.col("v")))).first()[0] < 0.02
+
+
+def test_ranks_and_quantiles_over_slices(spark):
+    r = np.random.default_rng(4)
+    values = r.normal(size=1500).tolist()
+    df = spark.createDataFrame([(i, "a" if i % 3 else None, v) for i, v in enumerate(values)], "id long, c string, v double")
+    got = sampling.ranked(df, ["c"], ["v", "id"], "place", 7).collect()
+    for c in ("a", None):
+        own = sorted((q for q in got if q.c == c), key=lambda q: q.v)
+        assert [q.place for q in own] == list(range(len(own))) and {q.place_of for q in own} == {len(own)}
+    assert sampling.exact_quantiles(df, "v", [0, 0.37, 0.5, 1]).first().q == pytest.approx(np.quantile(values, [0, 0.37, 0.5, 1]).tolist())
+
+
+def test_groups_of_points_against_union_find(spark):
+    from skyloom.plans.q_joins import points
+    from skyloom.plans.queries import QUERIES
+
+    rows = points(spark, "/root/testdata/sf0.001").collect()
+    parent = {q.id: q.id for q in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            if a.id < b.id and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 300 * 300:
+                p, q = root(a.id), root(b.id)
+                parent[max(p, q)] = min(p, q)
+    got = QUERIES["g16_leak_free_groups"](spark, "/root/testdata/sf0.001").collect()
+    assert {q.id: q.grp for q in got} == {q.id: root(q.id) for q in rows}
+
+
+def test_asof_and_nearest_look_far(spark):
+    from skyloom.operators import joins
+
+    left = spark.createDataFrame([(1, 1, DAY0 + dt.timedelta(days=d)) for d in (-5, 0, 40, 400)] + [(2, 2, DAY0)], "id long, k long, ts timestamp_ntz")
+    right = spark.createDataFrame([(1, DAY0, 10), (1, DAY0, 11), (1, DAY0 + dt.timedelta(days=39), 12)], "k long, at timestamp_ntz, v long")
+    got = sorted((q.id, q.ts, q.v) for q in joins.asof_join(left, right, ["k"], "ts", "at", ["v"], "v").collect())
+    assert [q[2] for q in got] == [None, 11, 12, 12, None]
+    r = np.random.default_rng(5)
+    here, there = r.random((80, 2)) * 9000, np.concatenate([r.random((6, 2)) * 300, [[8900.0, 20.0]]])
+    targets = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(here)], "id long, x double, y double")
+    sources = spark.createDataFrame([(float(a), float(b), j) for j, (a, b) in enumerate(there)], "sx double, sy double, near long")
+    found = {q.id: q.near for q in joins.nearest_grid(targets, sources, "x", "y", "near", 50.0, ["id"]).collect()}
+    assert found == {i: int(np.argmin(((there - p) ** 2).sum(axis=1))) for i, p in enumerate(here)}
+
+
+def test_staged_tables_are_dropped(spark):
+    from skyloom.plans import staging
+
+    staging.drop_staged(spark)
+    kept = staging.stage(spark.range(5), "five")
+    assert kept.count() == 5 and staging.drop_staged(spark) == 1 and staging.drop_staged(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(*kept.inputFiles()).count()
 
 
 def test_tree_and_labels(spark):
