@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.plans.staging import stage
@@ -21,13 +22,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Files whose names may be broadcast, some 10 MB.
+FILES = 100_000
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows, staged, each with a number of its own in a further column, and the column's name.
+    """The rows, each with a number of its own in a further column, and the column's name.
 
-    Stages decide on rows by it, as an id may be null or on several rows.
+    Stages decide on rows by it, as an id may be null or on several rows. Rows of Parquet files
+    are numbered by file and place, which a lost task finds again; other rows are staged.
     """
     name = fresh(docs, "row_number")
-    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    path, at, file = (fresh(docs, f"row_{c}") for c in ("path", "place", "file"))
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    except AnalysisException:  # not a plain scan of Parquet files
+        return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    files = stage(placed.select(path).distinct().withColumn(file, F.row_number().over(Window.orderBy(path)).cast("long")), "files")
+    if files.count() > FILES:
+        return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return placed.join(F.broadcast(files), path).withColumn(name, F.shiftleft(file, 40) + F.col(at)).select(*docs.columns, name), name
 
 
 def keep_rows(rows: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
