@@ -194,7 +194,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
     # so many bands as there are powers of 1.25 below the longest text
     bands = cells.groupBy("key").agg(F.sum("of").alias("all"), F.sum("words").alias("all_words"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
     one = (F.col("all") <= BLOCK) & (F.col("all_words") <= BLOCK_WORDS)
-    dealt = rows.withColumn("band", band).join(bands, "key")
+    # the second key, which follows from the first, gives the join a shuffle of its own, whose hot keys can be split
+    half = F.pmod("key", F.lit(2))
+    dealt = rows.withColumn("band", band).withColumn("half", half).join(bands.withColumn("half", half), ["key", "half"])
     count = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0).cast("long"))
     name = lambda b, h: F.shiftleft(b.cast("long"), 24) + h
     meet = lambda left, right, side: F.struct((F.shiftleft(left, 32) + right).alias("part"), F.lit(side).cast("int").alias("side"))
