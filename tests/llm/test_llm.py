@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -122,6 +123,38 @@ def test_ngrams_of_blocks_add_up():
     assert dict(zip(k.tolist(), n.tolist()))[ord("a")] == 50 and n.sum() == 50 * (6 + 8 + 6)
 
 
+def test_prediction_against_plain_python(spark):
+    """Counts, ranks and distances by dictionaries, over all rows of the smallest table."""
+
+    def grams(text):
+        found = {}
+        for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower())):
+            for g in [*word, *zip("_" + word, word + "_"), *zip("_" + word, word, word[1:] + "_")]:
+                found[g] = found.get(g, 0) + 1
+        return found
+
+    def code(g):
+        points = [0 if c == "_" else ord(c) for c in g]
+        return sum(p << 21 * i for i, p in enumerate(points)) + {1: 0, 2: language_id.PAIR, 3: language_id.TRIPLE}[len(g)]
+
+    def listed(counts):
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[: language_id.TOP]
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    totals = {}
+    for r in rows:
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for g, n in grams(r.text).items():
+                totals.setdefault(r.lang, {})[g] = totals.get(r.lang, {}).get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(listed(c))} for lang, c in totals.items()}
+    got = {r.doc_id: r for r in language_id.op2_language_id(spark, SF).collect()}
+    for r in rows:
+        own = listed(grams(r.text))
+        far = {lang: sum(abs(p[g] - i) if g in p else language_id.TOP for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang)) if own else "und"
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(1 - far[best] / (language_id.TOP * len(own)) if own else 0.0)
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
 def test_ngram_counts_are_alike_wherever_blocks_are_cut(monkeypatch, block):
     r = random.Random(block)
@@ -395,6 +428,52 @@ def test_passages_inside_longer_or_other_lines(spark):
     assert {s.first_doc_id for k in (21, 22) for s in got[k].removed} == {20} and got[24].text.split() == ["again", "and"] * 25
 
 
+def removed_by_brute_force(texts):
+    """The numbers of the words that go: those of runs that an earlier document has, or the document itself before the run."""
+    k = substring_dedup.PASSAGE
+    words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in texts.items()}
+    where = {}
+    for i in sorted(words):
+        for at in range(len(words[i]) - k + 1):
+            where.setdefault(tuple(words[i][at : at + k]), {}).setdefault(i, at)
+    gone = {i: set() for i in words}
+    for i in words:
+        for at in range(len(words[i]) - k + 1):
+            found = where[tuple(words[i][at : at + k])]
+            if min(found) < i or at >= found[i] + k:
+                gone[i].update(range(at, at + k))
+    return words, gone
+
+
+def test_removed_words_against_brute_force(spark, monkeypatch):
+    r, pool = random.Random(12), [some(r_, 300 + r_, 2000).split() for r_ in (30, 49, 50, 51, 64, 90, 140)]
+    texts = {}
+    for i in range(90):
+        parts = []
+        for j in range(r.randint(1, 5)):
+            parts += [some(r.randint(0, 40), 5000 + 10 * i + j, 2000).split(), r.choice(pool) if r.random() < 0.6 else []]
+        parts = [w.upper() if r.random() < 0.1 else w for p in parts for w in p]
+        texts[i] = "".join(w + r.choice([" ", " ", " ", ", ", "\n", " — "]) for w in parts)
+    texts |= {90: texts[7], 91: texts[8].replace(" ", "  "), 92: None, 93: "", 94: "the same again " * 70, 95: "x" * 300_000 + " " + texts[9], 96: "é" + texts[3]}
+    monkeypatch.setattr(substring_dedup, "BLOCK", 1 << 10)
+    words, gone = removed_by_brute_force(texts)
+    got = {q.doc_id: q for q in substring_dedup.substring_dedup(docs(spark, [*texts.items()])).collect()}
+    assert sum(map(bool, gone.values())) > 40 and not all(gone[i] for i in range(90))
+    for i, t in texts.items():
+        left = [w for n, w in enumerate(words[i]) if n not in gone[i]]
+        assert re.findall(r"[^\W_]+", (got[i].text or "").lower()) == left, i
+        assert (got[i].n_removed > 0) == bool(gone[i]) and (got[i].text is None) == (t is None)
+
+
+def test_words_of_long_texts_are_those_of_their_blocks(monkeypatch):
+    text = "Ab cd_ÉF 9x\n" * 50 + "z" * 400 + " İx ǅ"
+    want = [x.tolist() for x in substring_dedup.words_of(text)]
+    assert [text[a:b] for a, b in zip(*want[:2])] == re.findall(r"[^\W_]+", text)
+    for block in (1, 7, 64, 399):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        assert [x.tolist() for x in substring_dedup.words_of(text)] == want
+
+
 # ---- 7 and 10
 
 
@@ -505,6 +584,24 @@ def test_quality_held_out(spark):
     assert quality.train(d, labels.limit(0)) is None
 
 
+def test_rows_are_numbered_by_place_or_staged(spark, tmp_path):
+    from skyloom.llm.rows import keep_rows, numbered
+
+    rows = docs(spark, [(i % 7 or None, f"t{i}", "en", "a") for i in range(500)]).repartition(5)
+    rows.write.parquet(str(tmp_path / "d"))
+    for at in (spark.read.parquet(str(tmp_path / "d")), rows):
+        got, name = numbered(at)
+        assert got.count() == got.select(name).distinct().count() == 500
+        first = dict(got.select("text", name).collect())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        again = dict(got.select(name, "text", "doc_id").select("text", name).collect())
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert first == again
+        kept = keep_rows(got, got.where(f"{name} % 2 = 0").select(name), name)
+        assert kept.columns == DOCS.fieldNames() and {r.text for r in kept.collect()} == {t for t, n in first.items() if n % 2 == 0}
+    assert numbered(spark.read.parquet(str(tmp_path / "d")).limit(0))[0].count() == 0
+
+
 # ---- the pipeline
 
 
