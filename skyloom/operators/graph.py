@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from skyloom.plans.staging import is_empty, stage
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each edge with the least ``m`` of its ``u``.
+
+    The second key, which follows from the first, gives the join a shuffle of its own: in that of the
+    aggregate, which it would share, adaptive execution can't split a hub with very many edges.
+    """
+    apart = F.pmod("u", F.lit(2)).alias("half")
+    return edges.select("u", "v", apart).join(least.select("u", "m", apart), ["u", "half"]).drop("half")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them (edges hold u > v)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(edges, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 

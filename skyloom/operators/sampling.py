@@ -7,6 +7,7 @@ engines can repeat.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -148,13 +149,20 @@ def utm_zone(lon: Column) -> Column:
 def distance_groups(points: DataFrame, key: str, x: str, y: str, within: float) -> DataFrame:
     """``(key, group)``: points chained by steps of at most ``within`` are one group, named by its least key.
 
-    Pairs come from neighbouring grid cells, each pair once; the cells' size is the distance.
+    Cells are so small that all points of one are within the distance, so that they are linked
+    through the cell's least key and a dense cell gives no pairs. Neighbouring cells are
+    linked once if some pair of theirs is near enough.
     """
-    at = lambda c: F.floor(F.col(c) / within)
+    side = within / math.sqrt(2) * (1 - 1e-12)
+    at = lambda c: F.floor(F.col(c) / side)
     cells = points.select(F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py"), at(x).alias("cx"), at(y).alias("cy"))
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    looks = cells.select(F.col("k").alias("k2"), F.col("px").alias("qx"), F.col("py").alias("qy"), "cx", "cy", o.alias("o")).select("k2", "qx", "qy", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    heads = cells.groupBy("cx", "cy").agg(F.min("k").alias("head"))
+    placed = cells.join(heads, ["cx", "cy"])
+    # of the cells that a step can reach, those after this one in order
+    ahead = [(i, j) for i in range(0, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead]))
+    looks = placed.select(F.col("head").alias("head2"), F.col("px").alias("qx"), F.col("py").alias("qy"), "cx", "cy", o.alias("o")).select("head2", "qx", "qy", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     near = (F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= within * within
-    links = cells.join(looks, ["cx", "cy"]).where((F.col("k") < F.col("k2")) & near).select("k", "k2")
-    found = connected_components(links, "k", "k2")
-    return points.select(key).join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", F.col(key)).alias("group"))
+    links = placed.join(looks, ["cx", "cy"]).where(near).select("head", "head2").distinct()
+    found = connected_components(links.unionAll(placed.select("head", "k")), "head", "head2").withColumnRenamed("node", key)
+    return points.select(key).join(found, key, "left").select(key, F.coalesce("component", F.col(key)).alias("group"))
