@@ -12,8 +12,9 @@ sketch. A bucket that holds few documents gives all its pairs by a join; in a la
 documents are compared with the first. Components of these links settle most large buckets,
 which then hold one class. In the others every two documents of different classes still meet:
 the bucket is dealt into blocks, and each two blocks whose lengths allow it meet in one group,
-which compares what has no earlier sketch in common. So no class depends on a bucket's size. No bucket is ever gathered; the comparisons in one grow
-with the square of the documents that belong to different classes and have about one length.
+which compares what has no earlier sketch in common. So no class depends on a bucket's size. No
+bucket is ever gathered; the comparisons in one grow with the square of the documents that
+belong to different classes and have about one length.
 """
 
 from __future__ import annotations
