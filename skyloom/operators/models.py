@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -51,7 +50,7 @@ def train_scaled_logistic(df: DataFrame, features: Sequence[str], label: str, fo
     if not folds:
         return pipe.fit(df)
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    return CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build(), evaluator=judge, numFolds=folds, seed=seed).fit(df)
+    return CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build(), evaluator=judge, numFolds=folds, seed=seed, parallelism=4).fit(df)
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -138,10 +137,26 @@ def doubly_logistic_column(t: Column, p: Sequence[Column]) -> Column:
     return p[0] + p[1] * _curve(t, *p[2:])
 
 
-def _best(points: DataFrame, tried: Column) -> DataFrame:
+def _each(sizes: Sequence[int], value: Callable[[str, Column], Column]) -> Column:
+    """An array with a struct for each combination of so many values of each shape; ``value`` gives the i-th one."""
+    total = 1
+    for n in sizes:
+        total *= n
+
+    def one(k):
+        fields, rest = [], k
+        for a, n in zip(PARAMETERS[2:], sizes):
+            fields.append(value(a, (rest % n).cast("int")).cast("double").alias(a))
+            rest = F.floor(rest / n)
+        return F.struct(*fields)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(total - 1)), one)
+
+
+def _best(points: DataFrame, keys: DataFrame, tried: Column) -> DataFrame:
     """Of each key, the least squares over the shapes tried; level and scale have a closed form, the level within the values' range."""
     shapes = PARAMETERS[2:]
-    each = points.withColumn("p", F.explode(tried)).select("key", "x", "v", "low", "high", *[F.col(f"p.{a}").alias(a) for a in shapes])
+    each = points.join(keys.select("key", F.explode(tried).alias("p")).select("key", "p.*"), "key")
     g, v = F.col("g"), F.col("v")
     sums = each.withColumn("g", _curve(F.col("x"), *[F.col(a) for a in shapes])).groupBy("key", "low", "high", *shapes).agg(
         F.count("*").alias("n"), F.sum(v).alias("sv"), F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * v).alias("sgv"), F.sum(v * v).alias("svv")
@@ -168,14 +183,16 @@ def doubly_logistic_fit(series: DataFrame, key: str, time: str, value: str, roun
     limits = means.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("times"), F.min("v").alias("low"), F.max("v").alias("high")).where("times >= 8")
     points = stage(means.join(limits, "key").select("key", ((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("x"), "v", "low", "high"), "points")
     shapes = PARAMETERS[2:]
-    tried = F.array(*[F.struct(*[F.lit(float(c)).alias(a) for a, c in zip(shapes, shape)]) for shape in itertools.product(*TRIED)])
-    best = stage(_best(points, tried), "fit")
+    best = stage(_best(points, points.select("key").distinct(), _each([len(c) for c in TRIED], lambda a, i: F.element_at(F.array(*[F.lit(c) for c in TRIED[shapes.index(a)]]), i + 1))), "fit")
     for turn in range(1, rounds + 1):
-        step, factor = 1 / 16 / 2 ** (turn - 1), 1 + 1 / 2**turn
-        moves = {"a1": [lambda c, d=d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c + d * step)) for d in (-1, 0, 1)]}
-        for a, least in (("a2", LEAST_WIDTH), ("a3", LEAST_SHAPE), ("a4", LEAST_WIDTH), ("a5", LEAST_SHAPE)):
-            moves[a] = [lambda c, d=d, least=least: F.greatest(F.lit(least), c * factor**d) for d in (-1, 0, 1)]
-        near = F.array(*[F.struct(*[f(F.col(f"b_{a}")).alias(a) for a, f in zip(shapes, move)]) for move in itertools.product(*[moves[a] for a in shapes])])
+        step, factor = 1 / 16 / 2 ** (turn - 1), F.lit(1 + 1 / 2**turn)
+
+        def near(a, i):
+            own = F.col(f"b_{a}")
+            if a == "a1":
+                return F.greatest(F.lit(0.0), F.least(F.lit(1.0), own + (i - 1) * step))
+            return F.greatest(F.lit(LEAST_WIDTH if a in ("a2", "a4") else LEAST_SHAPE), own * F.pow(factor, i - 1))
+
         known = best.select("key", *[F.col(a).alias(f"b_{a}") for a in shapes])
-        best = stage(_best(points.join(known, "key"), near), "fit")
+        best = stage(_best(points, known, _each([3] * 5, near)), "fit")
     return rows.select("key").distinct().join(best, "key", "left").withColumnRenamed("key", key)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import models as M
 from skyloom.operators import timeseries as T
 from skyloom.plans.catalog import load, query
-from skyloom.plans.staging import shared_dir
+from skyloom.plans.staging import shared_dir, stage
 from skyloom.plans.standins import OBS, PIX, R6, SER, obs, pix, r6, ser
 from skyloom.sources import formats as I
 from skyloom.streaming import jobs as X
@@ -210,7 +210,7 @@ FITTED = 3000
 def _sample(rows):
     from skyloom.operators.sampling import sample_per_class
 
-    return sample_per_class(rows, ["label"], FITTED, ["oid"])
+    return stage(sample_per_class(rows, ["label"], FITTED, ["oid"]).coalesce(1), "sample")
 
 
 @query("m03_scale_then_predict", f"{OBS} SELECT tile_id, count(*) AS n, true AS accurate FROM obs GROUP BY tile_id")
