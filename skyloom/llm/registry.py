@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup
+from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, url_filter
 
 QUERIES = {
+    "op13_url_filter": url_filter.op13_url_filter,
     "op3_quality": quality.op3_quality,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_license_scan": licenses.op10_license_scan,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op13_url_filter": url_filter.OP13_SQL,
     "op10_license_scan": licenses.OP10_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op5_mixing": mixing.OP5_SQL,
