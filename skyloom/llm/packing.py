@@ -10,6 +10,7 @@ groups, and packed again; the new packing stands if it takes fewer sequences.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import cached_property
 
@@ -39,11 +40,12 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """A byte-level BPE tokenizer file's ids of a whole text, as little-endian 32-bit bytes.
+    """A byte-level BPE tokenizer file's ids of a whole text.
 
     If the ids are numbered in the order of the merges, they serve as ranks: the pair of lowest
     rank is merged first, which the ``tiktoken`` library does at a fifth of the cost. Any other
-    file is read by ``tokenizers`` itself.
+    file is read by ``tokenizers`` itself. Called, it gives the ids as little-endian 32-bit bytes, and added tokens in the text, such as
+    an end mark, are one id, as ``tokenizers`` has it; ``plain_ids`` takes them for ordinary text.
     """
 
     def __init__(self, path: str):
@@ -52,24 +54,46 @@ class Encoder:
             told = json.load(f)
         vocab, merges = told["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
         plain = told["normalizer"] is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.added = {t["content"]: t["id"] for t in told.get("added_tokens") or ()}
+        plain &= not any(t[k] for t in told.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip"))
+        byte = byte_letters()
+        self.bytes = [b""] * (1 + max([*vocab.values(), *self.added.values()]))
+        for token, i in vocab.items():
+            self.bytes[i] = token.encode() if token in self.added else bytes(byte[c] for c in token) if all(c in byte for c in token) else b""
         self.ranked = None
-        if plain and len(vocab) == 256 + len(merges) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+        ordinary = {t: i for t, i in vocab.items() if t not in self.added}
+        if plain and len(ordinary) == 256 + len(merges) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
             import public_tokenizers
             import tiktoken
 
-            byte = byte_letters()
-            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(byte[c] for c in token): i for token, i in vocab.items()}, special_tokens={})
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes[i]: i for i in ordinary.values()}, special_tokens={})
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    @cached_property
-    def tokenizer(self):
+    def _tokenizer(self, plain: bool):
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
+        found.encode_special_tokens = plain
         return found
 
+    @cached_property
+    def as_told(self):
+        return self._tokenizer(False)
+
+    @cached_property
+    def as_plain(self):
+        return self._tokenizer(True)
+
+    def plain_ids(self, text: str) -> np.ndarray:
+        return np.array(self.ranked.encode_ordinary(text) if self.ranked else self.as_plain.encode(text, add_special_tokens=False).ids, np.int64)
+
     def __call__(self, text: str) -> bytes:
-        ids = self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids
+        if not self.ranked:
+            ids = self.as_told.encode(text, add_special_tokens=False).ids
+        elif self.split and any(t in text for t in self.added):
+            ids = [i for part in self.split.split(text) for i in ((self.added[part],) if part in self.added else self.ranked.encode_ordinary(part))]
+        else:
+            ids = self.ranked.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
 

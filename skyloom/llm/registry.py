@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, url_filter
+from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_alignment, url_filter
 
 QUERIES = {
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_url_filter": url_filter.op13_url_filter,
     "op3_quality": quality.op3_quality,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_url_filter": url_filter.OP13_SQL,
     "op10_license_scan": licenses.OP10_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
