@@ -84,8 +84,12 @@ class Encoder:
     def as_plain(self):
         return self._tokenizer(True)
 
-    def plain_ids(self, text: str) -> np.ndarray:
-        return np.array(self.ranked.encode_ordinary(text) if self.ranked else self.as_plain.encode(text, add_special_tokens=False).ids, np.int64)
+    def plain_ids(self, text: str) -> list[int]:
+        return self.ranked.encode_ordinary(text) if self.ranked else self.as_plain.encode(text, add_special_tokens=False).ids
+
+    def joined(self, ids: list[int]) -> bytes:
+        """The bytes of the ids' tokens."""
+        return self.ranked.decode_bytes(ids) if self.ranked else b"".join(map(self.bytes.__getitem__, ids))
 
     def __call__(self, text: str) -> bytes:
         if not self.ranked:

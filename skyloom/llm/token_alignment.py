@@ -102,8 +102,12 @@ class Pieces:
         #: whether no piece goes on over a space that follows another character, so that texts may be cut there
         self.cuts = not any("▁" in p.lstrip("▁") for p in names)
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text), np.int64)
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text)
+
+    def joined(self, ids: list[int]) -> bytes:
+        """The bytes of the ids' pieces."""
+        return b"".join(map(self.bytes.__getitem__, ids))
 
 
 _pieces: dict[str, Pieces] = {}
@@ -143,14 +147,22 @@ class Pair:
             part = part[1:] if i else part
             a, b = self.a.plain_ids(" " + part), self.b.ids(part)
             want = (" " + part).encode("utf-8", "surrogatepass")
-            if any(b"".join(map(t.bytes.__getitem__, x.tolist())) != want for t, x in ((self.a, a), (self.b, b))):
+            if self.a.joined(a) != want or self.b.joined(b) != want:
                 return none
-            left.append(a)
-            right.append(b)
+            left.append(np.array(a, np.int64))
+            right.append(np.array(b, np.int64))
             size += len(want)
         return np.concatenate(left), np.concatenate(right), size
 
 
+_pairs: dict[tuple[str, str], Pair] = {}
+
+
+def tokenizer_pair(path_a: str, path_b: str) -> Pair:
+    """The Python worker's own: it lasts from task to task."""
+    return _pairs.get((path_a, path_b)) or _pairs.setdefault((path_a, path_b), Pair(path_a, path_b))
+
+
 # ---- alignment of a block of texts
 
 
@@ -241,7 +253,7 @@ def _digest_batches(path_a: str, path_b: str):
     """One row a text: counts, the digest of its groups, and its different linked id pairs with their numbers."""
 
     def run(batches):
-        pair = Pair(path_a, path_b)
+        pair = tokenizer_pair(path_a, path_b)
         for keys, held, found in _aligned(batches, pair):
             left, right, _ = found.links("end")
             codes = (found.a[left] << 32) + found.b[right]
@@ -316,7 +328,7 @@ def token_links(docs: DataFrame, kind: str = "overlap", path_a: str | None = Non
     paths = path_a or tokenizer_path(TOKENIZER_A), path_b or tokenizer_path(TOKENIZER_B)
 
     def run(batches):
-        pair = Pair(*paths)
+        pair = tokenizer_pair(*paths)
         for keys, held, found in _aligned(batches, pair):
             left, right, shared = found.links(kind)
             count_a, count_b = (np.array([len(t[k]) for t in held]) for k in (0, 1))
