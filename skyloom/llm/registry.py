@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_alignment, url_filter
+from skyloom.llm import collocations, embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_alignment, url_filter
 
 QUERIES = {
+    "op11_collocations": collocations.op11_collocations,
     "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_url_filter": url_filter.op13_url_filter,
     "op3_quality": quality.op3_quality,
@@ -20,6 +21,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_collocations": collocations.OP11_SQL,
+    "op11_collocations": collocations.op11_collocations,
     "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_url_filter": url_filter.OP13_SQL,
     "op10_license_scan": licenses.OP10_SQL,
