@@ -24,7 +24,7 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has at least so many hundredths of its occurrences.
 COVERED = 50
 #: Bytes of text that are worked on at a time, and words of a coded row, about; a text is always whole.
-CHUNK, BLOCK, CODED = 1 << 24, 1 << 20, 1 << 21
+CHUNK, BLOCK, CODED = 6 << 20, 1 << 20, 1 << 20
 #: Frequent words whose hashes may be broadcast, 32 MB. With more, words aren't filtered and pairs alone decide.
 VOCABULARY = 1 << 22
 #: Hash buckets of windows; a bit of each is broadcast, 16 MB.
@@ -75,12 +75,11 @@ def words_of(raw: bytes, seed: int, checked: bool = False) -> tuple[np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _name(lang: str, seed: int) -> tuple[int, int]:
-    """Both hashes of a language's name. It begins with a line break, as no word does."""
-    letters = [_letters(seed, k) for k in range(2)]
+def _name(lang: str, seed: int) -> int:
+    """The hash of a language's name. It begins with a line break, as no word does."""
     data = np.frombuffer(b"\n" + lang.encode("utf-8", "surrogatepass"), np.uint8)
-    one, two = (mix(np.array([(t[data] * powers(BASE, len(data))[: len(data)]).sum()], np.uint64)).view(np.int64)[0] for t in letters)
-    return int(one) or 1, int(two)
+    total = (_letters(seed, 0)[data] * powers(BASE, len(data))[: len(data)]).sum()
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0]) or 1
 
 
 def _chunks(batches):
@@ -98,26 +97,28 @@ def _chunks(batches):
     yield from ((k, b"\n".join(v) + b"\n") for k, v in held.items())
 
 
-_WORD = pa.schema([("l", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("other", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+_WORD = pa.schema([("l", pa.int64()), ("h", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 
 
 def _word_batches(seed: int):
-    """Counts of a chunk's words, with the least and the greatest second hash of each first one; and a row for each language, of count 0."""
+    """Counts of a chunk's words, and a row for each language, of count 0. A word whose second hash isn't that of its first hash's other words has a row of count 0 too."""
 
     def run(batches):
         for lang, raw in _chunks(batches):
-            name, check = _name(lang, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, name, check, check, "\n" + lang, 0), _WORD)], schema=_WORD)
+            name = _name(lang, seed)
             start, end, _, h, g = words_of(raw, seed, True)
-            if not len(h):
-                continue
-            order = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-            of = order[first]
-            g = g.view(np.int64)[order]
-            names = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[of].tolist(), end[of].tolist())]
+            order = np.argsort(h)
+            first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])) if len(h) else np.empty(0, np.int64)
             count = np.diff(np.append(first, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.full(len(of), name), h[of].view(np.int64), np.minimum.reduceat(g, first), np.maximum.reduceat(g, first), names, count), _WORD)], schema=_WORD)
+            of = order[first]
+            odd = order[g[order] != np.repeat(g[of], count)]
+            of, count = np.concatenate([of, odd]), np.concatenate([count, np.zeros(len(odd), np.int64)])
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[of].tolist(), end[of].tolist())]
+            hashes = h[of].view(np.int64)
+            for at in range(0, len(of), 100_000):
+                n = len(hashes[at : at + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.full(n, name), hashes[at : at + n], words[at : at + n], count[at : at + n]), _WORD)], schema=_WORD)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, name, "\n" + lang, 0), _WORD)], schema=_WORD)
 
     return run
 
@@ -125,10 +126,10 @@ def _word_batches(seed: int):
 def word_counts(docs: DataFrame, most_seeds: int = 8) -> tuple[DataFrame, int]:
     """``(l, h, word, n)`` of each language's words, and the seed under which no two words have one hash ``h``; ``l`` is the language's own."""
     for seed in range(most_seeds):
-        rows = docs.mapInArrow(_word_batches(seed), "l long, h long, g long, other long, word string, n long")
-        words = stage(rows.groupBy("l", "h").agg(F.min("g").alias("g"), F.max("other").alias("other"), F.min("word").alias("word"), F.sum("n").alias("n")), "words")
-        if is_empty(words.groupBy("h").agg(F.min("g").alias("g"), F.max("other").alias("other")).where("g <> other")):
-            return words.select("l", "h", "word", "n"), seed
+        rows = docs.mapInArrow(_word_batches(seed), "l long, h long, word string, n long")
+        words = stage(rows.groupBy("l", "h", "word").agg(F.sum("n").alias("n")), "words")
+        if is_empty(words.select("h", "word").distinct().groupBy("h").count().where("count > 1")):
+            return words, seed
     raise ValueError("no seed keeps all words apart")
 
 
@@ -152,7 +153,7 @@ def _coded_batches(seed: int, held):
                 w = np.zeros_like(w)
             w = np.append(np.insert(w, np.flatnonzero(np.diff(piece)) + 1, 0), 0)
             w = w[(w != 0) | np.concatenate([[True], w[:-1] != 0])]
-            parts.setdefault(_name(lang, seed)[0], []).append(w)
+            parts.setdefault(_name(lang, seed), []).append(w)
             size += len(w)
             if size >= CODED:
                 yield rows()
