@@ -24,7 +24,7 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has at least so many hundredths of its occurrences.
 COVERED = 50
 #: Bytes of text that are worked on at a time, and words of a coded row, about; a text is always whole.
-CHUNK, BLOCK, CODED = 6 << 20, 1 << 20, 1 << 20
+CHUNK, BLOCK, CODED = 4 << 20, 1 << 20, 1 << 19
 #: Frequent words whose hashes may be broadcast, 32 MB. With more, words aren't filtered and pairs alone decide.
 VOCABULARY = 1 << 22
 #: Hash buckets of windows; a bit of each is broadcast, 16 MB.
@@ -317,8 +317,8 @@ class Trie:
         self.base, self.check = np.zeros(size, np.int32), np.full(size + len(self.symbols) + 2, -1, np.int32)
         self.base[slot[inner]] = base
         self.check[slot[1:]] = slot[parent]
-        self.rows = np.full(size, -1, np.int64)
-        self.rows[slot[end]] = rows
+        # the accepting states, and what each stands for
+        self.accept, self.rows = slot[end].astype(np.int32), rows
 
     def step(self, state: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and which of them there are."""
@@ -342,10 +342,18 @@ class Trie:
             into += np.bincount(state, minlength=len(into))
 
 
-def _trie_of(shard: pa.Table) -> pa.Table:
-    phrases = np.stack([shard.column(c).to_numpy() for c in ("l", "a", "b", "c")], axis=1)
-    t = Trie(phrases, shard.column("row").to_numpy())
-    return pa.table({c: pa.array([getattr(t, c).tobytes()], pa.binary()) for c in ("symbols", "base", "check", "rows")})
+_PARTS = {"symbols": np.int64, "base": np.int32, "check": np.int32, "accept": np.int32, "rows": np.int64}
+#: Bytes of a row of a written trie.
+PIECE = 1 << 20
+
+
+def _trie_of(key: tuple, shard: pa.Table) -> pa.Table:
+    """The shard's trie in pieces: ``(shard, name, piece, data)``."""
+    t = Trie(np.stack([shard.column(c).to_numpy() for c in ("l", "a", "b", "c")], axis=1), shard.column("row").to_numpy())
+    raw = {c: getattr(t, c).astype(kind).tobytes() for c, kind in _PARTS.items()}
+    cut = [(c, i, x[at : at + PIECE]) for c, x in raw.items() for i, at in enumerate(range(0, len(x), PIECE))]
+    names, numbers, data = zip(*cut)
+    return pa.table({"shard": pa.array([key[0].as_py()] * len(cut), pa.int64()), "name": names, "piece": pa.array(numbers, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def phrase_counts(coded: DataFrame, wanted: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -354,24 +362,24 @@ def phrase_counts(coded: DataFrame, wanted: DataFrame, shard: int = SHARD) -> Da
     wanted = stage(wanted.withColumn("row", F.monotonically_increasing_id()), "wanted")
     shards = -(-wanted.count() // shard)
     dealt = wanted.withColumn("shard", F.pmod(F.xxhash64("l", "a", "b", "c"), F.lit(max(1, shards))))
-    tries = stage(dealt.groupBy("shard").applyInArrow(lambda key, t: _trie_of(t).append_column("shard", pa.array([key[0].as_py()], pa.int64())), "symbols binary, base binary, check binary, rows binary, shard long"), "tries")
+    tries = stage(dealt.groupBy("shard").applyInArrow(_trie_of, "shard long, name string, piece int, data binary"), "tries")
     counts = None
     for i in range(shards):
-        got = tries.where(F.col("shard") == i).select("symbols", "base", "check", "rows").first()
-        if got is None:
+        got = sorted(tries.where(F.col("shard") == i).select("name", "piece", "data").toLocalIterator(), key=lambda r: r.piece)
+        if not got:
             continue
-        held = spark.sparkContext.broadcast([bytes(x) for x in got])
+        held = spark.sparkContext.broadcast({c: b"".join(bytes(r.data) for r in got if r.name == c) for c in _PARTS})
 
         def run(batches, held=held):
             t = Trie.__new__(Trie)
-            t.symbols, t.base, t.check, t.rows = (np.frombuffer(x, kind) for x, kind in zip(held.value, (np.int64, np.int32, np.int32, np.int64)))
+            t.__dict__.update({c: np.frombuffer(held.value[c], kind) for c, kind in _PARTS.items()})
             reached = np.zeros(len(t.base), np.int64)
             for l, words in _coded_rows(batches):
                 t.count(l, words, reached)
-            on = np.flatnonzero((reached > 0) & (t.rows >= 0))
+            on = np.flatnonzero(reached[t.accept])
             for at in range(0, len(on), 100_000):
                 some = on[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(t.rows[some]), pa.array(reached[some])], names=["row", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.rows[some]), pa.array(reached[t.accept[some]])], names=["row", "n"])
 
         found = stage(coded.mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("f")), "shard_counts")
         held.unpersist()
