@@ -251,46 +251,54 @@ def candidates(coded: DataFrame, k: int, maps: list) -> DataFrame:
 # ---- double-array tries
 
 
-def displaced(parents: np.ndarray, symbols: np.ndarray, seed: int = 1) -> tuple[np.ndarray, int]:
+def displaced(parents: np.ndarray, symbols: np.ndarray, seed: int = 1, window: int = 8192) -> tuple[np.ndarray, int]:
     """A base for each parent so that all ``base[parent] + symbol`` differ, and the array's size; parents are 0, 1, … and sorted.
 
-    Parents of many children come first, by draws of places; those of few children draw all at once, round by round.
+    Parents of many children come first: of a window of bases, the first that fits. Those of few children draw
+    their bases all at once, round by round. The array grows where too little is free.
     """
     draw = np.random.default_rng(seed)
     count = np.bincount(parents)
     first = np.cumsum(count) - count
-    base, limit, widest = np.zeros(len(count), np.int64), max(16, len(parents)), int(symbols.max()) + 2
-    used = np.zeros(2 * limit + widest, bool)
+    base, limit, widest = np.zeros(len(count), np.int64), max(16, len(parents)), int(symbols.max()) + 2 + window
+    free = np.ones(2 * limit + widest, bool)
 
     def grown(to: int) -> tuple[int, np.ndarray]:
-        return to, np.concatenate([used, np.zeros(max(0, to + widest - len(used)), bool)])
+        return to, np.concatenate([free, np.ones(max(0, to + widest - len(free)), bool)])
 
     for p in sorted(np.flatnonzero(count > 8).tolist(), key=lambda p: -count[p]):
-        mine = symbols[first[p] : first[p] + count[p]]
-        tries = max(2, min(64, 4096 // len(mine)))
-        while True:
-            places = draw.integers(0, limit, tries)
-            free = np.flatnonzero(~used[places[:, None] + mine].any(axis=1))
-            if len(free):
+        mine = symbols[first[p] : first[p] + count[p]].tolist()
+        for turn in range(1, 1 << 30):
+            at = int(draw.integers(0, limit))
+            fits = free[at + mine[0] : at + mine[0] + window].copy()
+            for i, s in enumerate(mine[1:]):
+                fits &= free[at + s : at + s + window]
+                if i & 15 == 15 and not fits.any():
+                    break
+            if fits.any():
                 break
-            limit, used = grown(limit + limit // 4)
-        base[p] = places[free[0]]
-        used[base[p] + mine] = True
+            if turn % 3 == 0:
+                limit, free = grown(limit + limit // 8)
+        base[p] = at + int(fits.argmax())
+        free[base[p] + np.array(mine)] = False
     for k in range(8, 0, -1):
-        left = np.flatnonzero(count == k)
+        left, idle = np.flatnonzero(count == k), 0
         while len(left):
             places = draw.integers(0, limit, len(left))
             slots = places[:, None] + symbols[first[left][:, None] + np.arange(k)]
-            ok = np.flatnonzero(~used[slots].any(axis=1))
+            ok = np.flatnonzero(free[slots].all(axis=1))
             own = np.zeros(len(ok) * k, bool)
             own[np.unique(slots[ok].reshape(-1), return_index=True)[1]] = True
             won = ok[own.reshape(-1, k).all(axis=1)]
             base[left[won]] = places[won]
-            used[slots[won].reshape(-1)] = True
-            if len(won) * 4 < len(left):
-                limit, used = grown(limit + limit // 4)
+            free[slots[won].reshape(-1)] = False
+            idle = 0 if len(won) * 16 >= len(left) else idle + 1
+            if idle >= 24:
+                limit, free = grown(limit + limit // 8)
+                idle = 0
             left = np.delete(left, won)
-    return base, int(np.flatnonzero(used)[-1]) + 1 if used.any() else 1
+    taken = np.flatnonzero(~free)
+    return base, int(taken[-1]) + 1 if len(taken) else 1
 
 
 class Trie:

@@ -124,7 +124,8 @@ def vector_links(docs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
     A node is the smallest id among the copies of one vector with one label.
     """
-    rows = stage(_vectors(docs, id_col, vec_col, label_col).dropDuplicates(["vec"]), "vectors")
+    rows = _vectors(docs, id_col, vec_col, label_col).groupBy("vec").agg(F.min(F.struct("label", "v")).alias("least"))
+    rows = stage(rows.select("vec", "least.label", "least.v"), "vectors")
     same = rows.groupBy("label", "v").agg(F.min("vec").alias("node"), F.count("*").alias("copies"))
     nodes = stage(same.withColumn("width", F.size("v")), "nodes")
     members = stage(rows.join(nodes.select("label", "v", "node", "copies"), ["label", "v"]).select("vec", "node", "copies"), "members")
@@ -145,7 +146,8 @@ def embedding_dedup(docs: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors link if their labels are equal and their cosine is at least 0.93; copies of a
     vector link with each other. Vectors of different length don't link. A null label or id,
     and a vector that is null, empty, zero, or holds a null or non-finite component, links with
-    nothing and is a component of its own. Rows that repeat an id are one vector. An empty
+    nothing and is a component of its own. Of rows that repeat an id, and can link, the one of
+    the least label, then of the least vector, counts. An empty
     table gives no rows; other columns are ignored.
     """
     members, links = vector_links(docs, id_col, vec_col, label_col)

@@ -15,8 +15,8 @@ from skyloom.plans.staging import stage
 
 #: A line on a greater share of its host's pages is dropped.
 RATIO = 0.3
-#: Hosts of fewer pages are left alone: there, a share says nothing.
-MIN_PAGES = 4
+#: Hosts of fewer pages are left alone; 1 leaves none. A line on one page only always stays.
+MIN_PAGES = 1
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _BREAK = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title|body|html|head|blockquote|pre)(?:\s[^>]*)?|br\s*/?)>"
@@ -77,7 +77,7 @@ WITH p AS (
         '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM pages
 ), h AS (
-  SELECT host, count(*) AS host_pages FROM p WHERE host <> '' GROUP BY host HAVING count(*) >= 4
+  SELECT host, count(*) AS host_pages FROM p WHERE host <> '' GROUP BY host
 ), c AS (
   SELECT host, line, count(*) AS n FROM (SELECT DISTINCT rid, host, unnest(lines) AS line FROM p WHERE host <> '') GROUP BY host, line
 ), b AS (

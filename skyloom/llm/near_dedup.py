@@ -33,7 +33,9 @@ from skyloom.plans.staging import is_empty, stage
 WORDS = 5
 SIMILARITY = 0.8
 #: Sketches of a document. Two documents whose shingles agree to the share J have one alike with probability 1 - (1 - J²)^SKETCHES, about.
-SKETCHES = 64
+SKETCHES = 96
+#: Last bits of a sketch that its number replaces.
+NUMBER_BITS = 7
 #: A bucket up to this size gives all its pairs at once.
 SMALL = 12
 #: Documents, and words, of a block of a larger one, on average.
@@ -148,7 +150,8 @@ def _sketch_batches(batches):
 def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(key, doc, n, centre, nc)`` of the buckets up to SMALL, and of the larger ones; the centre is the first document, of nc words."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("centre"), F.min_by("n", "doc").alias("nc")).where("size > 1")
-    held = stage(rows.join(sizes, "key"), "buckets")
+    # staged, so that the join has a shuffle of its own, whose hot keys can be split
+    held = stage(rows.join(stage(sizes, "sizes"), "key"), "buckets")
     return held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
 
 
@@ -156,7 +159,7 @@ def _buckets_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The small and the large buckets of all sketches."""
     # a sketch's number replaces the last bits of its hash, so that it needs no column
     at = F.posexplode("keys").alias("at", "key")
-    return _buckets(nodes.select(F.col("id").alias("doc"), F.col("n").cast("int").alias("n"), at).select("doc", "n", (F.shiftleft(F.shiftright("key", 6), 6) + F.col("at")).alias("key")))
+    return _buckets(nodes.select(F.col("id").alias("doc"), F.col("n").cast("int").alias("n"), at).select("doc", "n", (F.shiftleft(F.shiftright("key", NUMBER_BITS), NUMBER_BITS) + F.col("at")).alias("key")))
 
 
 def _lengths_allow(x: str, y: str) -> F.Column:
@@ -179,7 +182,7 @@ def _unsettled(large: DataFrame, star: DataFrame, classes: DataFrame) -> DataFra
     """``(key, doc, n, cls)`` of the large buckets whose documents aren't all of one class."""
     apart = _class_of(_class_of(star.select("a", "b"), "a", classes, "ca"), "b", classes, "cb").where("ca <> cb")
     loose = large.join(apart.select(F.col("a").alias("centre"), F.col("b").alias("doc")), ["centre", "doc"], "left_semi")
-    held = large.select("key", "doc", "n").join(loose.select("key").distinct(), "key", "left_semi")
+    held = large.select("key", "doc", "n").join(stage(loose.select("key").distinct(), "loose"), "key", "left_semi")
     return stage(_class_of(held, "doc", classes, "cls"), "unsettled")
 
 
@@ -212,8 +215,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def _meetings(table: pa.Table) -> pa.Table:
     """The pairs of classes that one meeting of two blocks joins: of documents whose first common sketch is the bucket's."""
-    at = int(table.column("key")[0].as_py()) & 63
-    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, SKETCHES) >> 6
+    at = int(table.column("key")[0].as_py()) & (1 << NUMBER_BITS) - 1
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, SKETCHES) >> NUMBER_BITS
     side, words = table.column("side").to_numpy(), [w.values.to_numpy() for w in table.column("words")]
     names, cls = np.unique(table.column("cls").to_numpy(), return_inverse=True)
     n = np.array([len(w) for w in words])
@@ -301,20 +304,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for one row of each class. Links themselves aren't counted: a pair whose documents are
     of one class already need not be compared. A null text, an empty text, one without any word,
     and a null id link with nothing: each is a class of its own (a null id has a null class).
-    Documents of the same words are one class. Rows that repeat an id are one document. An empty
-    table gives no rows.
+    Documents of the same words are one class. Rows that repeat an id are one document with all
+    their texts: it links with whatever any of them links with. An empty table gives no rows.
     """
-    found = near_duplicate_classes(docs, id_col, text_col).withColumnRenamed("id", "__id")
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    ids = ids.where("doc_id IS NOT NULL").distinct().unionAll(ids.where("doc_id IS NULL"))
-    own = F.coalesce("class_id", "doc_id")
-    return ids.join(found, F.col("doc_id") == F.col("__id"), "left").select("doc_id", own.alias("class_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rows, number = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    ids = rows.select(F.col(number).alias("__row"), "doc_id")
+    found = near_duplicate_classes(rows.where("doc_id IS NOT NULL"), number).withColumnRenamed("id", "__found")
+    placed = ids.where("doc_id IS NOT NULL").join(found, F.col("__row") == F.col("__found"), "left").select("doc_id", F.coalesce("class_id", "__row").alias("cls"))
+    placed = stage(placed, "classes_of_rows")
+    # an id whose rows are of several classes joins these
+    joins = placed.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("top")).where("a <> top")
+    joins = stage(placed.join(joins, "doc_id").where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "joined_by_id")
+    if not is_empty(joins):
+        placed = _class_of(placed, "cls", connected_components(joins, "a", "b"), "whole").withColumn("cls", F.col("whole"))
+    names = stage(placed.groupBy("cls").agg(F.min("doc_id").alias("class_id")), "class_names")
+    told = placed.select("doc_id", "cls").distinct().join(names, "cls").select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
+    return told.unionAll(ids.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that stand for their class of near duplicates."""
     rows, number = numbered(docs)
-    classes = near_dedup(rows, number).select(F.col("doc_id").alias("__row"), "class_id")
+    found = near_duplicate_classes(rows, number)
+    classes = rows.select(F.col(number).alias("__row")).join(found, F.col("__row") == F.col("id"), "left").select("__row", F.coalesce("class_id", "__row").alias("class_id"))
     ranked = rows.select(F.col(number).alias("__row"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(number).alias("row")).alias("rank"))
     best = classes.join(ranked, "__row").groupBy("class_id").agg(F.min("rank").alias("best")).select("best.row")
     return keep_rows(rows, best, number)

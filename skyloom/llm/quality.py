@@ -118,7 +118,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, top: int = GRADES, width: int
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     """Fit on at most ``sample`` labelled documents; None if no document is labelled.
 
-    What comes to the driver is bounded: counts by grade and feature, and of each sampled
+    Of rows that repeat a sampled id, the one whose text has the least hash counts. What comes to the driver is bounded: counts by grade and feature, and of each sampled
     document the features with evidence, whatever its length.
     """
     chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([features(x.as_py()).astype(np.int32) for x in batch.column("text")], pa.list_(pa.int32()))], names=["grade", "at"])
 
-    rows = stage(texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, at array<int>"), "features")
+    sampled = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = stage(sampled.select("grade", "text").mapInArrow(run, "grade int, at array<int>"), "features")
     size, count = np.zeros(GRADES, np.int64), np.zeros((GRADES, WIDTH), np.int64)
     for grade, n in rows.groupBy("grade").count().collect():
         size[grade] = n

@@ -22,8 +22,6 @@ QUERIES = {
 
 ORACLE = {
     "op11_collocations": collocations.OP11_SQL,
-    "op11_collocations": collocations.op11_collocations,
-    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_url_filter": url_filter.OP13_SQL,
     "op10_license_scan": licenses.OP10_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.rows import chunked, flagged, table
+from skyloom.llm.rows import chunked, flagged, numbered, table
 from skyloom.llm.words import BASE, INVERSE, mix, powers
 from skyloom.plans.staging import stage
 
@@ -99,8 +99,8 @@ def lines_of(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1][long], edge[1:][long]
 
 
-_UNIT = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("again", pa.bool_())])
-_RUN = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("again", pa.bool_())])
+_UNIT = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("again", pa.bool_())])
+_RUN = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("again", pa.bool_())])
 
 
 def _gathered(rows, schema: pa.Schema, most: int = 200_000):
@@ -121,7 +121,7 @@ def _unit_rows(batches):
 
     def rows():
         for batch in batches:
-            for key, text in zip(batch.column("id"), batch.column("text")):
+            for key, row, text in zip(batch.column("id"), batch.column("row"), batch.column("text")):
                 text = text.as_py()
                 starts, _, words = words_of(text)
                 n = len(words)
@@ -138,7 +138,7 @@ def _unit_rows(batches):
                 _, seen, place = np.unique(h[1:], return_index=True, return_inverse=True)
                 repeated = np.concatenate([[False], seen[place] != np.arange(len(h) - 1)])
                 kind = np.concatenate([[-2], np.arange(len(h) - 1), np.full(len(mark), -1)])
-                yield np.full(len(kind), key.as_py()), kind, np.concatenate([h, mark]), np.concatenate([g, np.zeros(len(mark), np.int32)]), np.concatenate([repeated, again])
+                yield np.full(len(kind), key.as_py()), np.full(len(kind), row.as_py()), kind, np.concatenate([h, mark]), np.concatenate([g, np.zeros(len(mark), np.int32)]), np.concatenate([repeated, again])
 
     return _gathered(rows(), _UNIT)
 
@@ -148,7 +148,7 @@ def _run_rows(batches):
 
     def rows():
         for batch in batches:
-            for key, text, hot, gone in zip(batch.column("id"), batch.column("text"), batch.column("marks"), batch.column("lines")):
+            for key, row, text, hot, gone in zip(batch.column("id"), batch.column("row"), batch.column("text"), batch.column("marks"), batch.column("lines")):
                 text = text.as_py()
                 starts, _, words = words_of(text)
                 if len(words) < PASSAGE:
@@ -161,39 +161,41 @@ def _run_rows(batches):
                 if len(at):
                     h, g = digests(words, at, at + PASSAGE)
                     _, seen, place = np.unique(h, return_index=True, return_inverse=True)
-                    yield np.full(len(at), key.as_py()), at, h, g, at >= at[seen[place]] + PASSAGE
+                    yield np.full(len(at), key.as_py()), np.full(len(at), row.as_py()), at, h, g, at >= at[seen[place]] + PASSAGE
 
     return _gathered(rows(), _RUN)
 
 
 def _later(units: DataFrame, *key: str) -> DataFrame:
-    """The units that a smaller document, or an earlier place of their own, has; ``first`` names the document that keeps it."""
-    firsts = units.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    """The units that a row of a smaller document, or an earlier place of their own row, has; ``first`` names the document that keeps it."""
+    firsts = units.groupBy(*key).agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("n")).where("n > 1")
     # staged, so that the join has a shuffle of its own, whose hot keys can be split
-    return units.join(stage(firsts.drop("n"), "firsts"), [*key]).where((F.col("id") != F.col("first")) | F.col("again"))
+    firsts = stage(firsts.select(*key, F.col("least.id").alias("first"), F.col("least.row").alias("first_row")), "firsts")
+    return units.join(firsts, [*key]).where((F.col("row") != F.col("first_row")) | F.col("again"))
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, whole, lines, runs)`` of every document with units that occur earlier.
+def repeated_units(rows: DataFrame) -> DataFrame:
+    """``(row, whole, lines, runs)`` of every row of ``(id, row, text)`` with units that occur earlier; ``row`` numbers the rows.
 
     ``whole`` is the document that keeps the whole text, or null; ``lines`` holds (line, first)
     and ``runs`` (word, first) structs. A digest that very many documents hold is a partial
     minimum and a join whose hot key adaptive execution splits; a text's copies give no runs.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    units = stage(rows.mapInArrow(_unit_rows, "id long, kind int, h long, g int, again boolean"), "units")
-    whole = stage(_later(units.where("kind = -2"), "h", "g").groupBy("id").agg(F.min("first").alias("whole")), "whole")
-    lines = _later(units.where("kind >= 0"), "h", "g").select("id", F.col("kind").alias("line"), "first").distinct()
-    marked = stage(units.where("kind = -1").join(whole, "id", "left_anti").select("id", "h", "again"), "marks")
-    hot = marked.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("h")
-    hot = marked.select("id", "h").join(hot, "h")
-    # of each remaining document: the marks that recur, and the lines that go
-    of_doc = hot.groupBy("id").agg(F.collect_list("h").alias("marks"))
-    lines = stage(lines.join(whole, "id", "left_anti").groupBy("id").agg(F.collect_list(F.struct("line", "first")).alias("lines")), "lines")
-    wanted = stage(of_doc.join(lines.select("id", F.col("lines.line").alias("lines")), "id", "left"), "wanted")
-    runs = stage(flagged(rows, "id", wanted.select("id"), "may").where("may").drop("may").join(wanted, "id").mapInArrow(_run_rows, "id long, at int, h long, g int, again boolean"), "runs")
-    runs = _later(runs, "h", "g").groupBy("id").agg(F.collect_list(F.struct("at", "first")).alias("runs"))
-    return stage(runs.join(lines, "id", "full").join(whole, "id", "full"), "removals")
+    rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    units = stage(rows.mapInArrow(_unit_rows, "id long, row long, kind int, h long, g int, again boolean"), "units")
+    whole = stage(_later(units.where("kind = -2"), "h", "g").groupBy("row").agg(F.min("first").alias("whole")), "whole")
+    lines = _later(units.where("kind >= 0"), "h", "g").select("row", F.col("kind").alias("line"), "first").distinct()
+    marked = stage(units.where("kind = -1").join(whole, "row", "left_anti").select("row", "h", "again"), "marks")
+    hot = stage(marked.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("h"), "hot_marks")
+    hot = marked.select("row", "h").join(hot, "h")
+    # of each remaining row: the marks that recur, and the lines that go
+    of_row = hot.groupBy("row").agg(F.collect_list("h").alias("marks"))
+    lines = stage(lines.join(whole, "row", "left_anti").groupBy("row").agg(F.collect_list(F.struct("line", "first")).alias("lines")), "lines")
+    wanted = stage(of_row.join(lines.select("row", F.col("lines.line").alias("lines")), "row", "left"), "wanted")
+    found = flagged(rows, "row", wanted.select("row"), "may").where("may").drop("may").join(wanted, "row").select("id", "row", "text", "marks", "lines")
+    runs = stage(found.mapInArrow(_run_rows, "id long, row long, at int, h long, g int, again boolean"), "runs")
+    runs = _later(runs, "h", "g").groupBy("row").agg(F.collect_list(F.struct("at", "first")).alias("runs"))
+    return stage(runs.join(lines, "row", "full").join(whole, "row", "full"), "removals")
 
 
 def spans_of(text: str, whole: int | None, lines: list[tuple[int, int]], at: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -259,16 +261,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and the document that keeps the passage. A null text stays null and an empty one empty; both
     lose nothing, as does a row with a null id. Passages repeated within one text are removed too,
     but for the first and for what overlaps it, so that a text of one phrase over and over keeps
-    PASSAGE words of it. Rows that repeat an id are one document, so that they don't lose what
-    they share. An empty table gives no rows; other columns are ignored.
+    PASSAGE words of it. Rows that repeat an id are rows of their own: the first of them, by place in the
+    table, keeps what they share. An empty table gives no rows; other columns are ignored.
     """
-    removals = repeated_units(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, number = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    rows = rows.select("id", F.col(number).alias("row"), "text")
+    removals = repeated_units(rows)
     # most documents lose nothing: only those that may are shuffled
-    rows = flagged(rows, "doc_id", removals.select("id"), "may")
-    joined = rows.where("may AND text IS NOT NULL").drop("may").join(removals, F.col("doc_id") == F.col("id"), "left")
-    cut = joined.where("id IS NOT NULL").mapInArrow(_cut_rows, f"doc_id long, removed {_SPANS}, text string")
-    plain = rows.where("NOT may OR text IS NULL").select("doc_id", "text").unionByName(joined.where("id IS NULL").select("doc_id", "text"))
+    rows = flagged(rows, "row", removals.select("row"), "may").withColumnRenamed("id", "doc_id")
+    joined = rows.where("may AND text IS NOT NULL").drop("may").join(removals.withColumnRenamed("row", "found"), F.col("row") == F.col("found"), "left")
+    cut = joined.where("found IS NOT NULL").select("doc_id", "text", "whole", "lines", "runs").mapInArrow(_cut_rows, f"doc_id long, removed {_SPANS}, text string")
+    plain = rows.where("NOT may OR text IS NULL").select("doc_id", "text").unionByName(joined.where("found IS NULL").select("doc_id", "text"))
     told = cut.unionByName(plain.withColumn("removed", F.array().cast(_SPANS)))
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return told.select("doc_id", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), "removed", "text")

@@ -223,7 +223,7 @@ def test_near_dedup_finds_copies_and_leaves_others(spark):
 def classes_by_brute_force(texts):
     """The least document that links reach, where similar documents that share a sketch are linked; and the links."""
     words = {i: word_hashes(t) for i, t in texts.items()}
-    keys = {i: near_dedup.order_sketches(w) >> np.uint64(6) for i, w in words.items()}
+    keys = {i: near_dedup.order_sketches(w) >> np.uint64(near_dedup.NUMBER_BITS) for i, w in words.items()}
     ids = sorted(words)
     links = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if (keys[i] == keys[j]).any() and near_dedup.similar(words[i], words[j])]
     least, before = {i: i for i in ids}, None
@@ -254,7 +254,7 @@ def test_groups_of_variants_have_one_class_at_any_size(spark, many):
     texts = {i: edited(base if i % 2 else apart, 0.07, 40 + i) for i in range(2 * many)}
     want, _ = classes_by_brute_force(texts)
     got = near_dedup.near_dedup(docs(spark, [*texts.items()])).collect()
-    assert {r.doc_id: r.class_id for r in got} == want and [r.doc_id for r in got if r.kept] == sorted(set(want.values()))
+    assert {r.doc_id: r.class_id for r in got} == want and sorted(r.doc_id for r in got if r.kept) == sorted(set(want.values()))
 
 
 def test_near_dedup_against_all_pairs(spark):
@@ -311,14 +311,14 @@ def test_encoder_equals_the_whole_text():
     alphabet = ["a", "The", "é", " ", " ", "  ", "\n", "\n\n", ",", ".", "'s", "!!", "1", "²", "\t", "\0", "\x85", "日本", "|", "don't", "\r\n"]
     for _ in range(3000):
         text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 14)))
-        assert e(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert e(text) == np.array(e.as_told.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
 def test_encoder_equals_the_tokenizer_on_whole_documents(spark):
     e = packing.Encoder(packing.tokenizer_path())
     assert e.ranked is not None
     for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
-        assert e(r.text) == np.array(e.tokenizer.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert e(r.text) == np.array(e.as_told.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
     assert len(e("a" * 300_000)) % 4 == 0
 
 
