@@ -15,6 +15,7 @@ from skyloom.plans.staging import shared_dir, stage
 from skyloom.plans.standins import OBS, PIX, R6, SER, obs, pix, r6, ser
 from skyloom.sources import formats as I
 from skyloom.streaming import jobs as X
+from skyloom.streaming import stateful as S
 
 
 def _scratch(spark, name: str) -> str:
@@ -381,12 +382,20 @@ def _(spark, sf_dir):
 
 @query("x05_acquisition_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, count(DISTINCT s) AS sessions, count(*) AS n FROM s GROUP BY user_id")
 def _(spark, sf_dir):
-    sessions = X.drain(X.acquisition_sessions(_stream(spark, sf_dir), ["user_id"], "1 day"), "sessions", "complete", _scratch(spark, "x05"))
-    last = sessions.agg(F.max("__batch").alias("b"))
-    sessions = sessions.join(F.broadcast(last), F.col("__batch") == F.col("b"))
+    events, path, mark = load(spark, sf_dir, "events"), _scratch(spark, "arrivals"), _scratch(spark, "x05")
+    events.repartitionByRange(4, "ts").write.parquet(path)
+    _close(spark, events, path)
+    stream = X.without_marks(X.read_new(spark, path, events.schema, late="40 days"), "event_id")
+    sessions = X.drain(X.acquisition_sessions(stream, ["user_id"], "1 day"), "sessions", "append", mark)
     return sessions.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
+def _close(spark, events, path: str, after: str = "90 days") -> None:
+    last = events.agg(F.max("ts").alias("ts")).first()["ts"]
+    if last is not None:
+        X.closing_mark(spark, path, events.schema, F.lit(last) + F.expr(f"INTERVAL {after}"))
+
+
 @query("x08_idempotent_sink", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, sf_dir):
     out, mark = _scratch(spark, "x08"), _scratch(spark, "x08-mark")
@@ -394,27 +403,55 @@ def _(spark, sf_dir):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("x06_running_dry_spells")
+@query("x06_running_dry_spells", f"""WITH d AS (SELECT user_id, ts::DATE AS day, sum(value) AS v FROM events GROUP BY ALL), g AS (SELECT *, date_diff('day', DATE '1970-01-01', day)::INT AS n, max(day) OVER (PARTITION BY user_id) AS last FROM d),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, v < 120 ORDER BY n) AS island FROM g), l AS (SELECT user_id, island, v < 120 AS dry, n AS last_day FROM i WHERE day = last)
+SELECT l.user_id, any_value(last_day) AS last_day, (count(*) FILTER (dry))::INT AS length FROM l JOIN i ON i.user_id = l.user_id AND i.island = l.island AND (i.v < 120) = dry GROUP BY l.user_id""")
 def _(spark, sf_dir):
-    days = T.daily(load(spark, sf_dir, "events"), ["user_id"], "value", "sum").select("user_id", F.col("day").cast("timestamp").alias("ts"), F.col("v").alias("value"))
-    path = _scratch(spark, "days")
-    days.repartitionByRange(4, "ts").write.parquet(path)
-    got = X.drain(X.dry_spells(X.read_new(spark, path, days.schema, files_per_trigger=1), "user_id", "value", 120.0), "spells", "update", _scratch(spark, "x06"))
+    """The raw events stream in; a user's last run comes out once a closing mark has moved the watermark past its last day."""
+    events, path, mark = load(spark, sf_dir, "events"), _scratch(spark, "days"), _scratch(spark, "x06")
+    events.repartitionByRange(4, "ts").write.parquet(path)
+    _close(spark, events, path)
+    spells = S.dry_spells(X.without_marks(X.read_new(spark, path, events.schema, late="40 days"), "event_id"), "user_id", "value", 120.0)
+    got = X.drain(spells, "spells", "append", mark).where("kind = 'run'")
     return got.groupBy("user_id").agg(F.max("last_day").alias("last_day"), F.max_by("length", "last_day").alias("length"))
 
 
 _LATE = "event_id % 10 = 3"
+_LATE_SQL = f"""WITH e AS (SELECT *, {_LATE} AS late, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS closes FROM events),
+w AS (SELECT max(ts) - INTERVAL 5 DAY AS mark FROM e WHERE NOT late)"""
+
+
+def _late_stream(spark, sf_dir, name: str):
+    """Two deliveries into one folder, each of as many files as it has tasks: all but a tenth of the events, then those; a closing mark ends all days."""
+    events, path, mark, got = load(spark, sf_dir, "events"), _scratch(spark, "late"), _scratch(spark, name), None
+    for arrived in (f"NOT {_LATE}", _LATE, None):
+        if arrived:
+            events.where(arrived).write.mode("append").parquet(path)
+        else:
+            _close(spark, events, path)
+        stream = X.without_marks(X.read_new(spark, path, events.schema, late="5 days"), "event_id")
+        got = X.drain(S.daily_counts_and_late(stream, ["event_type"], "event_id"), "late", "append", mark)
+    return got
+
+
+@query("x07_late_data_policy", f"{_LATE_SQL} SELECT event_type, count(*) AS batch, count(*) FILTER (NOT late OR closes > mark) AS streamed, count(*) FILTER (late AND closes <= mark) AS dropped FROM e, w GROUP BY event_type")
+def _(spark, sf_dir):
+    """A tenth of the events arrive after the watermark has passed most of their days: what the stream counted, what it dropped, and the batch run over all."""
+    got = _late_stream(spark, sf_dir, "x07").groupBy("event_type").agg(F.sum(F.when(F.col("kind") == "day", F.col("n")).otherwise(0)).alias("streamed"), F.count_if(F.col("kind") == "late").alias("dropped"))
+    batch = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("batch"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return batch.join(got, "event_type", "left").select("event_type", "batch", zero("streamed"), zero("dropped"))
+
+
+@query("x07_dropped_rows", f"{_LATE_SQL} SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM e, w WHERE late AND closes <= mark")
+def _(spark, sf_dir):
+    """The rows that the stream dropped, from its own side output."""
+    late = _late_stream(spark, sf_dir, "x07-rows").where("kind = 'late'")
+    return late.select(F.col("id").alias("event_id"), "event_type", F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("day"))
 
 
-@query("x07_late_data_policy", f"""WITH e AS (SELECT *, {_LATE} AS late, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS closes FROM events),
-w AS (SELECT max(ts) - INTERVAL 5 DAY AS mark FROM e WHERE NOT late)
-SELECT event_type, count(*) AS batch, count(*) FILTER (NOT late OR closes > mark) AS streamed, count(*) FILTER (late AND closes <= mark) AS dropped FROM e, w GROUP BY event_type""")
+@query("x07_reconciled_days", "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf_dir):
-    """A tenth of the events arrive after the watermark has passed most of their days; the batch run tells what the stream dropped."""
-    events, path = load(spark, sf_dir, "events"), _scratch(spark, "late")
-    # a batch drops by the watermark of the one before it, so an empty one comes between
-    for arrived in (f"NOT {_LATE}", "false", _LATE):
-        events.where(arrived).coalesce(1).write.mode("append").parquet(path)
-    counts = X.daily_counts(X.read_new(spark, path, events.schema, late="5 days", files_per_trigger=1), ["event_type"])
-    streamed = X.drain(counts, "late", "update", _scratch(spark, "x07"))
-    return X.reconciled(streamed, events, ["event_type"], "ts").select("event_type", "batch", "streamed", "dropped")
+    """Daily counts as the stream closed them, mended by its late rows: equal to a batch run."""
+    got = _late_stream(spark, sf_dir, "x07-days").groupBy("event_type", "day").agg(F.sum("n").alias("n"))
+    return got.select("event_type", F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("day"), "n")

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators.aggregates import anomalies
+from skyloom.streaming.stateful import ROCKS, STORE
 
 
 def read_new(spark: SparkSession, path: str, schema, time: str = "ts", late: str = "2 days", files_per_trigger: int = 64) -> DataFrame:
@@ -43,63 +43,55 @@ def sliding_alerts(stream: DataFrame, keys: Sequence[str], value: str, length: s
 
 
 def acquisition_sessions(stream: DataFrame, keys: Sequence[str], gap: str, time: str = "ts") -> DataFrame:
-    """Frames less than the gap apart, in a chain, are one pass. Greedy thinning differs: it compares with the last kept one."""
-    return stream.groupBy(*keys, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
-
+    """Frames less than the gap apart, in a chain, are one pass. Greedy thinning differs: it compares with the last kept one.
 
-def dry_spells(stream: DataFrame, key: str, value: str, below: float, time: str = "ts") -> DataFrame:
-    """``(key, last_day, length)`` after each batch: the current run of days under the limit, kept as state.
-
-    A row is one day's value. A gap of a day ends a run; days up to the last one seen are ignored.
+    In append mode a session comes out once the watermark has passed its end by the gap, and leaves the state.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    return stream.groupBy(*keys, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
 
-    def run(keys, batches, state):
-        last, length = state.get if state.exists else (None, 0)
-        days = pd.concat(list(batches)).sort_values("day")
-        for day, v in zip(days["day"].tolist(), days["v"].tolist()):
-            if last is not None and day <= last:
-                continue
-            dry = v < below
-            length = (length if last is not None and day == last + 1 else 0) + 1 if dry else 0
-            last = day
-        state.update((last, length))
-        yield pd.DataFrame({key: [keys[0]], "last_day": [last], "length": [length]})
 
-    rows = stream.select(F.col(key).cast("long").alias(key), F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")).alias("day"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, last_day int, length int", "last int, length int", "update", GroupStateTimeout.NoTimeout)
+def write_idempotent(stream: DataFrame, path: str, by: Sequence[str], checkpoint: str):
+    """Each batch replaces its own folder, so a batch that runs twice leaves one copy."""
 
+    def put(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path)
 
-def daily_counts(stream: DataFrame, keys: Sequence[str], time: str = "ts") -> DataFrame:
-    """Observations of each day; what arrives after the watermark has passed its day's end is dropped."""
-    return stream.groupBy(*keys, F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("day"), "n")
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reconciled(streamed: DataFrame, rows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
-    """``(…keys, batch, streamed, dropped)``: a batch run over all rows against the stream's latest daily counts."""
-    latest = streamed.groupBy(*keys, "day").agg(F.max_by("n", "__batch").alias("seen")).groupBy(*keys).agg(F.sum("seen").alias("streamed"))
-    batch = rows.where(F.col(time).isNotNull()).groupBy(*keys).agg(F.count("*").alias("batch"))
-    both = batch.join(latest, list(keys), "left").withColumn("streamed", F.coalesce("streamed", F.lit(0)))
-    return both.withColumn("dropped", F.col("batch") - F.col("streamed"))
+def closing_mark(spark: SparkSession, path: str, schema, at: Column, time: str = "ts") -> None:
+    """Adds a row to the folder that has an event time only: the watermark moves on to it, and what is open before it closes.
 
+    It stands for the clock of a source that has fallen silent. Streams drop it by ``without_marks``.
+    """
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != time else at.cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*empty).write.mode("append").parquet(path)
 
-def write_idempotent(stream: DataFrame, path: str, by: Sequence[str], checkpoint: str):
-    """Each batch replaces its own folder, so a batch that runs twice leaves one copy."""
 
-    def put(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path)
+def without_marks(stream: DataFrame, id_col: str, time: str = "ts") -> DataFrame:
+    """The rows with an id. The condition also takes the event time, so that the optimizer leaves it above the watermark, which has seen the marks."""
+    return stream.where(F.when(F.col(time).isNull(), False).otherwise(F.col(id_col).isNotNull()))
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def drain(stream: DataFrame, name: str, mode: str, checkpoint: str, progress: list | None = None) -> DataFrame:
+    """Run over what is there and return the result as a table, written to the checkpoint's folder.
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run over what is there and return the result as a table, written to the checkpoint's folder."""
+    Called again with the same name and checkpoint, it goes on with what has come since. ``progress`` gets the last
+    trigger's report. Operators with state of their own need the RocksDB store, which is set for the run.
+    """
     spark = stream.sparkSession
+    store = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
     out = f"{checkpoint}/{name}-out"
 
     def put(df: DataFrame, batch: int) -> None:
         df.withColumn("__batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if store is None else spark.conf.set(STORE, store)
+    if progress is not None and query.lastProgress:
+        progress.append(query.lastProgress)
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")

@@ -15,7 +15,6 @@ from skyloom.functions import algebra as A
 from skyloom.operators import aggregates as G
 from skyloom.operators import graph, models, sampling, sketches, spatial
 from skyloom.operators import timeseries as T
-from skyloom.streaming import jobs
 
 DAY0 = dt.datetime(2018, 3, 1)
 
@@ -273,16 +272,6 @@ def test_tree_and_labels(spark):
     assert row.p == pytest.approx(1 / (1 + math.exp(-4))) and row.m == 7 and row.z is None
 
 
-def test_running_dry_spell_keeps_state(spark, tmp_path):
-    rows = [(1, DAY0 + dt.timedelta(days=i), v) for i, v in enumerate([5.0, 0.0, 0.0, 0.0, 5.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "k long, ts timestamp, v double")
-    for i in range(7):
-        df.where(F.dayofmonth("ts") == i + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = jobs.read_new(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
-    got = jobs.drain(jobs.dry_spells(stream, "k", "v", 1.0), "d", "update", str(tmp_path / "mark")).orderBy("last_day").collect()
-    assert [r.length for r in got] == [0, 1, 2, 3, 0, 1, 2]
-
-
 def test_entry_imports_without_the_corpus_package(monkeypatch):
     import importlib
     import sys
