@@ -11,6 +11,8 @@ and counts the accepting states; the counts of tasks and shards are summed. Only
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,6 +27,8 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 COVERED = 50
 #: Bytes of text that are worked on at a time, and words of a coded row, about; a text is always whole.
 CHUNK, BLOCK, CODED = 4 << 20, 1 << 20, 1 << 19
+#: Rows of an Arrow batch of texts, and of coded words: some 4 and 16 MB.
+TEXTS, ROWS = 1000, 4
 #: Frequent words whose hashes may be broadcast, 32 MB. With more, words aren't filtered and pairs alone decide.
 VOCABULARY = 1 << 22
 #: Hash buckets of windows; a bit of each is broadcast, 16 MB.
@@ -206,9 +210,24 @@ def _safe_windows(l: int, w: np.ndarray, k: int, maps: list[np.ndarray]) -> tupl
 
 
 def _coded_rows(batches):
+    """A batch's words, language by language; every row ends with a break."""
     for batch in batches:
+        found: dict[int, list[np.ndarray]] = {}
         for l, words in zip(batch.column("l"), batch.column("words")):
-            yield l.as_py(), words.values.to_numpy()
+            found.setdefault(l.as_py(), []).append(words.values.to_numpy())
+        yield from ((l, np.concatenate(w)) for l, w in found.items())
+
+
+@contextmanager
+def arrow_rows(spark, most: int):
+    """Within it, batches for Python have at most so many rows, as rows are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def frequent_buckets(coded: DataFrame, k: int, maps: list, least: int) -> np.ndarray:
@@ -364,13 +383,19 @@ def _trie_of(key: tuple, shard: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([key[0].as_py()] * len(cut), pa.int64()), "name": names, "piece": pa.array(numbers, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def phrase_counts(coded: DataFrame, wanted: DataFrame, shard: int = SHARD) -> DataFrame:
+def _shards(wanted: DataFrame, shard: int) -> int:
+    return max(1, -(-wanted.count() // shard))
+
+
+def written_tries(wanted: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The tries of all shards, in pieces."""
+    dealt = wanted.withColumn("shard", F.pmod(F.xxhash64("l", "a", "b", "c"), F.lit(_shards(wanted, shard))))
+    return stage(dealt.groupBy("shard").applyInArrow(_trie_of, "shard long, name string, piece int, data binary"), "tries")
+
+
+def phrase_counts(coded: DataFrame, wanted: DataFrame, tries: DataFrame, shard: int = SHARD) -> DataFrame:
     """``(l, a, b, c, f)``: the occurrences of every wanted phrase, by one trie for each shard."""
-    spark = coded.sparkSession
-    wanted = stage(wanted.withColumn("row", F.monotonically_increasing_id()), "wanted")
-    shards = -(-wanted.count() // shard)
-    dealt = wanted.withColumn("shard", F.pmod(F.xxhash64("l", "a", "b", "c"), F.lit(max(1, shards))))
-    tries = stage(dealt.groupBy("shard").applyInArrow(_trie_of, "shard long, name string, piece int, data binary"), "tries")
+    spark, shards = coded.sparkSession, _shards(wanted, shard)
     counts = None
     for i in range(shards):
         got = sorted(tries.where(F.col("shard") == i).select("name", "piece", "data").toLocalIterator(), key=lambda r: r.piece)
@@ -433,18 +458,24 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     empty table gives no rows; other columns are ignored.
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    words, seed = word_counts(texts)
-    frequent = words.where(F.col("n") >= least)
-    known = frequent.select("h").distinct()
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(np.sort(known.toArrow().column("h").to_numpy())) if known.count() <= vocabulary else None
-    coded = stage(texts.mapInArrow(_coded_batches(seed, held), "l long, words array<long>"), "coded")
+    with arrow_rows(spark, TEXTS):
+        words, seed = word_counts(texts)
+        frequent = words.where(F.col("n") >= least)
+        known = frequent.select("h").distinct()
+        held = spark.sparkContext.broadcast(np.sort(known.toArrow().column("h").to_numpy())) if known.count() <= vocabulary else None
+        coded = stage(texts.mapInArrow(_coded_batches(seed, held), "l long, words array<long>"), "coded")
     none, maps = F.lit(0).cast("long"), []
     wanted = frequent.select("l", F.col("h").alias("a"), none.alias("b"), none.alias("c"))
-    for k in range(2, MAX_WORDS + 1):
-        maps.append(spark.sparkContext.broadcast(frequent_buckets(coded, k, maps, least)))
-        wanted = wanted.unionAll(candidates(coded, k, list(maps)))
-    counts = stage(phrase_counts(coded, wanted, shard), "phrase_counts")
+    with arrow_rows(spark, ROWS):
+        for k in range(2, MAX_WORDS + 1):
+            maps.append(spark.sparkContext.broadcast(frequent_buckets(coded, k, maps, least)))
+            wanted = wanted.unionAll(candidates(coded, k, list(maps)))
+        wanted = stage(wanted.withColumn("row", F.monotonically_increasing_id()), "wanted")
+    with arrow_rows(spark, max(shard, 10_000)):
+        tries = written_tries(wanted, shard)
+    with arrow_rows(spark, ROWS):
+        counts = stage(phrase_counts(coded, wanted, tries, shard), "phrase_counts")
     names = stage(frequent.groupBy("h").agg(F.min("word").alias("word")), "names")
     named = stage(scored_phrases(counts, least, covered), "scored")
     for c in ("a", "b"):
