@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyloom.plans.staging import stage
+from skyloom.operators.quadtree import nearest_sources
 
 
 def _seconds(c) -> Column:
@@ -118,33 +118,6 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(turns, F.lit(0.0), lambda s, t: s + t)) / 2
 
 
-def nearest_grid(targets: DataFrame, sources: DataFrame, x: str, y: str, value: str, cell: float, keys: list[str]) -> DataFrame:
-    """The value of the nearest source point of each target, with cells that double.
-
-    Sources need columns ``sx, sy`` and ``value``. A round looks into the nine cells round a
-    target; it is settled once its nearest hit is no farther than a cell is wide, as all that is so
-    near lies in them. The others look into cells of twice the width, so that a lookup never takes
-    more than nine cells and the number of rounds grows with the logarithm of the largest
-    gap. Ties go to the smaller ``(sx, sy)``.
-    """
-    extent = sources.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
-    if extent[0] is None:
-        return targets.select(*keys, F.lit(None).cast(sources.schema[value].dataType).alias(value))
-    reach = targets.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    if reach[0] is None:
-        return targets.select(*keys, F.lit(None).cast(sources.schema[value].dataType).alias(value))
-    widest = max(extent[1], reach[1]) - min(extent[0], reach[0]) + max(extent[3], reach[3]) - min(extent[2], reach[2])
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    open_, done = targets.select(*keys, x, y), None
-    while True:
-        at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
-        cells = sources.select("sx", "sy", F.col(value), at("sx").alias("__cx"), at("sy").alias("__cy"))
-        looks = open_.withColumn("__o", o).select(*keys, x, y, (at(x) + F.col("__o.i")).alias("__cx"), (at(y) + F.col("__o.j")).alias("__cy"))
-        far = (F.col(x) - F.col("sx")) ** 2 + (F.col(y) - F.col("sy")) ** 2
-        hit = looks.join(cells, ["__cx", "__cy"]).groupBy(*keys).agg(F.min(F.struct(far.alias("d"), "sx", "sy", value)).alias("__m"))
-        settled = hit.where(F.col("__m.d") <= cell * cell).select(*keys, F.col(f"__m.{value}").alias(value))
-        done = settled if done is None else done.unionByName(settled)
-        open_ = stage(open_.join(settled.select(*keys), keys, "left_anti"), "open")
-        if cell > widest or not open_.take(1):
-            return done
-        cell *= 2
+def nearest_grid(targets: DataFrame, sources: DataFrame, x: str, y: str, value: str, keys: list[str]) -> DataFrame:
+    """The value of the nearest source ``(sx, sy, value)`` of each target, by a quadtree of the sources; ties go to the smaller ``(sx, sy)``."""
+    return nearest_sources(targets, sources, keys, x, y, value)

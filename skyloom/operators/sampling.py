@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.operators.graph import connected_components
+from skyloom.operators.quadtree import near_cells
 from skyloom.plans.staging import stage
 
 MODULUS = 1000003
@@ -151,18 +152,21 @@ def distance_groups(points: DataFrame, key: str, x: str, y: str, within: float)
 
     Cells are so small that all points of one are within the distance, so that they are linked
     through the cell's least key and a dense cell gives no pairs. Neighbouring cells are
-    linked once if some pair of theirs is near enough.
+    linked once if some pair of theirs is near enough, which their boxes tell (``quadtree``).
     """
     side = within / math.sqrt(2) * (1 - 1e-12)
     at = lambda c: F.floor(F.col(c) / side)
-    cells = points.select(F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py"), at(x).alias("cx"), at(y).alias("cy"))
-    heads = cells.groupBy("cx", "cy").agg(F.min("k").alias("head"))
-    placed = cells.join(heads, ["cx", "cy"])
+    cells = stage(points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).withColumn("cx", at("px")).withColumn("cy", at("py")), "cells")
+    heads = stage(cells.dropna(subset=["cx", "cy"]).groupBy("cx", "cy").agg(F.min("k").alias("head")), "heads")
     # of the cells that a step can reach, those after this one in order
     ahead = [(i, j) for i in range(0, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead]))
-    looks = placed.select(F.col("head").alias("head2"), F.col("px").alias("qx"), F.col("py").alias("qy"), "cx", "cy", o.alias("o")).select("head2", "qx", "qy", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    near = (F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= within * within
-    links = placed.join(looks, ["cx", "cy"]).where(near).select("head", "head2").distinct()
-    found = connected_components(links.unionAll(placed.select("head", "k")), "head", "head2").withColumnRenamed("node", key)
+    o = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in ahead])).alias("o")
+    pairs = heads.select("cx", "cy", o).select("cx", "cy", F.col("o.i").alias("ox"), F.col("o.j").alias("oy"))
+    near = near_cells(cells.dropna(subset=["cx", "cy"]), pairs, "px", "py", side, within)
+    other = heads.select(F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("head").alias("head2"))
+    links = near.join(heads, ["cx", "cy"]).withColumn("qx", F.col("cx") + F.col("ox")).withColumn("qy", F.col("cy") + F.col("oy")).join(other, ["qx", "qy"]).select("head", "head2")
+    # the second key, which follows from the first, gives the join a shuffle of its own, whose hot cells can be split
+    half = F.pmod("cx", F.lit(2)).alias("half")
+    inside = cells.select("k", "cx", "cy", half).join(heads.select("cx", "cy", "head", half), ["cx", "cy", "half"]).select("head", F.col("k").alias("head2"))
+    found = connected_components(links.unionAll(inside), "head", "head2").withColumnRenamed("node", key)
     return points.select(key).join(found, key, "left").select(key, F.coalesce("component", F.col(key)).alias("group"))

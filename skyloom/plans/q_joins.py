@@ -143,7 +143,7 @@ def _(spark, sf_dir):
 @query("j15_nearest_grid_value", "SELECT id, arg_min(sid, struct_pack(d := d, sx := sx, sy := sy)) AS nearest FROM (SELECT c_custkey AS id, s_suppkey AS sid, s_acctbal AS sx, (s_suppkey * 53 % 9000)::DOUBLE AS sy, (c_acctbal - s_acctbal) * (c_acctbal - s_acctbal) + ((c_custkey * 37 % 9000) - (s_suppkey * 53 % 9000)::DOUBLE) * ((c_custkey * 37 % 9000) - (s_suppkey * 53 % 9000)::DOUBLE) AS d FROM customer, supplier) GROUP BY id")
 def _(spark, sf_dir):
     sources = load(spark, sf_dir, "supplier").selectExpr("s_suppkey AS nearest", "s_acctbal AS sx", "cast(s_suppkey * 53 % 9000 as double) AS sy")
-    return J.nearest_grid(points(spark, sf_dir), sources, "x", "y", "nearest", 800.0, ["id"])
+    return J.nearest_grid(points(spark, sf_dir), sources, "x", "y", "nearest", ["id"])
 
 
 @query("j16_bands_to_one_series", "SELECT o_orderkey, count(*) FILTER (l_linenumber = 1) AS b1, count(*) FILTER (l_linenumber = 2) AS b2, count(*) FILTER (l_linenumber = 3) AS b3 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 3 GROUP BY o_orderkey")

@@ -156,7 +156,9 @@ def _(spark, sf_dir):
     return A.split_by_share(load(spark, sf_dir, "embeddings").select("vec_id", "label"), ["label"], parts, ["vec_id"]).select("vec_id", "part")
 
 
-@query("g16_leak_free_groups")
+@query("g16_leak_free_groups", """WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal AS x, (c_custkey * 37 % 9000)::DOUBLE AS y FROM customer),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.x - b.x) <= 300 AND abs(a.y - b.y) <= 300 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 90000),
+r AS (SELECT id, id AS other FROM p UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other) SELECT id, min(other) AS grp FROM r GROUP BY id""")
 def _(spark, sf_dir):
     return A.distance_groups(points(spark, sf_dir), "id", "x", "y", 300.0).withColumnRenamed("group", "grp")
 

@@ -252,7 +252,7 @@ def test_asof_and_nearest_look_far(spark):
     here, there = r.random((80, 2)) * 9000, np.concatenate([r.random((6, 2)) * 300, [[8900.0, 20.0]]])
     targets = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(here)], "id long, x double, y double")
     sources = spark.createDataFrame([(float(a), float(b), j) for j, (a, b) in enumerate(there)], "sx double, sy double, near long")
-    found = {q.id: q.near for q in joins.nearest_grid(targets, sources, "x", "y", "near", 50.0, ["id"]).collect()}
+    found = {q.id: q.near for q in joins.nearest_grid(targets, sources, "x", "y", "near", ["id"]).collect()}
     assert found == {i: int(np.argmin(((there - p) ** 2).sum(axis=1))) for i, p in enumerate(here)}
 
 
