@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.operators import scans
+from skyloom.plans.staging import stage
+
 PIXEL = ("tile_id", "y", "x")
 
 
@@ -51,13 +54,12 @@ def fill(obs: DataFrame, value: str, operations: str = "f", keys: Sequence[str]
     if not operations or set(operations) - {"f", "b"}:
         raise ValueError("operations are a sequence of f and b")
     v = F.col(value) if sentinel is None else F.when(F.col(value) != F.lit(sentinel), F.col(value))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ahead = F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    back = F.first(v, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = {"f": ahead, "b": back}
+    rows = scans.sliced(obs.withColumn("__v", v), keys, order)
     first = operations[0]
-    other = "b" if first == "f" else "f"
-    return obs.withColumn(value, F.coalesce(both[first], both[other]) if other in operations else both[first])
+    wanted = [first] + [c for c in "fb" if c != first and c in operations]
+    for c in wanted:
+        rows = scans.known(rows, "__v", keys, order, f"__{c}", backward=c == "b")
+    return rows.withColumn(value, F.coalesce(*[f"__{c}" for c in wanted])).select(*obs.columns)
 
 
 def fill_array(values: Column, forward: bool = True) -> Column:
@@ -116,22 +118,22 @@ def histogram_match(obs: DataFrame, composite: DataFrame, bands: Sequence[str],
     return out.select(*obs.columns)
 
 
-def interpolate(series: DataFrame, grid: DataFrame, keys: Sequence[str], time: str, value: str, outside: float | None = None) -> DataFrame:
+def interpolate(series: DataFrame, grid: Column, keys: Sequence[str], time: str, value: str, outside: float | None = None) -> DataFrame:
     """Linear interpolation at the grid's times; before the first and after the last valid value, ``outside``.
 
-    ``grid`` has one column ``time``. Values of one time are averaged. One union and two
-    running windows; the right end is closed.
+    ``grid`` is an array of times, the same for all keys. Values of one time are averaged. One union and two
+    scans in slices; the right end is closed.
     """
-    known = series.where(F.col(value).isNotNull()).groupBy(*keys, time).agg(F.avg(value).alias("__v"))
-    asked = known.select(*keys).distinct().join(F.broadcast(grid), F.lit(True)).select(*keys, time, F.lit(True).alias("__ask"))
-    both = known.withColumn("__p", F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("s"), F.col("__v").alias("v"))).unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time)
-    left = F.last("__p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    right = F.first("__p", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    got = both.withColumn("__l", left).withColumn("__r", right).where("__ask")
+    valid = series.where(F.col(value).isNotNull()).groupBy(*keys, time).agg(F.avg(value).alias("v"))
+    valid = valid.select(*keys, time, F.lit(0).alias("__side"), F.struct(at.alias("s"), "v").alias("__p"))
+    asked = valid.select(*keys).distinct().select(*keys, F.explode(grid).alias(time)).withColumn("__side", F.lit(1))
+    order = [time, "__side"]
+    cut = scans.sliced(valid.unionByName(asked, allowMissingColumns=True), keys, order)
+    got = scans.known(scans.known(cut, "__p", keys, order, "__l"), "__p", keys, order, "__r", backward=True).where("__side = 1")
     share = F.try_divide(at - F.col("__l.s"), F.col("__r.s") - F.col("__l.s"))
-    out = F.when(F.col("__l.s") == F.col("__r.s"), F.col("__l.v")).otherwise(F.col("__l.v") + share * (F.col("__r.v") - F.col("__l.v")))
+    # a value at the time itself is the last one up to it
+    out = F.when(F.col("__l.s") == at, F.col("__l.v")).otherwise(F.col("__l.v") + share * (F.col("__r.v") - F.col("__l.v")))
     return got.select(*keys, time, F.coalesce(out, F.lit(outside)).alias(value))
 
 
@@ -182,33 +184,32 @@ def climate_days(series: DataFrame, name: str, keys: Sequence[str], value: str,
 def longest_dry_run(series: DataFrame, keys: Sequence[str], value: str, below: float = 1.0, time: str = "ts") -> DataFrame:
     """The longest run of consecutive days of each year whose daily sum is under the limit; days without data end a run."""
     days = daily(series, keys, value, "sum", time).where(F.col("v") < below).withColumn("year", F.year("day"))
-    island = F.datediff("day", F.lit("1970-01-01").cast("date")) - F.row_number().over(Window.partitionBy(*keys, "year").orderBy("day"))
-    runs = days.withColumn("run", island).groupBy(*keys, "year", "run").agg(F.count("*").alias("n"))
-    return runs.groupBy(*keys, "year").agg(F.max("n").alias("longest"))
+    found = scans.runs(days.withColumn("__day", F.datediff("day", F.lit("1970-01-01").cast("date"))), [*keys, "year"], "__day")
+    return found.groupBy(*keys, "year").agg(F.max("n").alias("longest"))
 
 
 def rolling_events(series: DataFrame, keys: Sequence[str], value: str, steps: int, above: float, order: Sequence[str] = ("ts",)) -> DataFrame:
     """How often, for each year, the sum of the last so many rows exceeds the limit."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - steps, 0)
-    full = F.when(F.count("*").over(w) == steps, F.sum(value).over(w))
-    return series.withColumn("__s", full).groupBy(*keys, F.year(order[0]).alias("year")).agg(F.count_if(F.col("__s") > above).alias("events"))
+    sums = scans.rolling(series, keys, order, steps, "__s", F.sum(value))
+    return sums.groupBy(*keys, F.year(order[0]).alias("year")).agg(F.count_if(F.col("__s.v0") > above).alias("events"))
 
 
 def thin(series: DataFrame, keys: Sequence[str], time: str, gap_s: int, reverse: bool = False, most: int | None = None) -> DataFrame:
     """Greedy thinning: keep a time if it is more than ``gap_s`` after the last kept one (before it, in reverse).
 
-    An ordered fold over each key's distinct times, so a key's times are one row's array: meant
-    for acquisitions of a tile, not for all rows of a table. ``most`` keeps the first so many of
-    the fold; ``enough`` tells whether there were that many.
+    Each time is linked to the first one that may be kept after it, and the links are followed from the key's
+    first time by pointer doubling, so a key may have any number of times. ``most`` keeps the first so many;
+    ``enough`` tells whether there were that many.
     """
-    times = F.array_sort(F.collect_set(F.unix_timestamp(F.col(time).cast("timestamp"))))
-    ordered = F.reverse(times) if reverse else times
-    far = lambda acc, x: F.abs(F.element_at(acc, -1) - x) > gap_s
-    kept = F.aggregate(ordered, F.slice(ordered, 1, 1), lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    got = series.groupBy(*keys).agg(kept.alias("__k"))
-    if most:
-        got = got.select(*keys, F.slice("__k", 1, most).alias("__k"), (F.size("__k") >= most).alias("enough"))
-    return got.withColumn("__k", F.explode("__k")).withColumn(time, F.timestamp_seconds("__k")).drop("__k")
+    sign = -1 if reverse else 1
+    times = series.where(F.col(time).isNotNull()).select(*keys, (sign * F.unix_timestamp(F.col(time).cast("timestamp"))).alias("__t")).distinct()
+    links = stage(scans.following(stage(times, "times"), keys, "__t", gap_s), "links")
+    got = scans.visited(links, keys, "__t", "next", most)
+    out = got.withColumn(time, F.timestamp_seconds(sign * F.col("__t")))
+    if not most:
+        return out.select(*keys, time)
+    enough = stage(got.groupBy(*keys).agg((F.max("place") + 1 >= most).alias("enough")), "enough")
+    return out.join(enough, list(keys)).select(*keys, time, "enough")
 
 
 def context_bounds(t: Column, n: Column, size: int) -> tuple[Column, Column]:

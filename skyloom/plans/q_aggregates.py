@@ -149,7 +149,26 @@ def _(spark, sf_dir):
 
 @query("a23_tree_reduction", f"SELECT event_type, {R6('sum(value)')} AS total, max(event_id) AS last FROM events GROUP BY 1")
 def _(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(r6(F.sum("value")).alias("total"), F.max("event_id").alias("last"))
+    """A user's reducer, merged in a tree."""
+    from skyloom.operators.scans import reduce_ordered
+
+    rows = load(spark, sf_dir, "events").select("event_type", "event_id", F.col("value").alias("total"), F.col("event_id").alias("last"))
+    return reduce_ordered(rows, ["event_type"], ["event_id"], ["total", "last"], lambda a, b: (a[0] + b[0], max(a[1], b[1]))).select("event_type", r6("total").alias("total"), "last")
+
+
+@query("a23_ordered_reduction", f"""WITH o AS (SELECT event_type, ts, event_id, value, lag(value) OVER w AS before, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+SELECT event_type, {R6('max(value) FILTER (i = 1)')} AS first, {R6('max(value) FILTER (i = n)')} AS last, count(*) FILTER (value > before) AS rises, {R6('coalesce(max(value - before), -1e9::DOUBLE)')} AS steepest FROM o GROUP BY event_type""")
+def _(spark, sf_dir):
+    """A reducer that doesn't commute: where one stretch ends and the next begins matters."""
+    from skyloom.operators.scans import reduce_ordered
+
+    def join(a, b):
+        step = b[0] - a[1]
+        return a[0], b[1], a[2] + b[2] + (step > 0), max(a[3], b[3], step)
+
+    rows = load(spark, sf_dir, "events").select("event_type", "ts", "event_id", F.col("value").alias("first"), F.col("value").alias("last"), F.lit(0).cast("long").alias("rises"), F.lit(-1e9).alias("steepest"))
+    merged = reduce_ordered(rows, ["event_type"], ["ts", "event_id"], ["first", "last", "rises", "steepest"], join, chunk=256)
+    return merged.select("event_type", r6("first").alias("first"), r6("last").alias("last"), "rises", r6("steepest").alias("steepest"))
 
 
 @query("a26_class_distribution", f"{SER} SELECT class, count(*) AS n FROM ser GROUP BY class")

@@ -123,7 +123,7 @@ SELECT px, strftime(day0, '%Y-%m-%d') AS day, coalesce({R6("CASE WHEN lt = rt TH
     @query(name, sql)
     def run(spark, sf_dir):
         rows = ser(spark, sf_dir).withColumn("v", F.when(F.col("valid"), F.col("v")))
-        grid = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-02-05', INTERVAL 7 DAYS)) AS ts")
+        grid = F.expr("sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-02-05', INTERVAL 7 DAYS)")
         return T.interpolate(rows, grid, ["px"], "ts", "v", outside).select("px", F.date_format("ts", "yyyy-MM-dd").alias("day"), r6("v").alias("v"))
 
 
