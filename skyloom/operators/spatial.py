@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,42 @@ def gradients(pixels: DataFrame, value: str, height: int, width: int) -> DataFra
     return looks.join(there, ["tile_id", "ny", "nx"]).groupBy(*PIXEL).agg(F.sum(F.col("wx") * F.col("__v")).alias("gx"), F.sum(F.col("wy") * F.col("__v")).alias("gy"))
 
 
+def central_gradients(pixels: DataFrame, value: str, height: int, width: int) -> DataFrame:
+    """Differences ``gr, gc`` of the neighbours below and above, right and left; 0 on the outer rows and columns."""
+    ways = {(-1, 0): ("gr", 1.0), (1, 0): ("gr", -1.0), (0, -1): ("gc", 1.0), (0, 1): ("gc", -1.0)}
+    near = _shifted(pixels, list(ways), [value])
+    part = lambda name: F.sum(reduce(lambda a, w: a.when((F.col("dy") == w[0][0]) & (F.col("dx") == w[0][1]), w[1][1] * F.col("__n")), [w for w in ways.items() if w[1][0] == name], F.when(F.lit(False), 0.0)))
+    sums = near.withColumnRenamed(value, "__n").groupBy(*PIXEL).agg(part("gr").alias("gr"), part("gc").alias("gc"))
+    inner = lambda c, at, n: F.when((F.col(at) > 0) & (F.col(at) < n - 1), F.col(c)).otherwise(0.0).alias(c)
+    return pixels.join(sums, PIXEL, "left").select(*pixels.columns, inner("gr", "y", height), inner("gc", "x", width))
+
+
+def oriented_gradients(pixels: DataFrame, value: str, height: int, width: int, orientations: int = 9, cell: int = 8, block: int = 3) -> DataFrame:
+    """``(tile_id, row, col, angle, value)``: histograms of gradient directions of cells, normalised in overlapping blocks.
+
+    A cell's histogram is the mean magnitude of its pixels by direction modulo 180 degrees. Blocks of ``block`` x ``block`` cells begin at every cell from which
+    they fit; each is divided by its length, cut at 0.2 and divided again. A cell stands once for each block that holds it: at row
+    ``block`` times the block's row plus its own row in it, and so for columns.
+    """
+    g = central_gradients(pixels, value, height, width)
+    degrees = F.pmod(F.round(F.degrees(F.atan2("gr", "gc")), 9), F.lit(180.0))
+    angle = F.floor(degrees * orientations / 180).cast("int")
+    size = F.sqrt(F.col("gr") * F.col("gr") + F.col("gc") * F.col("gc"))
+    rows, cols = height // cell, width // cell
+    inside = g.where((F.col("y") < rows * cell) & (F.col("x") < cols * cell)).select("tile_id", F.floor(F.col("y") / cell).cast("int").alias("cy"), F.floor(F.col("x") / cell).cast("int").alias("cx"), angle.alias("angle"), size.alias("size"))
+    sums = [(F.sum(F.when(F.col("angle") == k, F.col("size")).otherwise(0.0)) / (cell * cell)).alias(f"h{k}") for k in range(orientations)]
+    cells = inside.groupBy("tile_id", "cy", "cx").agg(*sums).select("tile_id", "cy", "cx", F.array(*[f"h{k}" for k in range(orientations)]).alias("h"))
+    within = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(block) for j in range(block)])).alias("o")
+    held = cells.select("tile_id", "h", "cy", "cx", within).select("tile_id", "h", "o.i", "o.j", (F.col("cy") - F.col("o.i")).alias("by"), (F.col("cx") - F.col("o.j")).alias("bx"))
+    held = held.where((F.col("by") >= 0) & (F.col("by") <= rows - block) & (F.col("bx") >= 0) & (F.col("bx") <= cols - block))
+    # a block's window holds block x block rows
+    whole = _whole(["tile_id", "by", "bx"])
+    length = lambda c: F.sqrt(F.sum(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)).over(whole) + 1e-10)
+    held = held.withColumn("n", length("h")).withColumn("h", F.transform("h", lambda v: F.least(v / F.col("n"), F.lit(0.2))))
+    held = held.withColumn("n", length("h")).withColumn("h", F.transform("h", lambda v: v / F.col("n")))
+    return held.select("tile_id", (F.col("by") * block + F.col("i")).alias("row"), (F.col("bx") * block + F.col("j")).alias("col"), F.posexplode("h").alias("angle", "value"))
+
+
 def hillshade(gx: Column, gy: Column, res_x: float, res_y: float, zenith: Column, azimuth: Column) -> Column:
     """Illumination of a slope from Sobel sums and sun angles in degrees; at most 0 is shade."""
     dx, dy = gx / (8 * res_x), gy / (8 * res_y)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from skyloom.functions.algebra import ndi
 from skyloom.operators import aggregates as G
+from skyloom.operators import shadows as H
 from skyloom.operators import spatial as N
 from skyloom.plans.catalog import query
 from skyloom.plans.standins import OBS, PIX, R6, obs, pix, r6
@@ -192,7 +195,7 @@ SELECT label, y, x, round(max(s), 5) + 0.0 AS ssim_max, round(avg(s), 5) + 0.0 A
 def _(spark, sf_dir):
     rows = pix(spark, sf_dir)
     first = rows.groupBy("label").agg(F.min("tile_id").alias("target"))
-    marked = rows.join(F.broadcast(first), "label")
+    marked = rows.join(first, "label")
     found = N.structural_similarity(marked.where("tile_id <> target"), marked.where("tile_id = target"), "v", 8, 8, ["label"], "tile_id")
     return found.select("label", "y", "x", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("ssim_max", "ssim_mean", "ssim_std")])
 
@@ -206,3 +209,91 @@ def _(spark, sf_dir):
 @query("n20_edge_mask", f"{PIX} SELECT tile_id, y, x, (x < 2 OR y >= 5) AS edge FROM pix")
 def _(spark, sf_dir):
     return pix(spark, sf_dir).select("tile_id", "y", "x", N.edge_mask(F.col("y"), F.col("x"), 3, 2, 8, 8).alias("edge"))
+
+
+# ---- clouds and their shadows: the vectors as frames of 10 m pixels, with masks and angles of each pixel
+
+_SCENE = {
+    "b2": "v * 0.5 + 0.1", "b3": "v * v",
+    "valid": "(tile_id + y * 8 + x) % 11 <> 0", "cloud": "v > 0.12", "shade": "(tile_id + 2 * y + x) % 13 = 0", "water": "abs(v) < 0.02",
+    "sun_zenith": "30.0 + tile_id % 20 + x * 0.1", "sun_azimuth": "140.0 + tile_id % 40 + y * 0.2", "view_zenith": "5.0 + tile_id % 6", "view_azimuth": "100.0 + tile_id % 90 + x * 0.3",
+}
+
+
+def scene(spark, sf_dir):
+    return pix(spark, sf_dir).selectExpr("*", *[re.sub(r"([0-9]+[.][0-9]+)", r"\1D", e) + f" AS {n}" for n, e in _SCENE.items()])
+
+
+_SCENE_SQL = PIX.replace("WITH", "WITH RECURSIVE", 1) + ", sc AS (SELECT *, " + ", ".join(re.sub(r"([0-9]+[.][0-9]+)", r"\1::DOUBLE", e) + f" AS {n}" for n, e in _SCENE.items()) + " FROM pix)"
+_CANDIDATE_SQL = f"""{_SCENE_SQL}, lum AS (SELECT *, sqrt((v * v + b2 * b2 + b3 * b3) / 3) AS lum FROM sc),
+q AS (SELECT tile_id, quantile_cont(lum, 0.01) FILTER (valid AND NOT cloud) AS lo, quantile_cont(lum, 0.99) FILTER (valid AND NOT cloud) AS hi FROM lum GROUP BY tile_id),
+o AS (SELECT tile_id, y, x FROM lum JOIN q USING (tile_id) WHERE lum < lo + (hi - lo) * 0.4::DOUBLE AND valid AND NOT cloud AND NOT water AND NOT shade),
+r AS (SELECT tile_id, y, x, y AS y2, x AS x2 FROM o UNION SELECT r.tile_id, r.y, r.x, o.y, o.x FROM r JOIN o ON o.tile_id = r.tile_id AND abs(o.y - r.y2) <= 1 AND abs(o.x - r.x2) <= 1),
+c AS (SELECT tile_id, y, x FROM r GROUP BY ALL HAVING count(*) > 3)"""
+
+
+def candidates(spark, sf_dir):
+    return H.shadow_candidates(scene(spark, sf_dir), ["v", "b2", "b3"], 0.4, 3, 8, 8)
+
+
+@query("n08_masked_shadow_candidates", f"{_CANDIDATE_SQL} SELECT sc.tile_id, sc.y, sc.x, c.tile_id IS NOT NULL AS candidate FROM sc LEFT JOIN c USING (tile_id, y, x)")
+def _(spark, sf_dir):
+    return candidates(spark, sf_dir).select("tile_id", "y", "x", "candidate")
+
+
+_SHIFT_SQL = """a AS (SELECT tile_id, avg(radians(sun_zenith)) AS sz, avg(radians(sun_azimuth)) AS sa, avg(radians(view_zenith)) AS vz, avg(radians(view_azimuth)) AS va FROM sc WHERE cloud AND valid AND NOT shade GROUP BY tile_id),
+sh AS (SELECT tile_id, tan(sz) * sin(sa) - tan(vz) * sin(va) AS east, tan(vz) * cos(va) + tan(sz) * cos(sa) AS north FROM a)"""
+_PROJECT_SQL = f"""{_SHIFT_SQL}, m AS (SELECT DISTINCT tile_id, elevation, trunc(round_even((y * 10.0::DOUBLE + elevation * north) / 10, 0) * 10 / 10.0::DOUBLE)::BIGINT AS y, trunc(round_even((x * 10.0::DOUBLE - elevation * east) / 10, 0) * 10 / 10.0::DOUBLE)::BIGINT AS x
+FROM (SELECT tile_id, y, x FROM sc WHERE cloud AND valid AND NOT shade) JOIN sh USING (tile_id), (SELECT unnest([0, 15, 30, 45, 60, 75]) AS elevation)),
+p AS (SELECT m.* FROM m JOIN sc USING (tile_id, y, x) WHERE sc.valid AND NOT sc.cloud)"""
+_HEIGHTS = "array(0, 15, 30, 45, 60, 75)"
+
+
+@query("n09_clouds_by_angles", f"{_SCENE_SQL}, {_PROJECT_SQL} SELECT tile_id, elevation, y, x FROM p")
+def _(spark, sf_dir):
+    return H.project_clouds(scene(spark, sf_dir), F.expr(_HEIGHTS), 10.0, 10.0, 8, 8)
+
+
+@query("n09_projection_offsets", f"{_SCENE_SQL}, {_SHIFT_SQL} SELECT tile_id, trunc(round_even(-45 * north / 10, 0) * 10 / 10.0::DOUBLE)::BIGINT AS rows_off, trunc(round_even(-45 * east / 10, 0) * 10 / 10.0::DOUBLE)::BIGINT AS cols_off FROM sh")
+def _(spark, sf_dir):
+    rows, cols = H.shift_in_pixels(F.lit(45), 10.0, 10.0)
+    return H.frame_shift(scene(spark, sf_dir)).select("tile_id", rows.alias("rows_off"), cols.alias("cols_off"))
+
+
+@query("n10_shadow_height", f"""{_CANDIDATE_SQL}, {_PROJECT_SQL}, n AS (SELECT p.tile_id, elevation, count(*) AS n, count(c.tile_id) AS hit FROM p LEFT JOIN c USING (tile_id, y, x) GROUP BY ALL), k AS (SELECT tile_id, count(*) AS k FROM c GROUP BY tile_id),
+w AS (SELECT tile_id, elevation, round(hit / (n + coalesce(k, 0) - hit), 9) AS agreement FROM n LEFT JOIN k USING (tile_id))
+SELECT tile_id, elevation, {R6('agreement')} AS agreement FROM w QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY agreement DESC, elevation) = 1""")
+def _(spark, sf_dir):
+    """The height in metres whose projected clouds fit the dark pixels best, frame by frame."""
+    dark = candidates(spark, sf_dir)
+    shadows = H.project_clouds(scene(spark, sf_dir), F.expr(_HEIGHTS), 10.0, 10.0, 8, 8)
+    return H.best_elevation(dark, shadows).select("tile_id", "elevation", r6("agreement").alias("agreement"))
+
+
+_ALL_DIRECTIONS = ", ".join(f"sum(CASE WHEN angle = {k} THEN size ELSE 0 END) / 4" for k in range(9))
+_ORIENTED = f"""{PIX}, g AS (SELECT a.tile_id, a.y, a.x, CASE WHEN a.y > 0 AND a.y < 7 THEN sum(b.v * (b.y - a.y)) ELSE 0 END AS gr, CASE WHEN a.x > 0 AND a.x < 7 THEN sum(b.v * (b.x - a.x)) ELSE 0 END AS gc FROM pix a JOIN pix b ON a.tile_id = b.tile_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY a.tile_id, a.y, a.x),
+d AS (SELECT *, round(degrees(atan2(gr, gc)), 9) AS deg, sqrt(gr * gr + gc * gc) AS size FROM g),
+h AS (SELECT tile_id, y // 2 AS cy, x // 2 AS cx, size, floor((CASE WHEN deg < 0 THEN deg + 180 WHEN deg >= 180 THEN deg - 180 ELSE deg END) * 9 / 180)::INT AS angle FROM d),
+c AS (SELECT tile_id, cy, cx, [{_ALL_DIRECTIONS}] AS h FROM h GROUP BY ALL),
+k AS (SELECT tile_id, p, q, cy - p AS i, cx - q AS j, unnest(h) AS v, generate_subscripts(h, 1) - 1 AS angle FROM c, range(0, 2) r(p), range(0, 2) s(q) WHERE cy BETWEEN p AND p + 2 AND cx BETWEEN q AND q + 2),
+u AS (SELECT *, least(v / sqrt(sum(v * v) OVER (PARTITION BY tile_id, p, q) + 1e-10::DOUBLE), 0.2::DOUBLE) AS w FROM k)
+SELECT tile_id, (p * 3 + i)::INT AS row, (q * 3 + j)::INT AS col, angle::INT AS angle, round(w / sqrt(sum(w * w) OVER (PARTITION BY tile_id, p, q) + 1e-10::DOUBLE), 5) + 0.0::DOUBLE AS value FROM u"""
+
+
+@query("n16_normalised_gradients", _ORIENTED)
+def _(spark, sf_dir):
+    found = N.oriented_gradients(pix(spark, sf_dir), "v", 8, 8, cell=2)
+    return found.select("tile_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "angle", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+_SMOOTH = "{0} AS (SELECT l.tile_id, l.y, l.x, round(avg(b.{1}), 9) >= {2}::DOUBLE AS over FROM l JOIN w b ON l.tile_id = b.tile_id AND ny = b.y AND nx = b.x GROUP BY ALL), {0}d AS (SELECT a.tile_id, a.y, a.x, bool_or(b.over) AS m FROM {0} a JOIN {0} b ON " + _NEAR.format(1) + " GROUP BY ALL)"
+
+
+@query("w32_smoothed_dilated_verdict", f"""{PIX}, w AS (SELECT tile_id, y, x, v + 0.5::DOUBLE AS mono, abs(v) * 2 AS multi, (tile_id + x) % 7 <> 0 AS has_data FROM pix),
+l AS (SELECT tile_id, y, x, {_REFLECT.format('(y + dy)')} AS ny, {_REFLECT.format('(x + dx)')} AS nx FROM w, (SELECT dy, dx FROM range(-1, 2) r(dy), range(-1, 2) s(dx) WHERE abs(dy) + abs(dx) <= 1)),
+{_SMOOTH.format('mo', 'mono', 0.56)}, {_SMOOTH.format('mu', 'multi', 0.22)}, i AS (SELECT mod.tile_id, mod.y, mod.x, mod.m AND mud.m AS m FROM mod JOIN mud USING (tile_id, y, x)),
+g AS (SELECT a.tile_id, a.y, a.x, bool_or(b.m) AS m FROM i a JOIN i b ON {_NEAR.format(1)} GROUP BY ALL)
+SELECT w.tile_id, w.y, w.x, mod.m AND has_data AS mono_cloud, mud.m AND has_data AS multi_cloud, g.m AND has_data AS cloud FROM w JOIN mod USING (tile_id, y, x) JOIN mud USING (tile_id, y, x) JOIN g USING (tile_id, y, x)""")
+def _(spark, sf_dir):
+    rows = pix(spark, sf_dir).select("tile_id", "y", "x", (F.col("v") + 0.5).alias("mono"), (F.abs("v") * 2).alias("multi"), ((F.col("tile_id") + F.col("x")) % 7 != 0).alias("has_data"))
+    return H.combined_verdict(rows, "mono", "multi", "has_data", (0.56, 0.22), 1, 1, 8, 8).select("tile_id", "y", "x", "mono_cloud", "multi_cloud", "cloud")
