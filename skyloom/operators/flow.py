@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.plans.staging import stage
 
-def conditionally(df: DataFrame, key: str, verdict: Column, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply ``step`` to the tiles whose aggregate ``verdict`` is true; the others pass unchanged.
 
-    The verdict is one aggregate over all rows of a tile. Columns that only the step adds
-    are null elsewhere; a null verdict counts as false.
+def conditional_chain(df: DataFrame, key: str, verdict: Column, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply all ``steps`` in order to the tiles whose aggregate ``verdict`` is true at the start; the others pass unchanged.
+
+    The verdict is one aggregate over all rows of a tile, made once and written, so that neither a later step nor the other
+    branch judges anew. Columns that only steps add are null elsewhere; a null verdict counts as false.
     """
-    told = df.join(df.groupBy(key).agg(F.coalesce(verdict, F.lit(False)).alias("__verdict")), key)
+    told = df.join(stage(df.groupBy(key).agg(F.coalesce(verdict, F.lit(False)).alias("__verdict")), "verdicts"), key)
     yes, no = told.where("__verdict").drop("__verdict"), told.where("NOT __verdict").drop("__verdict")
-    return step(yes).unionByName(no, allowMissingColumns=True)
+    return reduce(lambda rows, step: step(rows), steps, yes).unionByName(no, allowMissingColumns=True)
+
+
+def conditionally(df: DataFrame, key: str, verdict: Column, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A chain of one step."""
+    return conditional_chain(df, key, verdict, step)

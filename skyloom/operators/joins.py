@@ -99,6 +99,13 @@ def bbox_join(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float)
     return left.join(right, ["__cx", "__cy"]).where(inside).drop("__cx", "__cy")
 
 
+def clip_boxes(boxes: DataFrame, extent: tuple[float, float, float, float]) -> DataFrame:
+    """The part of each box ``(min_x, min_y, max_x, max_y)`` that lies in the extent, given likewise; boxes without an inner part in it go."""
+    low = {c: F.greatest(F.col(c), F.lit(v)) for c, v in zip(("min_x", "min_y"), extent[:2])}
+    high = {c: F.least(F.col(c), F.lit(v)) for c, v in zip(("max_x", "max_y"), extent[2:])}
+    return boxes.withColumns(low | high).where((F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y")))
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether the point lies in the polygon ``array<struct<x, y>>``, by counting the edges that a ray to the right crosses."""
     edges = F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -114,7 +114,7 @@ def _sketch(name: str, mode: str, keys: list[str], sql_keys: str, pixelwise: boo
         sk = S.sketch(rows, ["nir", "swir"], mode, pixelwise, ["tile_id"])
         got = sk.select(*keys, "n", S.quantile("sketch", 0.5).alias("median"))
         long = S.long_bands(rows.withColumn("month", F.month("ts")), ["nir", "swir"], [c for c in ("ts", "month", "tile_id")])
-        joined = long.join(F.broadcast(got), keys) if keys else long.join(F.broadcast(got), F.lit(True))
+        joined = long.join(got, keys) if keys else long.join(F.broadcast(got), F.lit(True))
         below, upto = F.count_if(F.col("v") < F.col("median")), F.count_if(F.col("v") <= F.col("median"))
         return joined.groupBy(*keys, "n").agg(((below <= 0.52 * F.count("*") + 1) & (upto >= 0.48 * F.count("*") - 1)).alias("close"))
 
@@ -201,11 +201,27 @@ def _(spark, sf_dir):
     return points(spark, sf_dir).groupBy(F.floor(F.col("x") / 250).alias("cx"), F.floor(F.col("y") / 250).alias("cy")).agg(F.count("*").alias("n"))
 
 
-@query("a33_calendar_heat_map", "WITH c AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-29', INTERVAL 1 DAY))::DATE AS d) SELECT month(c.d)::INT AS month, day(c.d)::INT AS day, count(event_id) AS n FROM c LEFT JOIN events ON ts::DATE = c.d GROUP BY ALL")
+_CALENDAR = "c AS (SELECT unnest(generate_series(date_trunc('month', min(ts))::DATE, last_day(max(ts)), INTERVAL 1 DAY))::DATE AS d FROM events), k AS (SELECT c.d, count(event_id) AS n FROM c LEFT JOIN events ON ts::DATE = c.d GROUP BY c.d)"
+
+
+def calendar(spark, sf_dir):
+    """Every day of the months that the events touch, with their number."""
+    events = load(spark, sf_dir, "events")
+    days = events.agg(F.trunc(F.min("ts"), "month").alias("lo"), F.last_day(F.max("ts")).alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("d"))
+    counts = events.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
+    return days.join(counts, "d", "left").select("d", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("a33_calendar_heat_map", f"WITH {_CALENDAR} SELECT year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS day, n FROM k")
 def _(spark, sf_dir):
-    days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-02-29')) AS d")
-    counts = load(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
-    return days.join(counts, "d", "left").select(F.month("d").alias("month"), F.dayofmonth("d").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
+    return calendar(spark, sf_dir).select(F.year("d").alias("year"), F.month("d").alias("month"), F.dayofmonth("d").alias("day"), "n")
+
+
+@query("a33_calendar_by_day", f"WITH {_CALENDAR} SELECT strftime(d, '%Y-%m') AS month, {', '.join(f'max(n) FILTER (day(d) = {i}) AS day_{i:02d}' for i in range(1, 32))} FROM k GROUP BY 1")
+def _(spark, sf_dir):
+    """A row for each month and a column for each day; days that a month lacks are null, days without events 0."""
+    wide = calendar(spark, sf_dir).withColumn("day", F.dayofmonth("d")).groupBy(F.date_format("d", "yyyy-MM").alias("month")).pivot("day", list(range(1, 32)))
+    return wide.agg(F.max("n")).select("month", *[F.col(str(i)).alias(f"day_{i:02d}") for i in range(1, 32)])
 
 
 @query("a34_gap_histogram", f"{SER} SELECT gap, count(*) AS n FROM (SELECT date_diff('day', lag(ts) OVER (PARTITION BY px ORDER BY ts, oid)::DATE, ts::DATE)::INT AS gap FROM ser) WHERE gap IS NOT NULL GROUP BY gap")
@@ -298,10 +314,12 @@ def _(spark, sf_dir):
     return tiles.select("tile_id", G.in_steps("light", [0, 1, 2, 9, 18, 58], ["none", "low", "medium", "high", "very high"]).alias("level"))
 
 
-@query("l01_sort_and_renumber", "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS idx, c_custkey FROM customer QUALIFY idx < 50")
+@query("l01_sort_and_renumber", "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS idx, c_custkey FROM customer")
 def _(spark, sf_dir):
-    top = load(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50)
-    return top.select((F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")) - 1).cast("long").alias("idx"), "c_custkey")
+    from skyloom.operators.sampling import ranked
+
+    rows = load(spark, sf_dir, "customer").select("c_custkey", (-F.col("c_acctbal")).alias("down"))
+    return ranked(rows, [], ["down", "c_custkey"], "idx").select(F.col("idx").cast("long").alias("idx"), "c_custkey")
 
 
 @query("l02_top_zones_by_mean", f"SELECT n_name, {R6('avg(c_acctbal)')} AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY avg(c_acctbal) DESC, n_name LIMIT 10")

@@ -63,6 +63,17 @@ def _(spark, sf_dir):
 
 _simple("p30_tree_ensemble", lambda: r6(A.tree_ensemble(TREES, ["nir", "red"])), R6(f"1 / (1 + exp(-{_TREE_SQL}))"))
 _simple("p31_tree_with_guard", lambda: F.when(A.ndi("nir", "red") <= 0.2, False).otherwise(A.tree(TREES[0], ["nir", "red"]) > 0.5), f"CASE WHEN {NDVI} <= 0.2::DOUBLE THEN false ELSE CASE WHEN nir <= 0.4::DOUBLE THEN -0.7 ELSE CASE WHEN red <= 0.03::DOUBLE THEN 0.2 ELSE 0.9 END END > 0.5 END")
+#: Vegetation, water, moisture and burn indices of the four bands.
+_INDICES = [("nir", "red"), ("blue", "nir"), ("nir", "swir"), ("swir", "red")]
+_leaf = lambda v: {"leaf_value": v}
+_split = lambda i, at, left, right: {"split_feature": i, "decision_type": "<=", "threshold": at, "left_child": left, "right_child": right}
+_ON_INDICES = _split(0, 0.75, _split(2, 0.1, _leaf(0.9), _split(3, 0.6, _leaf(0.2), _leaf(0.7))), _split(1, -0.9, _split(2, -0.05, _leaf(0.8), _leaf(0.1)), _leaf(0.6)))
+_I = [f"(({a} - {b}) / nullif({a} + {b}, 0))" for a, b in _INDICES]
+_simple(
+    "p31_tree_on_four_indices",
+    lambda: F.when(A.ndi("nir", "red") <= 0.2, False).otherwise(A.tree(_ON_INDICES, [A.ndi(a, b) for a, b in _INDICES]) > 0.5),
+    f"CASE WHEN {_I[0]} <= 0.2::DOUBLE THEN false ELSE CASE WHEN {_I[0]} <= 0.75::DOUBLE THEN CASE WHEN {_I[2]} <= 0.1::DOUBLE THEN 0.9 ELSE CASE WHEN {_I[3]} <= 0.6::DOUBLE THEN 0.2 ELSE 0.7 END END ELSE CASE WHEN {_I[1]} <= -0.9::DOUBLE THEN CASE WHEN {_I[2]} <= -0.05::DOUBLE THEN 0.8 ELSE 0.1 END ELSE 0.6 END END > 0.5 END",
+)
 _simple("p32_packed_index", lambda: A.packed_index(F.round(A.ndi("nir", "red"), 3)), f"trunc(round({NDVI}, 3) * 10000 + 10000)::INT")
 _simple("p33_rms_luminance", lambda: r6(A.rms(FOUR)), R6("sqrt((blue * blue + red * red + nir * nir + swir * swir) / 4)"))
 _simple("p34_water_reference", lambda: A.water("blue", "nir").cast("int"), f"(CASE WHEN {NDWI} > 0.1::DOUBLE THEN 1 ELSE 0 END)::INT")
@@ -162,6 +173,16 @@ def _(spark, sf_dir):
     return out.select("oid", r6("nir").alias("nir"), "extra")
 
 
+@query("p37_conditional_chain", f"{OBS}, t AS (SELECT tile_id, avg(nir) AS m FROM obs GROUP BY tile_id) SELECT oid, CASE WHEN m > 0.51::DOUBLE THEN {R6('nir / 4 - red')} ELSE {R6('nir')} END AS nir, CASE WHEN m > 0.51::DOUBLE THEN {R6('nir / 4')} END AS before FROM obs JOIN t USING (tile_id)")
+def _(spark, sf_dir):
+    """The first step takes its tiles below the limit, but the first verdict holds for the whole chain."""
+    from skyloom.operators.flow import conditional_chain
+
+    rows = obs(spark, sf_dir).select("oid", "tile_id", "nir", "red")
+    steps = [lambda d: d.withColumn("nir", F.col("nir") / 4), lambda d: d.withColumn("before", F.col("nir")), lambda d: d.withColumn("nir", F.col("nir") - F.col("red"))]
+    return conditional_chain(rows, "tile_id", F.avg("nir") > 0.51, *steps).select("oid", r6("nir").alias("nir"), r6("before").alias("before"))
+
+
 @query("m06_argmax_class", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS cls FROM embeddings")
 def _(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", A.argmax_class("embedding").alias("cls"))

@@ -33,7 +33,7 @@ def _(spark, sf_dir):
 @query("s02_save_by_tile", f"{OBS} SELECT tile_id, count(*) AS n FROM obs GROUP BY tile_id")
 def _(spark, sf_dir):
     path = _scratch(spark, "tiles")
-    I.write_tiles(obs(spark, sf_dir).repartition("tile_id"), path, ["tile_id", "oid", "nir"])
+    I.write_tiles(obs(spark, sf_dir).hint("rebalance", "tile_id"), path, ["tile_id", "oid", "nir"])
     return spark.read.parquet(path).groupBy(F.col("tile_id").cast("long").alias("tile_id")).agg(F.count("*").alias("n"))
 
 
@@ -55,8 +55,10 @@ def _(spark, sf_dir):
     path = _scratch(spark, "geojson")
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     feature = F.struct(F.struct("id").alias("properties"), point.alias("geometry"))
-    one_file = features(spark, sf_dir).groupBy((F.col("id") % 8).alias("file")).agg(F.collect_list(feature).alias("features"))
-    one_file.select(F.to_json(F.struct("features")).alias("value")).repartition(8).write.text(path)
+    # a collection of at most a thousand features is one line
+    line = F.floor(F.monotonically_increasing_id() / 1000).alias("line")
+    collections = features(spark, sf_dir).groupBy(line).agg(F.collect_list(feature).alias("features"))
+    collections.select(F.to_json(F.struct("features")).alias("value")).write.text(path)
     rows = spark.read.text(path).select(F.explode(I.geojson_features(F.col("value"))).alias("f"))
     return rows.select(F.col("f.properties.id").cast("long").alias("id"), I.point_of(F.col("f.geometry.coordinates")).alias("p")).select("id", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
 
@@ -211,7 +213,7 @@ FITTED = 3000
 def _sample(rows):
     from skyloom.operators.sampling import sample_per_class
 
-    return stage(sample_per_class(rows, ["label"], FITTED, ["oid"]).coalesce(1), "sample")
+    return stage(sample_per_class(rows, ["label"], FITTED, ["oid"]), "sample")
 
 
 @query("m03_scale_then_predict", f"{OBS} SELECT tile_id, count(*) AS n, true AS accurate FROM obs GROUP BY tile_id")

@@ -26,6 +26,21 @@ def _(spark, sf_dir):
     return lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
 
 
+@query("j02_nation_under_two_roles", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s.n_name AS supplier_nation, c.n_name AS customer_nation, s.n_regionkey = c.n_regionkey AS within_region FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey")
+def _(spark, sf_dir):
+    """One dimension table joined twice, once for each code column; each role has names of its own."""
+    nations = load(spark, sf_dir, "nation")
+
+    def role(name: str, code: str):
+        return nations.select(F.col("n_nationkey").alias(code), F.col("n_name").alias(f"{name}_nation"), F.col("n_regionkey").alias(f"{name}_region"))
+
+    suppliers = load(spark, sf_dir, "supplier").join(role("supplier", "s_nationkey"), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "supplier_nation", "supplier_region")
+    customers = load(spark, sf_dir, "customer").join(role("customer", "c_nationkey"), "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "customer_nation", "customer_region")
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(customers, "o_custkey")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(suppliers, "l_suppkey").join(orders, "l_orderkey")
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "supplier_nation", "customer_nation", (F.col("supplier_region") == F.col("customer_region")).alias("within_region"))
+
+
 @query("j03_survey_to_places", "SELECT c_custkey, n_name, round(c_acctbal, 2) AS wealth FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(spark, sf_dir):
     return load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", F.round("c_acctbal", 2).alias("wealth"))
@@ -125,6 +140,15 @@ def _(spark, sf_dir):
     return clipped.where("min_x < max_x AND min_y < max_y").join(inside, "zone_id")
 
 
+@query("j12_clip_own_boxes", f"WITH {_POINTS}, b AS (SELECT id, x - 50 - id % 200 AS min_x, y - 50 - id % 150 AS min_y, x + 50 + id % 200 AS max_x, y + 50 + id % 150 AS max_y FROM p), c AS (SELECT id, greatest(min_x, 0) AS min_x, greatest(min_y, 0) AS min_y, least(max_x, 5000) AS max_x, least(max_y, 5000) AS max_y, (max_x - min_x) * (max_y - min_y) AS area FROM b) SELECT id, {R6('min_x')} AS min_x, {R6('min_y')} AS min_y, {R6('max_x')} AS max_x, {R6('max_y')} AS max_y, {R6('(max_x - min_x) * (max_y - min_y) / area')} AS share FROM c WHERE min_x < max_x AND min_y < max_y")
+def _(spark, sf_dir):
+    """Every point's own box, cut to the extent; boxes outside go."""
+    own = points(spark, sf_dir).selectExpr("id", "x - 50 - id % 200 AS min_x", "y - 50 - id % 150 AS min_y", "x + 50 + id % 200 AS max_x", "y + 50 + id % 150 AS max_y")
+    cut = J.clip_boxes(own.withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))), (0.0, 0.0, 5000.0, 5000.0))
+    share = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")) / F.col("area")
+    return cut.select("id", *[r6(c).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")], r6(share).alias("share"))
+
+
 @query("j13_tile_coverage", f"WITH {_DIAMONDS}, {_POINTS}, h AS (SELECT DISTINCT id FROM p JOIN z ON {_IN}) SELECT id % 20 AS tile_id, {R6('count(h.id) / count(*)')} AS coverage FROM p LEFT JOIN h USING (id) GROUP BY 1 HAVING count(h.id) / count(*) > 0.2")
 def _(spark, sf_dir):
     p = points(spark, sf_dir)
