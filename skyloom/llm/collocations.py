@@ -26,9 +26,9 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has at least so many hundredths of its occurrences.
 COVERED = 50
 #: Bytes of text that are worked on at a time, and words of a coded row, about; a text is always whole.
-CHUNK, BLOCK, CODED = 4 << 20, 1 << 20, 1 << 19
-#: Rows of an Arrow batch of texts, and of coded words: some 4 and 16 MB.
-TEXTS, ROWS = 1000, 4
+CHUNK, BLOCK, CODED = 2 << 20, 1 << 20, 1 << 18
+#: Rows of an Arrow batch of texts, and of coded words: some 2 and 4 MB.
+TEXTS, ROWS = 500, 2
 #: Frequent words whose hashes may be broadcast, 32 MB. With more, words aren't filtered and pairs alone decide.
 VOCABULARY = 1 << 22
 #: Hash buckets of windows; a bit of each is broadcast, 16 MB.
@@ -238,7 +238,8 @@ def frequent_buckets(coded: DataFrame, k: int, maps: list, least: int) -> np.nda
         for l, w in _coded_rows(batches):
             _, key = _safe_windows(l, w, k, held)
             bucket, n = np.unique(_bucket(key), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
+            for some in range(0, len(bucket), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[some : some + 100_000]) for x in (bucket, n)], names=["bucket", "n"])
 
     sums = coded.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select((F.col("bucket") + 1).alias("bit"))
     parts = sums.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
