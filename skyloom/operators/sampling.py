@@ -70,30 +70,53 @@ def sample_pixels(obs: DataFrame, n: int, seed: int = 7, tile: str = "tile_id")
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, slices: int = 0) -> DataFrame:
     """Add ``name``, each row's place from 0 among the rows of its class, and ``name``_of, their number.
 
-    Rows are dealt to slices by ranges of class and order, so a class of any size is spread over
-    tasks; the slices' counts, one row for each class in each, tell where a slice begins.
+    Rows are dealt to slices by ranges of class, order and a number of their own, so a class of any size is spread over
+    tasks, and so are the rows of one place in the order; which of these comes first is left open. The slices' counts, one row for each class in each,
+    tell where a slice begins.
     """
     wanted = [slices] if slices else []
-    cut = stage(df.repartitionByRange(*wanted, *by, *order).withColumn("__slice", F.spark_partition_id()), "slices")
+    own = df.withColumn("__own", F.monotonically_increasing_id())
+    cut = stage(own.repartitionByRange(*wanted, *by, *order, "__own").withColumn("__slice", F.spark_partition_id()), "slices")
     counts = cut.groupBy(*by, "__slice").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*by)
     before = F.coalesce(F.sum("__n").over(w.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__slice").alias("__of"), before.alias("__before"), F.sum("__n").over(w).alias(f"{name}_of"))
-    place = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(*order)) - 1
+    place = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(*order, "__own")) - 1
     same = F.col("__slice") == F.col("__of")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     joined = cut.withColumn("__place", place).join(starts, same)
-    return joined.withColumn(name, F.col("__place") + F.col("__before")).drop("__slice", "__of", "__place", "__before", *[f"__by_{c}" for c in by])
+    return joined.withColumn(name, F.col("__place") + F.col("__before")).drop("__slice", "__own", "__of", "__place", "__before", *[f"__by_{c}" for c in by])
+
+
+def value_places(df: DataFrame, value: str, slices: int = 0) -> DataFrame:
+    """``(value, n, start, total)``: of each distinct value that isn't null its rows, and the place from 0 of the first of them in order.
+
+    Rows are counted by value before anything is ordered, so a value on very many rows is one row here; values are then summed up in slices.
+    """
+    wanted = [slices] if slices else []
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    cut = stage(counts.repartitionByRange(*wanted, "value").withColumn("__slice", F.spark_partition_id()), "values")
+    sums = cut.groupBy("__slice").agg(F.sum("n").alias("held"))
+    everything = Window.partitionBy()
+    before = F.coalesce(F.sum("held").over(everything.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col("__slice").alias("__of"), before.alias("__before"), F.sum("held").over(everything).alias("total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("__slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = cut.withColumn("__inside", inside).join(starts, F.col("__slice") == F.col("__of"))
+    return joined.select("value", "n", (F.col("__before") + F.col("__inside")).alias("start"), "total")
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float]) -> DataFrame:
-    """One row with an array ``q`` of interpolated quantiles of the whole column; only rows at the wanted places are gathered."""
-    placed = ranked(df.select(value).dropna(), [], [value], "__at")
-    rank = lambda q: (F.col("__at_of") - 1) * F.lit(float(q))
-    near = reduce(lambda a, b: a | b, [F.abs(F.col("__at") - rank(q)) < 1 for q in quantiles])
-    weight = lambda q: F.greatest(F.lit(0.0), 1 - F.abs(F.col("__at") - rank(q)))
-    return placed.where(near).agg(F.array(*[F.sum(weight(q) * F.col(value)) for q in quantiles]).alias("q"))
+    """One row with an array ``q`` of interpolated quantiles of the whole column, from its distinct values and their counts."""
+    placed = value_places(df.select(value), value)
+    rank = lambda q: (F.col("total") - 1) * F.lit(float(q))
+    holds = lambda at: ((at >= F.col("start")) & (at < F.col("start") + F.col("n"))).cast("double")
+
+    def weight(q):
+        low, rest = F.floor(rank(q)), rank(q) - F.floor(rank(q))
+        return holds(low) * (1 - rest) + holds(low + 1) * rest
+
+    return placed.agg(F.array(*[F.sum(weight(q) * F.col("value")) for q in quantiles]).alias("q"))
 
 
 def every_kth(df: DataFrame, k: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
