@@ -33,16 +33,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete all tables that this application has staged; call it once their results are written. Returns their number."""
-    jvm, paths = spark.sparkContext._jvm, _staged.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+def staged_mark(spark: SparkSession) -> int:
+    """How many tables this application has staged and not dropped: what is staged later comes after this mark."""
+    return len(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the tables that this application has staged after the mark ``since``, but for ``keep``; call it once what was made of them is written. Returns their number."""
+    held = _staged.pop(spark.sparkContext.applicationId, [])
+    kept = [p for i, p in enumerate(held) if i < since or p == getattr(keep, "staged_at", None)]
+    if kept:
+        _staged[spark.sparkContext.applicationId] = kept
+    jvm, gone = spark.sparkContext._jvm, [p for p in held if p not in set(kept)]
+    for path in gone:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
+    return len(gone)
 
 
 def is_empty(df: DataFrame) -> bool:
