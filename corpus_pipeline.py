@@ -10,31 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from skyloom.plans.staging import stage
+from skyloom.plans.staging import drop_staged, stage, staged_mark
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or far from every language profile, go."""
+    """Documents without a letter, or far from every language profile, go: null, empty and odd texts among them. Repeated rows each stay or go alike."""
     return language_id.keep_identified(docs)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the longest, then the smallest id stays."""
+    """Of texts that are equal without white space, the longest, then the smallest id stays; one row of several that are alike in both. Null counts as empty."""
     return exact_dedup.keep_distinct(docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the smallest id stays."""
+    """Of each class of near duplicates, the smallest id stays, null last. Texts without a word are classes of their own; rows that repeat an id are rows of their own."""
     return near_dedup.keep_one_of_each(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or thinned to their targets."""
+    """Sources, a null one among them, are repeated or thinned to their targets. Empty texts count nothing; an empty table stays empty."""
     return mixing.mix(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's tokens are placed in sequences."""
+    """Every row's tokens are placed in sequences; a null text is just its end mark, and a repeated row is packed as often."""
     return packing.pack_documents(docs)
 
 
@@ -51,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for ``documents``.
+
+    Null, empty and very long texts, repeated rows and empty tables go through as the stages' operators define; further columns
+    of ``documents``, whatever their names, come through all stages but the last. Once a stage is written, what it and
+    its predecessor had staged is deleted.
+    """
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_mark(spark)
     for name, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir), name)
+        drop_staged(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
