@@ -96,3 +96,61 @@ def test_sketches_find_pairs_at_the_threshold(words):
         one, two = (near_dedup.order_sketches(word_hashes(" ".join(w).replace(".", ""))) for w in (a, b))
         hits += bool((one == two).any())
     assert hits / 150 >= 0.9
+
+
+def test_license_query_names_planted_texts(spark, tmp_path):
+    import oracle
+
+    from skyloom.llm import licenses
+
+    rows = []
+    for i, (name, text) in enumerate(sorted(licenses.TEXTS.items())):
+        rows += [(3 * i, text), (3 * i + 1, "Copyright (c) 2020 Someone\n\n" + text.upper().replace(".", " . ")), (3 * i + 2, text + "\none more line")]
+    rows += [(None, None), (None, ""), (1000, "Copyright 2020 me"), (0, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.license) for r in licenses.op10_license_scan(spark, str(tmp_path)).collect()}
+    for i, (name, _) in enumerate(sorted(licenses.TEXTS.items())):
+        assert {(3 * i, name), (3 * i + 1, name), (3 * i + 2, None)} <= got
+    assert (1000, None) in got and (None, None) in got
+    assert oracle.differences(spark, licenses.op10_license_scan, licenses.OP10_SQL, str(tmp_path)) == []
+
+
+def test_quality_rows_are_those_of_a_plain_computation(spark):
+    sf = "/root/testdata/sf0.001"
+    frame, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, cuts = quality.train(frame, labels)
+    got = {r.doc_id: r for r in quality.score_quality(frame, (weights, cuts)).collect()}
+    weights = weights.astype(np.float32).astype(np.float64)
+    for r in frame.collect():
+        score = sum(weights[i] for i in quality.features(r.text).tolist())
+        over = [1 / (1 + np.exp(-(score - c))) for c in cuts]
+        assert got[r.doc_id].expected_grade == pytest.approx(sum(over)) and got[r.doc_id].p_top == pytest.approx(over[-1]) and got[r.doc_id].selected == (over[-1] >= 0.5)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_bound_and_packing_enclose_the_best_packing(seed):
+    r = random.Random(seed)
+    sizes = [r.choice([r.randint(1, 20), r.randint(5, 10)]) for _ in range(r.randint(1, 9))]
+
+    def fits(left, rooms):
+        """Whether the sizes, largest first, fit the bins with that room."""
+        if not left:
+            return True
+        return any(fits(left[1:], rooms[:i] + (room - left[0],) + rooms[i + 1 :]) for i, room in enumerate(rooms) if room >= left[0] and room not in rooms[:i])
+
+    best = next(n for n in range(1, 10) if fits(sorted(sizes, reverse=True), (20,) * n))
+    bins, offsets = packing.best_fit_decreasing(np.array(sizes), 20)
+    assert packing.lower_bound(np.array(sizes), 20) <= best <= bins.max() + 1
+    spans = sorted((b, o, o + s) for b, o, s in zip(bins.tolist(), offsets.tolist(), sizes))
+    assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(spans, spans[1:])) and all(e <= 20 for *_, e in spans)
+
+
+@pytest.mark.parametrize("width", [24, 64, 256, 768])
+def test_vectors_near_the_threshold_meet_at_any_width(width):
+    r = np.random.default_rng(width)
+    a, z = r.normal(size=(2, 150, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    one, two = embedding_dedup.buckets(a), embedding_dedup.buckets(b)
+    assert ((one[:, :, :1] == two) | (two[:, :, :1] == one)).any(axis=(1, 2)).mean() >= 0.95
