@@ -230,23 +230,44 @@ def arrow_rows(spark, most: int):
         spark.conf.set(key, before)
 
 
-def frequent_buckets(coded: DataFrame, k: int, maps: list, least: int) -> np.ndarray:
-    """A bit for each bucket: whether windows of k words fall into it ``least`` times. Its size is fixed."""
+def _bits_of(part_bits: int, least: int):
+    """Which buckets of a part hold ``least`` windows, from its packed counts."""
+    size = 1 << BUCKET_BITS - part_bits
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for at, n in zip(rows.column("at"), rows.column("n")):
+            total[np.frombuffer(at.as_py(), "<u4")] += np.frombuffer(n.as_py(), "<u2")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def frequent_buckets(coded: DataFrame, k: int, maps: list, least: int, words: int) -> np.ndarray:
+    """A bit for each bucket: whether windows of k words fall into it ``least`` times. Its size is fixed.
+
+    Buckets are dealt to parts, of which there are more the more words there are, so that a part's counts, about a million
+    however long the corpus, are few megabytes. A batch's counts of a part are one packed row.
+    """
+    part_bits = min(17, max(7, (words >> 20).bit_length()))
+    shift = BUCKET_BITS - part_bits
 
     def run(batches):
         held = [m.value for m in maps]
         for l, w in _coded_rows(batches):
             _, key = _safe_windows(l, w, k, held)
             bucket, n = np.unique(_bucket(key), return_counts=True)
-            for some in range(0, len(bucket), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[some : some + 100_000]) for x in (bucket, n)], names=["bucket", "n"])
-
-    sums = coded.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select((F.col("bucket") + 1).alias("bit"))
-    parts = sums.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    bits = np.zeros(1 << BUCKET_BITS - 3, np.uint8)
-    for part, found in stage(parts, "buckets").toLocalIterator():
-        at = (part - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(bytes(found), np.uint8)
+            at, n = (bucket & (1 << shift) - 1).astype("<u4"), np.minimum(n, 0xFFFF).astype("<u2")
+            first = np.flatnonzero(np.diff(bucket >> shift, prepend=-1))
+            ends = [*first[1:].tolist(), len(bucket)]
+            cut = list(zip(first.tolist(), ends))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first] >> shift), pa.array([at[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([n[i:j].tobytes() for i, j in cut], pa.binary())], names=["part", "at", "n"])
+
+    packed = coded.mapInArrow(run, "part long, at binary, n binary")
+    found = stage(packed.groupBy("part").applyInArrow(_bits_of(part_bits, least), "part long, bits binary"), "buckets")
+    bits, size = np.zeros(1 << BUCKET_BITS - 3, np.uint8), 1 << shift - 3
+    for part, some in found.toLocalIterator():
+        bits[part * size : (part + 1) * size] = np.frombuffer(bytes(some), np.uint8)
     return bits
 
 
@@ -464,13 +485,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         words, seed = word_counts(texts)
         frequent = words.where(F.col("n") >= least)
         known = frequent.select("h").distinct()
+        total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         held = spark.sparkContext.broadcast(np.sort(known.toArrow().column("h").to_numpy())) if known.count() <= vocabulary else None
         coded = stage(texts.mapInArrow(_coded_batches(seed, held), "l long, words array<long>"), "coded")
     none, maps = F.lit(0).cast("long"), []
     wanted = frequent.select("l", F.col("h").alias("a"), none.alias("b"), none.alias("c"))
     with arrow_rows(spark, ROWS):
         for k in range(2, MAX_WORDS + 1):
-            maps.append(spark.sparkContext.broadcast(frequent_buckets(coded, k, maps, least)))
+            maps.append(spark.sparkContext.broadcast(frequent_buckets(coded, k, maps, least, total)))
             wanted = wanted.unionAll(candidates(coded, k, list(maps)))
         wanted = stage(wanted.withColumn("row", F.monotonically_increasing_id()), "wanted")
     with arrow_rows(spark, max(shard, 10_000)):
