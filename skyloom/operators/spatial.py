@@ -1,13 +1,13 @@
 """Neighbourhoods of pixels in a tile.
 
-All are joins with shifted pixels and aggregates, so a tile may be spread over many tasks.
+All are joins and aggregates of shifted pixels, so a tile may be spread over many tasks.
 Nothing crosses from one tile to the next.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +30,33 @@ def _shifted(rows: DataFrame, offsets: Sequence[tuple[int, int]], value: Sequenc
     return rows.select("tile_id", "y", "x", *value, o.alias("o")).select("tile_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.dy", "o.dx", *value)
 
 
+def _beside(pixels: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Pixels with what was found for them. Both sides have a row for each pixel, which a planner takes for no more than the arrays they come from, so neither is broadcast."""
+    return pixels.join(found.hint("merge"), PIXEL, how)
+
+
+def _reached(pixels: DataFrame, value: str, offsets: Sequence[tuple[int, int]], back: Callable[[Column, int], Column], height: int, width: int) -> DataFrame:
+    """``(tile_id, y, x, __i, __v)``: each pixel's value at every pixel that looks at it by the i-th offset.
+
+    ``back`` takes an index beyond the edge into the tile; a pixel counts for all that reach it or one of its images beyond the edge. What a pixel
+    sees is then one aggregate without a join, most of which is done before the shuffle.
+    """
+    r = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+
+    def images(axis, n):
+        beyond = [*range(-r, 0), *range(n, n + r)]
+        return F.explode(F.array_compact(F.array(F.col(axis).cast("long"), *[F.when(back(F.lit(i), n) == F.col(axis), F.lit(i).cast("long")) for i in beyond])))
+
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate(offsets)]))
+    spread = pixels.select("tile_id", "x", F.col(value).alias("__v"), images("y", height).alias("__y")).select("tile_id", "__v", "__y", images("x", width).alias("__x"))
+    spread = spread.select("tile_id", "__v", "__y", "__x", o.alias("o")).select("tile_id", (F.col("__y") - F.col("o.dy")).alias("y"), (F.col("__x") - F.col("o.dx")).alias("x"), F.col("o.i").alias("__i"), "__v")
+    return spread.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
+
+
 def dilate(pixels: DataFrame, mask: str, radius: int, out: str = "dilated") -> DataFrame:
     """Whether any true pixel lies within the radius."""
     reached = _shifted(pixels.where(F.col(mask)), disk(radius)).select(*PIXEL).distinct().withColumn("__hit", F.lit(True))
-    return pixels.join(reached, PIXEL, "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")
+    return _beside(pixels, reached, "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
 def erode(pixels: DataFrame, mask: str, radius: int, out: str = "eroded") -> DataFrame:
@@ -45,7 +68,7 @@ def erode(pixels: DataFrame, mask: str, radius: int, out: str = "eroded") -> Dat
 def erode_classes(pixels: DataFrame, label: str, radius: int, out: str = "eroded") -> DataFrame:
     """The label where no other label lies within the radius, else 0."""
     near = _shifted(pixels, disk(radius), [label]).withColumnRenamed(label, "__n").groupBy(*PIXEL).agg(F.min("__n").alias("__lo"), F.max("__n").alias("__hi"))
-    return pixels.join(near, PIXEL).withColumn(out, F.when(F.col("__lo") == F.col("__hi"), F.col(label)).otherwise(0)).drop("__lo", "__hi")
+    return _beside(pixels, near).withColumn(out, F.when(F.col("__lo") == F.col("__hi"), F.col(label)).otherwise(0)).drop("__lo", "__hi")
 
 
 def disk_mean(pixels: DataFrame, value: str, radius: int, height: int, width: int, out: str = "smooth") -> DataFrame:
@@ -53,11 +76,8 @@ def disk_mean(pixels: DataFrame, value: str, radius: int, height: int, width: in
     def back(c, n):
         return F.when(c < 0, -1 - c).when(c >= n, 2 * n - 1 - c).otherwise(c)
 
-    o = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disk(radius)]))
-    looks = pixels.select(*PIXEL, o.alias("o")).select(*PIXEL, back(F.col("y") + F.col("o.dy"), height).alias("ny"), back(F.col("x") + F.col("o.dx"), width).alias("nx"))
-    there = pixels.select("tile_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("__v"))
-    mean = looks.join(there, ["tile_id", "ny", "nx"]).groupBy(*PIXEL).agg(F.avg("__v").alias(out))
-    return pixels.join(mean, PIXEL)
+    mean = _reached(pixels, value, disk(radius), back, height, width).groupBy(*PIXEL).agg(F.avg("__v").alias(out))
+    return _beside(pixels, mean)
 
 
 def block(pixels: DataFrame, factor: int, **aggregates: Column) -> DataFrame:
@@ -73,18 +93,19 @@ def from_blocks(pixels: DataFrame, blocks: DataFrame, factor: int) -> DataFrame:
 def boundaries(pixels: DataFrame, segment: str, out: str = "boundary") -> DataFrame:
     """Whether any of the four neighbours within the tile has another segment."""
     near = _shifted(pixels, [(0, 1), (1, 0), (0, -1), (-1, 0)], [segment]).withColumnRenamed(segment, "__n")
-    differs = pixels.join(near, PIXEL).groupBy(*PIXEL).agg(F.bool_or(F.col("__n") != F.col(segment)).alias(out))
-    return pixels.join(differs, PIXEL, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    differs = _beside(pixels, near).groupBy(*PIXEL).agg(F.bool_or(F.col("__n") != F.col(segment)).alias(out))
+    return _beside(pixels, differs, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def gradients(pixels: DataFrame, value: str, height: int, width: int) -> DataFrame:
     """Sobel gradients ``gx, gy`` (3 x 3, sum of weights 8) with the edge reflected about the outer pixel."""
     weights = {(dy, dx): (dx * (2 - abs(dy)), dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
-    o = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(wx)).alias("wx"), F.lit(float(wy)).alias("wy")) for (dy, dx), (wx, wy) in weights.items() if (wx, wy) != (0, 0)]))
+    used = {d: w for d, w in weights.items() if w != (0, 0)}
     mirror = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * n - 2 - c).otherwise(c)
-    looks = pixels.select(*PIXEL, o.alias("o")).select(*PIXEL, mirror(F.col("y") + F.col("o.dy"), height).alias("ny"), mirror(F.col("x") + F.col("o.dx"), width).alias("nx"), "o.wx", "o.wy")
-    there = pixels.select("tile_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("__v"))
-    return looks.join(there, ["tile_id", "ny", "nx"]).groupBy(*PIXEL).agg(F.sum(F.col("wx") * F.col("__v")).alias("gx"), F.sum(F.col("wy") * F.col("__v")).alias("gy"))
+    at = lambda i: F.element_at(F.array(*[F.lit(float(w[i])) for w in used.values()]), F.col("__i") + 1)
+    seen = _reached(pixels, value, list(used), mirror, height, width)
+    found = seen.groupBy(*PIXEL).agg(F.sum(at(0) * F.col("__v")).alias("gx"), F.sum(at(1) * F.col("__v")).alias("gy"))
+    return found.join(pixels.select(*PIXEL).hint("merge"), PIXEL, "left_semi")
 
 
 def central_gradients(pixels: DataFrame, value: str, height: int, width: int) -> DataFrame:
@@ -94,7 +115,7 @@ def central_gradients(pixels: DataFrame, value: str, height: int, width: int) ->
     part = lambda name: F.sum(reduce(lambda a, w: a.when((F.col("dy") == w[0][0]) & (F.col("dx") == w[0][1]), w[1][1] * F.col("__n")), [w for w in ways.items() if w[1][0] == name], F.when(F.lit(False), 0.0)))
     sums = near.withColumnRenamed(value, "__n").groupBy(*PIXEL).agg(part("gr").alias("gr"), part("gc").alias("gc"))
     inner = lambda c, at, n: F.when((F.col(at) > 0) & (F.col(at) < n - 1), F.col(c)).otherwise(0.0).alias(c)
-    return pixels.join(sums, PIXEL, "left").select(*pixels.columns, inner("gr", "y", height), inner("gc", "x", width))
+    return _beside(pixels, sums, "left").select(*pixels.columns, inner("gr", "y", height), inner("gc", "x", width))
 
 
 def oriented_gradients(pixels: DataFrame, value: str, height: int, width: int, orientations: int = 9, cell: int = 8, block: int = 3) -> DataFrame:
