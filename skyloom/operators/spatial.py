@@ -227,15 +227,22 @@ def local_binary_pattern(pixels: DataFrame, value: str, height: int, width: int,
     A point between pixels is interpolated from the four round it, the edge repeated. Up to two
     changes round the circle give the number of such points, more give ``points + 1``.
     """
-    looks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for k, dy, dx, w in circle(points, radius)]))
-    aimed = pixels.select(*PIXEL, F.col(value).alias("__c"), looks.alias("o")).select(*PIXEL, "__c", "o.k", "o.w", _inside(F.col("y") + F.col("o.dy"), height).alias("ny"), _inside(F.col("x") + F.col("o.dx"), width).alias("nx"))
-    there = pixels.select("tile_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("__v"))
-    bits = aimed.join(there, ["tile_id", "ny", "nx"]).groupBy(*PIXEL, "k", "__c").agg((F.sum(F.col("w") * F.col("__v")) >= F.col("__c") - 1e-9).cast("int").alias("bit"))
-    # bit k adds to the k-th place of one number, so that the circle needs no array
-    packed = bits.groupBy(*PIXEL).agg(F.sum(F.col("bit") * F.pow(F.lit(2), F.col("k")).cast("long")).alias("__bits"))
+    around = circle(points, radius)
+    offsets = sorted({(dy, dx) for _, dy, dx, _ in around})
+    seen = _reached(pixels, value, offsets, _inside, height, width)
+    near = seen.groupBy(*PIXEL).agg(*[F.sum(F.when(F.col("__i") == i, F.col("__v"))).alias(f"__n{i}") for i in range(len(offsets))])
+
+    def bit(k):
+        parts = [w * F.col(f"__n{offsets.index((dy, dx))}") for p, dy, dx, w in around if p == k]
+        total = F.when(F.coalesce(*parts).isNotNull(), reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in parts]))
+        return (total >= F.col(value) - 1e-9).cast("long")
+
+    bits = [bit(k) for k in range(points)]
+    packed = F.when(F.coalesce(*bits).isNotNull(), reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) * (1 << k) for k, c in enumerate(bits)]))
+    told = _beside(pixels, near).withColumn("__bits", packed).drop(*[f"__n{i}" for i in range(len(offsets))])
     turned = F.shiftleft(F.col("__bits"), 1).bitwiseAND((1 << points) - 1).bitwiseOR(F.shiftright(F.col("__bits"), points - 1))
     changes = F.bit_count(F.col("__bits").bitwiseXOR(turned))
-    return pixels.join(packed, PIXEL).withColumn(out, F.when(changes <= 2, F.bit_count("__bits")).otherwise(points + 1)).drop("__bits")
+    return told.withColumn(out, F.when(changes <= 2, F.bit_count("__bits")).otherwise(points + 1)).drop("__bits")
 
 
 def circle(points: int, radius: float) -> list[tuple[int, int, int, float]]:

@@ -35,7 +35,7 @@ def test_disk_mean_of_tiles_with_holes(spark):
         assert got[t, y, x] == (pytest.approx(sum(near) / len(near)) if near else None)
 
 
-@pytest.mark.parametrize("name", ["n01_dilate", "n01_erode", "n02_disk_mean", "n06_hillshade"])
+@pytest.mark.parametrize("name", ["n01_dilate", "n01_erode", "n02_disk_mean", "n06_hillshade", "n15_local_binary_pattern"])
 def test_pixels_are_never_broadcast(spark, name):
     from skyloom.plans.queries import QUERIES
 
