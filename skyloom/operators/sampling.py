@@ -48,10 +48,26 @@ def split_folds(df: DataFrame, bins: Sequence[float], keys: Sequence[str], seed:
     return df.withColumn("fold", f if ignore is None else F.when(ignore, 0).otherwise(f))
 
 
+#: Steps of the draw by which a class's rows are counted before any is ordered.
+STEPS = 4096
+
+
 def sample_per_class(df: DataFrame, by: Sequence[str], n: int, keys: Sequence[str], seed: int = 7) -> DataFrame:
-    """Exactly n rows of each class, or all if it has fewer, those of least draw; the rank is limited before the shuffle."""
+    """Exactly n rows of each class, or all if it has fewer, those of least draw.
+
+    Rows are counted by class and step of the draw first. Only those up to the step that completes the n are ordered, so
+    that no task gets a whole class; classes of a null draw come as one step.
+    """
+    drawn = df.withColumn("__r", draw(seed, *keys)).withColumn("__step", F.coalesce(F.floor(F.col("__r") * STEPS), F.lit(-1).cast("long")))
+    counts = drawn.groupBy(*by, "__step").agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy(*by).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.withColumn("__before", before).where(F.col("__before") < n)
+    # staged, so that its size is known: a few steps of a few classes are broadcast, more join by class and step
+    wanted = stage(wanted.select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__step").alias("__of")), "steps")
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__of_{c}")), by, F.col("__step") == F.col("__of"))
     w = Window.partitionBy(*by).orderBy("__r", *keys)
-    return df.withColumn("__r", draw(seed, *keys)).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__r", "__n")
+    few = drawn.join(wanted, same, "left_semi")
+    return few.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__r", "__n", "__step")
 
 
 def sample_even(df: DataFrame, tile: str, label: str, more_than: int, n: int, keys: Sequence[str], seed: int = 7) -> DataFrame:

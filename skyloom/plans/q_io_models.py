@@ -189,20 +189,16 @@ BANDS = ["blue", "red", "nir", "swir"]
 
 @query("m01_boosted_trees")
 def _(spark, sf_dir):
-    from skyloom.operators.sampling import sample_per_class
-
     rows = _pixels(spark, sf_dir)
-    model = M.train_trees(sample_per_class(rows, ["label"], 1500, ["oid"]), BANDS, "label", rounds=5)
+    model = M.train_trees(_sample(rows, 1500), BANDS, "label", rounds=5)
     scored = M.score(model, rows)
     return scored.groupBy("label").agg(F.count("*").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > 0.9).alias("accurate"))
 
 
 @query("m02_score_pixels", f"{OBS} SELECT (nir + swir > 1.0::DOUBLE)::INT AS label, count(*) AS n, true AS accurate FROM obs GROUP BY 1")
 def _(spark, sf_dir):
-    from skyloom.operators.sampling import sample_per_class
-
     rows = _pixels(spark, sf_dir)
-    model = M.train_scaled_logistic(sample_per_class(rows, ["label"], 1500, ["oid"]), BANDS, "label")
+    model = M.train_scaled_logistic(_sample(rows, 1500), BANDS, "label")
     return M.score(model, rows).groupBy("label").agg(F.count("*").alias("n"), (F.avg(F.abs(F.col("probability_1") - F.col("label"))) < 0.2).alias("accurate"))
 
 
@@ -210,10 +206,10 @@ def _(spark, sf_dir):
 FITTED = 3000
 
 
-def _sample(rows):
+def _sample(rows, n=FITTED):
     from skyloom.operators.sampling import sample_per_class
 
-    return stage(sample_per_class(rows, ["label"], FITTED, ["oid"]), "sample")
+    return stage(sample_per_class(rows, ["label"], n, ["oid"]), "sample")
 
 
 @query("m03_scale_then_predict", f"{OBS} SELECT tile_id, count(*) AS n, true AS accurate FROM obs GROUP BY tile_id")

@@ -16,6 +16,18 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def records_shuffled(df) -> list[int]:
+    """Rows that each exchange of a plan that has run has written."""
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
 def grid(spark, seed, height=5, width=3, tiles=2):
     """Tiles with some pixels missing and some without a value."""
     r = random.Random(seed)
@@ -40,3 +52,26 @@ def test_pixels_are_never_broadcast(spark, name):
     from skyloom.plans.queries import QUERIES
 
     assert "Broadcast" not in plan_of(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("n", [3, 2000])
+def test_sample_of_a_class_is_the_rows_of_least_draw(spark, n):
+    from skyloom.operators.sampling import draw, sample_per_class
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2).alias("k"), F.when(F.col("id") < 5990, F.col("id")).alias("key"))
+    got = {(r.k, r.key) for r in sample_per_class(rows.where("key IS NOT NULL"), ["k"], n, ["key"]).collect()}
+    drawn = rows.where("key IS NOT NULL").withColumn("r", draw(7, "key")).collect()
+    want = set()
+    for k in (None, 0, 1):
+        want |= {(k, r.key) for r in sorted((r for r in drawn if r.k == k), key=lambda r: (r.r, r.key))[:n]}
+    assert got == want
+    assert sample_per_class(rows, ["k"], 5999, ["key"]).count() == 6000
+
+
+def test_sampling_does_not_order_a_whole_class(spark):
+    from skyloom.operators.sampling import sample_per_class
+
+    rows = spark.range(200_000).select("id", F.lit(1).alias("k"))
+    out = sample_per_class(rows, ["k"], 1500, ["id"])
+    out.collect()
+    assert max(records_shuffled(out)) < 20_000
