@@ -75,3 +75,47 @@ def test_sampling_does_not_order_a_whole_class(spark):
     out = sample_per_class(rows, ["k"], 1500, ["id"])
     out.collect()
     assert max(records_shuffled(out)) < 20_000
+
+
+def test_fit_joins_no_table_of_keys_times_shapes(spark):
+    from skyloom.operators import models as M
+
+    rows = spark.range(12).select(F.lit(1).cast("long").alias("key"), (F.col("id") / 11).alias("x"), F.col("id").cast("double").alias("v"), F.lit(0.0).alias("low"), F.lit(11.0).alias("high"))
+    plan = plan_of(M._best(rows, [2, 2, 1, 2, 1], lambda a, i: i + 1.5))
+    assert "Join" not in plan
+    # two combinations of one shape count each point once
+    got = M._best(rows, [2, 1, 1, 1, 1], lambda a, i: F.lit(1.5)).collect()
+    once = M._best(rows, [1, 1, 1, 1, 1], lambda a, i: F.lit(1.5)).collect()
+    assert got == once
+
+
+def test_few_bands_need_no_shuffle_of_their_values(spark):
+    from skyloom.plans.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SortMergeJoin" not in plan_of(QUERIES["a16_sketch_standard"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sums_at_a_limit_do_not_depend_on_order(spark):
+    from skyloom.operators.timeseries import count_days, longest_dry_run
+
+    def series(values):
+        return spark.createDataFrame([(1, v) for v in values], "px long, v double").coalesce(1).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+
+    assert longest_dry_run(series([0.1] * 10), ["px"], "v", 1.0).collect() == []
+    for own in ([1.1, 2.2, 3.3], [3.3, 2.2, 1.1]):
+        assert count_days(series(own), ["px"], "v", "mean", ">", 2.2).first().days == 0
+
+
+def test_reduction_takes_few_rounds(spark, monkeypatch):
+    from skyloom.operators import scans
+
+    staged, own = [], scans.stage
+    monkeypatch.setattr(scans, "stage", lambda df, name: staged.append(name) or own(df, name))
+    rows = spark.range(3000).select(F.lit(1).alias("k"), "id", F.col("id").cast("string").alias("text"))
+    got = scans.reduce_ordered(rows, ["k"], ["id"], ["text"], lambda a, b: (a[0] + "," + b[0],), 32).collect()
+    assert got[0].text == ",".join(map(str, range(3000)))
+    assert staged.count("merged") <= 2
