@@ -2,7 +2,7 @@
 
 Rows are dealt to slices by ranges of key and order. A window runs within each slice; what a slice takes over from those
 before it comes from a table of one row for each key and slice. Reductions go in order too: rows are folded in
-chunks, and the chunks' results are merged in pairs until one is left.
+chunks, and so are the chunks' results until one is left.
 """
 
 from __future__ import annotations
@@ -100,9 +100,8 @@ def visited(links: DataFrame, keys: Sequence[str], start: str, then: str, most:
 def reduce_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], reducer: Callable[[tuple, tuple], tuple], chunk: int = CHUNK, slices: int = 0) -> DataFrame:
     """``(…keys, …columns)``: the rows' values of ``columns`` merged in order by any associative function of two tuples.
 
-    The function needs neither commute nor have a neutral element. Rows are numbered, chunks of neighbours are folded, and results
-    meet in pairs of ``position div 2``, so a key of n rows takes the logarithm of n / ``chunk`` further rounds, and no
-    task holds more than one chunk.
+    The function needs neither commute nor have a neutral element. Rows are numbered, chunks of neighbours are folded, and so are the chunks'
+    results again, so a key of n rows takes as many rounds as n has digits to the base ``chunk``, and no group holds more than one chunk.
     """
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, *columns))
 
@@ -115,6 +114,7 @@ def reduce_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
     placed = ranked(df.select(*keys, *order, *[F.col(c).alias(f"__v_{c}") for c in columns]), list(keys), list(order), "__p", slices)
     part = placed.select(*keys, *[F.col(f"__v_{c}").alias(c) for c in columns], "__p", F.floor(F.col("__p") / chunk).alias("__c"))
     part = stage(part.groupBy(*keys, "__c").applyInPandas(fold, f"{kinds}, __p long"), "folded")
+    size = max(2, chunk)
     while not is_empty(part.where("__p > 0")):
-        part = stage(part.withColumn("__c", F.floor(F.col("__p") / 2)).groupBy(*keys, "__c").applyInPandas(fold, f"{kinds}, __p long"), "merged")
+        part = stage(part.withColumn("__c", F.floor(F.col("__p") / size)).groupBy(*keys, "__c").applyInPandas(fold, f"{kinds}, __p long"), "merged")
     return part.drop("__p")
