@@ -114,7 +114,8 @@ def _sketch(name: str, mode: str, keys: list[str], sql_keys: str, pixelwise: boo
         sk = S.sketch(rows, ["nir", "swir"], mode, pixelwise, ["tile_id"])
         got = sk.select(*keys, "n", S.quantile("sketch", 0.5).alias("median"))
         long = S.long_bands(rows.withColumn("month", F.month("ts")), ["nir", "swir"], [c for c in ("ts", "month", "tile_id")])
-        joined = long.join(got, keys) if keys else long.join(F.broadcast(got), F.lit(True))
+        # bands and months are few, whatever the rows
+        joined = long.join(got if {"ts", "tile_id"} & set(keys) else F.broadcast(got), keys or F.lit(True))
         below, upto = F.count_if(F.col("v") < F.col("median")), F.count_if(F.col("v") <= F.col("median"))
         return joined.groupBy(*keys, "n").agg(((below <= 0.52 * F.count("*") + 1) & (upto >= 0.48 * F.count("*") - 1)).alias("close"))
 
