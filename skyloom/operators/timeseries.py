@@ -157,8 +157,8 @@ def circular_smooth(values: Column, taps: Sequence[float] = (0.05, 0.6, 1, 0.6,
 
 
 def daily(series: DataFrame, keys: Sequence[str], value: str, how: str, time: str = "ts") -> DataFrame:
-    """``(…keys, day, v)``. Sums and means are rounded to nine digits, so that what stands exactly at a limit doesn't depend on the order in which it was added up."""
-    f = {"sum": lambda c: F.round(F.sum(c), 9), "min": F.min, "max": F.max, "mean": lambda c: F.round(F.avg(c), 9)}[how]
+    """``(…keys, day, v)``. Sums are rounded to nine digits, so that one exactly at a limit doesn't depend on the order of addition; means aren't, as the SQL doesn't."""
+    f = {"sum": lambda c: F.round(F.sum(c), 9), "min": F.min, "max": F.max, "mean": F.avg}[how]
     return series.groupBy(*keys, F.to_date(time).alias("day")).agg(f(value).alias("v"))
 
 
