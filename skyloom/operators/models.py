@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -137,28 +138,21 @@ def doubly_logistic_column(t: Column, p: Sequence[Column]) -> Column:
     return p[0] + p[1] * _curve(t, *p[2:])
 
 
-def _each(sizes: Sequence[int], value: Callable[[str, Column], Column]) -> Column:
-    """An array with a struct for each combination of so many values of each shape; ``value`` gives the i-th one."""
-    total = 1
-    for n in sizes:
-        total *= n
-
-    def one(k):
-        fields, rest = [], k
-        for a, n in zip(PARAMETERS[2:], sizes):
-            fields.append(value(a, (rest % n).cast("int")).cast("double").alias(a))
-            rest = F.floor(rest / n)
-        return F.struct(*fields)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(total - 1)), one)
+def _best(points: DataFrame, sizes: Sequence[int], value: Callable[[str, Column], Column]) -> DataFrame:
+    """Of each key, the least squares over all combinations of so many values of each shape, of which ``value`` gives the i-th; level and scale have a closed form, the level within the values' range.
 
-
-def _best(points: DataFrame, keys: DataFrame, tried: Column) -> DataFrame:
-    """Of each key, the least squares over the shapes tried; level and scale have a closed form, the level within the values' range."""
+    Each point is copied for each combination where it lies: no table of keys times combinations is joined, and as a key's
+    points lie together, most of the sums are done before the shuffle.
+    """
     shapes = PARAMETERS[2:]
-    each = points.join(keys.select("key", F.explode(tried).alias("p")).select("key", "p.*"), "key")
+    digits, rest = [], F.col("i")
+    for n in sizes:
+        digits.append((rest % n).cast("int"))
+        rest = F.floor(rest / n)
+    tried = points.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(math.prod(sizes) - 1))))
+    each = tried.select("key", "x", "v", "low", "high", "i", *[value(a, d).cast("double").alias(a) for a, d in zip(shapes, digits)])
     g, v = F.col("g"), F.col("v")
-    sums = each.withColumn("g", _curve(F.col("x"), *[F.col(a) for a in shapes])).groupBy("key", "low", "high", *shapes).agg(
+    sums = each.withColumn("g", _curve(F.col("x"), *[F.col(a) for a in shapes])).groupBy("key", "low", "high", "i", *shapes).agg(
         F.count("*").alias("n"), F.sum(v).alias("sv"), F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * v).alias("sgv"), F.sum(v * v).alias("svv")
     )
     n, sv, sg, sgg, sgv, svv = (F.col(c) for c in ("n", "sv", "sg", "sgg", "sgv", "svv"))
@@ -181,9 +175,9 @@ def doubly_logistic_fit(series: DataFrame, key: str, time: str, value: str, roun
     rows = series.select(F.col(key).cast("long").alias("key"), seconds.alias("t"), F.col(value).cast("double").alias("v"))
     means = rows.dropna().groupBy("key", "t").agg(F.avg("v").alias("v"))
     limits = means.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("times"), F.min("v").alias("low"), F.max("v").alias("high")).where("times >= 8")
-    points = stage(means.join(limits, "key").select("key", ((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("x"), "v", "low", "high"), "points")
+    points = stage(means.join(limits, "key").select("key", ((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("x"), "v", "low", "high").repartitionByRange("key", "x"), "points")
     shapes = PARAMETERS[2:]
-    best = stage(_best(points, points.select("key").distinct(), _each([len(c) for c in TRIED], lambda a, i: F.element_at(F.array(*[F.lit(c) for c in TRIED[shapes.index(a)]]), i + 1))), "fit")
+    best = stage(_best(points, [len(c) for c in TRIED], lambda a, i: F.element_at(F.array(*[F.lit(c) for c in TRIED[shapes.index(a)]]), i + 1)), "fit")
     for turn in range(1, rounds + 1):
         step, factor = 1 / 16 / 2 ** (turn - 1), F.lit(1 + 1 / 2**turn)
 
@@ -194,5 +188,5 @@ def doubly_logistic_fit(series: DataFrame, key: str, time: str, value: str, roun
             return F.greatest(F.lit(LEAST_WIDTH if a in ("a2", "a4") else LEAST_SHAPE), own * F.pow(factor, i - 1))
 
         known = best.select("key", *[F.col(a).alias(f"b_{a}") for a in shapes])
-        best = stage(_best(points, known, _each([3] * 5, near)), "fit")
+        best = stage(_best(points.join(known, "key"), [3] * 5, near), "fit")
     return rows.select("key").distinct().join(best, "key", "left").withColumnRenamed("key", key)
