@@ -121,9 +121,11 @@ def nearest_sources(targets: DataFrame, sources: DataFrame, keys: Sequence[str],
         here = F.struct(F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
         met = open_.join(looked, ["ux", "uy"]).withColumn("low", gap2(here, F.col("box")))
         rep = _square(F.col("x") - F.col("box.p.sx")) + _square(F.col("y") - F.col("box.p.sy"))
-        bound = F.min(F.least(rep, span2(here, F.col("box")))).over(Window.partitionBy(*keys))
-        met = stage(met.withColumn("rep", rep).withColumn("best", F.least("best", bound)).where("low <= best"), "met")
-        found.append(met.where("last").select(*keys, F.struct(F.col("rep").alias("d"), F.col("box.p").alias("p")).alias("m")))
+        # what an earlier bound rules out, and a box's sides, need not go to the window
+        met = met.where("low <= best").select(*keys, "x", "y", "kx", "ky", "last", "low", "best", rep.alias("rep"), F.least(rep, span2(here, F.col("box"))).alias("reach"), F.col("box.p").alias("p"))
+        bound = F.min("reach").over(Window.partitionBy(*keys))
+        met = stage(met.withColumn("best", F.least("best", bound)).where("low <= best").drop("reach", "low"), "met")
+        found.append(met.where("last").select(*keys, F.struct(F.col("rep").alias("d"), "p").alias("m")))
         open_ = met.where("NOT last").select(*keys, "x", "y", F.col("kx").alias("ux"), F.col("ky").alias("uy"), "best")
         if is_empty(open_):
             break

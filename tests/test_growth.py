@@ -117,3 +117,16 @@ def test_reduction_takes_few_rounds(spark, monkeypatch):
     got = scans.reduce_ordered(rows, ["k"], ["id"], ["text"], lambda a, b: (a[0] + "," + b[0],), 32).collect()
     assert got[0].text == ",".join(map(str, range(3000)))
     assert staged.count("merged") <= 2
+
+
+def test_nearest_sources_carry_no_boxes_to_the_window(spark, monkeypatch):
+    from skyloom.operators import quadtree as Q
+
+    staged, own = [], Q.stage
+    monkeypatch.setattr(Q, "stage", lambda df, name: staged.append((name, df.columns)) or own(df, name))
+    r = random.Random(3)
+    targets, sources = [(i, r.random(), r.random()) for i in range(40)], [(r.random(), r.random(), i) for i in range(200)]
+    got = Q.nearest_sources(spark.createDataFrame(targets, "id long, x double, y double"), spark.createDataFrame(sources, "sx double, sy double, v long"), ["id"], "x", "y", "v").collect()
+    near = lambda x, y: min(((x - a) ** 2 + (y - b) ** 2, a, b, v) for a, b, v in sources)[3]
+    assert {(g.id, g.v) for g in got} == {(i, near(x, y)) for i, x, y in targets}
+    assert all("box" not in columns for name, columns in staged if name == "met")
