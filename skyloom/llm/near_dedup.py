@@ -38,8 +38,10 @@ SKETCHES = 88
 NUMBER_BITS = 7
 #: A bucket up to this size gives all its pairs at once.
 SMALL = 12
-#: Documents, and words, of a block of a larger one, on average.
-BLOCK, BLOCK_WORDS = 1024, 1 << 20
+#: Documents, and words, of a block of a larger one, on average. Bags of two blocks take some 40 MB.
+BLOCK, BLOCK_WORDS = 4096, 1 << 20
+#: Bins of a document's bag of words, and of the coarse one.
+BINS, COARSE = 2048, 128
 
 _multipliers = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(BASE)).astype(np.uint32) | np.uint32(1)
 
@@ -220,7 +222,10 @@ def _meetings(table: pa.Table) -> pa.Table:
     side, words = table.column("side").to_numpy(), [w.values.to_numpy() for w in table.column("words")]
     names, cls = np.unique(table.column("cls").to_numpy(), return_inverse=True)
     n = np.array([len(w) for w in words])
-    bags = np.stack([np.bincount(w & 127, minlength=128) for w in words]).astype(np.int32)
+    bags = np.empty((len(words), BINS), np.int16)
+    for i, w in enumerate(words):  # cut counts differ by no more than whole ones, and fit when added up
+        bags[i] = np.minimum(np.bincount(w & BINS - 1, minlength=BINS), BINS - 1)
+    coarse = bags.reshape(len(words), BINS // COARSE, COARSE).sum(axis=1, dtype=np.int16)
     alone = int(table.column("part")[0].as_py()) >> 32 == int(table.column("part")[0].as_py()) & 0xFFFFFFFF
     left = np.flatnonzero(side == 0)
     right = left if alone else np.flatnonzero(side == 1)
@@ -231,8 +236,10 @@ def _meetings(table: pa.Table) -> pa.Table:
         ok = (cls[on] != cls[i]) & (np.abs(n[on] - n[i]) <= most)
         on, most = on[ok], most[ok]
         # the bags of hashed words differ by no more than the words do, so no similar pair goes here
+        ok = (np.abs(coarse[on] - coarse[i]).sum(axis=1) + np.abs(n[on] - n[i])) / 2 <= most
+        ok[ok] = (keys[on[ok], :at] != keys[i, :at]).all(axis=1)
+        on, most = on[ok], most[ok]
         on = on[(np.abs(bags[on] - bags[i]).sum(axis=1) + np.abs(n[on] - n[i])) / 2 <= most]
-        on = on[(keys[on, :at] != keys[i, :at]).all(axis=1)]
         for j in on.tolist():
             if cls[j] != cls[i] and similar(words[i], words[j]):
                 found.append((names[cls[i]], names[cls[j]]))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,6 +249,24 @@ def test_near_pairs_in_a_crowd_with_a_shared_passage(spark, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_a_bucket_of_thousands_meets_in_one_group(spark):
+    rows = spark.range(3000).selectExpr("128L AS key", "id AS doc", "100 + CAST(id % 150 AS INT) AS n", "id AS cls")
+    met = near_dedup._blocks(rows)
+    assert met.count() == 3000 and met.select("part").distinct().count() == 1
+
+
+def test_long_texts_of_few_other_words_are_told_apart_by_their_bags(monkeypatch):
+    base = some(600, 5, 9000)
+    words = [(word_hashes(f"{base} {some(200, 40 + i, 9000)}") >> np.uint64(33)).astype(np.int32) for i in range(40)]
+    aligned = []
+    monkeypatch.setattr(near_dedup, "similar", lambda a, b, real=near_dedup.similar: aligned.append(1) or real(a, b))
+    n = len(words)
+    keys = [list(range(i << near_dedup.NUMBER_BITS, (i << near_dedup.NUMBER_BITS) + near_dedup.SKETCHES)) for i in range(n)]
+    crowd = pa.table({"key": [5] * n, "part": [0] * n, "side": pa.array([0] * n, pa.int32()), "cls": list(range(n)), "keys": pa.array(keys, pa.list_(pa.int64())), "words": pa.array(words, pa.list_(pa.int32()))})
+    near_dedup._meetings(crowd)
+    assert len(aligned) < n * (n - 1) / 8
+
+
 @pytest.mark.parametrize("many", [5, 12, 13, 40, 200])
 def test_groups_of_variants_have_one_class_at_any_size(spark, many):
     base, apart = some(150, 31, 3000), some(150, 32, 3000)
