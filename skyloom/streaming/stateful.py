@@ -78,49 +78,73 @@ def daily_counts_and_late(stream: DataFrame, keys: Sequence[str], id_col: str, t
 
 
 class DrySpells(StatefulProcessor):
-    """The current run of dry days of a key. Days wait until the watermark has passed their end, so order within it doesn't matter."""
+    """The current run of dry days of a key. Days wait until the watermark has passed their end, so order within it doesn't matter.
+
+    A key's open days and its run are one value, and it has one timer: at the end of its first open day, or of its run. What
+    the watermark has closed by then is told at once, so calls to the store grow with keys and watermarks, not with days.
+    """
 
     def __init__(self, key: str, below: float, keep_days: int):
         self.key, self.below, self.keep_days = key, below, keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "day long", "v double")
-        self.run = handle.getValueState("run", "last long, length int")
+        self.held = handle.getValueState("held", "days array<long>, sums array<double>, last long, length int")
+
+    def _rows(self, key: tuple, kind: str, days: list[int], lengths: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(days), "kind": kind, "last_day": pd.array(days, "int32"), "length": pd.array(lengths, "int32")})
+
+    def _get(self) -> tuple[dict[int, float], int | None, int]:
+        days, sums, last, length = self.held.get() or ((), (), None, 0)
+        return dict(zip(days, sums)), last, length
 
-    def _row(self, key: tuple, kind: str, day: int, length: int) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "kind": [kind], "last_day": pd.array([day], "int32"), "length": pd.array([length], "int32")})
+    def _ends(self, last: int) -> int:
+        return (last + 1 + self.keep_days) * DAY_MS
+
+    def _due(self, open_days: dict[int, float], last: int | None) -> int | None:
+        """When the key's timer is due: never if it holds nothing."""
+        return min([*([(min(open_days) + 1) * DAY_MS] if open_days else []), *([] if last is None else [self._ends(last)])], default=None)
+
+    def _put(self, open_days: dict[int, float], last: int | None, length: int, before: int | None) -> None:
+        due = self._due(open_days, last)
+        if due is None:
+            self.held.clear()
+            return
+        self.held.update((list(open_days), list(open_days.values()), last, length))
+        if before is None or due < before:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark, sums = timerValues.getCurrentWatermarkInMs(), pd.Series(dtype="float64")
+        mark, sums = timerValues.getCurrentWatermarkInMs(), {}
         for pdf in rows:
-            sums = sums.add(pdf.dropna().groupby("day")["v"].sum(), fill_value=0.0)
-        for day, v in sums.items():
-            day = int(day)
-            if (day + 1) * DAY_MS <= mark:
-                yield self._row(key, "late", day, 0)
-                continue
-            before = self.open.getValue((day,))[0] if self.open.containsKey((day,)) else 0.0
-            self.open.updateValue((day,), (before + float(v),))
-            self.handle.registerTimer((day + 1) * DAY_MS)
+            for day, v in pdf.dropna().groupby("day")["v"].sum().items():
+                sums[int(day)] = sums.get(int(day), 0.0) + float(v)
+        late = [day for day in sums if (day + 1) * DAY_MS <= mark]
+        if late:
+            yield self._rows(key, "late", late, [0] * len(late))
+        if len(late) < len(sums):
+            open_days, last, length = self._get()
+            before = self._due(open_days, last)
+            for day in sums.keys() - set(late):
+                open_days[day] = open_days.get(day, 0.0) + sums[day]
+            self._put(open_days, last, length, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        day = at // DAY_MS - 1
-        last, length = self.run.get() if self.run.exists() else (None, 0)
-        if self.open.containsKey((day,)):
-            (v,) = self.open.getValue((day,))
-            self.open.removeKey((day,))
-            length = (length + 1 if last == day - 1 else 1) if v < self.below else 0
-            ends = (day + 1 + self.keep_days) * DAY_MS
-            if timerValues.getCurrentWatermarkInMs() >= ends and next(iter(self.open.keys()), None) is None:
-                self.run.clear()
-            else:
-                self.run.update((day, length))
-                self.handle.registerTimer(ends)
-            yield self._row(key, "run", day, length)
-        elif last is not None and at >= (last + 1 + self.keep_days) * DAY_MS:
-            self.run.clear()
+        mark = timerValues.getCurrentWatermarkInMs()
+        open_days, last, length = self._get()
+        before = self._due(open_days, last)
+        if before is None or before > mark:  # a timer that an earlier one has overtaken
+            return
+        closed, lengths = sorted(day for day in open_days if (day + 1) * DAY_MS <= mark), []
+        for day in closed:
+            length = (length + 1 if last == day - 1 else 1) if open_days.pop(day) < self.below else 0
+            last = day
+            lengths.append(length)
+        if mark >= self._ends(last):
+            last, length = None, 0
+        self._put(open_days, last, length, None)
+        if closed:
+            yield self._rows(key, "run", closed, lengths)
 
     def close(self) -> None:
         pass

@@ -55,6 +55,14 @@ def test_state_of_keys_that_stop_is_dropped(spark, tmp_path):
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
 
 
+def test_a_key_has_one_value_and_one_timer_however_many_days_are_open(spark, tmp_path):
+    path, mark, progress = str(tmp_path / "in"), str(tmp_path / "mark"), []
+    schema = deliver(spark, [(1, at(i), 0.0, i) for i in range(30)], path)
+    stream = jobs.without_marks(jobs.read_new(spark, path, schema, late="40 days"), "id")
+    assert jobs.drain(stateful.dry_spells(stream, "k", "v", 1.0), "d", "append", mark, progress).count() == 0
+    assert 0 < progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 @pytest.mark.parametrize("salt", [1, 4])
 def test_late_rows_are_those_of_closed_days(spark, tmp_path, salt):
     path, mark = str(tmp_path / "in"), str(tmp_path / "mark")
