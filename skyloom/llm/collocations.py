@@ -4,9 +4,9 @@ Words are 64-bit hashes, proved different for different words before they are us
 Apriori rule: a phrase can only be frequent if its words and its shorter phrases are. They are found level by
 level: windows of two words are counted into hash buckets, and only windows whose bucket is
 frequent become candidates; then windows of three whose two pairs passed. A bucket holds at
-least its phrases' occurrences, so no frequent phrase is lost. Candidates are dealt to shards of bounded size, each a
-double-array trie that is broadcast. A task advances the states of all its text positions at once, one word at a time,
-and counts the accepting states; the counts of tasks and shards are summed. Only these counts decide.
+least its phrases' occurrences, so no frequent phrase is lost. Candidates are dealt by their first two words to shards of
+bounded size, each a double-array trie that is broadcast. A task advances the states of a shard's text positions at once, one
+word at a time, and counts the accepting states; the counts of tasks are summed. Only these counts decide.
 """
 
 from __future__ import annotations
@@ -26,15 +26,17 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has at least so many hundredths of its occurrences.
 COVERED = 50
 #: Bytes of text that are worked on at a time, and words of a coded row, about; a text is always whole.
-CHUNK, BLOCK, CODED = 2 << 20, 1 << 20, 1 << 18
-#: Rows of an Arrow batch of texts, and of coded words: some 2 and 4 MB.
-TEXTS, ROWS = 500, 2
+CHUNK, BLOCK, CODED = 2 << 20, 1 << 20, 1 << 12
+#: Rows of a batch of texts, of coded words and of phrases: some 2, 4 and 1 MB.
+TEXTS, ROWS, PHRASES = 500, 128, 10_000
 #: Frequent words whose hashes may be broadcast, 32 MB. With more, words aren't filtered and pairs alone decide.
 VOCABULARY = 1 << 22
 #: Hash buckets of windows; a bit of each is broadcast, 16 MB.
 BUCKET_BITS = 27
-#: Phrases of a shard. Its trie takes some 60 bytes for each.
-SHARD = 1 << 19
+#: Phrases of a shard, and shards that are counted in one pass over the words. A trie takes some 35 bytes for each phrase.
+SHARD, TRIES = 1 << 18, 8
+#: Values of the lower letter of a word's number in a trie.
+LETTERS = 256
 
 _BREAK, _BLANK = 2, 1
 _KIND = np.zeros(256, np.uint8)
@@ -138,16 +140,10 @@ def word_counts(docs: DataFrame, most_seeds: int = 8) -> tuple[DataFrame, int]:
 
 
 def _coded_batches(seed: int, held):
-    """Rows of word hashes, 0 where no phrase goes on: at breaks and for words that aren't frequent."""
+    """Rows of word hashes, eight bytes each; 0 where no phrase goes on: at breaks and for words that aren't frequent. A row ends with a break."""
 
     def run(batches):
         known = None if held is None else held.value
-        parts: dict[int, list[np.ndarray]] = {}
-        size = 0
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.concatenate(p) for p in parts.values()], pa.list_(pa.int64()))], names=["l", "words"])
-
         for lang, raw in _chunks(batches):
             _, _, piece, h, _ = words_of(raw, seed)
             w = h.view(np.int64)
@@ -157,13 +153,10 @@ def _coded_batches(seed: int, held):
                 w = np.zeros_like(w)
             w = np.append(np.insert(w, np.flatnonzero(np.diff(piece)) + 1, 0), 0)
             w = w[(w != 0) | np.concatenate([[True], w[:-1] != 0])]
-            parts.setdefault(_name(lang, seed), []).append(w)
-            size += len(w)
-            if size >= CODED:
-                yield rows()
-                parts, size = {}, 0
-        if parts:
-            yield rows()
+            breaks = np.flatnonzero(w == 0)
+            ends = breaks[np.unique(np.searchsorted(breaks, np.append(np.arange(CODED, len(w), CODED), len(w) - 1)))] + 1
+            rows = [w[i:j].tobytes() for i, j in zip([0, *ends.tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), _name(lang, seed))), pa.array(rows, pa.binary())], names=["l", "words"])
 
     return run
 
@@ -214,20 +207,22 @@ def _coded_rows(batches):
     for batch in batches:
         found: dict[int, list[np.ndarray]] = {}
         for l, words in zip(batch.column("l"), batch.column("words")):
-            found.setdefault(l.as_py(), []).append(words.values.to_numpy())
+            found.setdefault(l.as_py(), []).append(np.frombuffer(words.as_buffer(), np.int64))
         yield from ((l, np.concatenate(w)) for l, w in found.items())
 
 
 @contextmanager
-def arrow_rows(spark, most: int):
-    """Within it, batches for Python have at most so many rows, as rows are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+def short_batches(spark, most: int):
+    """Within it, batches that are read from Parquet and those for Python have at most so many rows, as rows are long."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    for k in keys:
+        spark.conf.set(k, str(most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
 
 
 def _bits_of(part_bits: int, least: int):
@@ -343,52 +338,79 @@ def displaced(parents: np.ndarray, symbols: np.ndarray, seed: int = 1, window: i
 
 
 class Trie:
-    """A double-array trie over 64-bit symbols: from state s, a word of number w leads to ``base[s] + w`` if ``check`` there says s. State 0 is the root."""
+    """A double-array trie over 64-bit symbols. A word's number is two letters, so that rows are short and fill the array: from
+    state s, letter x leads to ``base[s] + x`` if ``check`` there says s. State 0 is the root."""
 
     def __init__(self, phrases: np.ndarray, rows: np.ndarray):
         """``phrases`` has a row for each phrase, closed by zeros; ``rows`` is what an accepting state stands for."""
         self.symbols = np.unique(phrases[phrases != 0])
-        numbers = np.where(phrases != 0, np.searchsorted(self.symbols, phrases) + 1, 0)
+        letters = np.stack(self.letters(self.numbers(phrases)), axis=2).reshape(len(phrases), -1)
+        most = int(letters.max())
         node, parents, symbols, nodes = np.zeros(len(phrases), np.int64), [], [], 1
         end = np.zeros(len(phrases), np.int64)
-        for level in range(phrases.shape[1]):
-            on = np.flatnonzero(numbers[:, level])
-            key = node[on] * (len(self.symbols) + 2) + numbers[on, level]
-            edges, which = np.unique(key, return_inverse=True)
-            parents.append(edges // (len(self.symbols) + 2))
-            symbols.append(edges % (len(self.symbols) + 2))
+        for level in range(letters.shape[1]):
+            on = np.flatnonzero(letters[:, level])
+            edges, which = np.unique(node[on] * (most + 1) + letters[on, level], return_inverse=True)
+            parents.append(edges // (most + 1))
+            symbols.append(edges % (most + 1))
             node[on] = end[on] = nodes + which
             nodes += len(edges)
         parent, symbol = np.concatenate(parents), np.concatenate(symbols)
         inner, which = np.unique(parent, return_inverse=True)
         base, size = displaced(which, symbol)
         slot = np.concatenate([[0], base[which] + symbol])  # of every node: a node's edge is the one before its number
-        self.base, self.check = np.zeros(size, np.int32), np.full(size + len(self.symbols) + 2, -1, np.int32)
+        self.base, self.check = np.zeros(size, np.int32), np.full(size + most + 1, -1, np.int32)
         self.base[slot[inner]] = base
         self.check[slot[1:]] = slot[parent]
-        # the accepting states, and what each stands for
-        self.accept, self.rows = slot[end].astype(np.int32), rows
-
-    def step(self, state: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and which of them there are."""
-        to = self.base[state] + number
-        return to, self.check[to] == state
+        # the accepting states in order, and what each stands for
+        order = np.argsort(slot[end])
+        self.accept, self.rows = slot[end][order].astype(np.int32), rows[order]
 
-    def count(self, first: int, words: np.ndarray, into: np.ndarray) -> None:
-        """Adds to ``into`` how often each state is reached from the places of ``words``, after ``first``."""
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The words' numbers; 0 for words of no phrase."""
         at = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
-        number = np.append(np.where(self.symbols[at] == words, at + 1, 0), 0)
-        root = int(np.searchsorted(self.symbols, first))
-        if root >= len(self.symbols) or self.symbols[root] != first:
-            return
-        start, there = self.step(np.zeros(1, np.int64), np.array([root + 1]))
-        if not there[0]:
-            return
-        place, state = np.arange(len(words)), np.full(len(words), start[0])
+        return np.where(self.symbols[at] == words, at + 1, 0)
+
+    @staticmethod
+    def letters(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two letters of each number, from 1; 0 and 0 for the number 0."""
+        return (numbers + LETTERS - 1) // LETTERS, np.where(numbers > 0, (numbers - 1) % LETTERS + 1, 0)
+
+    def step(self, state: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words lead on from their states, and to which next states."""
+        numbers = self.numbers(words)
+        on = np.flatnonzero(numbers)
+        high, low = self.letters(numbers[on])
+        middle = self.base[state[on]] + high
+        to = self.base[np.minimum(middle, len(self.base) - 1)] + low
+        there = (self.check[middle] == state[on]) & (self.check[to] == middle)
+        return on[there], to[there]
+
+    def visited(self, first: int, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that are reached from the places of ``words``, after ``first``, and how often."""
+        _, start = self.step(np.zeros(1, np.int64), np.array([first]))
+        if not len(start):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        place, state, found = places, np.full(len(places), start[0]), []
         for _ in range(MAX_WORDS):
-            state, on = self.step(state, number[np.minimum(place, len(words))])
-            place, state = place[on] + 1, state[on]
-            into += np.bincount(state, minlength=len(into))
+            on, state = self.step(state, words[place])
+            found.append(state)
+            place = place[on] + 1
+            inside = place < len(words)
+            place, state = place[inside], state[inside]
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    def count(self, first: int, words: np.ndarray, into: np.ndarray) -> None:
+        """Adds to ``into`` how often each state is reached from all places of ``words``, after ``first``."""
+        states, n = self.visited(first, words, np.arange(len(words)))
+        into[states] += n
+
+    def tally(self, first: int, words: np.ndarray, places: np.ndarray, into: np.ndarray) -> None:
+        """Adds to ``into``, one count for each accepting state, how often it is reached from the places; most other states are halves of words."""
+        states, n = self.visited(first, words, places)
+        at = np.minimum(np.searchsorted(self.accept, states), len(self.accept) - 1)
+        on = self.accept[at] == states
+        into[at[on]] += n[on]
 
 
 _PARTS = {"symbols": np.int64, "base": np.int32, "check": np.int32, "accept": np.int32, "rows": np.int64}
@@ -409,35 +431,46 @@ def _shards(wanted: DataFrame, shard: int) -> int:
     return max(1, -(-wanted.count() // shard))
 
 
-def written_tries(wanted: DataFrame, shard: int = SHARD) -> DataFrame:
+def written_tries(wanted: DataFrame, shards: int) -> DataFrame:
     """The tries of all shards, in pieces."""
-    dealt = wanted.withColumn("shard", F.pmod(F.xxhash64("l", "a", "b", "c"), F.lit(_shards(wanted, shard))))
+    dealt = wanted.withColumn("shard", F.pmod(F.shiftright("a", 1).bitwiseXOR(F.col("b")), F.lit(shards)))
     return stage(dealt.groupBy("shard").applyInArrow(_trie_of, "shard long, name string, piece int, data binary"), "tries")
 
 
-def phrase_counts(coded: DataFrame, wanted: DataFrame, tries: DataFrame, shard: int = SHARD) -> DataFrame:
-    """``(l, a, b, c, f)``: the occurrences of every wanted phrase, by one trie for each shard."""
-    spark, shards = coded.sparkSession, _shards(wanted, shard)
-    counts = None
-    for i in range(shards):
-        got = sorted(tries.where(F.col("shard") == i).select("name", "piece", "data").toLocalIterator(), key=lambda r: r.piece)
-        if not got:
+def phrase_counts(coded: DataFrame, wanted: DataFrame, tries: DataFrame, pairs, shards: int, most: int = TRIES) -> DataFrame:
+    """``(l, a, b, c, f)``: the occurrences of every wanted phrase of two words or more, by the tries of ``most`` shards at a time.
+
+    ``pairs`` has the bits of the frequent buckets of pairs. A place whose pair is in one goes to the trie of its pair's shard only.
+    """
+    spark, counts = coded.sparkSession, None
+    for begin in range(0, shards, most):
+        held = {}
+        for i in range(begin, min(shards, begin + most)):
+            got = sorted(tries.where(F.col("shard") == i).select("name", "piece", "data").toLocalIterator(), key=lambda r: r.piece)
+            if got:
+                held[i] = spark.sparkContext.broadcast({c: b"".join(bytes(r.data) for r in got if r.name == c) for c in _PARTS})
+        if not held:
             continue
-        held = spark.sparkContext.broadcast({c: b"".join(bytes(r.data) for r in got if r.name == c) for c in _PARTS})
 
         def run(batches, held=held):
-            t = Trie.__new__(Trie)
-            t.__dict__.update({c: np.frombuffer(held.value[c], kind) for c, kind in _PARTS.items()})
-            reached = np.zeros(len(t.base), np.int64)
+            tries = {i: Trie.__new__(Trie) for i in held}
+            for i, t in tries.items():
+                t.__dict__.update({c: np.frombuffer(held[i].value[c], kind) for c, kind in _PARTS.items()})
+            reached = {i: np.zeros(len(t.accept), np.int64) for i, t in tries.items()}
             for l, words in _coded_rows(batches):
-                t.count(l, words, reached)
-            on = np.flatnonzero(reached[t.accept])
-            for at in range(0, len(on), 100_000):
-                some = on[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(t.rows[some]), pa.array(reached[t.accept[some]])], names=["row", "n"])
+                at, _ = _safe_windows(l, words, 2, [pairs.value])
+                of = ((words[at] >> 1) ^ words[at + 1]) % shards
+                for i, t in tries.items():
+                    t.tally(l, words, at[of == i], reached[i])
+            for i, t in tries.items():
+                on = np.flatnonzero(reached[i])
+                for at in range(0, len(on), 100_000):
+                    some = on[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(t.rows[some]), pa.array(reached[i][some])], names=["row", "n"])
 
         found = stage(coded.mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("f")), "shard_counts")
-        held.unpersist()
+        for b in held.values():
+            b.unpersist()
         counts = found if counts is None else counts.unionAll(found)
     if counts is None:
         return spark.createDataFrame([], "l long, a long, b long, c long, f long")
@@ -481,24 +514,27 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    with arrow_rows(spark, TEXTS):
+    with short_batches(spark, TEXTS):
         words, seed = word_counts(texts)
         frequent = words.where(F.col("n") >= least)
         known = frequent.select("h").distinct()
         total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         held = spark.sparkContext.broadcast(np.sort(known.toArrow().column("h").to_numpy())) if known.count() <= vocabulary else None
-        coded = stage(texts.mapInArrow(_coded_batches(seed, held), "l long, words array<long>"), "coded")
-    none, maps = F.lit(0).cast("long"), []
-    wanted = frequent.select("l", F.col("h").alias("a"), none.alias("b"), none.alias("c"))
-    with arrow_rows(spark, ROWS):
+        coded = stage(texts.mapInArrow(_coded_batches(seed, held), "l long, words binary"), "coded")
+    maps, wanted = [], None
+    with short_batches(spark, ROWS):
         for k in range(2, MAX_WORDS + 1):
             maps.append(spark.sparkContext.broadcast(frequent_buckets(coded, k, maps, least, total)))
-            wanted = wanted.unionAll(candidates(coded, k, list(maps)))
+            more = candidates(coded, k, list(maps))
+            wanted = more if wanted is None else wanted.unionAll(more)
         wanted = stage(wanted.withColumn("row", F.monotonically_increasing_id()), "wanted")
-    with arrow_rows(spark, max(shard, 10_000)):
-        tries = written_tries(wanted, shard)
-    with arrow_rows(spark, ROWS):
-        counts = stage(phrase_counts(coded, wanted, tries, shard), "phrase_counts")
+    shards = _shards(wanted, shard)
+    with short_batches(spark, PHRASES):
+        tries = written_tries(wanted, shards)
+    with short_batches(spark, ROWS):
+        counts = stage(phrase_counts(coded, wanted, tries, maps[0], shards), "phrase_counts")
+    none = F.lit(0).cast("long")
+    counts = counts.unionAll(frequent.select("l", F.col("h").alias("a"), none.alias("b"), none.alias("c"), F.col("n").alias("f")))
     names = stage(frequent.groupBy("h").agg(F.min("word").alias("word")), "names")
     named = stage(scored_phrases(counts, least, covered), "scored")
     for c in ("a", "b"):

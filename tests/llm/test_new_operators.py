@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -95,6 +96,29 @@ def test_words_over_block_edges_are_whole(monkeypatch):
             assert (a == b).all()
 
 
+def test_coded_rows_are_short_and_end_with_a_break(monkeypatch):
+    monkeypatch.setattr(collocations, "CODED", 50)
+    raw = [texts(i, 4000) for i in range(3)] + ["a " * 300, "", "..", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(raw)), pa.array(raw)], names=["lang", "text"])
+    out = [np.frombuffer(r.as_py(), np.int64) for b in collocations._coded_batches(0, None)([batch]) for r in b.column("words")]
+    whole = np.concatenate(out)
+    _, _, piece, h, _ = collocations.words_of("\n".join(raw).encode().lower(), 0)
+    assert (whole[whole != 0] == h.view(np.int64)).all()
+    assert all(w[-1] == 0 and (len(w) <= 100 or (w[50:-1] != 0).all()) for w in out)
+    assert sum((w == 0).sum() for w in out) == len(np.unique(piece))
+
+
+def test_shards_are_counted_in_one_pass(spark, monkeypatch):
+    passes, stage = [], collocations.stage
+    monkeypatch.setattr(collocations, "stage", lambda df, name: passes.append(name) or stage(df, name))
+    rows = [(i, texts(i, 3000), ["en", "fr"][i % 2]) for i in range(4)]
+    for most in (1, 8):
+        passes.clear()
+        monkeypatch.setattr(collocations.phrase_counts, "__defaults__", (most,))
+        assert {tuple(r) for r in collocations.collocations(docs(spark, rows), shard=60).collect()} == phrases_of(rows)
+        assert passes.count("shard_counts") == 1 if most > 1 else passes.count("shard_counts") > 1
+
+
 # ---- 12 token alignment
 
 
