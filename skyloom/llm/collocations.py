@@ -437,12 +437,22 @@ def written_tries(wanted: DataFrame, shards: int) -> DataFrame:
     return stage(dealt.groupBy("shard").applyInArrow(_trie_of, "shard long, name string, piece int, data binary"), "tries")
 
 
-def phrase_counts(coded: DataFrame, wanted: DataFrame, tries: DataFrame, pairs, shards: int, most: int = TRIES) -> DataFrame:
+def _sum_of(key: tuple, some: pa.Table) -> pa.Table:
+    """The counts of a part's phrases, from the packed counts of tasks."""
+    join = lambda c: np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in some.column(c)])
+    rows, which = np.unique(join("rows"), return_inverse=True)
+    total = np.zeros(len(rows), np.int64)
+    np.add.at(total, which, join("n"))
+    return pa.table({"row": rows, "f": total})
+
+
+def phrase_counts(coded: DataFrame, wanted: DataFrame, tries: DataFrame, pairs, shards: int, words: int = 0, most: int = TRIES) -> DataFrame:
     """``(l, a, b, c, f)``: the occurrences of every wanted phrase of two words or more, by the tries of ``most`` shards at a time.
 
     ``pairs`` has the bits of the frequent buckets of pairs. A place whose pair is in one goes to the trie of its pair's shard only.
+    A task's counts of a part of a shard are one packed row; there are the more parts the more ``words`` there are.
     """
-    spark, counts = coded.sparkSession, None
+    spark, counts, parts = coded.sparkSession, None, max(1, words >> 23)
     for begin in range(0, shards, most):
         held = {}
         for i in range(begin, min(shards, begin + most)):
@@ -464,11 +474,13 @@ def phrase_counts(coded: DataFrame, wanted: DataFrame, tries: DataFrame, pairs,
                     t.tally(l, words, at[of == i], reached[i])
             for i, t in tries.items():
                 on = np.flatnonzero(reached[i])
-                for at in range(0, len(on), 100_000):
-                    some = on[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(t.rows[some]), pa.array(reached[i][some])], names=["row", "n"])
+                cuts = np.searchsorted(on, np.arange(parts + 1) * len(t.accept) // parts)
+                for part, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                    if x < y:
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part]), pa.array([t.rows[on[x:y]].tobytes()]), pa.array([reached[i][on[x:y]].tobytes()])], names=["shard", "part", "rows", "n"])
 
-        found = stage(coded.mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("f")), "shard_counts")
+        packed = coded.mapInArrow(run, "shard long, part long, rows binary, n binary")
+        found = stage(packed.groupBy("shard", "part").applyInArrow(_sum_of, "row long, f long"), "shard_counts")
         for b in held.values():
             b.unpersist()
         counts = found if counts is None else counts.unionAll(found)
@@ -532,7 +544,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     with short_batches(spark, PHRASES):
         tries = written_tries(wanted, shards)
     with short_batches(spark, ROWS):
-        counts = stage(phrase_counts(coded, wanted, tries, maps[0], shards), "phrase_counts")
+        counts = stage(phrase_counts(coded, wanted, tries, maps[0], shards, total), "phrase_counts")
     none = F.lit(0).cast("long")
     counts = counts.unionAll(frequent.select("l", F.col("h").alias("a"), none.alias("b"), none.alias("c"), F.col("n").alias("f")))
     names = stage(frequent.groupBy("h").agg(F.min("word").alias("word")), "names")

@@ -108,13 +108,19 @@ def test_coded_rows_are_short_and_end_with_a_break(monkeypatch):
     assert sum((w == 0).sum() for w in out) == len(np.unique(piece))
 
 
+def test_packed_counts_of_tasks_are_summed():
+    pack = lambda *x: np.array(x, "<i8").tobytes()
+    got = collocations._sum_of((0, 0), pa.table({"rows": [pack(5, 9), pack(9, 1 << 40)], "n": [pack(1, 2), pack(30, 4)]}))
+    assert got.to_pydict() == {"row": [5, 9, 1 << 40], "f": [1, 32, 4]}
+
+
 def test_shards_are_counted_in_one_pass(spark, monkeypatch):
     passes, stage = [], collocations.stage
     monkeypatch.setattr(collocations, "stage", lambda df, name: passes.append(name) or stage(df, name))
     rows = [(i, texts(i, 3000), ["en", "fr"][i % 2]) for i in range(4)]
     for most in (1, 8):
         passes.clear()
-        monkeypatch.setattr(collocations.phrase_counts, "__defaults__", (most,))
+        monkeypatch.setattr(collocations.phrase_counts, "__defaults__", (0, most))
         assert {tuple(r) for r in collocations.collocations(docs(spark, rows), shard=60).collect()} == phrases_of(rows)
         assert passes.count("shard_counts") == 1 if most > 1 else passes.count("shard_counts") > 1
 
