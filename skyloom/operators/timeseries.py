@@ -7,6 +7,7 @@ exchange. A frame's number counts the distinct times of its tile from 0.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,10 +163,32 @@ def daily(series: DataFrame, keys: Sequence[str], value: str, how: str, time: st
     return series.groupBy(*keys, F.to_date(time).alias("day")).agg(f(value).alias("v"))
 
 
-def count_days(series: DataFrame, keys: Sequence[str], value: str, how: str, test: str, threshold: float, time: str = "ts") -> DataFrame:
-    """Days of each year whose daily aggregate is strictly beyond the threshold."""
+def days_beyond(series: DataFrame, keys: Sequence[str], value: str, how: str, test: str, threshold: float, time: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+    """``(…keys, day, v, beyond)``: each day's aggregate, and whether it is strictly beyond the threshold.
+
+    With ``order``, a sum or mean so near the threshold that the order of addition decides is added up again, value by value in that
+    order; only the rows of such days are ordered. Without it, ``daily`` says what holds.
+    """
     beyond = F.col("v") < threshold if test == "<" else F.col("v") > threshold
-    return daily(series, keys, value, how, time).groupBy(*keys, F.year("day").alias("year")).agg(F.count_if(beyond).alias("days"))
+    if not order or how not in ("sum", "mean"):
+        return daily(series, keys, value, how, time).withColumn("beyond", beyond)
+    own, size = [*keys, "day"], F.col("n") if how == "mean" else F.lit(1)
+    sums = series.withColumn("day", F.to_date(time)).groupBy(*own).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.sum(F.abs(value)).alias("all"))
+    # two orders of n additions differ by less than 2 n 2^-53 times the sum of absolute values; as much again is for the division
+    open_ = (F.col("n") > 1) & (F.abs(F.col("s") - threshold * size) < F.col("n") * 2.0**-51 * F.col("all"))
+    of = [F.col(c).alias(f"__of_{c}") for c in own]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in own])
+    rows = series.withColumn("day", F.to_date(time)).join(sums.where(open_).select(*of), same, "left_semi")
+    whole = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ties = stage(rows.withColumn("__s", F.sum(value).over(whole)).groupBy(*of).agg(F.first("__s").alias("__s")), "ties")
+    mended = sums.join(ties, same, "left").withColumn("v", F.try_divide(F.coalesce("__s", "s"), size))
+    return mended.select(*own, "v", beyond.alias("beyond"))
+
+
+def count_days(series: DataFrame, keys: Sequence[str], value: str, how: str, test: str, threshold: float, time: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+    """Days of each year whose daily aggregate is strictly beyond the threshold; ``order`` as in ``days_beyond``."""
+    days = days_beyond(series, keys, value, how, test, threshold, time, order)
+    return days.groupBy(*keys, F.year("day").alias("year")).agg(F.count_if("beyond").alias("days"))
 
 
 # The named climatological counts as (daily aggregate, test, threshold).
@@ -178,13 +201,13 @@ CLIMATE = {
 }
 
 
-def climate_days(series: DataFrame, name: str, keys: Sequence[str], value: str, time: str = "ts") -> DataFrame:
-    return count_days(series, keys, value, *CLIMATE[name], time)
+def climate_days(series: DataFrame, name: str, keys: Sequence[str], value: str, time: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+    return count_days(series, keys, value, *CLIMATE[name], time, order)
 
 
-def longest_dry_run(series: DataFrame, keys: Sequence[str], value: str, below: float = 1.0, time: str = "ts") -> DataFrame:
-    """The longest run of consecutive days of each year whose daily sum is under the limit; days without data end a run."""
-    days = daily(series, keys, value, "sum", time).where(F.col("v") < below).withColumn("year", F.year("day"))
+def longest_dry_run(series: DataFrame, keys: Sequence[str], value: str, below: float = 1.0, time: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+    """The longest run of consecutive days of each year whose daily sum is under the limit; days without data end a run. ``order`` as in ``days_beyond``."""
+    days = days_beyond(series, keys, value, "sum", "<", below, time, order).where("beyond").withColumn("year", F.year("day"))
     found = scans.runs(days.withColumn("__day", F.datediff("day", F.lit("1970-01-01").cast("date"))), [*keys, "year"], "__day")
     return found.groupBy(*keys, "year").agg(F.max("n").alias("longest"))
 

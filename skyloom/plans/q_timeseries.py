@@ -151,14 +151,14 @@ _DAILY = "SELECT px, ts::DATE AS d, {} AS v FROM ser GROUP BY ALL"
 
 @query("w20_consecutive_dry_days", f"{SER}, d AS ({_DAILY.format('sum(v)')}), g AS (SELECT px, year(d)::INT AS year, date_diff('day', DATE '1970-01-01', d) - row_number() OVER (PARTITION BY px, year(d) ORDER BY d) AS island FROM d WHERE v < 120) SELECT px, year, max(n) AS longest FROM (SELECT px, year, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL")
 def _(spark, sf_dir):
-    return T.longest_dry_run(ser(spark, sf_dir), ["px"], "v", 120.0)
+    return T.longest_dry_run(ser(spark, sf_dir), ["px"], "v", 120.0, order=["oid"])
 
 
 for _i, (_name, (_how, _test, _limit)) in enumerate(T.CLIMATE.items(), 21):
 
     @query(f"w{_i}_{_name}", f"{SER}, d AS ({_DAILY.format(f'{_how}(v / 5 - 10)')}) SELECT px, year(d)::INT AS year, count(*) FILTER (v {_test} {_limit}::DOUBLE) AS days FROM d GROUP BY ALL")
     def _(spark, sf_dir, name=_name):
-        return T.climate_days(ser(spark, sf_dir).withColumn("v", F.col("v") / 5 - 10), name, ["px"], "v")
+        return T.climate_days(ser(spark, sf_dir).withColumn("v", F.col("v") / 5 - 10), name, ["px"], "v", order=["oid"])
 
 
 @query("w26_violent_precipitation", f"{SER}, s AS (SELECT px, ts, sum(v) OVER w AS s, count(*) OVER w AS n FROM ser WINDOW w AS (PARTITION BY px ORDER BY ts, oid ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT px, year(ts)::INT AS year, count(*) FILTER (n = 3 AND s > 150) AS events FROM s GROUP BY ALL")
