@@ -168,7 +168,7 @@ def _(spark, sf_dir):
 
 @query("w27_transform_chain", f"{SER}, d AS ({_DAILY.format('avg(v)')}) SELECT px, year(d)::INT AS year, count(*) FILTER (v > 60) AS days FROM d GROUP BY ALL")
 def _(spark, sf_dir):
-    return T.count_days(ser(spark, sf_dir), ["px"], "v", "mean", ">", 60.0)
+    return T.count_days(ser(spark, sf_dir), ["px"], "v", "mean", ">", 60.0, order=["oid"])
 
 
 def _thin_sql(desc: bool, gap: int) -> str:

@@ -132,7 +132,7 @@ def test_nearest_sources_carry_no_boxes_to_the_window(spark, monkeypatch):
     assert all("box" not in columns for name, columns in staged if name == "met")
 
 
-@pytest.mark.parametrize("name, values", [("w20_consecutive_dry_days", [42.32, 36.94, 18.29, 22.45])])
+@pytest.mark.parametrize("name, values", [("w20_consecutive_dry_days", [42.32, 36.94, 18.29, 22.45]), ("w27_transform_chain", [14.17, 71.92, 108.76, 45.15])])
 def test_days_at_a_limit_are_added_up_in_the_rows_order_as_in_sql(spark, tmp_path, name, values):
     """The sum is 120 and the mean 60 but for the last digit, which differs when two files are added up first; user 2 has a day far from the limit, and one value."""
     import duckdb
