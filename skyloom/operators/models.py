@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.plans.staging import stage
+from skyloom.plans.staging import is_empty, stage
 
 
 def clean_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -138,55 +138,158 @@ def doubly_logistic_column(t: Column, p: Sequence[Column]) -> Column:
     return p[0] + p[1] * _curve(t, *p[2:])
 
 
-def _best(points: DataFrame, sizes: Sequence[int], value: Callable[[str, Column], Column]) -> DataFrame:
-    """Of each key, the least squares over all combinations of so many values of each shape, of which ``value`` gives the i-th; level and scale have a closed form, the level within the values' range.
+#: Times of a key that one task fits at once, at most; a key with more is spread over tasks.
+WHOLE = 65536
 
-    Each point is copied for each combination where it lies: no table of keys times combinations is joined, and as a key's
-    points lie together, most of the sums are done before the shuffle.
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All pairs of each row's values, in order: (rows, a's times b's, 2)."""
+    return np.stack([np.repeat(a, b.shape[1], axis=1), np.tile(b, (1, a.shape[1]))], axis=2)
+
+
+def _side_sums(own: np.ndarray, x: np.ndarray, v: np.ndarray, tried: Sequence[np.ndarray]) -> np.ndarray:
+    """Sums of g, g² and g v for each key, peak tried, and pair of width and shape: those after the peak, then those before it.
+
+    A peak parts a key's points in two. Each side's sums hang on that side's pair only, so that so many pairs are
+    evaluated and not their product; all combinations are sums of two. ``own`` numbers the points' keys, ``tried`` has a row for each.
     """
+    peaks, sides = tried[0], (_pairs(*tried[1:3]), _pairs(*tried[3:5]))
+    after = sides[0].shape[1]
+    out = np.zeros((len(peaks), peaks.shape[1], after + sides[1].shape[1], 3))
+    for i in range(peaks.shape[1]):
+        away = x - peaks[own, i]
+        for pairs, there, first in ((sides[0], away >= 0, 0), (sides[1], away < 0, after)):
+            k, y = own[there], v[there]
+            with np.errstate(divide="ignore"):
+                far = np.log(np.abs(away[there]))
+            for j in range(pairs.shape[1]):
+                g = np.exp(-np.exp(pairs[k, j, 1] * (far - np.log(pairs[:, j, 0])[k])))
+                for s, w in enumerate((g, g * g, g * y)):
+                    out[:, i, first + j, s] = np.bincount(k, w, len(peaks))
+    return out
+
+
+def _least(sums: np.ndarray, known: np.ndarray, tried: Sequence[np.ndarray]) -> np.ndarray:
+    """Each key's ``PARAMETERS`` of least squares, of equal ones the least shapes; ``known`` has its number of points, sums of v and v², least and largest v."""
+    n, sv, svv, low, high = (c[:, None, None, None] for c in known.T)
+    sizes = [c.shape[1] for c in tried]
+    after = sizes[1] * sizes[2]
+    sg, sgg, sgv = (sums[:, :, :after, None, s] + sums[:, :, None, after:, s] for s in range(3))
+    spread = n * sgg - sg * sg
+    free = np.divide(n * sgv - sg * sv, spread, out=np.zeros_like(sg), where=spread > 1e-9)
+    c1 = np.maximum(low, np.minimum(high, (sv - free * sg) / n))
+    c2 = np.divide(sgv - c1 * sg, sgg, out=np.zeros_like(sg), where=sgg != 0)
+    error = svv - 2 * c1 * sv - 2 * c2 * sgv + n * c1 * c1 + 2 * c1 * c2 * sg + c2 * c2 * sgg
+    flat = np.round(error, 9).reshape(len(sums), -1)
+    at = np.argmin(np.where(np.isnan(flat), np.inf, flat), axis=1)
+    rows = np.arange(len(sums))
+    shapes = [c[rows, i] for c, i in zip(tried, np.unravel_index(at, sizes))]
+    return np.stack([c.reshape(len(sums), -1)[rows, at] for c in (c1, c2)] + shapes, axis=1)
+
+
+def _near(a: str, own, i: int, turn: int, greatest: Callable, least: Callable):
+    """The i-th of three values round a shape's best one in a round; steps shrink from round to round."""
+    if a == "a1":
+        return greatest(least(own + (i - 1) / 16 / 2 ** (turn - 1), 1.0), 0.0)
+    return greatest(own * (1 + 1 / 2**turn) ** (i - 1), LEAST_WIDTH if a in ("a2", "a4") else LEAST_SHAPE)
+
+
+def _fit_whole(rounds: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Fits all keys of rows ``(key, t, v)`` ordered by key and time, round by round; a key's rows may go over several batches."""
     shapes = PARAMETERS[2:]
-    digits, rest = [], F.col("i")
-    for n in sizes:
-        digits.append((rest % n).cast("int"))
-        rest = F.floor(rest / n)
-    tried = points.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(math.prod(sizes) - 1))))
-    each = tried.select("key", "x", "v", "low", "high", "i", *[value(a, d).cast("double").alias(a) for a, d in zip(shapes, digits)])
-    g, v = F.col("g"), F.col("v")
-    sums = each.withColumn("g", _curve(F.col("x"), *[F.col(a) for a in shapes])).groupBy("key", "low", "high", "i", *shapes).agg(
-        F.count("*").alias("n"), F.sum(v).alias("sv"), F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * v).alias("sgv"), F.sum(v * v).alias("svv")
-    )
-    n, sv, sg, sgg, sgv, svv = (F.col(c) for c in ("n", "sv", "sg", "sgg", "sgv", "svv"))
-    free = F.coalesce(F.try_divide(n * sgv - sg * sv, F.when(n * sgg - sg * sg > 1e-9, n * sgg - sg * sg)), F.lit(0.0))
-    c1 = F.greatest(F.col("low"), F.least(F.col("high"), (sv - free * sg) / n))
-    found = sums.withColumn("c1", c1).withColumn("c2", F.coalesce(F.try_divide(sgv - F.col("c1") * sg, sgg), F.lit(0.0)))
-    k1, k2 = F.col("c1"), F.col("c2")
-    error = svv - 2 * k1 * sv - 2 * k2 * sgv + n * k1 * k1 + 2 * k1 * k2 * sg + k2 * k2 * sgg
-    return found.groupBy("key").agg(F.min(F.struct(F.round(error, 9).alias("error"), *shapes, "c1", "c2")).alias("b")).select("key", *[F.col(f"b.{c}").alias(c) for c in PARAMETERS])
-
-
-def doubly_logistic_fit(series: DataFrame, key: str, time: str, value: str, rounds: int = 5) -> DataFrame:
-    """The seven parameters of each key's curve over time scaled to [0, 1]; null with under eight times.
 
-    Bounded least squares by search over shapes: those of ``TRIED`` first, then all neighbours of
-    the best ones by steps that shrink. Each round is one aggregate over all keys' points, and
-    values of one time are averaged before.
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        n = rows.groupby("key")["t"].transform("size")
+        rows = rows[n >= 8]
+        key, first, n = np.unique(rows["key"].to_numpy(), return_index=True, return_counts=True)
+        if not len(key):
+            return pd.DataFrame(columns=["key", *PARAMETERS], dtype="float64").astype({"key": "int64"})
+        t, v, own = rows["t"].to_numpy(), rows["v"].to_numpy(), np.repeat(np.arange(len(key)), n)
+        start, span = t[first], t[first + n - 1] - t[first]
+        x = (t - start[own]) / span[own]
+        known = np.stack([n, np.bincount(own, v), np.bincount(own, v * v), np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)], axis=1)
+        tried = [np.tile(c, (len(key), 1)) for c in TRIED]
+        best = _least(_side_sums(own, x, v, tried), known, tried)
+        for turn in range(1, rounds + 1):
+            tried = [np.stack([_near(a, c, i, turn, np.maximum, np.minimum) for i in range(3)], axis=1) for a, c in zip(shapes, best[:, 2:].T)]
+            best = _least(_side_sums(own, x, v, tried), known, tried)
+        return pd.DataFrame(best, columns=PARAMETERS).assign(key=key)[["key", *PARAMETERS]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(held):
+                done = held["key"] != held["key"].iloc[-1]
+                if done.any():
+                    yield fit(held[done])
+                    held = held[~done]
+        if held is not None and len(held):
+            yield fit(held)
+
+    return run
+
+
+def _best(points: DataFrame, sizes: Sequence[int], value: Callable[[str, int], Column | float]) -> DataFrame:
+    """Of each key, the least squares over all combinations of so many values of each shape, of which ``value`` gives the i-th, ascending; level and scale have a closed form, the level within the values' range.
+
+    Batches of points give sums, a key's sums are added up: a key's points lie on any number of tasks, and no table of keys times shapes is joined or broadcast.
     """
-    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
-    rows = series.select(F.col(key).cast("long").alias("key"), seconds.alias("t"), F.col(value).cast("double").alias("v"))
-    means = rows.dropna().groupBy("key", "t").agg(F.avg("v").alias("v"))
-    limits = means.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("times"), F.min("v").alias("low"), F.max("v").alias("high")).where("times >= 8")
-    points = stage(means.join(limits, "key").select("key", ((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("x"), "v", "low", "high").repartitionByRange("key", "x"), "points")
+    ends = np.cumsum(sizes)[:-1]
+    tried = [F.lit(value(a, i)).cast("double").alias(f"{a}_{i}") for a, n in zip(PARAMETERS[2:], sizes) for i in range(n)]
+    names = [f"{a}_{i}" for a, n in zip(PARAMETERS[2:], sizes) for i in range(n)]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            key, first, own, n = np.unique(pdf["key"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+            x, v, heads = pdf["x"].to_numpy(), pdf["v"].to_numpy(), pdf.iloc[first]
+            shapes = heads[names].to_numpy()
+            sums = _side_sums(own, x, v, np.split(shapes, ends, axis=1)).reshape(len(key), -1)
+            held = np.concatenate([np.stack([n, np.bincount(own, v), np.bincount(own, v * v)], axis=1), sums], axis=1)
+            least = pdf.groupby("key")["x"].min().to_numpy()
+            yield pd.DataFrame({"key": key, "low": heads["low"].to_numpy(), "high": heads["high"].to_numpy(), "x": least, "tried": list(shapes), "sums": list(held)})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        total, row = np.sum(np.stack(pdf["sums"].to_list()), axis=0), pdf.iloc[0]
+        shapes = np.split(np.asarray(row["tried"])[None, :], ends, axis=1)
+        sums = total[3:].reshape(1, sizes[0], sizes[1] * sizes[2] + sizes[3] * sizes[4], 3)
+        best = _least(sums, np.array([[*total[:3], row["low"], row["high"]]]), shapes)
+        return pd.DataFrame(best, columns=PARAMETERS).assign(key=row["key"])[["key", *PARAMETERS]]
+
+    parts = points.select("key", "x", "v", "low", "high", *tried).mapInPandas(add, "key long, low double, high double, x double, tried array<double>, sums array<double>")
+    return parts.groupBy("key").applyInPandas(merge, "key long, " + ", ".join(f"{c} double" for c in PARAMETERS))
+
+
+def _fit_spread(points: DataFrame, rounds: int) -> DataFrame:
+    """The same search for keys with very many points: each round is one pass over the points and a merge of their sums."""
     shapes = PARAMETERS[2:]
-    best = stage(_best(points, [len(c) for c in TRIED], lambda a, i: F.element_at(F.array(*[F.lit(c) for c in TRIED[shapes.index(a)]]), i + 1)), "fit")
+    best = stage(_best(points, [len(c) for c in TRIED], lambda a, i: TRIED[shapes.index(a)][i]), "fit")
+    greatest, least = (lambda c, limit, f=f: f(c, F.lit(limit)) for f in (F.greatest, F.least))
     for turn in range(1, rounds + 1):
-        step, factor = 1 / 16 / 2 ** (turn - 1), F.lit(1 + 1 / 2**turn)
-
-        def near(a, i):
-            own = F.col(f"b_{a}")
-            if a == "a1":
-                return F.greatest(F.lit(0.0), F.least(F.lit(1.0), own + (i - 1) * step))
-            return F.greatest(F.lit(LEAST_WIDTH if a in ("a2", "a4") else LEAST_SHAPE), own * F.pow(factor, i - 1))
-
         known = best.select("key", *[F.col(a).alias(f"b_{a}") for a in shapes])
+        near = lambda a, i, turn=turn: _near(a, F.col(f"b_{a}"), i, turn, greatest, least)
         best = stage(_best(points.join(known, "key"), [3] * 5, near), "fit")
+    return best
+
+
+def doubly_logistic_fit(series: DataFrame, key: str, time: str, value: str, rounds: int = 5, whole: int = WHOLE) -> DataFrame:
+    """The seven parameters of each key's curve over time scaled to [0, 1]; null with under eight times.
+
+    Bounded least squares by search over shapes: those of ``TRIED`` first, then all neighbours of
+    the best ones by steps that shrink. Values of one time are averaged before. A key with up to ``whole`` times is fitted by
+    one task, many keys at once; the points of one with more are spread over tasks.
+    """
+    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+    rows = series.select(F.col(key).cast("long").alias("key"), seconds.alias("t"), F.col(value).cast("double").alias("v"))
+    means = stage(rows.dropna().groupBy("key", "t").agg(F.avg("v").alias("v")), "means")
+    large = stage(means.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > whole).select("key"), "large")
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = means.join(large, "key", "left_anti").repartition(parts, "key").sortWithinPartitions("key", "t")
+    best = dealt.mapInPandas(_fit_whole(rounds), "key long, " + ", ".join(f"{c} double" for c in PARAMETERS))
+    if not is_empty(large):
+        wide = means.join(large, "key")
+        limits = wide.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("times")).where("times >= 8")
+        scaled = wide.join(limits, "key").select("key", ((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("x"), "v", "low", "high")
+        best = best.unionByName(_fit_spread(stage(scaled.repartitionByRange(parts, "key", "x"), "points"), rounds))
     return rows.select("key").distinct().join(best, "key", "left").withColumnRenamed("key", key)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,52 @@ def test_days_at_a_limit_are_added_up_in_the_rows_order_as_in_sql(spark, tmp_pat
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{at}/*.parquet') ORDER BY event_id")
     assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(con.execute(ORACLE[name]).fetchall())
+
+
+def fit_by_trying(points, tried):
+    """Least squares of one key's ``(x, v)`` over all combinations, one by one."""
+    x, v = (np.array(c) for c in zip(*points))
+    found = []
+    for a1, a2, a3, a4, a5 in itertools.product(*tried):
+        g = np.where(x < a1, np.exp(-(np.maximum((a1 - x) / a4, 0) ** a5)), np.exp(-(np.maximum((x - a1) / a2, 0) ** a3)))
+        spread = len(x) * (g * g).sum() - g.sum() ** 2
+        free = (len(x) * (g * v).sum() - g.sum() * v.sum()) / spread if spread > 1e-9 else 0.0
+        c1 = min(max((v.sum() - free * g.sum()) / len(x), v.min()), v.max())
+        c2 = (g * (v - c1)).sum() / (g * g).sum()
+        found.append((((c1 + c2 * g - v) ** 2).sum(), c1, c2, a1, a2, a3, a4, a5))
+    return min(found)
+
+
+def test_fit_tries_all_combinations_and_evaluates_each_side_once(spark, monkeypatch):
+    from skyloom.operators import models as M
+
+    evaluated, own = [], np.bincount
+    r = np.random.default_rng(2)
+    tried = [[0.3, 0.6], [0.2, 0.4], [2.0, 3.0, 5.0], [0.2, 0.3], [2.0, 6.0]]
+    points = {k: list(zip(np.sort(r.random(20)).tolist(), r.random(20).tolist())) for k in (3, 9)}
+    rows = spark.createDataFrame([(k, x, v, min(q[1] for q in p), max(q[1] for q in p)) for k, p in points.items() for x, v in p], "key long, x double, v double, low double, high double")
+    got = {q.key: q for q in M._best(rows.repartition(3), [len(c) for c in tried], lambda a, i: tried[M.PARAMETERS[2:].index(a)][i]).collect()}
+    for k, p in points.items():
+        assert [got[k][c] for c in M.PARAMETERS] == pytest.approx(fit_by_trying(p, tried)[1:])
+    # of 48 combinations, a point sees the pairs of its own side only: 6 after each of two peaks or 4 before it
+    monkeypatch.setattr(M.np, "bincount", lambda k, w=None, n=0: evaluated.append(len(k)) or own(k, w, n))
+    x, v = (np.array(c) for c in zip(*points[3]))
+    M._side_sums(np.zeros(20, int), x, v, [np.array([c]) for c in tried])
+    assert sum(evaluated) <= 3 * 2 * 6 * 20
+
+
+def test_fit_of_keys_in_one_task_and_spread_is_the_same(spark):
+    from skyloom.operators.models import PARAMETERS, doubly_logistic_fit
+
+    r = random.Random(6)
+    rows = [(k, i * (k + 1), r.random()) for k, n in ((1, 40), (2, 9), (3, 7), (4, 25)) for i in range(n)] + [(5, None, 1.0), (None, 3, 1.0)]
+    series = spark.createDataFrame(rows, "k long, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for whole in (100, 20, 0):
+            got = {q.k: [q[c] for c in PARAMETERS] for q in doubly_logistic_fit(series, "k", "ts", "v", 2, whole).collect()}
+            assert set(got) == {1, 2, 3, 4, 5, None} and all(got[k] == [None] * 7 for k in (3, 5, None))
+            first = got if whole == 100 else first
+            assert all(got[k] == pytest.approx(first[k]) for k in (1, 2, 4))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
