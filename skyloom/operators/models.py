@@ -24,10 +24,15 @@ def linear_regression(df: DataFrame, y: str, x: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def _assembled(features: Sequence[str]):
+def alike(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each distinct row of these columns once, with ``weight``, the number of rows like it; staged. A fit on these weights is a fit on all rows."""
+    return stage(df.groupBy(*columns).agg(F.count("*").cast("double").alias("weight")), "alike")
+
+
+def _assembled(columns: Sequence[str]):
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip")
 
 
 def train_trees(df: DataFrame, features: Sequence[str], label: str, depth: int = 4, rounds: int = 10, seed: int = 7):
@@ -38,27 +43,61 @@ def train_trees(df: DataFrame, features: Sequence[str], label: str, depth: int =
     return Pipeline(stages=[_assembled(features), GBTClassifier(labelCol=label, maxDepth=depth, maxIter=rounds, seed=seed)]).fit(df)
 
 
+def _scaler(rows: DataFrame, features: Sequence[str]):
+    """Features less their mean over the deviation of the sample, of rows with weights."""
+    from pyspark.ml.feature import SQLTransformer
+
+    number = lambda x: f"cast('{x!r}' AS double)"
+    w, n = F.col("weight"), F.sum("weight")
+    mean = rows.agg(*[F.try_divide(F.sum(w * F.col(c)), n) for c in features]).first()
+    off = [F.col(c) - F.lit(m) for c, m in zip(features, mean)]
+    deviation = rows.agg(*[F.sqrt(F.try_divide(F.sum(w * o * o), n - 1)) for o in off]).first()
+    scaled = [f"(`{c}` - {number(m)}) * {number(1 / d if d else 0.0)} AS `__scaled_{c}`" for c, m, d in zip(features, mean, deviation)]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
+
+
 def train_scaled_logistic(df: DataFrame, features: Sequence[str], label: str, folds: int = 0, seed: int = 7):
-    """Standardised features and logistic regression; with ``folds``, the penalty is chosen by cross-validation."""
-    from pyspark.ml import Pipeline
+    """Standardised features and logistic regression on all rows, as a pipeline model; with ``folds``, the penalty is chosen by cross-validation.
+
+    Equal rows are one row with their number as weight. A row's fold is a hash of its values, so that equal rows share it.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    lr = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=20)
-    pipe = Pipeline(stages=[_assembled(features), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), lr])
-    if not folds:
-        return pipe.fit(df)
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    return CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build(), evaluator=judge, numFolds=folds, seed=seed, parallelism=4).fit(df)
+    vectors = _assembled([f"__scaled_{c}" for c in features])
+    rows = alike(df.dropna(subset=list(features)), [*features, label])
+    penalty = 0.0
+
+    def fit(part: DataFrame, penalties: Sequence[float]) -> list:
+        scaler = _scaler(part, features)
+        ready = vectors.transform(scaler.transform(part)).select("features", label, "weight")
+        lr = LogisticRegression(labelCol=label, weightCol="weight", maxIter=20)
+        return [PipelineModel(stages=[scaler, vectors, lr.copy({lr.regParam: p}).fit(ready)]) for p in penalties]
+
+    if folds:
+        penalties, judge = [0.0, 0.1], MulticlassClassificationEvaluator(labelCol=label, weightCol="weight", metricName="accuracy")
+        dealt = rows.withColumn("__fold", F.pmod(F.xxhash64(F.lit(seed), *features, label), F.lit(folds)))
+
+        def held_out(k: int) -> list[float]:
+            test = dealt.where(F.col("__fold") == k)
+            return [judge.evaluate(m.transform(test)) for m in fit(dealt.where(F.col("__fold") != k), penalties)]
+
+        there = sorted(r[0] for r in dealt.select("__fold").distinct().collect())
+        with ThreadPoolExecutor(2) as pool:
+            found = list(pool.map(inheritable_thread_target(df.sparkSession)(held_out), there)) if len(there) > 1 else [[0.0]]
+        penalty = penalties[int(np.argmax(np.mean(found, axis=0)))]
+    return fit(rows, [penalty])[0]
 
 
 def score(model, df: DataFrame) -> DataFrame:
     """Prediction and the probability of class 1 of every row."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(df).withColumn("probability_1", F.element_at(vector_to_array("probability"), 2)).drop("features", "scaled", "rawPrediction", "probability")
+    return model.transform(df).select(*df.columns, "prediction", F.element_at(vector_to_array("probability"), 2).alias("probability_1"))
 
 
 def importances(model, features: Sequence[str]) -> DataFrame:

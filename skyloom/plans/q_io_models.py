@@ -198,7 +198,7 @@ def _(spark, sf_dir):
 @query("m02_score_pixels", f"{OBS} SELECT (nir + swir > 1.0::DOUBLE)::INT AS label, count(*) AS n, true AS accurate FROM obs GROUP BY 1")
 def _(spark, sf_dir):
     rows = _pixels(spark, sf_dir)
-    model = M.train_scaled_logistic(_sample(rows, 1500), BANDS, "label")
+    model = M.train_scaled_logistic(rows, BANDS, "label")
     return M.score(model, rows).groupBy("label").agg(F.count("*").alias("n"), (F.avg(F.abs(F.col("probability_1") - F.col("label"))) < 0.2).alias("accurate"))
 
 
@@ -215,7 +215,7 @@ def _sample(rows, n=FITTED):
 @query("m03_scale_then_predict", f"{OBS} SELECT tile_id, count(*) AS n, true AS accurate FROM obs GROUP BY tile_id")
 def _(spark, sf_dir):
     rows = obs(spark, sf_dir).withColumn("label", (F.col("nir") > 0.5).cast("int"))
-    scored = M.score(M.train_scaled_logistic(_sample(rows), BANDS, "label"), rows)
+    scored = M.score(M.train_scaled_logistic(rows, BANDS, "label"), rows)
     return scored.groupBy("tile_id").agg(F.count("prediction").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > 0.95).alias("accurate"))
 
 

@@ -198,3 +198,33 @@ def test_fit_of_keys_in_one_task_and_spread_is_the_same(spark):
             assert all(got[k] == pytest.approx(first[k]) for k in (1, 2, 4))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["m02_score_pixels", "m03_scale_then_predict"])
+def test_models_are_fitted_on_all_rows(spark, monkeypatch, name):
+    from skyloom.operators import models as M
+    from skyloom.operators import sampling
+    from skyloom.plans.queries import QUERIES
+
+    seen, own = [], M.alike
+    monkeypatch.setattr(M, "alike", lambda df, columns: seen.append(own(df, columns)) or seen[-1])
+    monkeypatch.setattr(sampling, "sample_per_class", None)
+    QUERIES[name](spark, SF).collect()
+    assert [f.agg(F.sum("weight")).first()[0] for f in seen] == [spark.read.parquet(f"{SF}/lineitem.parquet").count()]
+
+
+def test_fit_on_weights_is_the_fit_on_all_rows(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    from skyloom.operators import models as M
+
+    r = random.Random(4)
+    values = [(r.randint(0, 9) / 2, r.randint(0, 5) * 3.0) for _ in range(900)]
+    rows = spark.createDataFrame([(a, b, int(a + b / 3 + r.gauss(0, 2) > 5)) for a, b in values] + [(None, 1.0, 1), (float("nan"), 1.0, 1)], "a double, b double, label int")
+    stages = [VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="skip"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=20)]
+    plain, own = Pipeline(stages=stages).fit(rows).stages[-1], M.train_scaled_logistic(rows, ["a", "b"], "label").stages[-1]
+    assert own.coefficients.toArray().tolist() == pytest.approx(plain.coefficients.toArray().tolist(), rel=1e-3) and own.intercept == pytest.approx(plain.intercept, rel=1e-3)
+    scored = M.score(M.train_scaled_logistic(rows, ["a", "b"], "label", folds=3), rows)
+    assert scored.columns == ["a", "b", "label", "prediction", "probability_1"] and scored.count() == 900
