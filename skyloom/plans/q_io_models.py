@@ -222,7 +222,7 @@ def _(spark, sf_dir):
 @query("m04_cross_validated_logistic", f"{OBS} SELECT (nir + swir > 1.0::DOUBLE)::INT AS label, count(*) AS n, true AS accurate FROM obs GROUP BY 1")
 def _(spark, sf_dir):
     rows = _pixels(spark, sf_dir)
-    model = M.train_scaled_logistic(_sample(rows), BANDS, "label", folds=10)
+    model = M.train_scaled_logistic(rows, BANDS, "label", folds=10)
     return model.transform(rows).groupBy("label").agg(F.count("prediction").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > 0.9).alias("accurate"))
 
 

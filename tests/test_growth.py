@@ -200,7 +200,7 @@ def test_fit_of_keys_in_one_task_and_spread_is_the_same(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["m02_score_pixels", "m03_scale_then_predict"])
+@pytest.mark.parametrize("name", ["m02_score_pixels", "m03_scale_then_predict", "m04_cross_validated_logistic"])
 def test_models_are_fitted_on_all_rows(spark, monkeypatch, name):
     from skyloom.operators import models as M
     from skyloom.operators import sampling
