@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.sampling import quantiles_of, value_places
 from skyloom.plans.staging import is_empty, stage
 
 
@@ -35,12 +37,34 @@ def _assembled(columns: Sequence[str]):
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip")
 
 
-def train_trees(df: DataFrame, features: Sequence[str], label: str, depth: int = 4, rounds: int = 10, seed: int = 7):
-    """A boosted-tree classifier of two classes, as a pipeline model."""
-    from pyspark.ml import Pipeline
+#: Steps of a feature that a tree's thresholds part, at most.
+STEPS = 32
+
+
+def _cuts(df: DataFrame, column: str, steps: int) -> list[float]:
+    """The middles between a column's values, or, if it has more than so many, its quantiles over all rows."""
+    places = stage(value_places(df.select(F.col(column).cast("double").alias(column)).dropna(), column), "places")
+    few = [r.value for r in places.select("value").orderBy("value").limit(steps + 1).collect()]
+    if len(few) <= steps:
+        return [(a + b) / 2 for a, b in zip(few, few[1:])] or few or [0.0]
+    return sorted(set(quantiles_of(places, [k / steps for k in range(1, steps)]).first().q))
+
+
+def train_trees(df: DataFrame, features: Sequence[str], label: str, depth: int = 4, rounds: int = 10, seed: int = 7, steps: int = STEPS):
+    """A boosted-tree classifier of two classes, as a pipeline model.
+
+    Features are cut to steps, and rows of the same steps and label are one row with their number as weight, so that
+    the trees see all rows. With as many bins as the square root of those rows, the library looks at all of them for its thresholds, not at a sample.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Bucketizer
 
-    return Pipeline(stages=[_assembled(features), GBTClassifier(labelCol=label, maxDepth=depth, maxIter=rounds, seed=seed)]).fit(df)
+    infinite, bins = float("inf"), [f"__bin_{c}" for c in features]
+    cut = Bucketizer(splitsArray=[[-infinite, *_cuts(df, c, steps), infinite] for c in features], inputCols=list(features), outputCols=bins, handleInvalid="skip")
+    rows, vectors = alike(cut.transform(df.select(*features, label)), [*bins, label]), _assembled(bins)
+    trees = GBTClassifier(labelCol=label, weightCol="weight", maxDepth=depth, maxIter=rounds, seed=seed, maxBins=max(steps, math.isqrt(rows.count()) + 1))
+    return PipelineModel(stages=[cut, vectors, trees.fit(vectors.transform(rows))])
 
 
 def _scaler(rows: DataFrame, features: Sequence[str]):

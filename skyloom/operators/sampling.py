@@ -124,7 +124,11 @@ def value_places(df: DataFrame, value: str, slices: int = 0) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float]) -> DataFrame:
     """One row with an array ``q`` of interpolated quantiles of the whole column, from its distinct values and their counts."""
-    placed = value_places(df.select(value), value)
+    return quantiles_of(value_places(df.select(value), value), quantiles)
+
+
+def quantiles_of(placed: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """The same of a column's ``value_places``."""
     rank = lambda q: (F.col("total") - 1) * F.lit(float(q))
     holds = lambda at: ((at >= F.col("start")) & (at < F.col("start") + F.col("n"))).cast("double")
 

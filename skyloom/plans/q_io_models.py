@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import models as M
 from skyloom.operators import timeseries as T
 from skyloom.plans.catalog import load, query
-from skyloom.plans.staging import shared_dir, stage
+from skyloom.plans.staging import shared_dir
 from skyloom.plans.standins import OBS, PIX, R6, SER, obs, pix, r6, ser
 from skyloom.sources import formats as I
 from skyloom.streaming import jobs as X
@@ -190,7 +190,7 @@ BANDS = ["blue", "red", "nir", "swir"]
 @query("m01_boosted_trees")
 def _(spark, sf_dir):
     rows = _pixels(spark, sf_dir)
-    model = M.train_trees(_sample(rows, 1500), BANDS, "label", rounds=5)
+    model = M.train_trees(rows, BANDS, "label", rounds=5)
     scored = M.score(model, rows)
     return scored.groupBy("label").agg(F.count("*").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("int")) > 0.9).alias("accurate"))
 
@@ -202,16 +202,6 @@ def _(spark, sf_dir):
     return M.score(model, rows).groupBy("label").agg(F.count("*").alias("n"), (F.avg(F.abs(F.col("probability_1") - F.col("label"))) < 0.2).alias("accurate"))
 
 
-#: Rows of each class that a model is fitted on, at most: a seeded sample.
-FITTED = 3000
-
-
-def _sample(rows, n=FITTED):
-    from skyloom.operators.sampling import sample_per_class
-
-    return stage(sample_per_class(rows, ["label"], n, ["oid"]), "sample")
-
-
 @query("m03_scale_then_predict", f"{OBS} SELECT tile_id, count(*) AS n, true AS accurate FROM obs GROUP BY tile_id")
 def _(spark, sf_dir):
     rows = obs(spark, sf_dir).withColumn("label", (F.col("nir") > 0.5).cast("int"))
@@ -249,7 +239,7 @@ def _(spark, sf_dir):
 
 @query("m09_feature_importance")
 def _(spark, sf_dir):
-    return M.importances(M.train_trees(_sample(_pixels(spark, sf_dir)), BANDS, "label", rounds=3), BANDS)
+    return M.importances(M.train_trees(_pixels(spark, sf_dir), BANDS, "label", rounds=3), BANDS)
 
 
 _SPLINE = f"""{SER.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT px, date_diff('day', DATE '1970-01-01', ts::DATE)::DOUBLE AS t, avg(v) AS v FROM ser GROUP BY ALL),

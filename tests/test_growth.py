@@ -200,7 +200,7 @@ def test_fit_of_keys_in_one_task_and_spread_is_the_same(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["m02_score_pixels", "m03_scale_then_predict", "m04_cross_validated_logistic"])
+@pytest.mark.parametrize("name", ["m01_boosted_trees", "m02_score_pixels", "m03_scale_then_predict", "m04_cross_validated_logistic", "m09_feature_importance"])
 def test_models_are_fitted_on_all_rows(spark, monkeypatch, name):
     from skyloom.operators import models as M
     from skyloom.operators import sampling
@@ -228,3 +228,12 @@ def test_fit_on_weights_is_the_fit_on_all_rows(spark):
     assert own.coefficients.toArray().tolist() == pytest.approx(plain.coefficients.toArray().tolist(), rel=1e-3) and own.intercept == pytest.approx(plain.intercept, rel=1e-3)
     scored = M.score(M.train_scaled_logistic(rows, ["a", "b"], "label", folds=3), rows)
     assert scored.columns == ["a", "b", "label", "prediction", "probability_1"] and scored.count() == 900
+
+
+def test_thresholds_of_trees_see_rare_values(spark):
+    from skyloom.operators import models as M
+
+    rows = spark.range(200_000).select(F.when(F.col("id") % 90_000 == 7, 2.0).otherwise((F.col("id") % 2).cast("double")).alias("v"), (F.col("id") / 1000).alias("w")).withColumn("label", (F.col("v") == 2).cast("int"))
+    model = M.train_trees(rows, ["v", "w"], "label", rounds=2)
+    wrong = M.score(model, rows).where("prediction <> label").count()
+    assert wrong == 0 and model.stages[0].getSplitsArray()[0][1:-1] == [0.5, 1.5] and len(model.stages[0].getSplitsArray()[1]) == 33
